@@ -16,7 +16,11 @@ def term_counts(docs: DataFrame, terms: list[str], id_col: str = "doc_id", text_
     """
     words = F.regexp_extract_all(F.lower(F.col(text_col)), F.lit("[a-z]+"), F.lit(0))
     out = docs.select(F.col(id_col), words.alias("_w")).where(F.size("_w") > 0)
-    counts = [F.size(F.filter("_w", lambda w, t=t: w == t)).alias(f"tf_{i}") for i, t in enumerate(terms)]
+
+    def count_of(term: str):
+        return F.size(F.filter("_w", lambda w: w == F.lit(term)))
+
+    counts = [count_of(t).alias(f"tf_{i}") for i, t in enumerate(terms)]
     return out.select(id_col, F.size("_w").alias("len"), *counts)
 
 
