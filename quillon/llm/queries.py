@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import exact_dedup
+from quillon.llm import decontaminate, exact_dedup
 from quillon.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,3 +34,26 @@ def query(name: str, oracle: str | None = None):
 )
 def op4(spark: SparkSession, root: str) -> DataFrame:
     return exact_dedup.keep_table(table(spark, root, "documents"))
+
+
+@query(
+    "op9_benchmark_decontamination",
+    """
+    WITH dw AS (
+      SELECT doc_id, w, generate_subscripts(w, 1) AS p FROM (
+        SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents)),
+    iw AS (
+      SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark),
+    win AS (
+      SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[s:s + 9], ' ') AS t
+      FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS s FROM iw WHERE len(w) > 0)),
+    dwin AS (SELECT doc_id, p, n, array_to_string(w[p:p + n - 1], ' ') AS t FROM dw, (SELECT DISTINCT n FROM win) WHERE p + n - 1 <= len(w)),
+    hit AS (SELECT doc_id, p, n, item_id FROM dwin JOIN win USING (n, t)),
+    pos AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS q FROM hit) GROUP BY doc_id),
+    it AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, array_to_string(list_sort(list(DISTINCT item_id::VARCHAR)), ',') AS ids FROM hit GROUP BY doc_id)
+    SELECT doc_id, coalesce(c.n, 0) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+    FROM documents LEFT JOIN (SELECT doc_id, count(*) AS n FROM dw GROUP BY doc_id) c USING (doc_id) LEFT JOIN pos USING (doc_id) LEFT JOIN it USING (doc_id)
+    """,
+)
+def op9(spark: SparkSession, root: str) -> DataFrame:
+    return decontaminate.digest(decontaminate.contamination(table(spark, root, "documents"), table(spark, root, "benchmark")))
