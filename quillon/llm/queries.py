@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import decontaminate, exact_dedup
+from quillon.llm import decontaminate, exact_dedup, ngram_join
 from quillon.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,3 +57,8 @@ def op4(spark: SparkSession, root: str) -> DataFrame:
 )
 def op9(spark: SparkSession, root: str) -> DataFrame:
     return decontaminate.digest(decontaminate.contamination(table(spark, root, "documents"), table(spark, root, "benchmark")))
+
+
+@query("op3_ngram_jaccard_join")
+def op3(spark: SparkSession, root: str) -> DataFrame:
+    return ngram_join.sets_and_components(table(spark, root, "documents")).drop("set_name")
