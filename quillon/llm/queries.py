@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import decontaminate, exact_dedup, ngram_join
+from quillon.llm import decontaminate, exact_dedup, ngram_join, quality
 from quillon.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,3 +62,9 @@ def op9(spark: SparkSession, root: str) -> DataFrame:
 @query("op3_ngram_jaccard_join")
 def op3(spark: SparkSession, root: str) -> DataFrame:
     return ngram_join.sets_and_components(table(spark, root, "documents")).drop("set_name")
+
+
+@query("op8_quality_classifier")
+def op8(spark: SparkSession, root: str) -> DataFrame:
+    docs = table(spark, root, "documents")
+    return quality.score(docs, quality.train(docs, table(spark, root, "labels"), "quality"))
