@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import decontaminate, exact_dedup, ngram_join, quality
+from quillon.llm import decontaminate, exact_dedup, ngram_join, quality, toxicity
 from quillon.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,3 +68,9 @@ def op3(spark: SparkSession, root: str) -> DataFrame:
 def op8(spark: SparkSession, root: str) -> DataFrame:
     docs = table(spark, root, "documents")
     return quality.score(docs, quality.train(docs, table(spark, root, "labels"), "quality"))
+
+
+@query("op10_toxicity")
+def op10(spark: SparkSession, root: str) -> DataFrame:
+    docs = table(spark, root, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, root, "labels"), "toxic"))
