@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import decontaminate, exact_dedup, ngram_join, quality, toxicity
+from quillon.llm import decontaminate, exact_dedup, ngram_join, pii, quality, toxicity
 from quillon.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,3 +74,9 @@ def op8(spark: SparkSession, root: str) -> DataFrame:
 def op10(spark: SparkSession, root: str) -> DataFrame:
     docs = table(spark, root, "documents")
     return toxicity.score(docs, toxicity.train(docs, table(spark, root, "labels"), "toxic"))
+
+
+@query("op2_pii")
+def op2(spark: SparkSession, root: str) -> DataFrame:
+    docs = table(spark, root, "documents")
+    return pii.digest(pii.find(docs, pii.fit(docs)))
