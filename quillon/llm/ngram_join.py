@@ -20,10 +20,10 @@ already. Trees are built per task from rows that share a token:
    shingle hash; a tree per chunk links them. Chunks of a crowded hash send on
    one set a component, until one chunk holds them.
 4. Completing: every pair not yet connected that shares a prefix shingle is
-   tried as well. The rows are grouped to leaf nodes of one component each, node
-   pairs are matched by shingle and size range, and each larger node is
-   traversed against its partners. So no link is lost; pairs within a component
-   are not listed.
+   tried as well. The sets are dealt to leaf nodes of bounded size, by component
+   or by their most frequent shingle; node pairs are matched by shingle and size
+   range, and each larger node is traversed against its partners. So no link is
+   lost; pairs within a component are not listed.
 
 Defined results: a text of fewer than five words has one shingle, the whole
 sequence; null, empty and blank texts have none and link with nothing, not even
@@ -151,7 +151,7 @@ def _deal_tokens(parts_log2: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            for _, raw, offs in blocks(batch.column(0), 4 << 20):
+            for _, raw, offs in blocks(batch.column(0), 2 << 20):
                 tok, at = shingle_sets(raw, offs)
                 sig, n = names(tok, at), np.diff(at)
                 fresh = []
@@ -195,7 +195,7 @@ def _count_shared(parts_log2: int, set_parts: int):
         return (tok[leave], sig[leave], n[leave], np.minimum(count[leave], TOP_COUNT)), (sig[~leave], n[~leave], tok[~leave])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, hot, limit = [], 0, np.zeros(0, np.uint64), 2 << 20
+        held, size, hot, limit = [], 0, np.zeros(0, np.uint64), 1 << 20
         for batch in batches:
             for p, data in zip(batch.column("p").to_pylist(), batch.column("data"), strict=True):
                 sig, n, tok, _ = unpack(data.as_py(), LOW)
@@ -211,7 +211,7 @@ def _count_shared(parts_log2: int, set_parts: int):
                 if size > limit:
                     gone, rest = settle(held, False)
                     held, size = [rest], len(rest[0])
-                    limit = max(2 << 20, 2 * size)
+                    limit = max(1 << 20, 2 * size)
                     if len(gone[0]):
                         hot = np.union1d(hot, gone[0])
                         yield out(*gone)
@@ -395,16 +395,17 @@ def _seed_trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _node_trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links between an anchor node's sets and its partners'."""
+    """Links within an anchor node, and between its sets and its partners'."""
     for t in _by_key(batches, ["anchor", "part"]):
         own = t.column("own").to_numpy(zero_copy_only=False).astype(bool)
-        mine, other = t.filter(pa.array(own)), t.filter(pa.array(~own))
-        if not len(mine) or not len(other):
-            continue
-        x, y = _tree(mine), _tree(other)
         number: dict[int, int] = {}
         of = {s: number.setdefault(c, len(number)) for s, c in zip(t.column("sig").to_pylist(), t.column("comp").to_pylist(), strict=True)}
-        edges = traverse(x, y, np.array([of[s] for s in x.sig.tolist()]), np.array([of[s] for s in y.sig.tolist()]))
+        x = _tree(t.filter(pa.array(own)))
+        gx = np.array([of[s] for s in x.sig.tolist()])
+        edges = traverse(x, x, gx, gx) if len(set(gx.tolist())) > 1 else []
+        if not own.all():
+            y = _tree(t.filter(pa.array(~own)))
+            edges += traverse(x, y, gx, np.array([of[s] for s in y.sig.tolist()]))
         if edges:
             a, b = zip(*edges, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
@@ -446,7 +447,7 @@ def _explode_prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         pref = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column("pref")]
         at = np.repeat(np.arange(len(pref)), [len(p) for p in pref])
         if len(at):
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(pref))] + [batch.column(c).take(pa.array(at)) for c in ("node", "comp", "low", "high", "size")], ["tok", "node", "comp", "low", "high", "size"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(pref))] + [batch.column(c).take(pa.array(at)) for c in ("sig", "comp")], ["tok", "sig", "comp"])
 
 
 def _links(cands: DataFrame) -> DataFrame:
@@ -472,30 +473,40 @@ def _links(cands: DataFrame) -> DataFrame:
 
 def complete(cands: DataFrame, root: DataFrame, links: DataFrame) -> DataFrame:
     """(sig, root) after all pairs of different components that share a prefix token were tried."""
-    # (sig, comp, node): a node is a component, or a part of a large one.
     own = cands.select("sig", "n").join(root, "sig", "left").withColumn("comp", F.coalesce("root", "sig")).drop("root")
     size = written(own.groupBy("comp").agg(F.count(F.lit(1)).alias("group_size")), "sizes")
-    own = attach_groups(own, size, "comp", cands.count())
-    parts = F.ceil(F.col("group_size") / CHUNK).cast("long")
-    own = written(own.select("sig", "n", "comp", F.xxhash64("comp", F.pmod(F.xxhash64("sig"), parts)).alias("node")), "nodes")
-    nodes = own.groupBy("node").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.count(F.lit(1)).alias("size"))
-    spread = own.drop("n").join(cands.select("sig", "pref"), "sig").join(nodes, "node").mapInArrow(_explode_prefix, "tok long, node long, comp long, low int, high int, size long")
-    active = written(spread.groupBy("tok").agg(F.min("comp").alias("one"), F.max("comp").alias("other")).where("one <> other").select("tok"), "active")
+    own = written(attach_groups(own, size, "comp", cands.count()), "own")
+    spread = own.select("sig", "comp").join(cands.select("sig", "pref"), "sig").mapInArrow(_explode_prefix, "tok long, sig long, comp long")
+    active = written(
+        spread.groupBy("tok").agg(F.min("comp").alias("one"), F.max("comp").alias("other"), F.count(F.lit(1)).alias("c")).where("one <> other").select("tok", "c"), "active"
+    )
     if active.isEmpty():
         return root
-    met = written(spread.join(active, "tok").distinct(), "met")
+    hit = written(spread.join(active, "tok"), "hit")
+    # Leaf nodes: parts of one large component, or of the sets that have the same most frequent token.
+    placed = own.join(hit.groupBy("sig").agg(F.max(F.struct("c", "tok"))["tok"].alias("home")), "sig")
+    large = F.col("group_size") > CHUNK // 8
+    placed = placed.withColumn("home", F.when(large, F.col("comp")).otherwise(F.col("home"))).withColumn("large", large)
+    crowded = placed.groupBy("large", "home").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("parts")).where("parts > 1")
+    placed = placed.join(crowded, ["large", "home"], "left")
+    node = F.xxhash64("large", "home", F.pmod(F.xxhash64("sig"), F.coalesce("parts", F.lit(1))))
+    placed = written(placed.select("sig", "n", "comp", node.alias("node")), "nodes")
+    stats = placed.groupBy("node").agg(
+        F.min("n").alias("low"), F.max("n").alias("high"), F.count(F.lit(1)).alias("size"), F.when(F.min("comp") == F.max("comp"), F.min("comp")).alias("only")
+    )
+    met = written(hit.join(placed.select("sig", "node"), "sig").select("tok", "node").distinct().join(stats, "node"), "met")
     x, y = met.alias("x"), met.alias("y")
     pairs = written(
-        x.join(y, (F.col("x.tok") == F.col("y.tok")) & (F.col("x.comp") != F.col("y.comp")) & (F.struct("x.size", "x.node") > F.struct("y.size", "y.node"))
+        x.join(y, (F.col("x.tok") == F.col("y.tok")) & (F.struct("x.size", "x.node") >= F.struct("y.size", "y.node")) & ~F.coalesce(F.col("x.only") == F.col("y.only"), F.lit(False))
                & (NUM * F.col("x.high") >= DEN * F.col("y.low")) & (NUM * F.col("y.high") >= DEN * F.col("x.low")))
         .select(F.col("x.node").alias("anchor"), F.col("y.node").alias("partner"), F.col("y.size").alias("size")).distinct(),
         "pairs",
     )
     parts = pairs.groupBy("anchor").agg(F.ceil(F.sum("size") / (4 * CHUNK)).cast("long").alias("parts"))
     tasks = pairs.join(parts, "anchor").withColumn("part", F.pmod(F.xxhash64("partner"), "parts")).select("anchor", "partner", "part")
-    sets = own.join(cands.select("sig", "toks"), "sig")
+    sets = placed.join(cands.select("sig", "toks"), "sig")
     mine = tasks.select("anchor", "part").distinct().join(sets, F.col("anchor") == F.col("node")).withColumn("own", F.lit(True))
-    theirs = tasks.join(sets, F.col("partner") == F.col("node")).withColumn("own", F.lit(False)).drop("partner")
+    theirs = tasks.where("partner <> anchor").join(sets, F.col("partner") == F.col("node")).withColumn("own", F.lit(False)).drop("partner")
     more = mine.unionByName(theirs).drop("node").repartition("anchor", "part").sortWithinPartitions("anchor", "part").mapInArrow(_node_trees, "a long, b long")
     more = written(more, "links")
     if more.isEmpty():
