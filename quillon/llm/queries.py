@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import decontaminate, exact_dedup, ngram_join, pii, quality, toxicity
+from quillon.llm import decontaminate, exact_dedup, ngram_join, pii, quality, suffix_dedup, toxicity
 from quillon.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,3 +80,8 @@ def op10(spark: SparkSession, root: str) -> DataFrame:
 def op2(spark: SparkSession, root: str) -> DataFrame:
     docs = table(spark, root, "documents")
     return pii.digest(pii.find(docs, pii.fit(docs)))
+
+
+@query("op6_suffix_array_dedup")
+def op6(spark: SparkSession, root: str) -> DataFrame:
+    return suffix_dedup.digest(suffix_dedup.remove_repeats(table(spark, root, "documents")))
