@@ -1,5 +1,69 @@
-"""placeholder"""
-STAGES = []
+"""A corpus pipeline of five stages over ``documents``.
+
+Each stage takes what the one before kept, in the columns of ``documents``; the
+last one adds its rates. Every stage is written as Parquet and read again.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+from quillon.llm import decontaminate, exact_dedup, mixing, ngram_join, quality, scratch
+from quillon.sources.tables import table
+
+#: Token shares of the mixture, after rejected documents are gone.
+TARGETS = {"good": 0.94, "low": 0.01, "toxic": 0.05}
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    scratch.purge(spark)
+    return quality.keep_good(docs, quality.train(docs, table(spark, sf_dir, "labels"), "quality"))
+
+
+def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts, the row with the largest doc_id stays."""
+    scratch.purge(spark)
+    return exact_dedup.keep_rows(docs)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents, the one with the smallest doc_id stays."""
+    scratch.purge(spark)
+    return ngram_join.keep_rows(docs)
+
+
+def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of a benchmark item go."""
+    scratch.purge(spark)
+    return decontaminate.keep_clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document that is left, with the rate at which the mixture takes it."""
+    scratch.purge(spark)
+    return mixing.mix(docs, table(spark, sf_dir, "labels"), TARGETS)
+
+
+STAGES = [
+    ("quality classifier", good_quality),
+    ("exact dedup", exact_copies),
+    ("n-gram Jaccard join", near_copies),
+    ("benchmark decontamination", clean_of_benchmark),
+    ("mixing sources to target weights", mixed),
+]
+
+#: Classifiers and fitted rates have no SQL form; the tests hold run() against brute force.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``."""
+    docs = table(spark, sf_dir, "documents")
+    root = f"{scratch.shared_dir(spark)}/quillon-pipeline-{uuid.uuid4().hex}"
+    for k, (_, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{root}/{k}")
+        docs = spark.read.parquet(f"{root}/{k}")
+    return docs

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import decontaminate, exact_dedup, ngram_join, pii, quality, suffix_dedup, toxicity
+from quillon.llm import decontaminate, exact_dedup, mixing, ngram_join, pii, quality, suffix_dedup, toxicity
 from quillon.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,3 +85,9 @@ def op2(spark: SparkSession, root: str) -> DataFrame:
 @query("op6_suffix_array_dedup")
 def op6(spark: SparkSession, root: str) -> DataFrame:
     return suffix_dedup.digest(suffix_dedup.remove_repeats(table(spark, root, "documents")))
+
+
+@query("op1_mixing")
+def op1(spark: SparkSession, root: str) -> DataFrame:
+    out = mixing.mix(table(spark, root, "documents").select("doc_id", "text", "source"), table(spark, root, "labels"))
+    return out.drop("text")
