@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quillon.llm import decontaminate, exact_dedup, mixing, ngram_join, pii, quality, suffix_dedup, toxicity
+from quillon.llm import chat, decontaminate, exact_dedup, line_dedup, mixing, ngram_join, pii, quality, suffix_dedup, toxicity
 from quillon.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,3 +92,23 @@ def op6(spark: SparkSession, root: str) -> DataFrame:
 def op1(spark: SparkSession, root: str) -> DataFrame:
     out = mixing.mix(table(spark, root, "documents").select("doc_id", "text", "source"), table(spark, root, "labels"))
     return out.drop("text")
+
+
+@query("op5_chat_formatting")
+def op5(spark: SparkSession, root: str) -> DataFrame:
+    return chat.repair(table(spark, root, "conversations"))
+
+
+@query(
+    "op7_line_dedup",
+    """
+    WITH l AS (SELECT doc_id, source, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS p FROM documents),
+    gone AS (SELECT trim(line) AS t FROM l WHERE trim(line) <> '' AND source IS NOT NULL GROUP BY trim(line) HAVING count(DISTINCT source) >= 8)
+    SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE g.t IS NOT NULL) AS n_removed,
+      sha256(coalesce(string_agg(line, chr(10) ORDER BY p) FILTER (WHERE g.t IS NULL), '')) AS kept_sha256
+    FROM l LEFT JOIN gone g ON trim(line) = g.t GROUP BY doc_id
+    """,
+)
+def op7(spark: SparkSession, root: str) -> DataFrame:
+    out = line_dedup.remove_lines(table(spark, root, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
