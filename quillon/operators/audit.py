@@ -1,0 +1,13 @@
+"""Rule-driven text audit: rules over lines and sentences, into one findings table."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def match_rules(rows: DataFrame, rules: dict[str, str], text_col: str) -> DataFrame:
+    """``rows`` with the ``rule`` of each pattern that matches: one scan, each pattern
+    compiled once, no join with the rules."""
+    hits = F.filter(F.array(*[F.when(F.col(text_col).rlike(p), F.lit(name)) for name, p in rules.items()]), lambda x: x.isNotNull())
+    return rows.withColumn("rule", F.explode(hits))

@@ -1 +1 @@
-
+"""Named query plans."""

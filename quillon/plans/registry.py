@@ -42,3 +42,15 @@ def _lexical(spark: SparkSession, root: str) -> DataFrame:
     from quillon.operators.search import bm25_top_k
 
     return bm25_top_k(table(spark, root, "documents"), ["tion", "ment", "ung"], 20)
+
+
+def _load() -> None:
+    """Import the modules that register queries."""
+    import importlib
+
+    for name in MODULES:
+        importlib.import_module(f"quillon.plans.{name}")
+
+
+MODULES = ("relational",)
+_load()
