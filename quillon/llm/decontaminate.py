@@ -17,7 +17,6 @@ benchmark finds nothing; extra columns are not read.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillon.llm.scratch import written
 from quillon.llm.textnp import ALNUM, blocks, gram_hashes, words
 
 WINDOW = 10
@@ -167,29 +167,74 @@ def _scan(windows: Windows):
     return run
 
 
-def load_windows(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> Windows:
-    """The benchmark's windows, each with its rarest token over all documents as prefix.
+def _parts(benchmark: DataFrame, item_col: str, item_text: str) -> list[DataFrame]:
+    """The benchmark in parts of about PART_BYTES of text, after its size is checked."""
+    items = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text).alias("text"))
+    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    n = max(1, -(-size // PART_BYTES))
+    return [items] if n == 1 else [items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) for k in range(n)]
 
-    The benchmark is gathered on the driver after its size is checked.
-    """
-    size = benchmark.agg(F.coalesce(F.sum(F.octet_length(item_text)), F.lit(0))).first()[0]
-    if size > PART_BYTES:
-        raise ValueError(f"the benchmark holds {size} bytes of text; split it in parts of {PART_BYTES}, and union what each finds")
-    windows = Windows([(r[0], r[1]) for r in benchmark.select(F.col(item_col), F.col(item_text)).collect()])
+
+def load_windows(texts: DataFrame, items: DataFrame) -> Windows:
+    """The windows of one part, each with its rarest token over all documents as prefix."""
+    windows = Windows([(r[0], r[1]) for r in items.collect()])
     if len(windows.tok):
-        texts = docs.select(F.col(text_col).alias("text"))
         counts = texts.mapInArrow(_count_tokens(windows), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
         windows.choose({r[0]: r[1] for r in counts.collect()})  # at most one row a benchmark token
     return windows
 
 
+def _occurrences(windows: Windows):
+    """(d, begin, size, items) of every window found; rows: d, text."""
+    sieve = windows.sieve()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key = batch.column(0).to_numpy(zero_copy_only=False)
+            for row, raw, offs in blocks(batch.column(1)):
+                _, text, begin, win, first, _ = match_block(windows, sieve, raw, offs)
+                named = [[str(windows.ids[i]) for i in windows.items[w] if windows.ids[i] is not None] for w in win.tolist()]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(key[row + text]), pa.array(begin - first[text], pa.int64()), pa.array(windows.size[win], pa.int64()), pa.array(named, pa.list_(pa.string()))],
+                    ["d", "begin", "size", "items"],
+                )
+
+    return run
+
+
+def _found_by_parts(texts: DataFrame, parts: list[DataFrame]) -> DataFrame:
+    """Occurrences of a benchmark that is too large to broadcast: part after part, each written before the next is loaded."""
+    out = None
+    for items in parts:
+        windows = load_windows(texts.select("text"), items)
+        if len(windows.tok):
+            hits = written(texts.mapInArrow(_occurrences(windows), "d long, begin long, size long, items array<string>"), "benchmark-hits")
+            out = hits if out is None else out.unionByName(hits)
+    return out
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """Per document: doc_id, n_words, n_hit, items (sorted array of the ids, as strings, of items with occurring windows)."""
-    windows = load_windows(docs, benchmark, text_col, item_col, item_text)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    if not len(windows.tok):
-        windows = Windows([])
-    return rows.mapInArrow(_scan(windows), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_words long, n_hit long, items array<string>")
+    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_words long, n_hit long, items array<string>"
+    parts = _parts(benchmark, item_col, item_text)
+    if len(parts) == 1:
+        return rows.mapInArrow(_scan(load_windows(rows.select("text"), parts[0])), schema)
+    # Equal rows share a key and all that is found for them.
+    keyed = rows.select(F.xxhash64("doc_id", "text").alias("d"), "doc_id", "text")
+    plain = keyed.select(F.struct("d", "doc_id").alias("doc_id"), "text")
+    counts = plain.mapInArrow(_scan(Windows([])), f"doc_id {plain.schema['doc_id'].dataType.simpleString()}, n_words long, n_hit long, items array<string>").select("doc_id.d", "doc_id.doc_id", "n_words")
+    found = _found_by_parts(keyed.select("d", "text"), parts)
+    if found is None:
+        return counts.select("doc_id", "n_words", F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items"))
+    # Words hit: spans in order, each adding what reaches beyond those before.
+    spans = F.array_sort(F.collect_set(F.struct("begin", (F.col("begin") + F.col("size")).alias("end"))))
+    zero = F.struct(F.lit(0).cast("long").alias("to"), F.lit(0).cast("long").alias("n"))
+    total = F.aggregate(spans, zero, lambda a, s: F.struct(F.greatest(a["to"], s["end"]).alias("to"), (a["n"] + F.greatest(F.lit(0).cast("long"), s["end"] - F.greatest(a["to"], s["begin"]))).alias("n")), lambda a: a["n"])
+    names = F.array_sort(F.array_distinct(F.flatten(F.collect_set("items"))))
+    hits = found.groupBy("d").agg(total.alias("n_hit"), names.alias("items"))
+    none = F.array().cast("array<string>")
+    return counts.join(hits, "d", "left").select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", none).alias("items"))
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -201,7 +246,14 @@ def digest(found: DataFrame) -> DataFrame:
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """``docs`` without the contaminated rows, all columns as they are."""
-    windows = load_windows(docs, benchmark, text_col, item_col, item_text)
+    parts, texts = _parts(benchmark, item_col, item_text), docs.select(F.col(text_col).alias("text"))
+    if len(parts) > 1:
+        found = _found_by_parts(texts.select(F.xxhash64("text").alias("d"), "text"), parts)
+        if found is None:
+            return docs
+        keyed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.xxhash64(text_col).alias("d"))
+        return keyed.join(found.select("d").distinct(), "d", "left_anti").select("row.*")
+    windows = load_windows(texts, parts[0])
     if not len(windows.tok):
         return docs
     sieve, at = windows.sieve(), docs.columns.index(text_col)
@@ -214,8 +266,3 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
             yield batch.filter(pa.array(keep))
 
     return docs.mapInArrow(run, docs.schema)
-
-
-def sha_of(ids: list[str]) -> str:
-    """As ``items_sha256``, for tests."""
-    return hashlib.sha256(",".join(ids).encode()).hexdigest()

@@ -25,7 +25,6 @@ are kept whole; an empty table gives an empty result; other columns aren't read.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -388,8 +387,3 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def digest(removed: DataFrame) -> DataFrame:
     """The contract's columns."""
     return removed.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
-
-
-def kept_sha(kept: bytes) -> str:
-    """As ``kept_sha256``, for tests."""
-    return hashlib.sha256(kept).hexdigest()
