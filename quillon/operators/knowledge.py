@@ -108,7 +108,7 @@ def reachable(edges: DataFrame, source: str, target: str, depth: int = 32) -> Da
 def state_at(events: DataFrame, entity: str, attribute: str, value: str, order: list[str], cutoff: tuple | None = None) -> DataFrame:
     """The state of each (entity, attribute) up to and with a position in the narrative order."""
     position = F.struct(*order)
-    upto = events if cutoff is None else events.where(position <= F.struct(*[F.lit(c) for c in cutoff]))
+    upto = events if cutoff is None else events.where(position <= F.struct(*[F.lit(c).cast(events.schema[o].dataType).alias(o) for o, c in zip(order, cutoff, strict=True)]))
     return upto.groupBy(entity, attribute).agg(F.max_by(value, position).alias(value))
 
 

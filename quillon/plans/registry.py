@@ -52,5 +52,5 @@ def _load() -> None:
         importlib.import_module(f"quillon.plans.{name}")
 
 
-MODULES = ("relational",)
+MODULES = ("relational", "text", "audit", "knowledge")
 _load()
