@@ -414,14 +414,20 @@ def formulaic(docs: DataFrame, meta: tuple[str, ...] = META, antithesis: tuple[s
     """
     t = F.coalesce(F.col(text_col), F.lit(""))
     low = F.lower(t)
-    count = lambda pattern: F.size(F.regexp_extract_all(t, F.lit("(?iU)" + pattern), F.lit(0)))
+
+
+    def count(pattern: str, needs: str | None = None) -> Column:
+        # Most texts lack the word that a pattern can't do without; only the others are searched.
+        n = F.regexp_count(t, F.lit("(?iU)" + pattern))
+        return n if needs is None else F.when(low.contains(needs), n).otherwise(0)
+
     total = lambda cols: sum(cols, F.lit(0))
     openings = F.transform(T.paragraphs(t), lambda p: F.when(p.rlike("^[—#]"), F.array().cast("array<string>")).otherwise(F.transform(F.split(p, r"(?<=[.!?])\s+"), lambda s: F.lower(F.regexp_extract(s, T.WORD, 0)))))
     # A run is an opening of the list whose neighbour before differs and whose next two are the same.
     runs = F.aggregate(openings, F.lit(0), lambda a, o: a + F.size(F.filter(F.transform(o, lambda w, i: (w.isin(list(anaphora))) & (F.coalesce(F.get(o, i - 1), F.lit("")) != w) & F.coalesce((F.get(o, i + 1) == w) & (F.get(o, i + 2) == w), F.lit(False))), lambda x: x)))
     dashes = F.size(F.filter(T.lines(t), lambda x: ~F.trim(x).startswith("—") & (T.count_of(F.trim(x), " — ") >= 2)))
     out = docs.select(
-        F.col(id_col).alias("doc_id"), total([T.count_of(low, p) for p in meta]).alias("meta"), total([count(p) for p in antithesis]).alias("antithesis"), count(QUESTION_ANSWER).alias("questions"),
+        F.col(id_col).alias("doc_id"), total([T.count_of(low, p) for p in meta]).alias("meta"), total([count(p, "não" if p.startswith("não") else "o que" if "o que" in p else None) for p in antithesis]).alias("antithesis"), count(QUESTION_ANSWER, "porque").alias("questions"),
         runs.alias("anaphora"), dashes.alias("dashes"), F.size(T.words(t)).alias("words"),
     ).withColumn("flags", F.expr("meta + antithesis + questions + anaphora + dashes"))
     out = out.withColumn("per_1000", F.round(F.col("flags") * 1000 / F.greatest("words", F.lit(1)), 2))

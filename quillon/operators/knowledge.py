@@ -49,27 +49,28 @@ def split_entity(aliases: DataFrame, names: list[str], source: object, new: obje
 def mentions(texts: DataFrame, aliases: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, entity, start, end) of every whole-word occurrence of an alias, ignoring case.
 
-    Aliases join on their first word, so a text meets only aliases that can occur in
-    it; the rest of a long alias is compared in place. Positions are in characters.
+    Aliases join a text's distinct words by their first word, so a text meets only
+    aliases that can occur in it; each of those is then searched as a whole. Only
+    (text key, word) and (text key, alias) are shuffled before the matching texts.
+    Positions are in characters.
     """
     word = r"[\p{L}\p{N}_]+"
     alias = aliases.select("entity", F.lower("alias").alias("alias")).where("alias <> ''").distinct()
     alias = alias.withColumn("head", F.regexp_extract("alias", word, 0))
     text = F.lower(F.coalesce(F.col(text_col), F.lit("")))
-    pieces, heads = F.split(text, word, -1), F.regexp_extract_all(text, F.lit(word), F.lit(0))
-    rows = texts.select(F.col(id_col).alias("id"), text.alias("t"), pieces.alias("p"), heads.alias("w"))
-    start = F.aggregate(
-        F.sequence(F.lit(0), F.size("w") - 1), F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,w:string>>").alias("out")),
-        lambda acc, i: F.struct(
-            (acc["at"] + F.length(F.get("p", i)) + F.length(F.get("w", i))).alias("at"),
-            F.array_append(acc["out"], F.struct((acc["at"] + F.length(F.get("p", i))).alias("s"), F.get("w", i).alias("w"))).alias("out"),
-        ),
+    rows = texts.select(F.col(id_col).alias("id"), text.alias("t")).withColumn("key", F.xxhash64("id", "t"))
+    heads = rows.select("key", F.explode(F.array_distinct(F.regexp_extract_all("t", F.lit(word), F.lit(0)))).alias("head"))
+    pairs = heads.join(alias, "head").select("key", "entity", "alias").distinct()
+    whole = F.concat(F.lit(r"(?<![\p{L}\p{N}_])\Q"), F.col("alias"), F.lit(r"\E(?![\p{L}\p{N}_])"))
+    hit = rows.join(pairs, "key").withColumn("p", F.split("t", whole, -1)).where(F.size("p") > 1)
+    size = F.length("alias")
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    starts = F.aggregate(
+        F.slice("p", F.lit(1), F.size("p") - 1), zero,
+        lambda acc, piece: F.struct((acc["at"] + F.length(piece) + size).alias("at"), F.array_append(acc["out"], acc["at"] + F.length(piece)).alias("out")),
         lambda acc: acc["out"],
     )
-    found = rows.where(F.size("w") > 0).select("id", "t", F.explode(start).alias("x")).select("id", "t", F.col("x.s").alias("start"), F.col("x.w").alias("head"))
-    size = F.length("alias")
-    whole = (F.substring(F.col("t"), F.col("start") + 1, size) == F.col("alias")) & ~F.substring(F.col("t"), F.col("start") + size + 1, F.lit(1)).rlike(r"[\p{L}\p{N}_]")
-    return found.join(alias, "head").where(whole).select("id", "entity", "start", (F.col("start") + size).alias("end"))
+    return hit.select("id", "entity", "alias", F.explode(starts).alias("start")).select("id", "entity", "start", (F.col("start") + F.length("alias")).alias("end"))
 
 
 def continuity(claims: DataFrame) -> DataFrame:

@@ -11,17 +11,12 @@ K1, B = 1.2, 0.75
 def term_counts(docs: DataFrame, terms: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: its length in ``[a-z]+`` words and the count of each query term.
 
-    One scan, no explode: the words stay an array inside the row, so only
-    documents (never words) are shuffled. Null text has no words.
+    Words are counted by pattern inside the row: no word is made, exploded or
+    shuffled. Terms are plain ``[a-z]+`` words. Null text has no words.
     """
-    words = F.regexp_extract_all(F.lower(F.col(text_col)), F.lit("[a-z]+"), F.lit(0))
-    out = docs.select(F.col(id_col), words.alias("_w")).where(F.size("_w") > 0)
-
-    def count_of(term: str):
-        return F.size(F.filter("_w", lambda w: w == F.lit(term)))
-
-    counts = [count_of(t).alias(f"tf_{i}") for i, t in enumerate(terms)]
-    return out.select(id_col, F.size("_w").alias("len"), *counts)
+    low = F.lower(F.col(text_col))
+    counts = [F.regexp_count(low, F.lit(f"(?<![a-z]){t}(?![a-z])")).alias(f"tf_{i}") for i, t in enumerate(terms)]
+    return docs.select(F.col(id_col), F.regexp_count(low, F.lit("[a-z]++")).alias("len"), *counts).where("len > 0")
 
 
 def bm25_top_k(docs: DataFrame, terms: list[str], k: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
