@@ -98,9 +98,9 @@ class Rates:
 def _members(model: Classifier, column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(tokens, posteriors) block by block."""
     for _, raw, offs in blocks(column):
-        _, at, _, _ = words(raw, offs, SPACED)
-        p = np.array([model.posterior(f) for f in features(raw, offs)]).reshape(len(offs) - 1, len(DOMAINS))
-        yield np.bincount(at, minlength=len(offs) - 1), p
+        found = words(raw, offs, SPACED)
+        p = np.array([model.posterior(f) for f in features(raw, offs, found)]).reshape(len(offs) - 1, len(DOMAINS))
+        yield np.bincount(found[1], minlength=len(offs) - 1), p
 
 
 _P = [f"p_{d}" for d in DOMAINS]

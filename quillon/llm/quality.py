@@ -39,16 +39,16 @@ _KIND[97:123], _KIND[65:91], _KIND[48:58], _KIND[128:] = 1, 2, 3, 4
 _KIND[[46, 63]], _KIND[[44, 59]], _KIND[33] = 5, 6, 7
 
 
-def features(raw: np.ndarray, offs: np.ndarray) -> Iterator[np.ndarray]:
-    """The sorted feature numbers of each text."""
-    h, at, start, end = words(raw, offs, SPACED)
+def features(raw: np.ndarray, offs: np.ndarray, found: tuple[np.ndarray, ...] | None = None) -> Iterator[np.ndarray]:
+    """The sorted feature numbers of each text; ``found``: its words, if the caller has them."""
+    h, at, start, end = found or words(raw, offs, SPACED)
     same = np.zeros(len(h), np.int64)
     same[1:] = (h[1:] == h[:-1]) & (at[1:] == at[:-1])
     shape = ((_KIND[raw[start]] * 8 + _KIND[raw[end - 1]]) * 4 + np.minimum(3, (end - start) // 4)) * 2 + same
     pair = np.zeros(len(h), np.int64)
     pair[1:] = (shape[:-1] * 512 + shape[1:] + 1) * 0x9E3779B1 % 65521
-    b = raw.astype(np.int64)
-    tri = ((b[:-2] * 65536 + b[1:-1] * 256 + b[2:]) * 0x9E3779B1 >> 7) & 0xFFFF if len(b) > 2 else np.zeros(0, np.int64)
+    b = raw.astype(np.uint32)
+    tri = ((b[:-2] << 16 | b[1:-1] << 8 | b[2:]) * np.uint32(0x9E3779B1)) >> 16  # the product's upper half, below 65536
     first = np.searchsorted(at, np.arange(len(offs)))
     seen = np.zeros(DIM, bool)
     for k in range(len(offs) - 1):
