@@ -178,3 +178,19 @@ def sentence_table(line_rows: DataFrame) -> DataFrame:
     """(doc_id, line, index, chapter, section, context, text) of the sentences of text lines."""
     clean = F.regexp_replace(F.trim("text"), "[*_`]", "")
     return line_rows.where("kind = 'text'").select("doc_id", "line", "chapter", "section", "context", F.posexplode(sentences(clean)).alias("index", "text"))
+
+
+def replace_word(c: Column, wrong: str, right: str) -> Column:
+    """Whole words replaced whatever their case; a capital at their start stays one."""
+    body = rf"\b\Q{wrong}\E\b"
+    c = F.regexp_replace(c, rf"(?U)(?=\p{{Lu}})(?i:{body})", right[:1].upper() + right[1:])
+    return F.regexp_replace(c, rf"(?U)(?!\p{{Lu}})(?i:{body})", right)
+
+
+def index_tokens(c: Column) -> Column:
+    """Tokens of a full-text index: runs of letters and digits, lower case, without accents."""
+    return F.regexp_extract_all(fold(c), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+
+
+def percent(ratio: Column, digits: int = 1) -> Column:
+    return F.concat(F.format_number(ratio * 100, digits), F.lit("%"))

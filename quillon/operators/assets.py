@@ -137,3 +137,49 @@ def title_lines(title: Column, width: int) -> Column:
         return F.when(last == "", F.array(w)).when(fits, F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.concat(last, F.lit(" "), w)))).otherwise(F.array_append(acc, w))
 
     return F.aggregate(F.split(F.trim(title), r"\s+"), F.array(F.lit("")), step)
+
+
+def balanced_groups(sizes: Column, k: int) -> Column:
+    """For each item the number of its group: k runs whose ends lie where the running total passes equal shares."""
+    total = F.aggregate(sizes, F.lit(0), lambda a, x: a + x)
+    kind = "array<int>"
+    zero = F.struct(F.lit(0).alias("run"), F.array().cast(kind).alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        # An item belongs where its middle falls.
+        middle = (acc["run"] + x / 2) * k / F.greatest(total, F.lit(1))
+        return F.struct((acc["run"] + x).alias("run"), F.array_append(acc["out"], F.least(F.floor(middle).cast("int"), F.lit(k - 1))).alias("out"))
+
+    return F.aggregate(sizes, zero, step, lambda a: a["out"])
+
+
+def plan_pages(scenes: DataFrame, first_page: int = 1) -> DataFrame:
+    """Chapters (book, chapter, pages, scenes) with first and last page, and scenes a page."""
+    from pyspark.sql import Window as W
+
+    run = F.sum("pages").over(W.partitionBy("book").orderBy("chapter").rowsBetween(W.unboundedPreceding, W.currentRow))
+    end = run + first_page - 1
+    return scenes.withColumns({"first": end - F.col("pages") + 1, "last": end, "density": F.round(F.col("scenes") / F.greatest(F.col("pages"), F.lit(1)), 4)})
+
+
+def plan_issues(plan: DataFrame, low: float, high: float) -> DataFrame:
+    """(book, chapter, issue): density out of range, no pages, or a title used twice in a book."""
+    twice = plan.groupBy("book", F.lower("title").alias("_t")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    rows = plan.withColumn("_t", F.lower("title")).join(twice, ["book", "_t"], "left")
+    rules = [(F.col("pages") <= 0, "no_pages"), ((F.col("pages") > 0) & ~F.col("density").between(low, high), "density"), (F.col("_n").isNotNull(), "duplicate_title")]
+    return rows.select("book", "chapter", F.explode(F.filter(F.array(*[F.when(t, F.lit(n)) for t, n in rules]), lambda x: x.isNotNull())).alias("issue"))
+
+
+def cover_preflight(covers: DataFrame, least_contrast: float = 4.5, least_bleed: float = 3.0) -> DataFrame:
+    """(cover, issues, status) of covers (cover, ink, paper, bleed, isbn, spine): colours, bleed, ISBN and spine."""
+    from quillon.functions.hashing import isbn13
+
+    rules = [(N.contrast(F.col("ink"), F.col("paper")) < least_contrast, "error:contrast"), (F.col("bleed") < least_bleed, "error:bleed"), (isbn13(F.col("isbn")).isNull(), "error:isbn"), (F.col("spine") < 5, "warning:spine_text")]
+    issues = F.filter(F.array(*[F.when(t, F.lit(n)) for t, n in rules]), lambda x: x.isNotNull())
+    status = F.when(F.exists(issues, lambda x: x.startswith("error")), "failed").when(F.size(issues) > 0, "warnings").otherwise("passed")
+    return covers.select("cover", issues.alias("issues"), status.alias("status"))
+
+
+def contents(headings: DataFrame, deepest: int = 2, hidden: tuple[str, ...] = ()) -> DataFrame:
+    """Headings (level, title) of a table of contents."""
+    return headings.where((F.col("level") <= deepest) & ~F.lower("title").isin([h.lower() for h in hidden] or [""]))

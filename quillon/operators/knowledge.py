@@ -134,3 +134,36 @@ def next_free_ordinals(rows: DataFrame, keys: list[str], ordinal: str, ident: st
     top = F.max(ordinal).over(W.partitionBy(*keys))
     late = F.sum(F.col("_late").cast("int")).over(W.partitionBy(*keys).orderBy(ordinal, ident).rowsBetween(W.unboundedPreceding, W.currentRow))
     return ranked.withColumn(ordinal, F.when(F.col("_late"), (top + late).cast(rows.schema[ordinal].dataType)).otherwise(F.col(ordinal))).drop("_late")
+
+
+def typed_claims(claims: DataFrame, predicates: DataFrame) -> DataFrame:
+    """Claims (id, predicate, value as JSON text, object_entity) that break their predicate's rule (predicate, value_kind): (id, issue).
+
+    A claim has a value or an object entity, not both or neither; a value's JSON type
+    must be the predicate's kind. An unknown predicate takes any value.
+    """
+    v = F.try_parse_json("value")
+    kind = F.schema_of_variant(v)
+    number = kind.isin("BIGINT", "DOUBLE") | kind.startswith("DECIMAL")
+    fits = (
+        F.when(F.coalesce("value_kind", F.lit("any")) == "any", True).when(F.col("value_kind") == "number", number).when(F.col("value_kind") == "boolean", kind == "BOOLEAN")
+        .when(F.col("value_kind") == "entity", F.lit(False)).otherwise(kind == "STRING")
+    )
+    one = F.col("value").isNotNull() != F.col("object_entity").isNotNull()
+    rules = [(~one, "not_exactly_one"), (F.col("value").isNotNull() & v.isNull(), "not_json"), (F.col("value").isNotNull() & v.isNotNull() & ~F.coalesce(fits, F.lit(False)), "wrong_type"),
+             (F.col("object_entity").isNotNull() & ~F.coalesce("value_kind", F.lit("any")).isin("any", "entity"), "wrong_type")]
+    rows = claims.join(predicates, "predicate", "left")
+    return rows.select("id", F.explode(F.filter(F.array(*[F.when(t, F.lit(n)) for t, n in rules]), lambda x: x.isNotNull())).alias("issue"))
+
+
+def reconcile(documents: DataFrame, present: DataFrame) -> DataFrame:
+    """(work, doc, available, active): documents (work, doc, role, active, updated) against the files there are (doc).
+
+    A document whose file is gone is inactive. A work and role without an active
+    document falls back to its latest available one.
+    """
+    rows = documents.join(present.select("doc", F.lit(True).alias("available")), "doc", "left").withColumn("available", F.coalesce("available", F.lit(False)))
+    rows = rows.withColumn("active", F.col("active") & F.col("available"))
+    has = rows.groupBy("work", "role").agg(F.bool_or("active").alias("any_active"), F.max(F.when(F.col("available"), F.struct("updated", "doc")))["doc"].alias("latest"))
+    out = rows.join(has, ["work", "role"])
+    return out.select("work", "doc", "available", (F.col("active") | (~F.col("any_active") & F.coalesce(F.col("doc") == F.col("latest"), F.lit(False)))).alias("active"))

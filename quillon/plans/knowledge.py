@@ -121,9 +121,9 @@ def q10(spark, root):
     return K.continuity(c).select("subject", "predicate", F.size("ids").cast("long").alias("n"), "severity")
 
 
-@query("q11_cycles", "WITH RECURSIVE e AS (SELECT p_partkey AS a, (p_partkey * 7 + 3) % 50 AS b FROM part WHERE p_partkey < 50), r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a) SELECT DISTINCT a AS node FROM r WHERE a = b")
+@query("q11_cycles", "WITH RECURSIVE e AS (SELECT p_partkey AS a, CASE WHEN p_partkey = 0 THEN 1 ELSE p_partkey // 3 END AS b FROM part), r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a) SELECT DISTINCT a AS node FROM r WHERE a = b")
 def q11(spark, root):
-    e = table(spark, root, "part").where("p_partkey < 50").select(F.col("p_partkey").alias("a"), ((F.col("p_partkey") * 7 + 3) % 50).alias("b"))
+    e = table(spark, root, "part").select(F.col("p_partkey").alias("a"), F.when(F.col("p_partkey") == 0, 1).otherwise(F.floor(F.col("p_partkey") / 3)).alias("b"))
     return K.reachable(e, "a", "b", 64).where("a = b").select(F.col("a").alias("node")).distinct()
 
 
@@ -213,15 +213,15 @@ def w16(spark, root):
     return t.select("conv_id", X.best_split(F.col("sizes")).alias("split"))
 
 
-@query("x1_chapters", "SELECT doc_id, 2 AS n FROM documents")
+@query("x1_chapters", "SELECT doc_id, (2 + len(regexp_extract_all(chr(10) || text, '\\n# +')))::INT AS n FROM documents")
 def x1(spark, root):
-    d = docs(spark, root).select("doc_id", F.concat(F.lit("intro\n# one\n"), F.left("text", F.lit(20))).alias("text"))
+    d = docs(spark, root).select("doc_id", F.concat(F.lit("intro\n# one\n"), "text").alias("text"))
     return X.chapters(d).groupBy("doc_id").agg(F.count(F.lit(1)).cast("int").alias("n"))
 
 
-@query("x2_sections", "SELECT doc_id, trim(left(replace(text, chr(10), ' '), 30)) AS body FROM documents")
+@query("x2_sections", "SELECT doc_id, regexp_replace(replace(text, chr(10), ' '), '^\\s+|\\s+$', '', 'g') AS body FROM documents")
 def x2(spark, root):
-    t = F.concat(F.lit("# t\nx\n## Narrativa\n"), F.left(F.replace("text", F.lit("\n"), F.lit(" ")), F.lit(30)), F.lit("\n## Reflexão\ny"))
+    t = F.concat(F.lit("# t\nx\n## Narrativa\n"), F.replace("text", F.lit("\n"), F.lit(" ")), F.lit("\n## Reflexão\ny"))
     return docs(spark, root).select("doc_id", X.named_section(t, "Narrativa").alias("body"))
 
 
@@ -241,10 +241,10 @@ def x4(spark, root):
     return docs(spark, root).select("doc_id", front.alias("front"))
 
 
-@query("c19_typst_lines", "SELECT doc_id, '= ' || replace(left(replace(text, chr(10), ' '), 40), '@', '\\@') AS line FROM documents WHERE NOT contains(left(text, 40), '<') AND NOT contains(left(text, 40), '*')")
+@query("c19_typst_lines", "SELECT doc_id, p AS line, '= ' || ltrim(replace(regexp_replace(l, '<[^>]+>', '', 'g'), '@', '\\@')) AS markup FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS p, len(string_split(text, chr(10))) AS n FROM documents) WHERE NOT (p = n AND l = '')")
 def c19(spark, root):
-    d = docs(spark, root).where("NOT contains(left(text, 40), '<') AND NOT contains(left(text, 40), '*')")
-    return d.select("doc_id", X.typst_line(F.concat(F.lit("# "), F.left(F.replace("text", F.lit("\n"), F.lit(" ")), F.lit(40)))).alias("line"))
+    rows = docs(spark, root).select("doc_id", F.posexplode(T.lines(F.col("text"))).alias("p", "l"))
+    return rows.select("doc_id", (F.col("p") + 1).cast("long").alias("line"), X.typst_line(F.concat(F.lit("# "), "l")).alias("markup"))
 
 
 @query("x7_prompts", "SELECT p_partkey, 'subject: ' || p_name || '. style: ' || p_type AS prompt FROM part")
@@ -281,7 +281,7 @@ def x12(spark, root):
 
 @query("x13_title_lines")
 def x13(spark, root):
-    return docs(spark, root).select("doc_id", F.array_join(X.title_lines(F.left("text", F.lit(60)), 18), "|").alias("title"))
+    return table(spark, root, "part").select("p_partkey", F.array_join(X.title_lines(F.concat_ws(" ", "p_name", "p_brand", "p_type"), 18), "|").alias("title"))
 
 
 @query("x15_templates", "SELECT n_nationkey, printf('%s of region %d', n_name, n_regionkey) AS line FROM nation")

@@ -52,5 +52,5 @@ def _load() -> None:
         importlib.import_module(f"quillon.plans.{name}")
 
 
-MODULES = ("relational", "text", "audit", "knowledge")
+MODULES = ("relational", "text", "audit", "knowledge", "production")
 _load()

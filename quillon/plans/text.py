@@ -28,9 +28,9 @@ def c1(spark, root):
     return table(spark, root, "pages").select("page_id", T.clean_title(F.regexp_extract("html", "<title>(.*?)</title>", 1)).alias("title"))
 
 
-@query("c2_slug", f"SELECT doc_id, regexp_replace(regexp_replace({_ACC.format('left(text, 40)')}, '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM documents")
+@query("c2_slug", f"SELECT doc_id, regexp_replace(regexp_replace({_ACC.format('text')}, '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM documents")
 def c2(spark, root):
-    return docs(spark, root).select("doc_id", T.slug(F.left("text", F.lit(40))).alias("slug"))
+    return docs(spark, root).select("doc_id", T.slug(F.col("text")).alias("slug"))
 
 
 @query("c3_fold", f"SELECT doc_id, sha256({_ACC.format('text')}) AS h FROM documents")
@@ -90,9 +90,9 @@ def c14(spark, root):
     return table(spark, root, "conversations").select("conv_id", "turn", out.alias("o")).select("conv_id", "turn", "o.text", "o.n").withColumnRenamed("text", "fixed")
 
 
-@query("c16_query_terms", "SELECT item_id, array_to_string(list_sort(list_distinct(regexp_extract_all(lower(left(text, 60)), '[a-z0-9]+'))), ' OR ') AS terms FROM benchmark")
+@query("c16_query_terms", "SELECT item_id, array_to_string(list_sort(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))), ' OR ') AS terms FROM benchmark")
 def c16(spark, root):
-    return table(spark, root, "benchmark").select("item_id", F.array_join(F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower(F.left("text", F.lit(60))), F.lit("[a-z0-9]+"), F.lit(0)))), " OR ").alias("terms"))
+    return table(spark, root, "benchmark").select("item_id", F.array_join(F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0)))), " OR ").alias("terms"))
 
 
 @query("c17_snippet")
@@ -125,9 +125,9 @@ def h1(spark, root):
     return docs(spark, root).select("doc_id", F.sha2("text", 256).alias("h"))
 
 
-@query("h2_finding_id", "SELECT doc_id, 'REV-' || upper(left(sha1('rule|' || doc_id || '|' || lower(regexp_replace(trim(left(text, 50)), '\\s+', ' ', 'g'))), 10)) AS id FROM documents")
+@query("h2_finding_id", "SELECT doc_id, 'REV-' || upper(left(sha1('rule|' || doc_id || '|' || lower(regexp_replace(trim(text), '\\s+', ' ', 'g'))), 10)) AS id FROM documents")
 def h2(spark, root):
-    return docs(spark, root).select("doc_id", H.finding_id(F.lit("rule"), F.col("doc_id"), F.left("text", F.lit(50))).alias("id"))
+    return docs(spark, root).select("doc_id", H.finding_id(F.lit("rule"), F.col("doc_id"), F.col("text")).alias("id"))
 
 
 _LEN = "unhex(lpad(printf('%X', {0}), 16, '0'))"

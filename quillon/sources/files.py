@@ -31,7 +31,7 @@ def events(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def probe(spark: SparkSession, path: str) -> DataFrame:
-    """(path, sha256, n_lines, n_bytes) of every file."""
+    """(path, sha256, n_lines, n_bytes) of every file that isn't empty."""
     raw = spark.read.format("binaryFile").load(path)
     text = F.col("content").cast("string")
     n = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + F.when(text.endswith("\n") | (text == ""), 0).otherwise(1)
