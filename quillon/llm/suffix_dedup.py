@@ -17,6 +17,8 @@ windows have equal anchors, so they meet when text is dealt by anchor:
    on as their deputy, so a crowded passage is a row a task.
 3. An anchor with different pieces sends one of each to a task, which makes the
    transform of many anchors' pieces at a time and searches it.
+4. An anchor with very many different pieces (a passage of near copies) is not
+   sent: its pieces are cut again by longer anchors, and go through 1 to 3.
 
 Defined results: null text is no bytes; matches never cross documents; equal
 rows are documents of their own and repeat each other; documents under MIN bytes
@@ -26,6 +28,7 @@ are kept whole; an empty table gives an empty result; other columns aren't read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -37,26 +40,31 @@ from quillon.llm.textnp import _VALUE, blocks, mix, powers
 
 MIN = 200
 GRAM = 48
-#: Bytes whose transform is made at once; an anchor's pieces beyond that are dealt again by another hash.
+#: Bytes of the anchors that a crowded anchor's windows are dealt by again, level by level. Windows that differ
+#: within such a length no longer meet, and at MIN bytes only equal ones do.
+GRAMS = (GRAM, 112, 160, MIN)
+#: Different pieces from which on an anchor is crowded.
+CROWD = 2000
+#: Bytes whose transform is made at once.
 BATCH = 1 << 20
 #: Bytes of text whose pieces a task settles among themselves.
 SETTLE = 48 << 20
 #: A block's places fit in so many bits; longer texts are cut in segments.
 PLACE_BITS = 24
 SEGMENT = 8 << 20
-_BASES = (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
+_BASE = 0xC2B2AE3D27D4EB4F
 
 
 # --- pieces ---------------------------------------------------------------------------------
 
 
-def pieces(raw: np.ndarray, offs: np.ndarray, seed: int = 0, min_len: int = MIN, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+def pieces(raw: np.ndarray, offs: np.ndarray, gram: int = GRAM, min_len: int = MIN) -> tuple[np.ndarray, ...]:
     """(text, first window, end of windows, anchor, content hash) of every piece of a block; places count from the text's start."""
     n, wide = len(raw), min_len - gram + 1
     none = np.zeros(0, np.int64)
     if n < min_len:
         return none, none, none, none, none
-    base = _BASES[seed]
+    base = _BASE if gram == GRAM else _BASE + 2 * gram
     inverse = powers(pow(base, -1, 1 << 64), n + 1)
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(_VALUE[raw] * powers(base, n + 1)[:n], out=total[1:])
@@ -130,55 +138,75 @@ def _covered(d, lo, hi) -> pa.RecordBatch:
 
 
 def _settle(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
-    """Covered spans (kind 1) of pieces met twice, and one row a distinct piece (kind 0)."""
-    d, lo, hi, a, c = (np.concatenate(x) for x in zip(*held, strict=True))
+    """Covered spans (kind 1) of pieces met twice, and one row a distinct piece (kind 0; many: settled already)."""
+    d, lo, hi, a, c, many = (np.concatenate(x) for x in zip(*held, strict=True))
     order = np.lexsort((c, a))
-    d, lo, hi, a, c = d[order], lo[order], hi[order], a[order], c[order]
+    d, lo, hi, a, c, many = d[order], lo[order], hi[order], a[order], c[order], many[order]
     new = np.ones(len(a), bool)
     new[1:] = (a[1:] != a[:-1]) | (c[1:] != c[:-1])
     first = np.flatnonzero(new)
     size = np.diff(np.append(first, len(a)))
-    twice = np.repeat(size > 1, size)
+    some = np.logical_or.reduceat(many, first) | (size > 1)
+    twice = np.repeat(some, size)
     if twice.any():
         yield _covered(d[twice], lo[twice], hi[twice] + MIN - 1)
-    yield _rows(0, a[first], c[first], d[first], lo[first], hi[first], size > 1)
+    yield _rows(0, a[first], c[first], d[first], lo[first], hi[first], some)
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held, size = [], 0
-    for batch in batches:
-        key = batch.column(0).to_numpy(zero_copy_only=False)
-        for rows, begin, raw, offs in _segments(batch.column(1)):
-            text, lo, hi, a, c = pieces(raw, offs)
-            if len(text):
-                held.append((key[rows[text]], (lo + begin[text]).astype(np.int32), (hi + begin[text]).astype(np.int32), a, c))
-            size += len(raw)
-            if size > SETTLE and held:
-                yield from _settle(held)
-                held, size = [], 0
-    if held:
-        yield from _settle(held)
+def _cut(gram: int):
+    """Pieces of texts (key, offset, text, many) by anchors of ``gram`` bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            key, shift, many = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("d", "shift", "many"))
+            for rows, begin, raw, offs in _segments(batch.column("text")):
+                text, lo, hi, a, c = pieces(raw, offs, gram)
+                if len(text):
+                    row = rows[text]
+                    move = begin[text] + shift[row]
+                    held.append((key[row], (lo + move).astype(np.int32), (hi + move).astype(np.int32), a, c, many[row]))
+                size += len(raw)
+                if size > SETTLE and held:
+                    yield from _settle(held)
+                    held, size = [], 0
+        if held:
+            yield from _settle(held)
+
+    return run
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by anchor and content: covered spans of equal pieces (kind 1), and of anchors with several pieces each of them (kind 2; many: settled already)."""
+    """Of rows sorted by anchor and content: covered spans of equal pieces (kind 1), and of anchors with several pieces each of them (kind 2; many: settled already).
+
+    Between batches only the rows of the last piece are held, and of the last anchor
+    its first piece, which is sent once a second one turns up.
+    """
+    state: dict = {"a": None, "first": None}
 
     def settle(a, c, d, lo, hi, many):
-        new_a, new_c = np.ones(len(a), bool), np.ones(len(a), bool)
-        new_a[1:] = a[1:] != a[:-1]
-        new_c[1:] = new_a[1:] | (c[1:] != c[:-1])
-        cls = np.cumsum(new_c) - 1
-        count = np.bincount(cls, weights=1 + many)
-        twice = count >= 2
-        rows = twice[cls]
+        new = np.ones(len(a), bool)
+        new[1:] = (a[1:] != a[:-1]) | (c[1:] != c[:-1])
+        first = np.flatnonzero(new)
+        size = np.diff(np.append(first, len(a)))
+        twice = np.add.reduceat(1 + many.astype(np.int64), first) >= 2
+        rows = np.repeat(twice, size)
         if rows.any():
             yield _covered(d[rows], lo[rows], hi[rows] + MIN - 1)
-        first = np.flatnonzero(new_c)
-        group = (np.cumsum(new_a) - 1)[first]
-        mixed = np.bincount(group)[group] >= 2
-        at = first[mixed]
-        if len(at):
-            yield _rows(2, a[at], c[at], d[at], lo[at], hi[at], twice[mixed])
+        # One row a piece from here on; the anchor that was open goes in front if its first piece still waits.
+        part = [x[first] for x in (a, c, d, lo, hi)] + [twice]
+        if state["a"] == part[0][0] and state["first"] is not None:
+            part = [np.concatenate(([f], x)).astype(x.dtype) for f, x in zip(state["first"], part, strict=True)]
+        known = state["a"] == part[0][0] and state["first"] is None  # several pieces seen before
+        heads = np.flatnonzero(np.concatenate(([True], part[0][1:] != part[0][:-1])))
+        count = np.diff(np.append(heads, len(part[0])))
+        mixed = count >= 2
+        mixed[0] |= known
+        send = np.repeat(mixed, count)
+        if send.any():
+            yield _rows(2, *(x[send] for x in part))
+        state["a"] = part[0][-1]
+        state["first"] = None if mixed[-1] else [x[-1] for x in part]
 
     carry = None
     for batch in batches:
@@ -187,7 +215,8 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in ("a", "c", "d", "lo", "hi", "many")]
         if carry is not None:
             cols = [np.concatenate((x, y)) for x, y in zip(carry, cols, strict=True)]
-        last = int(np.searchsorted(cols[0], cols[0][-1], "left"))
+        change = np.flatnonzero((cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1]))
+        last = int(change[-1]) + 1 if len(change) else 0
         if last:
             yield from settle(*(x[:last] for x in cols))
         carry = [x[last:] for x in cols]
@@ -293,45 +322,17 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lo = np.concatenate(lo)
             yield _covered(np.concatenate(d), lo, lo + MIN)
 
-    def deal(group):
-        """A crowded anchor's pieces, cut again by the other hash and joined by that."""
-        parts: dict[int, list] = {}
-        for key, begin, many, body in group:
-            raw = np.frombuffer(body, np.uint8)
-            _, lo, hi, a, _ = pieces(raw, np.array([0, len(raw)]), 1)
-            for s, e, b in zip(lo.tolist(), hi.tolist(), a.tolist(), strict=True):
-                parts.setdefault(b, []).append((key, begin + s, many, body[s : e + MIN - 1]))
-        held, size = [], 0
-        for part in parts.values():
-            held += part
-            size += sum(len(x[3]) for x in part)
-            if size > BATCH:
-                yield from out(held)
-                held, size = [], 0
-        if held:
-            yield from out(held)
-
-    held, size, group, group_size, anchor = [], 0, [], 0, None
-
+    held, size, anchor = [], 0, None
     for batch in batches:
         for a, d, lo, many, body in zip(*(batch.column(k).to_pylist() for k in ("a", "d", "lo", "many", "body")), strict=True):
-            if a != anchor:
-                if group_size > BATCH:
-                    yield from deal(group)
-                else:
-                    held += group
-                    size += group_size
-                    if size > BATCH:
-                        yield from out(held)
-                        held, size = [], 0
-                group, group_size, anchor = [], 0, a
-            group.append((d, lo, many, body))
-            group_size += len(body)
-    if group_size > BATCH:
-        yield from deal(group)
-        group = []
-    if held or group:
-        yield from out(held + group)
+            if a != anchor and size > BATCH:  # an anchor's pieces stay together: at most CROWD of them
+                yield from out(held)
+                held, size = [], 0
+            anchor = a
+            held.append((d, lo, many, body))
+            size += len(body)
+    if held:
+        yield from out(held)
 
 
 # --- the operator ------------------------------------------------------------------------------------
@@ -339,16 +340,34 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def covered_spans(texts: DataFrame) -> DataFrame:
     """(d, lo, hi): spans of bytes to remove, by document key; they may overlap. ``texts``: d, text."""
-    cut = written(texts.mapInArrow(_cut, _ROW), "pieces")
-    met = cut.where("kind = 0").select("a", "c", "d", "lo", "hi", "many").repartition("a").sortWithinPartitions("a", "c").mapInArrow(_compare, _ROW)
-    met = written(met, "pieces-met")
-    wanted = met.where("kind = 2").groupBy("d").agg(F.collect_list(F.struct("a", "lo", "hi", "many")).alias("want"))
-    body = F.expr(f"substring(cast(text AS binary), lo + 1, hi - lo + {MIN - 1})")
-    fetched = texts.join(wanted, "d").select("d", "text", F.inline("want")).select("a", "d", "lo", "many", body.alias("body"))
-    searched = written(fetched.repartition("a").sortWithinPartitions("a").mapInArrow(_search, _ROW), "pieces-searched")
+    found: list[DataFrame] = []
+    source = texts.select("d", F.lit(0).alias("shift"), "text", F.lit(False).alias("many"))
+    for gram in GRAMS:
+        cut = written(source.mapInArrow(_cut(gram), _ROW), "pieces")
+        met = cut.where("kind = 0").select("a", "c", "d", "lo", "hi", "many").repartition("a").sortWithinPartitions("a", "c").mapInArrow(_compare, _ROW)
+        met = written(met, "pieces-met")
+        found += [cut, met]
+        differ = met.where("kind = 2")
+        crowded = written(differ.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CROWD).select("a"), "crowded")
+        some = gram < MIN and not crowded.isEmpty()
+        few = differ.join(crowded, "a", "left_anti") if some else differ
+        searched = _bodies(texts, few).repartition("a").sortWithinPartitions("a").mapInArrow(_search, _ROW)
+        found.append(written(searched, "pieces-searched"))
+        if not some:
+            break
+        # Pieces of crowded anchors are the next level's texts.
+        again = _bodies(texts, differ.join(crowded, "a", "left_semi"))
+        source = written(again.select("d", F.col("lo").alias("shift"), F.col("body").alias("text"), "many"), "pieces-crowded")
     release(texts.sparkSession)
-    parts = [x.where("kind = 1").select("d", "lo", "hi") for x in (cut, met, searched)]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    parts = [x.where("kind = 1").select("d", "lo", "hi") for x in found]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _bodies(texts: DataFrame, rows: DataFrame) -> DataFrame:
+    """(a, d, lo, many, body): the bytes of pieces, from the texts of the documents that they are in."""
+    wanted = rows.groupBy("d").agg(F.collect_list(F.struct("a", "lo", "hi", "many")).alias("want"))
+    body = F.expr(f"substring(cast(text AS binary), lo + 1, hi - lo + {MIN - 1})")
+    return texts.join(wanted, "d").select("d", "text", F.inline("want")).select("a", "d", "lo", "many", body.alias("body"))
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

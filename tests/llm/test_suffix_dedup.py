@@ -75,20 +75,30 @@ def test_pieces_partition_the_windows():
         assert sorted(zip(alone[1].tolist(), alone[3].tolist())) == sorted(zip(lo[text == k].tolist(), anchor[text == k].tolist()))
 
 
-def test_crowded_anchor_is_dealt_again(spark, monkeypatch):
-    """With tiny batches every anchor is crowded; the result is the same."""
-    rows = corpus()[:12]
+def test_crowded_anchors_are_cut_again(spark, monkeypatch):
+    """With few pieces enough to crowd an anchor every level is reached; the result is the same."""
+    rows = corpus()
+    monkeypatch.setattr(S, "CROWD", 1)
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    want = brute(rows)
+    assert Counter(map(tuple, S.digest(S.remove_repeats(df)).collect())) == brute(rows)
 
-    def tiny(batches, real=S._search):
-        import quillon.llm.suffix_dedup as m
 
-        m.BATCH = 300
-        return real(batches)
+@pytest.mark.parametrize("step", [1, 3, 1000])
+def test_comparing_is_the_same_over_any_batches(step):
+    import pyarrow as pa
 
-    monkeypatch.setattr(S, "_search", tiny)
-    assert Counter(map(tuple, S.digest(S.remove_repeats(df)).collect())) == want
+    rng = np.random.default_rng(5)
+    rows = sorted((int(rng.integers(0, 12)), int(rng.integers(0, 3)), k, bool(rng.random() < 0.1)) for k in range(60))
+    names = ["a", "c", "d", "lo", "hi", "many"]
+    table = pa.table([[r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows], pa.array([0] * 60, pa.int32()), pa.array([1] * 60, pa.int32()), [r[3] for r in rows]], names)
+    out = [r for b in S._compare(iter(table.to_batches(max_chunksize=step))) for r in b.to_pylist()]
+    classes = Counter()
+    for a, c, _, many in rows:
+        classes[a, c] += 1 + many
+    covered = {d for a, c, d, _ in rows if classes[a, c] > 1}
+    assert {r["d"] for r in out if r["kind"] == 1} == covered
+    several = {a for a, _ in classes if sum(x == a for x, _ in classes) > 1}
+    assert sorted((r["a"], r["c"], r["many"]) for r in out if r["kind"] == 2) == sorted((a, c, n > 1) for (a, c), n in classes.items() if a in several)
 
 
 def test_long_texts_in_segments(monkeypatch):
