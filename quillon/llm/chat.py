@@ -44,6 +44,8 @@ RELABEL, MERGE, INSERT = 2.0, 1.0, 1.5
 MERGE_EMPTY = 0.25
 #: Source turns of one chunk, by turn number.
 CHUNK = 64
+#: Rows from which on a chunk is cut further, by turn, role and the leading bits of the row's hash.
+CROWD = 1024
 TAIL = "<|end|>\n"
 B, S, U, A = range(4)
 _OF = {"system": S, "user": U, "assistant": A}
@@ -121,12 +123,16 @@ def best_path(turns: list[tuple[str | None, bool]], start: int, goal: int) -> li
     return out
 
 
-def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
-    """Rows (conv, chunk, role, empty, rid) of one chunk after the other."""
+#: What tells a chunk: the conversation, the turns, and where those are crowded a segment in the same order.
+KEYS = ("conv", "chunk", "seg")
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], cols: tuple[str, ...]) -> Iterator[list[tuple]]:
+    """Rows of one chunk after the other, each with the keys in front."""
     held: list[tuple] = []
     for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in ("conv", "chunk", "role", "empty", "rid")), strict=True):
-            if held and held[-1][:2] != row[:2]:
+        for row in zip(*(batch.column(c).to_pylist() for c in (*KEYS, *cols)), strict=True):
+            if held and held[-1][:3] != row[:3]:
                 yield held
                 held = []
             held.append(row)
@@ -134,16 +140,23 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
         yield held
 
 
+_SEG = pa.struct([("turn", pa.int64()), ("role", pa.string()), ("part", pa.int64())])
+_KEY_SCHEMA = "conv string, chunk long, seg struct<turn:bigint,role:string,part:bigint>"
+
+
+def _keys(rows: list[tuple]) -> list[pa.Array]:
+    return [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int64(), _SEG))]
+
+
 def _matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    conv, chunk, cost = [], [], []
-    for rows in _chunks(batches):
-        m = step(rows[0][2], rows[0][3])
+    done, cost = [], []
+    for rows in _chunks(batches, ("role", "empty")):
+        m = step(*rows[0][3:])
         for r in rows[1:]:
-            m = product(m, step(r[2], r[3]))
-        conv.append(rows[0][0])
-        chunk.append(rows[0][1])
+            m = product(m, step(*r[3:]))
+        done.append(rows[0])
         cost.append(np.minimum(m, 1e18).reshape(-1).tolist())
-    yield pa.RecordBatch.from_arrays([pa.array(conv, pa.string()), pa.array(chunk, pa.int64()), pa.array(cost, pa.list_(pa.float64()))], ["conv", "chunk", "cost"])
+    yield pa.RecordBatch.from_arrays([*_keys(done), pa.array(cost, pa.list_(pa.float64()))], [*KEYS, "cost"])
 
 
 def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,26 +166,25 @@ def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         value = np.full((len(held) + 1, 4), _FAR)
         value[-1] = [END[s] for s in range(4)]
         for k in range(len(held) - 1, -1, -1):
-            value[k] = (held[k][2] + value[k + 1][None]).min(axis=1)
+            value[k] = (held[k][3] + value[k + 1][None]).min(axis=1)
         at, out = B, []
-        for k, (conv, chunk, m) in enumerate(held):
+        for k, (*key, m) in enumerate(held):
             to = int(np.argmin(m[at] + value[k + 1]))
-            out.append((conv, chunk, at, to, k == len(held) - 1))
+            out.append((*key, at, to, k == len(held) - 1))
             at = to
         return out
 
     held, done = [], []
     for batch in batches:
-        for conv, chunk, cost in zip(*(batch.column(c).to_pylist() for c in ("conv", "chunk", "cost")), strict=True):
-            if held and held[-1][0] != conv:
+        for *key, cost in zip(*(batch.column(c).to_pylist() for c in (*KEYS, "cost")), strict=True):
+            if held and held[-1][0] != key[0]:
                 done += solve(held)
                 held = []
-            held.append((conv, chunk, np.array(cost).reshape(4, 4)))
+            held.append((*key, np.array(cost).reshape(4, 4)))
     if held:
         done += solve(held)
-    cols = list(zip(*done, strict=True)) or [()] * 5
-    kinds = (pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.bool_())
-    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["conv", "chunk", "enter", "leave", "last"])
+    rest = [pa.array([r[k] for r in done], t) for k, t in ((3, pa.int32()), (4, pa.int32()), (5, pa.bool_()))]
+    yield pa.RecordBatch.from_arrays([*_keys(done), *rest], [*KEYS, "enter", "leave", "last"])
 
 
 _NAME = {S: "system", U: "user", A: "assistant"}
@@ -184,26 +196,15 @@ _DECISION = "rid long, new_role string, action string, first boolean, before arr
 def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per source turn: its role, action, whether it is the first, and what is inserted before and after it."""
     out = ([], [], [], [], [], [])
-    held: list[tuple] = []
-
-    def flush():
-        enter, leave, last = held[0][5:]
-        moves = best_path([(r[2], r[3]) for r in held], enter, leave)
-        for k, (r, (start, to, taken, before)) in enumerate(zip(held, moves, strict=True)):
-            action = "merge" if taken is None else "keep" if _OF.get(r[2]) == taken else "relabel"
+    for rows in _chunks(batches, ("role", "empty", "rid", "enter", "leave", "last")):
+        enter, leave, last = rows[0][6:]
+        moves = best_path([r[3:5] for r in rows], enter, leave)
+        for k, (r, (start, to, taken, before)) in enumerate(zip(rows, moves, strict=True)):
+            action = "merge" if taken is None else "keep" if _OF.get(r[3]) == taken else "relabel"
             # Only the last turn is followed by insertions, which close an unanswered conversation.
-            end = [_NAME[b] for b in _LAST.get(leave, ())] if last and k == len(held) - 1 else None
-            for col, x in zip(out, (r[4], _NAME[to], action, start == B, [_NAME[b] for b in before], [] if end is None and last and k == len(held) - 1 else end), strict=True):
+            after = [_NAME[b] for b in _LAST.get(leave, ())] if last and k == len(rows) - 1 else None
+            for col, x in zip(out, (r[5], _NAME[to], action, start == B, [_NAME[b] for b in before], after), strict=True):
                 col.append(x)
-
-    for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in ("conv", "chunk", "role", "empty", "rid", "enter", "leave", "last")), strict=True):
-            if held and held[-1][:2] != row[:2]:
-                flush()
-                held.clear()
-            held.append(row)
-    if held:
-        flush()
     kinds = (pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.list_(pa.string()), pa.list_(pa.string()))
     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], ["rid", "new_role", "action", "first", "before", "after"])
 
@@ -217,10 +218,16 @@ def repair(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
     key = F.concat(F.when(F.col("conv_id").isNull(), "0").otherwise("1"), F.coalesce(F.col("conv_id").cast("string"), F.lit("")))
     chunk = F.coalesce(F.floor(F.col("turn") / CHUNK).cast("long"), F.lit(-(1 << 60)))
     narrow = base.select(key.alias("conv"), chunk.alias("chunk"), "turn", F.col("source_role").alias("role"), (F.trim("text") == "").alias("empty"), "rid").distinct()
-    order = ["conv", "chunk", "turn", "role", "rid"]
-    sums = narrow.repartition("conv", "chunk").sortWithinPartitions(*order).mapInArrow(_matrices, "conv string, chunk long, cost array<double>")
-    states = sums.repartition("conv").sortWithinPartitions("conv", "chunk").mapInArrow(_chain, "conv string, chunk long, enter int, leave int, last boolean")
-    solved = narrow.join(written(states, "chat-states"), ["conv", "chunk"]).repartition("conv", "chunk").sortWithinPartitions(*order)
+    crowded = narrow.groupBy("conv", "chunk").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CROWD)
+    crowd = F.col("n").isNotNull()
+    # Enough leading bits to leave half a crowd a segment, were all rows of one turn and role; shifts keep the order.
+    part = F.floor(F.col("rid") / F.pow(F.lit(2.0), 64 - F.ceil(F.log2(2.0 * F.coalesce("n", F.lit(1)) / CROWD)))).cast("long")
+    seg = F.struct(F.when(crowd, F.col("turn").cast("long")).alias("turn"), F.when(crowd, F.col("role")).alias("role"), F.when(crowd, part).alias("part"))
+    narrow = narrow.join(crowded, ["conv", "chunk"], "left").withColumn("seg", seg).drop("n")
+    order = [*KEYS, "turn", "role", "rid"]
+    sums = narrow.repartition(*KEYS).sortWithinPartitions(*order).mapInArrow(_matrices, f"{_KEY_SCHEMA}, cost array<double>")
+    states = sums.repartition("conv").sortWithinPartitions(*KEYS).mapInArrow(_chain, f"{_KEY_SCHEMA}, enter int, leave int, last boolean")
+    solved = narrow.join(written(states, "chat-states"), list(KEYS)).repartition(*KEYS).sortWithinPartitions(*order)
     return _render(base, solved.mapInArrow(_decide, _DECISION))
 
 

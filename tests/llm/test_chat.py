@@ -80,3 +80,26 @@ def test_conversations(spark):
         src = sorted({r[:4] for r in rows if r[0] == conv}, key=str)
         assert len([r for r in own if r.action != "insert"]) == len({(r[0], r[1], (r[2] or "").strip().lower() if r[2] is not None else None, r[3] or "") for r in src})
     assert not chat.repair(df.limit(0)).collect()
+
+
+def test_crowded_turns(spark, monkeypatch):
+    """Hundreds of rows of one turn are cut in segments; the repair costs the same as in one piece."""
+    rng = random.Random(2)
+    rows = [(1, turn, rng.choice(["user", "assistant", "system", None]), f"t{k}") for turn in (0, 1) for k in range(150)] + [(2, None, "user", f"n{k}") for k in range(90)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    order = lambda r: (r.conv_id, r.turn is not None, r.turn or 0, r.source_role or "", r.rid, r.part)
+
+    def cost(out, conv):
+        total = 0.0
+        for r in out:
+            if r.conv_id == conv:
+                total += {"insert": chat.INSERT, "relabel": chat.RELABEL, "keep": 0.0, "merge": chat.MERGE}[r.action] + (chat.RELABEL if r.action == "merge" and r.source_role != r.role else 0.0)
+        return total
+
+    whole = sorted(chat.repair(df).collect(), key=order)
+    monkeypatch.setattr(chat, "CROWD", 16)
+    cut = sorted(chat.repair(df).collect(), key=order)
+    for conv in (1, 2):
+        assert cost(cut, conv) == cost(whole, conv)
+        assert legal([r for r, _ in parse("".join(r.rendered for r in cut if r.conv_id == conv))])
+    assert len([r for r in cut if r.action != "insert"]) == len(rows)
