@@ -122,26 +122,26 @@ def _merge(d: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, n
     return d[at], lo[at], np.append(top[at[1:] - 1], top[-1])
 
 
-_ROW = "kind byte, a long, c long, d long, lo int, hi int, many boolean"
+#: d and src name the text that a piece is in: a document, or at later levels the piece of it that begins at src.
+_ROW = "kind byte, a long, c long, d long, src int, lo int, hi int, many boolean"
 
 
-def _rows(kind, a, c, d, lo, hi, many) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(np.full(len(d), kind, np.int8)), pa.array(a), pa.array(c), pa.array(d), pa.array(lo, pa.int32()), pa.array(hi, pa.int32()), pa.array(many)], ["kind", "a", "c", "d", "lo", "hi", "many"]
-    )
+def _rows(kind, a, c, d, src, lo, hi, many) -> pa.RecordBatch:
+    ints = [pa.array(x, pa.int32()) for x in (src, lo, hi)]
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(d), kind, np.int8)), pa.array(a), pa.array(c), pa.array(d), *ints, pa.array(many)], ["kind", "a", "c", "d", "src", "lo", "hi", "many"])
 
 
 def _covered(d, lo, hi) -> pa.RecordBatch:
     d, lo, hi = _merge(d, lo, hi)
     zero = np.zeros(len(d), np.int64)
-    return _rows(1, zero, zero, d, lo, hi, zero.astype(bool))
+    return _rows(1, zero, zero, d, zero, lo, hi, zero.astype(bool))
 
 
 def _settle(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
     """Covered spans (kind 1) of pieces met twice, and one row a distinct piece (kind 0; many: settled already)."""
-    d, lo, hi, a, c, many = (np.concatenate(x) for x in zip(*held, strict=True))
+    d, src, lo, hi, a, c, many = (np.concatenate(x) for x in zip(*held, strict=True))
     order = np.lexsort((c, a))
-    d, lo, hi, a, c, many = d[order], lo[order], hi[order], a[order], c[order], many[order]
+    d, src, lo, hi, a, c, many = (x[order] for x in (d, src, lo, hi, a, c, many))
     new = np.ones(len(a), bool)
     new[1:] = (a[1:] != a[:-1]) | (c[1:] != c[:-1])
     first = np.flatnonzero(new)
@@ -150,22 +150,22 @@ def _settle(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
     twice = np.repeat(some, size)
     if twice.any():
         yield _covered(d[twice], lo[twice], hi[twice] + MIN - 1)
-    yield _rows(0, a[first], c[first], d[first], lo[first], hi[first], some)
+    yield _rows(0, a[first], c[first], d[first], src[first], lo[first], hi[first], some)
 
 
 def _cut(gram: int):
-    """Pieces of texts (key, offset, text, many) by anchors of ``gram`` bytes."""
+    """Pieces of texts (d, src, text, many) by anchors of ``gram`` bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
-            key, shift, many = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("d", "shift", "many"))
+            key, src, many = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("d", "src", "many"))
             for rows, begin, raw, offs in _segments(batch.column("text")):
                 text, lo, hi, a, c = pieces(raw, offs, gram)
                 if len(text):
                     row = rows[text]
-                    move = begin[text] + shift[row]
-                    held.append((key[row], (lo + move).astype(np.int32), (hi + move).astype(np.int32), a, c, many[row]))
+                    move = begin[text] + src[row]
+                    held.append((key[row], src[row], (lo + move).astype(np.int32), (hi + move).astype(np.int32), a, c, many[row]))
                 size += len(raw)
                 if size > SETTLE and held:
                     yield from _settle(held)
@@ -184,7 +184,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """
     state: dict = {"a": None, "first": None}
 
-    def settle(a, c, d, lo, hi, many):
+    def settle(a, c, d, src, lo, hi, many):
         new = np.ones(len(a), bool)
         new[1:] = (a[1:] != a[:-1]) | (c[1:] != c[:-1])
         first = np.flatnonzero(new)
@@ -194,7 +194,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if rows.any():
             yield _covered(d[rows], lo[rows], hi[rows] + MIN - 1)
         # One row a piece from here on; the anchor that was open goes in front if its first piece still waits.
-        part = [x[first] for x in (a, c, d, lo, hi)] + [twice]
+        part = [x[first] for x in (a, c, d, src, lo, hi)] + [twice]
         if state["a"] == part[0][0] and state["first"] is not None:
             part = [np.concatenate(([f], x)).astype(x.dtype) for f, x in zip(state["first"], part, strict=True)]
         known = state["a"] == part[0][0] and state["first"] is None  # several pieces seen before
@@ -212,7 +212,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not len(batch):
             continue
-        cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in ("a", "c", "d", "lo", "hi", "many")]
+        cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in ("a", "c", "d", "src", "lo", "hi", "many")]
         if carry is not None:
             cols = [np.concatenate((x, y)) for x, y in zip(carry, cols, strict=True)]
         change = np.flatnonzero((cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1]))
@@ -341,35 +341,31 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def covered_spans(texts: DataFrame) -> DataFrame:
     """(d, lo, hi): spans of bytes to remove, by document key; they may overlap. ``texts``: d, text."""
     found: list[DataFrame] = []
-    source = texts.select("d", F.lit(0).alias("shift"), "text", F.lit(False).alias("many"))
+    source = texts.select("d", F.lit(0).alias("src"), "text", F.lit(False).alias("many"))
     for gram in GRAMS:
         cut = written(source.mapInArrow(_cut(gram), _ROW), "pieces")
-        met = cut.where("kind = 0").select("a", "c", "d", "lo", "hi", "many").repartition("a").sortWithinPartitions("a", "c").mapInArrow(_compare, _ROW)
+        met = cut.where("kind = 0").drop("kind").repartition("a").sortWithinPartitions("a", "c").mapInArrow(_compare, _ROW)
         met = written(met, "pieces-met")
-        found += [cut, met]
         differ = met.where("kind = 2")
         crowded = written(differ.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CROWD).select("a"), "crowded")
-        some = gram < MIN and not crowded.isEmpty()
-        few = differ.join(crowded, "a", "left_anti") if some else differ
-        searched = _bodies(texts, few).repartition("a").sortWithinPartitions("a").mapInArrow(_search, _ROW)
-        found.append(written(searched, "pieces-searched"))
-        if not some:
+        more = gram < MIN and not crowded.isEmpty()
+        # The bytes of the pieces: the texts meet them once a level, and later levels' texts are pieces themselves.
+        wanted = differ.groupBy("d", "src").agg(F.collect_list(F.struct("a", "lo", "hi", "many")).alias("want"))
+        body = F.expr(f"substring(cast(text AS binary), lo - src + 1, hi - lo + {MIN - 1})")
+        bodies = source.select("d", "src", "text").join(wanted, ["d", "src"]).select("d", "src", "text", F.inline("want")).select("a", "d", "lo", "many", body.alias("body"))
+        if more:
+            bodies = written(bodies, "bodies")
+        few = bodies.join(crowded, "a", "left_anti") if more else bodies
+        searched = written(few.repartition("a").sortWithinPartitions("a").mapInArrow(_search, _ROW), "pieces-searched")
+        found += [cut, met, searched]
+        if not more:
             break
-        # Pieces of crowded anchors are the next level's texts.
-        again = _bodies(texts, differ.join(crowded, "a", "left_semi"))
-        source = written(again.select("d", F.col("lo").alias("shift"), F.col("body").alias("text"), "many"), "pieces-crowded")
+        source = bodies.join(crowded, "a", "left_semi").select("d", F.col("lo").alias("src"), F.col("body").alias("text"), "many")
     release(texts.sparkSession)
     parts = [x.where("kind = 1").select("d", "lo", "hi") for x in found]
     return reduce(DataFrame.unionByName, parts)
 
 
-def _bodies(texts: DataFrame, rows: DataFrame) -> DataFrame:
-    """(a, d, lo, many, body): the bytes of pieces, from the texts of the documents that they are in."""
-    wanted = rows.groupBy("d").agg(F.collect_list(F.struct("a", "lo", "hi", "many")).alias("want"))
-    body = F.expr(f"substring(cast(text AS binary), lo + 1, hi - lo + {MIN - 1})")
-    return texts.join(wanted, "d").select("d", "text", F.inline("want")).select("a", "d", "lo", "many", body.alias("body"))
-
-
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         cols = ([], [], [], [])

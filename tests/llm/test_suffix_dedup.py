@@ -89,8 +89,8 @@ def test_comparing_is_the_same_over_any_batches(step):
 
     rng = np.random.default_rng(5)
     rows = sorted((int(rng.integers(0, 12)), int(rng.integers(0, 3)), k, bool(rng.random() < 0.1)) for k in range(60))
-    names = ["a", "c", "d", "lo", "hi", "many"]
-    table = pa.table([[r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows], pa.array([0] * 60, pa.int32()), pa.array([1] * 60, pa.int32()), [r[3] for r in rows]], names)
+    names = ["a", "c", "d", "src", "lo", "hi", "many"]
+    table = pa.table([[r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows], pa.array([0] * 60, pa.int32()), pa.array([0] * 60, pa.int32()), pa.array([1] * 60, pa.int32()), [r[3] for r in rows]], names)
     out = [r for b in S._compare(iter(table.to_batches(max_chunksize=step))) for r in b.to_pylist()]
     classes = Counter()
     for a, c, _, many in rows:
