@@ -127,12 +127,37 @@ def _runs(key: np.ndarray) -> np.ndarray:
     return np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)])) if len(key) else np.zeros(1, np.int64)
 
 
-#: Bytes kept of a token where it is dealt by its highest bits: 56 bits plus those.
+#: Bytes kept of a token where it is dealt by its highest bits: 48 bits plus those.
 LOW = 6
 
 
+def slots(n: int) -> np.ndarray:
+    """For each of ``n`` parts a number that Spark's hash partitioning puts in that partition of n.
+
+    Dealt by the plain part numbers, some partitions would get several parts and
+    others none. Spark hashes an int column with 32-bit Murmur3, seed 42.
+    """
+    out, start = np.full(n, -1, np.int64), 0
+    turn = lambda x, r: (x << np.uint32(r)) | (x >> np.uint32(32 - r))
+    while (out < 0).any():
+        value = np.arange(start, start + 8 * n, dtype=np.uint32)
+        start += 8 * n
+        k = turn(value * np.uint32(0xCC9E2D51), 15) * np.uint32(0x1B873593)
+        h = turn(np.uint32(42) ^ k, 13) * np.uint32(5) + np.uint32(0xE6546B64)
+        h ^= np.uint32(4)
+        h = (h ^ (h >> np.uint32(16))) * np.uint32(0x85EBCA6B)
+        h = (h ^ (h >> np.uint32(13))) * np.uint32(0xC2B2AE35)
+        h ^= h >> np.uint32(16)
+        at = h.view(np.int32).astype(np.int64) % n
+        first = np.unique(at, return_index=True)
+        fresh = out[first[0]] < 0
+        out[first[0][fresh]] = value[first[1][fresh]]
+    return out.astype(np.int32)
+
+
 def _deal_tokens(parts_log2: int):
-    """(p, data): every set's tokens, dealt by their highest bits. Sets met before in the task are left out."""
+    """(slot, p, data): every set's tokens, dealt by their highest bits. Sets met before in the task are left out."""
+    slot = slots(1 << parts_log2)
 
     def flush(sig, n, run, tok):
         owner = np.repeat(np.arange(len(sig)), run)
@@ -146,7 +171,7 @@ def _deal_tokens(parts_log2: int):
             who = owner[a:b][own[:-1]]
             rows.append(int(p[a]))
             data.append(pack(sig[who], n[who], np.diff(own), tok[a:b], LOW))
-        return pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), pa.array(data, pa.binary())], ["p", "data"])
+        return pa.RecordBatch.from_arrays([pa.array(slot[rows]), pa.array(rows, pa.int32()), pa.array(data, pa.binary())], ["slot", "p", "data"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -169,6 +194,7 @@ def _deal_tokens(parts_log2: int):
 
 def _count_shared(parts_log2: int, set_parts: int):
     """Of the tokens of a part: those of several sets, dealt by set, with their count."""
+    slot = slots(set_parts)
 
     def out(tok, sig, n, count):
         q = (sig.view(np.uint64) % np.uint64(set_parts)).astype(np.int64)
@@ -180,7 +206,7 @@ def _count_shared(parts_log2: int, set_parts: int):
             own = _runs(sig[a:b])[:-1]
             rows.append(int(q[a]))
             data.append(pack(sig[a:b][own], n[a:b][own], np.diff(np.append(own, b - a)), tok[a:b], 8, count[a:b]))
-        return pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), pa.array(data, pa.binary())], ["q", "data"])
+        return pa.RecordBatch.from_arrays([pa.array(slot[rows]), pa.array(data, pa.binary())], ["slot", "data"])
 
     def settle(held, final):
         """Tokens known to be frequent leave at once, so that memory doesn't grow with a hot one."""
@@ -523,9 +549,9 @@ def sets_and_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     n_rows, n_tokens = info.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     # A part holds about a million tokens, and the set parts as many.
     parts_log2 = max(6, (int(n_tokens) >> 20).bit_length())
-    dealt = texts.select("text").mapInArrow(_deal_tokens(parts_log2), "p int, data binary")
-    shared = dealt.repartition(1 << parts_log2, "p").mapInArrow(_count_shared(parts_log2, 1 << parts_log2), "q int, data binary")
-    cands = shared.repartition(1 << parts_log2, "q").mapInArrow(_candidates, "sig long, n int, seed long, toks binary, pref binary")
+    dealt = texts.select("text").mapInArrow(_deal_tokens(parts_log2), "slot int, p int, data binary")
+    shared = dealt.repartition(1 << parts_log2, "slot").mapInArrow(_count_shared(parts_log2, 1 << parts_log2), "slot int, data binary")
+    cands = shared.repartition(1 << parts_log2, "slot").mapInArrow(_candidates, "sig long, n int, seed long, toks binary, pref binary")
     cands = written(cands, "candidates")
     release(spark)
     root = _links(cands)

@@ -60,7 +60,19 @@ def op9(spark: SparkSession, root: str) -> DataFrame:
     return decontaminate.digest(decontaminate.contamination(table(spark, root, "documents"), table(spark, root, "benchmark")))
 
 
-@query("op3_ngram_jaccard_join")
+@query(
+    "op3_ngram_jaccard_join",
+    """
+    WITH RECURSIVE w AS (
+      SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+    s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    i AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+    l AS (SELECT x, y FROM i JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * i >= 80 * (a.n + b.n - i)),
+    r AS (SELECT doc_id, doc_id AS z FROM documents UNION SELECT r.doc_id, l.y FROM r JOIN l ON l.x = r.z)
+    SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(z) AS component_id FROM r GROUP BY doc_id) c USING (doc_id)
+    """,
+)
 def op3(spark: SparkSession, root: str) -> DataFrame:
     return ngram_join.sets_and_components(table(spark, root, "documents")).drop("set_name")
 

@@ -88,3 +88,12 @@ def test_traversal_finds_all_links():
             if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
                 up[up == up[a]] = up[b]
     assert len({(x, y) for x, y in zip(group.tolist(), up.tolist())}) == len(set(up.tolist())) == len(set(group.tolist()))
+
+
+def test_slots_are_spark_partitions(spark):
+    from pyspark.sql import functions as F
+
+    for n in (64, 128):
+        df = spark.createDataFrame([(int(x),) for x in ngram_join.slots(n)], "slot int")
+        got = df.repartition(n, "slot").select("slot", F.spark_partition_id().alias("p")).collect()
+        assert {r.slot: r.p for r in got} == {int(x): k for k, x in enumerate(ngram_join.slots(n))}
