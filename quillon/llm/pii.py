@@ -4,13 +4,17 @@ Exact patterns give the base spans (email, ip, card, phone). Wider generators
 propose overlapping candidate spans of each kind. Boosted depth-two trees score
 a candidate by yes/no features of its format and context, none of which checks
 what the exact patterns check last (Luhn sum, number ranges). They learn from
-the corpus itself: a candidate that overlaps a base span of its kind is a
-positive. All candidates enter, as counts by kind and feature mask, which are at
-most 4 * 2**14 rows whatever the input; the trees are grown on those counts and
-become one SQL expression. Per kind, the threshold is the lowest score from
-which on candidates are right in at least ``PRECISION`` of cases; candidates
-above it that touch no base span of their kind are added; of overlapping ones the
-best-scored.
+the corpus itself, by labels that don't need a base span (``label``): a candidate
+is a positive if it overlaps a base span of its kind, passes the kind's last check
+by itself (a card in any separators or with digits after it), reads as an email
+once (at) and [dot] are put back, or is a national phone format after a word such
+as "call". Phone formats without such a word, and candidates that run on over a
+good core, speak neither for nor against. All other candidates are negatives. They
+enter as counts by kind and feature mask, at most 4 * 2**18 rows whatever the
+input; the trees are grown on those counts and become one SQL expression. Per kind
+and format (``FORMS``), the threshold is the lowest score from which on labelled
+candidates are right in at least ``PRECISION`` of cases; candidates above it that
+touch no base span of their kind are added; of overlapping ones the best-scored.
 
 Matching is leftmost and non-overlapping per kind; positions are in code points,
 ends exclusive. Possessive repeats and left boundaries make each pattern linear
@@ -38,16 +42,24 @@ BASE = {
 }
 #: The generators: whatever might be of the kind, and its usual formats by themselves. An exact
 #: pattern runs on into digits that follow and then fails; a format finds what it should have been.
+_AT, _DOT = r"[(\[](?i:at)[)\]]", r"[(\[](?i:dot)[)\]]"
+_CARD = r"[0-9]{4}(SEP)(?:[0-9]{4}\1[0-9]{4}\1[0-9]{4}|[0-9]{6}\1[0-9]{5})"
+_NATIONAL = r"\(?[0-9]{3}\)?[\x20.-]{1,2}[0-9]{3}[\x20.-][0-9]{4}"
+_TRUNK = r"\(?0[1-9][0-9]{1,4}\)?[\x20/-]{1,3}[0-9]{3,4}[\x20-]?[0-9]{3,4}"
+_ABROAD = r"00[1-9][0-9]{0,2}\x20?\(?[0-9]{2,4}\)?[\x20-][0-9]{3,4}[\x20-]?[0-9]{3,4}"
 WIDE = {
-    "email": (r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++[\x20]?(?:@|\(at\)|\[at\])[\x20]?[A-Za-z0-9-]++(?:(?:\.|\[dot\])[A-Za-z0-9-]++)*+",),
+    "email": (rf"(?:\G|(?<![A-Za-z0-9._%+-])(?<!(?i:dot)[)\]]))[A-Za-z0-9._%+-]++(?:{_DOT}[A-Za-z0-9._%+-]++)*+[\x20]?(?:@|{_AT})[\x20]?[A-Za-z0-9-]++(?:(?:\.|\x20?{_DOT}\x20?)[A-Za-z0-9-]++)*+",),
     "ip": (r"(?:\G|(?<![0-9.]))[0-9]++(?:\.[0-9]++)++", r"(?<![0-9.])[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}(?!\.?[0-9])"),
-    "card": (r"(?:\G|(?<![0-9]))[0-9](?:[\x20._/-]?[0-9]){7,}+", r"(?<![0-9])[0-9]{4}([\x20-]?)[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?![0-9])"),
-    "phone": (r"(?:\+|\b00|\()?[0-9](?:[\x20()./-]{0,2}[0-9]){6,}+", r"\+[0-9]{1,3}\x20?\(?[0-9]{2,4}\)?[\x20-][0-9]{3}-[0-9]{4}(?![0-9])"),
+    "card": (r"(?:\G|(?<![0-9]))[0-9](?:[\x20._/-]?[0-9]){7,}+", rf"(?<![0-9]){_CARD.replace('SEP', '[\x20._/-]?')}(?![0-9])"),
+    "phone": (
+        r"(?:\+|\b00|\()?[0-9](?:[\x20()./-]{0,2}[0-9]){6,}+",
+        r"\+[0-9]{1,3}\x20?\(?[0-9]{2,4}\)?[\x20-][0-9]{3}-[0-9]{4}(?![0-9])",
+        rf"(?<![0-9+.(])(?<![0-9)][\x20.-])(?:{_NATIONAL}|{_TRUNK}|{_ABROAD})(?![0-9])",
+    ),
 }
 #: What a text needs for a kind to be looked for at all.
-NEEDS = {"email": r"@|\(at\)|\[at\]", "ip": r"[0-9]\.[0-9]", "card": r"[0-9]", "phone": r"[0-9]"}
-#: Share of base spans among candidates that a threshold asks for. The labels are weak: where digits follow, the
-#: exact pattern runs on and fails, so some 2.5 % of true cards count as wrong.
+NEEDS = {"email": rf"@|{_AT}", "ip": r"[0-9]\.[0-9]", "card": r"[0-9]", "phone": r"[0-9]"}
+#: Share of positives among labelled candidates that a threshold asks for.
 PRECISION = 0.95
 #: Candidates of a score that must speak for it at least.
 SUPPORT = 20
@@ -55,7 +67,7 @@ ROUNDS, SHRINK = 25, 0.3
 
 
 def spans(text: Column, pattern: str, needs: str | None = None) -> Column:
-    """array<struct<start, end, m, before, after>>: all matches, with up to 12 characters before and 1 after."""
+    """array<struct<start, end, m, before, after>>: all matches, with up to 24 characters before and 1 after."""
     pieces, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
     def walk(pieces: Column, hits: Column) -> Column:
@@ -65,7 +77,7 @@ def spans(text: Column, pattern: str, needs: str | None = None) -> Column:
             piece, m = F.get(pieces, i), F.get(hits, i)
             start = acc["pos"] + F.length(piece)
             end = start + F.length(m)
-            one = F.struct(start.alias("start"), end.alias("end"), m.alias("m"), F.right(piece, F.lit(12)).alias("before"), F.left(F.get(pieces, i + 1), F.lit(1)).alias("after"))
+            one = F.struct(start.alias("start"), end.alias("end"), m.alias("m"), F.right(piece, F.lit(24)).alias("before"), F.left(F.get(pieces, i + 1), F.lit(1)).alias("after"))
             return F.struct(end.alias("pos"), F.array_append(acc["out"], one).alias("out"))
 
         index = F.when(F.size(hits) > 0, F.sequence(F.lit(0), F.size(hits) - 1)).otherwise(F.array().cast("array<int>"))
@@ -109,22 +121,48 @@ FEATURES: tuple[Callable[[Column], Column], ...] = (
     lambda s: s["m"].rlike("^[^.]+(?:\\.[^.]+){3}$"),
     lambda s: s["m"].rlike(r"^[0-9]{4}([\x20-]?)[0-9]{4}\1[0-9]{4}\1[0-9]{4}$"),
     lambda s: s["m"].rlike(r"^\+[0-9]{1,3}\x20?\(?[0-9]{2,4}\)?[\x20-][0-9]{3}-[0-9]{4}$"),
-    lambda s: s["m"].rlike("@[^\\x20]*\\.[A-Za-z]{2,}$"),
-    lambda s: s["m"].rlike("\\x20@|@\\x20|at\\)|at\\]|dot\\]"),
+    lambda s: s["m"].rlike(rf"(?:\.|{_DOT}\x20?)[A-Za-z]{{2,}}$"),
+    lambda s: s["m"].rlike(rf"\x20@|@\x20|{_AT}|{_DOT}"),
     lambda s: (s["before"] == "") | s["before"].rlike("[\\s:;,(\"'<]$"),
     lambda s: (s["after"] == "") | s["after"].rlike("^[\\s.,;:!?)\"'>]"),
+    lambda s: s["m"].rlike(rf"{_AT}|{_DOT}"),
+    lambda s: s["m"].rlike(f"^{_CARD.replace('SEP', '[._/]')}$"),
+    lambda s: s["m"].rlike(f"^(?:{_NATIONAL}|{_TRUNK})$"),
+    lambda s: s["m"].rlike(f"^{_ABROAD}$"),
 )
+#: The bits of FEATURES that tell a format: separate ones are calibrated by themselves.
+FORMS = sum(1 << bit for bit in (7, 8, 9, 11, 14, 15, 16, 17))
+_PHONE_WORD = r"(?i)(?<![a-z])(?:(?:tele|cell)?phone|tel|telefon|tél|call|dial|ring|fax|mobile|cell|móvil|llame|appel|ruf|handy|whatsapp|sms)[a-zéó]*\.?(?:\x20(?:us|me|at|on|no|nr|number|now|an|unter|au|al))*[.:\x20(]*$"
+_OTHER_WORD = r"(?i)(?<![a-z])(?:order|invoice|id|isbn|item|ref|reference|serial|account|ticket|part|no|nr|bestellung|rechnung|facture|pedido)\.?[\x20:#.]*$"
+
+
+def label(s: Column, kind: str, known: Column) -> Column:
+    """1: right, 0: wrong, null: speaks neither for nor against."""
+    m = s["m"]
+    if kind == "email":
+        plain = F.regexp_replace(F.regexp_replace(m, rf"\x20?(?:@|{_AT})\x20?", "@"), rf"\x20?{_DOT}\x20?", ".")
+        return F.when(known | plain.rlike(r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.(?:[a-z]{2,}|[A-Z]{2,})$"), 1).otherwise(0)
+    if kind == "ip":
+        return F.when(known | VALID["ip"](m), 1).otherwise(0)
+    if kind == "card":
+        core = F.exists(F.regexp_extract_all(m, F.lit(rf"(?<![0-9]){_CARD.replace('SEP', '[\x20._/-]?')}(?![0-9])"), F.lit(0)), VALID["card"])
+        return F.when(known | VALID["card"](m), 1).when(~core, 0)
+    core = m.rlike(WIDE["phone"][1]) | m.rlike(WIDE["phone"][2])
+    shaped = m.rlike(f"^(?:{_NATIONAL}|{_TRUNK}|{_ABROAD})$")
+    other = s["before"].rlike(_OTHER_WORD)
+    good = F.length(F.regexp_replace(digits(m), "^00", "")).between(9, 15)
+    return F.when(known | (m.startswith("+") & good) | (shaped & good & s["before"].rlike(_PHONE_WORD)), 1).when(other | ~core, 0)
 
 
 def candidates(text: Column, kind: str, base: Column) -> Column:
-    """array<struct<start, end, mask, known>>: candidates with their features, and whether they overlap a base span."""
+    """array<struct<start, end, mask, known, label>>: candidates with their features, whether they overlap a base span, and their labels."""
 
     def one(s: Column) -> Column:
         mask = F.lit(0)
         for bit, feature in enumerate(FEATURES):
             mask = mask + F.when(feature(s), 1 << bit).otherwise(0)
         known = F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-        return F.struct(s["start"].alias("start"), s["end"].alias("end"), mask.alias("mask"), known.alias("known"))
+        return F.struct(s["start"].alias("start"), s["end"].alias("end"), mask.alias("mask"), known.alias("known"), label(s, kind, known).alias("label"))
 
     return F.array_distinct(F.concat(*[F.transform(spans(text, pattern, NEEDS[kind]), one) for pattern in WIDE[kind]]))
 
@@ -199,27 +237,37 @@ def score(trees: list, mask: Column) -> Column:
     return total
 
 
-def fit(docs: DataFrame, text_col: str = "text") -> dict[str, tuple[list, float]]:
-    """Per kind its trees and threshold, from the candidates of all documents."""
+def bars(trees: list, counts: list[tuple[int, int, int]]) -> dict[int, float]:
+    """Threshold by format, where there is one."""
+    found = {form: threshold(trees, [c for c in counts if c[0] & FORMS == form]) for form in sorted({m & FORMS for m, _, _ in counts})}
+    return {form: bar for form, bar in found.items() if math.isfinite(bar)}
+
+
+#: Per kind its trees, and its threshold or thresholds by format.
+Fitted = dict[str, tuple[list, float | dict[int, float]]]
+
+
+def fit(docs: DataFrame, text_col: str = "text") -> Fitted:
+    """Per kind its trees and thresholds by format, from the labelled candidates of all documents."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(text.alias("t")).where(F.col("t").rlike("|".join(dict.fromkeys(NEEDS.values()))))
     rows = rows.withColumns({f"b_{k}": base_spans(F.col("t"), k) for k in KINDS})
     found = F.flatten(F.array(*[_tag(candidates(F.col("t"), k, F.col(f"b_{k}")), k) for k in KINDS]))
-    counts = rows.select(F.inline(found)).groupBy("kind", "mask").agg(F.count(F.lit(1)).alias("n"), F.count_if("known").alias("pos"))
-    got = sorted(tuple(r) for r in counts.collect())  # at most 4 * 2**14 rows
+    counts = rows.select(F.inline(found)).where("label is not null").groupBy("kind", "mask").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("pos"))
+    got = sorted(tuple(r) for r in counts.collect())  # at most 4 * 2**18 rows
     out = {}
     for kind in KINDS:
         own = [(m, n, p) for k, m, n, p in got if k == kind]
         trees = boost(own)
-        out[kind] = (trees, threshold(trees, own))
+        out[kind] = (trees, bars(trees, own))
     return out
 
 
 def _tag(found: Column, kind: str) -> Column:
-    return F.transform(found, lambda c: F.struct(F.lit(kind).alias("kind"), c["mask"].alias("mask"), c["known"].alias("known")))
+    return F.transform(found, lambda c: F.struct(F.lit(kind).alias("kind"), c["mask"].alias("mask"), c["label"].alias("label")))
 
 
-def find(docs: DataFrame, model: dict[str, tuple[list, float]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find(docs: DataFrame, model: Fitted, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per input row: doc_id, text, and arrays base and spans of struct<start, kind (its place in KINDS), end>, sorted."""
     out = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     out = out.withColumns({f"b_{k}": base_spans(F.col("text"), k) for k in KINDS})
@@ -228,17 +276,25 @@ def find(docs: DataFrame, model: dict[str, tuple[list, float]], id_col: str = "d
         place = F.lit(KINDS.index(kind))
         return F.transform(spans_, lambda s: F.struct(s["start"].alias("start"), place.alias("kind"), s["end"].alias("end")))
 
+    def above(c: Column, bar: float | dict[int, float]) -> Column:
+        if not isinstance(bar, dict):
+            return c["score"] >= bar - 1e-6
+        good = F.lit(False)
+        for form, least in bar.items():
+            good = good | ((c["form"] == form) & (c["score"] >= least - 1e-6))
+        return good
+
     def added(kind: str) -> Column:
         trees, bar = model[kind]
-        rated = F.transform(F.filter(candidates(F.col("text"), kind, F.col(f"b_{kind}")), lambda c: ~c["known"]), lambda c: F.struct(score(trees, c["mask"]).alias("score"), c["start"].alias("start"), c["end"].alias("end")))
-        good = F.filter(rated, lambda c: c["score"] >= bar - 1e-6)
+        rated = F.transform(F.filter(candidates(F.col("text"), kind, F.col(f"b_{kind}")), lambda c: ~c["known"]), lambda c: F.struct(score(trees, c["mask"]).alias("score"), c["mask"].bitwiseAND(F.lit(FORMS)).alias("form"), c["start"].alias("start"), c["end"].alias("end")))
+        good = F.filter(rated, lambda c: above(c, bar))
         # Of candidates that overlap, the best one stays; of equal ones the first, then the shorter.
         better = lambda o, c: (o["score"] > c["score"]) | ((o["score"] == c["score"]) & ((o["start"] < c["start"]) | ((o["start"] == c["start"]) & (o["end"] < c["end"]))))
         best = F.transform(F.array(good), lambda g: F.filter(g, lambda c: ~F.exists(g, lambda o: (o["start"] < c["end"]) & (c["start"] < o["end"]) & better(o, c))))
-        return plain(F.flatten(best), kind)
+        return F.array_distinct(plain(F.flatten(best), kind))
 
     base = F.flatten(F.array(*[plain(F.col(f"b_{k}"), k) for k in KINDS]))
-    extra = [added(k) for k in KINDS if math.isfinite(model[k][1])]
+    extra = [added(k) for k in KINDS if (bool(bar) if isinstance(bar := model[k][1], dict) else math.isfinite(bar))]
     out = out.withColumn("base", F.array_sort(base))
     return out.select("doc_id", "text", "base", F.array_sort(F.concat("base", *extra)).alias("spans"))
 

@@ -71,3 +71,45 @@ def test_added_spans_and_redaction(spark):
     assert got[99] == "phone:5:21" and got[7] == "phone:5:22"
     text = {r.doc_id: r.text for r in pii.redact(found).collect()}
     assert text[99] == "call [PHONE] now" and text[3] == "call [PHONE] now"
+
+
+def card(k):
+    d = f"4539{k:011d}"
+    return next(d + c for c in "0123456789" if luhn(d + c))
+
+
+def test_formats_that_no_base_span_has(spark):
+    """National phones, obfuscated emails and cards in other separators or with digits after them are learnt and found; order numbers and failing cards aren't."""
+    parts = lambda k, sep: sep.join(re.findall("....", card(k)))
+    make = [
+        lambda k: ("call ", f"(415) 555-{k:04d}", " now", "phone"), lambda k: ("tel: ", f"0044 20 7946 {k:04d}", "; bye", "phone"),
+        lambda k: ("write ", f"jo{k} (at) host[dot]com", " soon", "email"), lambda k: ("write ", f"jo{k} @ host.com", " soon", "email"),
+        lambda k: ("pay ", parts(k, "."), " now", "card"), lambda k: ("pay ", parts(k, "/"), " now", "card"), lambda k: ("pay ", parts(k, "_"), " now", "card"),
+        lambda k: ("pay ", parts(k, " "), " 123 at once", "card"),
+    ]
+    rows, want = [], {}
+    for k in range(40):
+        for j, f in enumerate(make):
+            lead, m, tail, kind = f(k + 40 * j)
+            want[len(rows)] = (kind, len(lead), len(lead) + len(m))
+            rows.append((len(rows), lead + m + tail))
+    for k in range(30):
+        want[len(rows)] = ("phone", 3, 17)  # no word before it
+        rows.append((len(rows), f"at (650) 555-{k:04d} or so"))
+    clean = [f"order {10000000 + 7919 * k} of {k}" for k in range(40)] + [f"see you @ noon{k}" for k in range(40)] + [f"ratio {k}.{k + 1}.{k + 2} 12345678" for k in range(40)]
+    rows += [(1000 + k, t) for k, t in enumerate(clean)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    model = pii.fit(df)
+    got = {r.doc_id: r.spans for r in pii.digest(pii.find(df, model)).collect()}
+    missed = [(rows[d][1], got[d]) for d, (kind, s, e) in want.items() if f"{kind}:{s}:{e}" not in got[d].split(",")]
+    # Digits after a card may by chance make a longer base span of it.
+    assert len(missed) <= 8 and all(" 123 at" in t and g.startswith("card:4:") for t, g in missed), (len(missed), len(want), missed[:9])
+    assert not any(got[1000 + k] for k in range(len(clean))), [(t, got[1000 + k]) for k, t in enumerate(clean) if got[1000 + k]][:9]
+
+
+def test_a_format_whose_candidates_are_mostly_wrong_stays_out(spark):
+    """The same shape after words for other numbers gets no threshold, nor do sixteen digits without a Luhn sum."""
+    rows = [(k, f"order no. (415) 555-{k:04d} now") for k in range(60)] + [(100 + k, f"call (415) 555-{k:04d} now") for k in range(20)]
+    rows += [(200 + k, f"pay 4000.0000.{k:04d}.{7 * k:04d} now") for k in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert not any("phone" in r.spans or "card" in r.spans for r in pii.digest(pii.find(df, pii.fit(df))).collect())
