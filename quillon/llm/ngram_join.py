@@ -25,6 +25,10 @@ already. Trees are built per task from rows that share a token:
    range, and each larger node is traversed against its partners. So no link is
    lost; pairs within a component are not listed.
 
+``links`` lists every link between distinct sets: step 4 over the candidates of
+step 2 with each set as its own component, by a traversal that skips no pair.
+Its rows grow with the square of a group of near copies, as the links do.
+
 Defined results: a text of fewer than five words has one shingle, the whole
 sequence; null, empty and blank texts have none and link with nothing, not even
 each other; repeated rows and equal ids each get a row; null ids take part in
@@ -318,11 +322,15 @@ def possible(a: tuple, i: np.ndarray, b: tuple, j: np.ndarray) -> np.ndarray:
     return fit
 
 
-def linked(ta: np.ndarray, na: int, tb: np.ndarray, nb: int) -> bool:
-    """Exact test on the sets' shared tokens and full sizes."""
+def overlap(ta: np.ndarray, tb: np.ndarray) -> int:
     both = np.concatenate((ta, tb))
     both.sort()
-    inter = int((both[1:] == both[:-1]).sum())
+    return int((both[1:] == both[:-1]).sum())
+
+
+def linked(ta: np.ndarray, na: int, tb: np.ndarray, nb: int) -> bool:
+    """Exact test on the sets' shared tokens and full sizes."""
+    inter = overlap(ta, tb)
     return NUM * inter >= DEN * (na + nb - inter)
 
 
@@ -332,12 +340,8 @@ def _down(i: np.ndarray, j: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarr
     return kids[there], np.repeat(j, FANOUT)[there]
 
 
-def traverse(x: Tree, y: Tree, group_x: np.ndarray, group_y: np.ndarray) -> list[tuple[int, int]]:
-    """Links (larger name, smaller name) between sets not connected yet, by dual traversal.
-
-    ``x`` and ``y`` may be one tree. The group arrays number what is connected,
-    by place in the tree, and are updated; pairs within a group are not tried.
-    """
+def leaf_pairs(x: Tree, y: Tree) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the sets of ``x`` and of ``y`` that could link, by dual traversal; in one tree the first is at most the second."""
     i, j = np.zeros(1, np.int64), np.zeros(1, np.int64)
     lx, ly = len(x.levels) - 1, len(y.levels) - 1
     while len(i):
@@ -354,6 +358,16 @@ def traverse(x: Tree, y: Tree, group_x: np.ndarray, group_y: np.ndarray) -> list
         if x is y and lx == ly:
             keep = i <= j
             i, j = i[keep], j[keep]
+    return i, j
+
+
+def traverse(x: Tree, y: Tree, group_x: np.ndarray, group_y: np.ndarray) -> list[tuple[int, int]]:
+    """Links (larger name, smaller name) between sets not connected yet, by dual traversal.
+
+    ``x`` and ``y`` may be one tree. The group arrays number what is connected,
+    by place in the tree, and are updated; pairs within a group are not tried.
+    """
+    i, j = leaf_pairs(x, y)
     edges = []
     for s in range(0, len(i), 4096):
         a, b = i[s : s + 4096], j[s : s + 4096]
@@ -368,6 +382,20 @@ def traverse(x: Tree, y: Tree, group_x: np.ndarray, group_y: np.ndarray) -> list
     return edges
 
 
+def all_links(x: Tree, y: Tree) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(larger names, smaller names, shared shingles) of all links between sets of ``x`` and of ``y``, block by block, by dual traversal."""
+    i, j = leaf_pairs(x, y)
+    if x is y:
+        i, j = i[i < j], j[i < j]
+    for s in range(0, len(i), 4096):
+        a, b = i[s : s + 4096], j[s : s + 4096]
+        inter = np.array([overlap(x.toks[p], y.toks[q]) for p, q in zip(a.tolist(), b.tolist(), strict=True)], np.int64)
+        good = NUM * inter >= DEN * (x.n[a] + y.n[b] - inter)
+        if good.any():
+            sa, sb = x.sig[a[good]], y.sig[b[good]]
+            yield np.maximum(sa, sb), np.minimum(sa, sb), inter[good]
+
+
 def _by_key(batches: Iterator[pa.RecordBatch], keys: list[str]):
     """Data of one key after the other, from rows that are sorted by the keys."""
     held: list[pa.RecordBatch] = []
@@ -437,6 +465,16 @@ def _node_trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
+def _node_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All links within an anchor node, and between its sets and its partners'."""
+    for t in _by_key(batches, ["anchor", "part"]):
+        own = t.column("own").to_numpy(zero_copy_only=False).astype(bool)
+        x = _tree(t.filter(pa.array(own)))
+        for y in [x] if own.all() else [x, _tree(t.filter(pa.array(~own)))]:
+            for a, b, shared in all_links(x, y):
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(shared)], ["a", "b", "shared"])
+
+
 # --- connected components ------------------------------------------------------------
 
 
@@ -502,12 +540,23 @@ def complete(cands: DataFrame, root: DataFrame, links: DataFrame) -> DataFrame:
     own = cands.select("sig", "n").join(root, "sig", "left").withColumn("comp", F.coalesce("root", "sig")).drop("root")
     size = written(own.groupBy("comp").agg(F.count(F.lit(1)).alias("group_size")), "sizes")
     own = written(attach_groups(own, size, "comp", cands.count()), "own")
+    met = _meetings(cands, own)
+    if met is None:
+        return root
+    more = written(met.mapInArrow(_node_trees, "a long, b long"), "links")
+    if more.isEmpty():
+        return root
+    return components(links.unionByName(more))
+
+
+def _meetings(cands: DataFrame, own: DataFrame) -> DataFrame | None:
+    """Node by node the sets of ``own`` (sig, n, comp, group_size) and of the partner nodes, sorted by anchor and part; None if no token joins two components."""
     spread = own.select("sig", "comp").join(cands.select("sig", "pref"), "sig").mapInArrow(_explode_prefix, "tok long, sig long, comp long")
     active = written(
         spread.groupBy("tok").agg(F.min("comp").alias("one"), F.max("comp").alias("other"), F.count(F.lit(1)).alias("c")).where("one <> other").select("tok", "c"), "active"
     )
     if active.isEmpty():
-        return root
+        return None
     hit = written(spread.join(active, "tok"), "hit")
     # Leaf nodes: parts of one large component, or of the sets that have the same most frequent token.
     placed = own.join(hit.groupBy("sig").agg(F.max(F.struct("c", "tok"))["tok"].alias("home")), "sig")
@@ -533,17 +582,11 @@ def complete(cands: DataFrame, root: DataFrame, links: DataFrame) -> DataFrame:
     sets = placed.join(cands.select("sig", "toks"), "sig")
     mine = tasks.select("anchor", "part").distinct().join(sets, F.col("anchor") == F.col("node")).withColumn("own", F.lit(True))
     theirs = tasks.where("partner <> anchor").join(sets, F.col("partner") == F.col("node")).withColumn("own", F.lit(False)).drop("partner")
-    more = mine.unionByName(theirs).drop("node").repartition("anchor", "part").sortWithinPartitions("anchor", "part").mapInArrow(_node_trees, "a long, b long")
-    more = written(more, "links")
-    if more.isEmpty():
-        return root
-    return components(links.unionByName(more))
+    return mine.unionByName(theirs).drop("node").repartition("anchor", "part").sortWithinPartitions("anchor", "part")
 
 
-def sets_and_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id (smallest doc_id reachable by links), set_name."""
-    spark = docs.sparkSession
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+def _sets(texts: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """Per row of ``texts`` (doc_id, text) its set's size and name; the candidate sets; the number of rows."""
     kind = texts.schema["doc_id"].dataType.simpleString()
     info = written(texts.mapInArrow(_info, f"doc_id {kind}, n long, sig long"), "sets")
     n_rows, n_tokens = info.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
@@ -553,7 +596,32 @@ def sets_and_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     shared = dealt.repartition(1 << parts_log2, "slot").mapInArrow(_count_shared(parts_log2, 1 << parts_log2), "slot int, data binary")
     cands = shared.repartition(1 << parts_log2, "slot").mapInArrow(_candidates, "sig long, n int, seed long, toks binary, pref binary")
     cands = written(cands, "candidates")
-    release(spark)
+    release(texts.sparkSession)
+    return info, cands, n_rows
+
+
+def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Every link between distinct sets once: set_a > set_b, their sizes n_a and n_b, shared, and doc_a and doc_b, the smallest doc_id of each set.
+
+    A row's number of links is the sum of the copies of the sets that its set
+    links with, and its own set's other copies.
+    """
+    info, cands, _ = _sets(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
+    met = _meetings(cands, cands.select("sig", "n", F.col("sig").alias("comp"), F.lit(1).alias("group_size")))
+    if met is None:
+        found = cands.select(F.col("sig").alias("a"), F.col("sig").alias("b"), F.lit(0).cast("long").alias("shared")).limit(0)
+    else:
+        # A node that meets its partners in several parts lists its own links in each.
+        found = written(met.mapInArrow(_node_links, "a long, b long, shared long").distinct(), "links")
+    sets = info.where("sig <> 0").groupBy("sig").agg(F.first("n").alias("n"), F.min("doc_id").alias("doc"))
+    end = lambda k: sets.select(F.col("sig").alias(k), F.col("n").alias(f"n_{k}"), F.col("doc").alias(f"doc_{k}"))
+    out = found.join(end("a"), "a").join(end("b"), "b")
+    return out.select(F.col("a").alias("set_a"), F.col("b").alias("set_b"), "n_a", "n_b", "shared", "doc_a", "doc_b")
+
+
+def sets_and_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: doc_id, n_shingles, component_id (smallest doc_id reachable by links), set_name."""
+    info, cands, n_rows = _sets(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
     root = _links(cands)
     # Per set its rows, then per component its smallest id; each level is small against the one below.
     sets = info.where("sig <> 0").groupBy("sig").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"))

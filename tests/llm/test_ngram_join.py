@@ -97,3 +97,25 @@ def test_slots_are_spark_partitions(spark):
         df = spark.createDataFrame([(int(x),) for x in ngram_join.slots(n)], "slot int")
         got = df.repartition(n, "slot").select("slot", F.spark_partition_id().alias("p")).collect()
         assert {r.slot: r.p for r in got} == {int(x): k for k, x in enumerate(ngram_join.slots(n))}
+
+
+def test_all_links_are_listed(spark, monkeypatch):
+    """Each link between distinct sets comes once, also within a group of near copies, whatever the chunks."""
+    rows = corpus(5)
+    base = [f"w{k}" for k in range(120)]
+    rows += [(1000 + k, " ".join(base[:k] + ["x"] + base[k + 1 :])) for k in range(0, 60, 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = {}
+    for d, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0d]+", (t or "").translate(LOW))
+        s = frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
+        if s:
+            sets.setdefault(s, []).append(d)
+    least = [(s, min((d for d in ids if d is not None), default=None)) for s, ids in sets.items()]
+    want = [tuple(sorted(((d, len(s)), (e, len(t))), key=str)) + (len(s & t),) for k, (s, d) in enumerate(least) for t, e in least[:k] if 100 * len(s & t) >= 80 * len(s | t)]
+    assert len(want) > len(sets)
+    for chunk in (512, 2):
+        monkeypatch.setattr(ngram_join, "CHUNK", chunk)
+        got = [tuple(sorted(((r.doc_a, r.n_a), (r.doc_b, r.n_b)), key=str)) + (r.shared,) for r in ngram_join.links(df).collect()]
+        assert sorted(got, key=str) == sorted(want, key=str)
+    assert not ngram_join.links(df.limit(0)).collect()
