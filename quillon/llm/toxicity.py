@@ -33,8 +33,6 @@ GRAM_PLACES, GRAM_DIM = 1 << 15, 12
 THRESHOLD = 0.3
 #: Labelled rows with label 1 and with label 0 that the network is trained on at most, chosen by hash of the id.
 TRAIN_ROWS = (1500, 3000)
-#: A training text of more windows than this is represented by as many, evenly spaced.
-TRAIN_WINDOWS = 64
 EPOCHS, BATCH, RATE = 14, 48, 0.006
 #: Windows run at once.
 WIDE = 2048
@@ -253,10 +251,10 @@ def fit(texts: list[str], y: np.ndarray, seed: int = 3) -> dict[str, np.ndarray]
                 q += 0.001 * (g[k] * g[k] - q)
                 v -= (rate * m / (np.sqrt(q) + 1e-8)).astype(np.float32)
     k = np.flatnonzero(apart)
-    c = coded(k)
-    text, _, _, out = logits(p, c)
     top = np.full(len(k), -np.inf)
-    np.maximum.at(top, text, out.astype(float))
+    for s in range(0, len(k), BATCH):
+        text, _, _, out = logits(p, coded(k[s : s + BATCH]))
+        np.maximum.at(top, s + text, out.astype(float))
     t = y[k].astype(float)
     goal = np.where(t == 1, (t.sum() + 1) / (t.sum() + 2), 1 / (len(t) - t.sum() + 2))
     a, b = 1.0, 0.0
@@ -277,27 +275,13 @@ def scores(p: dict[str, np.ndarray], raw: np.ndarray, offs: np.ndarray) -> np.nd
     return 1 / (1 + np.exp(-np.clip(m, -40, 40)))
 
 
-def _view(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Training texts; of one with very many windows, TRAIN_WINDOWS evenly spaced ones."""
-    for batch in batches:
-        texts = []
-        for _, raw, offs in blocks(batch.column("text")):
-            _, at, start, end = words(raw, offs, SPACED)
-            first = np.searchsorted(at, np.arange(len(offs)))
-            for k in range(len(offs) - 1):
-                a, n = first[k], first[k + 1] - first[k]
-                if n <= TRAIN_WINDOWS * SPAN:
-                    texts.append(raw[offs[k] : offs[k + 1]].tobytes())
-                else:
-                    begin = a + np.linspace(0, n - SPAN, TRAIN_WINDOWS).astype(int)
-                    texts.append(b" ".join(raw[start[s] : end[s + SPAN - 1]].tobytes() for s in begin))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.string()), batch.column("label"), pa.array(texts, pa.binary()).cast(pa.string())], ["doc_id", "label", "text"])
-
-
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", limits: tuple[int, int] = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text") -> dict[str, np.ndarray]:
-    """A network trained on at most ``limits`` labelled ids of class 1 and 0, outside the held-out fold."""
+    """A network trained on at most ``limits`` labelled ids of class 1 and 0, outside the held-out fold.
+
+    The rows are sampled, their texts are whole: the driver holds them, and each epoch scores all their windows.
+    """
     parts = [training_rows(docs, labels.where(pick), label_col, limit, id_col, text_col) for pick, limit in zip((F.col(label_col) > 0, F.col(label_col) <= 0), limits, strict=True)]
-    rows = parts[0].unionByName(parts[1]).select("doc_id", "text", "label").mapInArrow(_view, "doc_id string, label int, text string")
+    rows = parts[0].unionByName(parts[1]).select(F.col("doc_id").cast("string").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), "label")
     got = sorted((r[0], r[1], r[2]) for r in rows.groupBy("doc_id").agg(F.max("label"), F.max("text")).collect())
     order = np.random.Generator(np.random.PCG64(11)).permutation(len(got))
     return fit([got[k][2] for k in order], np.array([int(got[k][1] > 0) for k in order]))

@@ -135,3 +135,22 @@ def test_mixing_keeps_clashing_columns(tables, spark):
     docs = spark.createDataFrame([(1, "a b", 7)], "doc_id long, text string, mix_rate int")
     row = mixing.mix(docs, labels).first()
     assert row.mix_rate == 7 and row._mix_rate is not None
+
+
+def test_toxicity_trains_on_whole_texts(spark, monkeypatch):
+    """A short passage of a long labelled text reaches the network wherever it lies."""
+    rng = random.Random(4)
+    clean = lambda n: [rng.choice(WORDS) for _ in range(n)]
+    rows = []
+    for d in range(80):
+        w = clean(6000)
+        if d % 2:
+            w[(at := 70 + 71 * d) : at + 3] = ["zorgon", "blaxt", "zorgish"]
+        rows.append((d, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(d, d % 2) for d in range(80)], "doc_id long, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda texts, y: seen.extend(zip(texts, y.tolist(), strict=True)) or {})
+    toxicity.train(docs, labels)
+    assert len(seen) > 40 and {t for t, _ in seen} <= {t for _, t in rows}
+    assert all(("zorgon blaxt zorgish" in t) == bool(k) for t, k in seen)
