@@ -128,3 +128,15 @@ def test_preflight(spark):
     a = spark.createDataFrame([("ok", 1200, 1200, "RGB", True, 100.0, 100.0), ("low", 100, 100, "RGB", True, 100.0, 100.0), ("icc", 1200, 1200, "RGB", False, 100.0, 100.0)], "asset string, w int, h int, mode string, has_icc boolean, mm_w double, mm_h double")
     assert {r.asset: r.status for r in X.preflight(a).collect()} == {"ok": "passed", "low": "failed", "icc": "warnings"}
     assert spark.range(1).select(X.title_lines(F.lit("the long way home"), 9)).first()[0] == ["the long", "way home"]
+
+
+def test_q5_embeds_whole_texts(spark, monkeypatch, tmp_path):
+    """Texts that differ beyond their first hundred characters get different vectors."""
+    from quillon.plans import knowledge
+
+    spark.createDataFrame([(1, "x" * 100 + "a"), (3, "x" * 100 + "b")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    whole, found = S.embed_pending, []
+    monkeypatch.setattr(S, "embed_pending", lambda *args: found.append(whole(*args)) or found[0])
+    assert knowledge.q5(spark, str(tmp_path)).count() == 2
+    vectors = [tuple(r.embedding) for r in found[0].collect()]
+    assert len(set(vectors)) == 2 and {v[1] for v in vectors} == {101.0}
