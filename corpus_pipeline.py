@@ -42,7 +42,11 @@ def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document that is left, with the rate at which the mixture takes it."""
+    """Every document that is left, with the rate at which the mixture takes it.
+
+    The rows are weighted: each comes once, whatever its mix_copies (0 too), and
+    TARGETS hold for token shares weighted by mix_rate or mix_copies, not for rows.
+    """
     scratch.purge(spark)
     return mixing.mix(docs, table(spark, sf_dir, "labels"), TARGETS)
 
