@@ -3,8 +3,10 @@
 A block is a byte array holding whole texts back to back and the offsets of
 each. Words are runs of bytes of a given class; as every separator here is an
 ASCII byte and all bytes of other characters are 128 or more, runs of bytes are
-runs of characters. A word's 64-bit hash is a polynomial over random byte
-values, from one running sum a block.
+runs of characters. A run's 64-bit hash is a sum over its eight-byte chunks, each
+mixed with its place by nonlinear steps: unlike a polynomial modulo 2**64, whose
+sums cancel on Thue-Morse strings whatever the base, it leaves two different
+runs the same hash by the ordinary chance of 64 bits only.
 """
 
 from __future__ import annotations
@@ -28,8 +30,8 @@ ALNUM[48:58] = ALNUM[97:123] = ALNUM[128:] = True
 
 _RNG = np.random.Generator(np.random.PCG64(20240817))
 _VALUE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
+#: Of a chunk with fewer than eight bytes, those that belong to the run.
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 _POWERS: dict[int, np.ndarray] = {}
 
 
@@ -77,6 +79,22 @@ def blocks(column: pa.Array, limit: int = BLOCK) -> Iterator[tuple[int, np.ndarr
         first = last
 
 
+def run_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of each run of bytes raw[start:end], none of them empty; the runs may overlap."""
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    size = end - start
+    many = (size + 7) >> 3
+    first = np.cumsum(many) - many
+    k = np.arange(int(many.sum())) - np.repeat(first, many)
+    padded = np.concatenate((raw, np.zeros(8, np.uint8)))
+    eight = np.ndarray(len(raw) + 1, "<u8", padded, strides=(1,))  # the eight bytes from each place on
+    v = eight[np.repeat(start, many) + 8 * k]
+    v &= _MASK[np.minimum(np.repeat(size, many) - 8 * k, 8)]
+    v = mix(mix(v ^ np.uint64(0x9E3779B97F4A7C15)) + k.astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
+    return mix(np.add.reduceat(v, first) + size.astype(np.uint64) * np.uint64(0xA3EC647659359ACD))
+
+
 def words(raw: np.ndarray, offs: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash, text index, start, end) of every word, in order. ``inside``: bytes of words, after A-Z became a-z."""
     low = LOWER[raw]
@@ -93,12 +111,7 @@ def words(raw: np.ndarray, offs: np.ndarray, inside: np.ndarray) -> tuple[np.nda
     if len(ins):
         stop[-1] = ins[-1]
     end = np.flatnonzero(stop) + 1
-    n = len(low)
-    total = np.empty(n + 1, np.uint64)
-    total[0] = 0
-    np.cumsum(_VALUE[low] * powers(_BASE, n + 1)[:n], out=total[1:])
-    h = (total[end] - total[start]) * powers(_INVERSE, n + 1)[start]
-    h = mix(h ^ ((end - start).astype(np.uint64) << np.uint64(56)))
+    h = run_hashes(low, start, end)
     return h, np.searchsorted(offs, start, "right") - 1, start, end
 
 
