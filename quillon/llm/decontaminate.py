@@ -7,7 +7,7 @@ no missing token, so the necessary prefix of a window is one token: its rarest
 one over all documents. A document token that equals some window's prefix token
 proposes the window at one place only (positional bound: the token's place in
 the window), if the window fits in the text there (length bound), and the words
-of the window are then compared one by one.
+of the window are then compared one by one: by hash first, then byte by byte.
 
 Defined results: null and empty texts have no words and are not contaminated;
 repeated items and windows are found once each under every item id; repeated
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.scratch import written
-from quillon.llm.textnp import ALNUM, blocks, gram_hashes, words
+from quillon.llm.textnp import ALNUM, LOWER, blocks, gram_hashes, words
 
 WINDOW = 10
 #: Words of a token.
@@ -40,36 +40,44 @@ class Windows:
 
     def __init__(self, items: list[tuple[object, str | None]]):
         texts = pa.array([t for _, t in items], pa.large_string())
-        index: dict[tuple[int, ...], int] = {}
+        index: dict[bytes, int] = {}
         self.items: list[list[int]] = []
         self.ids = [i for i, _ in items]
+        # The words of all items: hashes, and places in the lower-cased bytes. A window is a run of them.
+        h_all, start_all, end_all, low_all, n_words, n_bytes = [], [], [], [], 0, 0
+        begin, size = [], []
         for first, raw, offs in blocks(texts):
-            h, at, _, _ = words(raw, offs, ALNUM)
+            h, at, start, end = words(raw, offs, ALNUM)
+            low = LOWER[raw]
+            plain = low.tobytes()
             bounds = np.searchsorted(at, np.arange(len(offs)))
             for k in range(len(offs) - 1):
-                own = h[bounds[k] : bounds[k + 1]].tolist()
+                a, b = int(bounds[k]), int(bounds[k + 1])
+                own = [plain[s:e] for s, e in zip(start[a:b].tolist(), end[a:b].tolist(), strict=True)]
                 for s in range(max(1, len(own) - WINDOW + 1)) if own else ():
-                    w = tuple(own[s : s + WINDOW])
-                    n = index.setdefault(w, len(index))
+                    n = index.setdefault(b" ".join(own[s : s + WINDOW]), len(index))
                     if n == len(self.items):
                         self.items.append([])
+                        begin.append(n_words + a + s)
+                        size.append(min(WINDOW, len(own)))
                     if first + k not in self.items[n][-1:]:
                         self.items[n].append(first + k)
-        self.size = np.array([len(w) for w in index], np.int64)
-        self.words = np.zeros((len(index), WINDOW), np.uint64)
-        for n, w in enumerate(index):
-            self.words[n, : len(w)] = w
+            for into, x in ((h_all, h), (start_all, start + n_bytes), (end_all, end + n_bytes), (low_all, low)):
+                into.append(x)
+            n_words, n_bytes = n_words + len(h), n_bytes + len(low)
+        cat = lambda x, kind: np.concatenate(x).astype(kind) if x else np.zeros(0, kind)
+        self.h, self.start, self.end, self.low = cat(h_all, np.uint64), cat(start_all, np.int64), cat(end_all, np.int64), cat(low_all, np.uint8)
+        self.begin, self.size = np.array(begin, np.int64), np.array(size, np.int64)
         # Tokens: for windows of one size at a time, rows (token, window, place).
         tok, win, place = [], [], []
         for size in np.unique(self.size):
             rows = np.flatnonzero(self.size == size)
             t = min(TOKEN, int(size))
             for p in range(int(size) - t + 1):
-                flat = self.words[rows, p : p + t]
+                flat = self.h[self.begin[rows][:, None] + (p + np.arange(t))]
                 tok.append(gram_hashes(flat.reshape(-1), t)[::t])
                 win.append(rows)
                 place.append(np.full(len(rows), p))
-        cat = lambda x, kind: np.concatenate(x).astype(kind) if x else np.zeros(0, kind)
         self.tok, self.win, self.place = cat(tok, np.uint64), cat(win, np.int64), cat(place, np.int64)
         self.sizes = sorted({min(TOKEN, int(s)) for s in self.size})
 
@@ -81,6 +89,28 @@ class Windows:
         order = order[np.argsort(self.tok[order], kind="stable")]
         self.tok, self.win, self.place = self.tok[order], self.win[order], self.place[order]
 
+    def same(self, win: np.ndarray, at: np.ndarray, h: np.ndarray, low: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Which of the windows stand at words ``at`` of a block: all words by hash, and for those that agree by their bytes."""
+        good = np.ones(len(win), bool)
+        for p in range(WINDOW):
+            k = np.flatnonzero(good & (p < self.size[win]))
+            good[k] = h[at[k] + p] == self.h[self.begin[win[k]] + p]
+        for p in range(WINDOW):
+            k = np.flatnonzero(good & (p < self.size[win]))
+            if not len(k):
+                break
+            x, y = at[k] + p, self.begin[win[k]] + p
+            n = end[x] - start[x]
+            equal = n == self.end[y] - self.start[y]
+            good[k[~equal]] = False
+            k, x, y, n = k[equal], x[equal], y[equal], n[equal]
+            if len(k):
+                first = np.cumsum(n) - n
+                inner = np.arange(int(n.sum())) - np.repeat(first, n)
+                differ = low[np.repeat(start[x], n) + inner] != self.low[np.repeat(self.start[y], n) + inner]
+                good[k] = ~np.logical_or.reduceat(differ, first)
+        return good
+
     def sieve(self) -> np.ndarray:
         """By the low bits of a hash: whether any token has them."""
         bits = np.zeros(1 << 18, bool)
@@ -131,11 +161,8 @@ def match_block(windows: Windows, sieve: np.ndarray, raw: np.ndarray, offs: np.n
         size = windows.size[win]
         text = at[pos]
         fits = (np.minimum(size, TOKEN) == t) & (begin >= first[text]) & (begin + size <= first[text + 1])
-        win, begin, size = win[fits], begin[fits], size[fits]
-        same = np.ones(len(win), bool)
-        for p in range(WINDOW):
-            there = np.minimum(begin + p, max(0, len(h) - 1))
-            same &= (p >= size) | (h[there] == windows.words[win, p])
+        win, begin = win[fits], begin[fits]
+        same = windows.same(win, begin, h, LOWER[raw], start, end) if len(win) else np.zeros(0, bool)
         found_at.append(begin[same])
         found_win.append(win[same])
     begin, win = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (found_at, found_win))
