@@ -12,9 +12,12 @@ windows have equal anchors, so they meet when text is dealt by anchor:
 
 1. Each document is cut into *pieces*, the runs of windows with one anchor
    place. A window is in one piece; windows of one piece differ from each other.
-2. Pieces of an anchor that are equal byte for byte need no search: all their
-   windows repeat. Those met in one task are settled there, and one of them goes
-   on as their deputy, so a crowded passage is a row a task.
+2. Pieces of an anchor that are equal need no search: all their windows repeat.
+   Equal are those whose anchor and content have equal 64-bit hashes (two others
+   pass for equal by that chance only, and no structure of a text raises it).
+   Those met in one task are settled there, and one of them goes on as their
+   deputy, so a crowded passage is a row a task. Anchors with a large share of
+   all pieces are dealt by content as well.
 3. An anchor with different pieces sends one of each to a task, which makes the
    transform of many anchors' pieces at a time and searches it.
 4. An anchor with very many different pieces (a passage of near copies) is not
@@ -28,7 +31,7 @@ are kept whole; an empty table gives an empty result; other columns aren't read.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.scratch import release, written
-from quillon.llm.textnp import _VALUE, blocks, mix, powers
+from quillon.llm.textnp import _VALUE, blocks, mix, powers, run_hashes
 
 MIN = 200
 GRAM = 48
@@ -45,6 +48,8 @@ GRAM = 48
 GRAMS = (GRAM, 112, 160, MIN)
 #: Different pieces from which on an anchor is crowded.
 CROWD = 2000
+#: An anchor is hot from about this share of all pieces on; so at most 1/share of them are broadcast.
+HOT_SHARE = 1 / 4096
 #: Bytes whose transform is made at once.
 BATCH = 1 << 20
 #: Bytes of text whose pieces a task settles among themselves.
@@ -91,7 +96,7 @@ def pieces(raw: np.ndarray, offs: np.ndarray, gram: int = GRAM, min_len: int = M
     stop[:-1] = change[1:] | ~inside[1:]
     hi = np.flatnonzero(stop & inside) + 1
     end = hi + min_len - 1
-    content = mix((total[end] - total[lo]) * inverse[lo] + (end - lo).astype(np.uint64))
+    content = run_hashes(raw, lo, end)
     text = np.searchsorted(offs, lo, "right") - 1
     return text, lo - offs[text], hi - offs[text], h[anchor[lo]].view(np.int64), content.view(np.int64)
 
@@ -138,7 +143,7 @@ def _covered(d, lo, hi) -> pa.RecordBatch:
 
 
 def _settle(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
-    """Covered spans (kind 1) of pieces met twice, and one row a distinct piece (kind 0; many: settled already)."""
+    """Covered spans (kind 1) of pieces met twice, one row a distinct piece (kind 0; many: settled already), and the anchors with a large share of these (kind 3; d: how many)."""
     d, src, lo, hi, a, c, many = (np.concatenate(x) for x in zip(*held, strict=True))
     order = np.lexsort((c, a))
     d, src, lo, hi, a, c, many = (x[order] for x in (d, src, lo, hi, a, c, many))
@@ -151,6 +156,11 @@ def _settle(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
     if twice.any():
         yield _covered(d[twice], lo[twice], hi[twice] + MIN - 1)
     yield _rows(0, a[first], c[first], d[first], src[first], lo[first], hi[first], some)
+    heads = np.flatnonzero(np.concatenate(([True], a[first[1:]] != a[first[:-1]])))
+    count = np.diff(np.append(heads, len(first)))
+    large = count >= max(2.0, len(first) * HOT_SHARE)
+    zero = np.zeros(int(large.sum()), np.int64)
+    yield _rows(3, a[first[heads[large]]], zero, count[large], zero, zero, zero, zero.astype(bool))
 
 
 def _cut(gram: int):
@@ -176,13 +186,16 @@ def _cut(gram: int):
     return run
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _compare(batches: Iterator[pa.RecordBatch], hot: tuple[int, ...] = ()) -> Iterator[pa.RecordBatch]:
     """Of rows sorted by anchor and content: covered spans of equal pieces (kind 1), and of anchors with several pieces each of them (kind 2; many: settled already).
 
+    A hot anchor's pieces are dealt over tasks by content, so all of them are sent.
+
     Between batches only the rows of the last piece are held, and of the last anchor
     its first piece, which is sent once a second one turns up.
     """
     state: dict = {"a": None, "first": None}
+    hot_anchors = np.array(hot, np.int64)
 
     def settle(a, c, d, src, lo, hi, many):
         new = np.ones(len(a), bool)
@@ -200,7 +213,7 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = state["a"] == part[0][0] and state["first"] is None  # several pieces seen before
         heads = np.flatnonzero(np.concatenate(([True], part[0][1:] != part[0][:-1])))
         count = np.diff(np.append(heads, len(part[0])))
-        mixed = count >= 2
+        mixed = (count >= 2) | np.isin(part[0][heads], hot_anchors)
         mixed[0] |= known
         send = np.repeat(mixed, count)
         if send.any():
@@ -338,14 +351,29 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 # --- the operator ------------------------------------------------------------------------------------
 
 
+def _dealt(cut: DataFrame) -> DataFrame:
+    """``_compare`` over all distinct pieces of ``cut``, dealt by anchor, and those of hot anchors by content too.
+
+    A task reports the anchors that hold ``HOT_SHARE`` of its own pieces. One that
+    holds twice that share of all pieces is reported for at least half of that, so
+    the sums of the reports find it, and at most 1 / HOT_SHARE anchors pass.
+    """
+    pieces_ = cut.where("kind = 0")
+    bar = max(2.0, pieces_.count() * HOT_SHARE)
+    hot = cut.where("kind = 3").groupBy("a").agg(F.sum("d").alias("n")).where(F.col("n") >= bar).select("a")
+    known = tuple(r[0] for r in hot.collect())  # at most 1 / HOT_SHARE rows
+    split = F.broadcast(cut.sparkSession.createDataFrame([(x,) for x in known], "a long").withColumn("by_content", F.lit(True)))
+    rows = pieces_.drop("kind").join(split, "a", "left").withColumn("salt", F.when(F.col("by_content"), F.col("c")).otherwise(0)).drop("by_content")
+    return rows.repartition("a", "salt").drop("salt").sortWithinPartitions("a", "c").mapInArrow(partial(_compare, hot=known), _ROW)
+
+
 def covered_spans(texts: DataFrame) -> DataFrame:
     """(d, lo, hi): spans of bytes to remove, by document key; they may overlap. ``texts``: d, text."""
     found: list[DataFrame] = []
     source = texts.select("d", F.lit(0).alias("src"), "text", F.lit(False).alias("many"))
     for gram in GRAMS:
         cut = written(source.mapInArrow(_cut(gram), _ROW), "pieces")
-        met = cut.where("kind = 0").drop("kind").repartition("a").sortWithinPartitions("a", "c").mapInArrow(_compare, _ROW)
-        met = written(met, "pieces-met")
+        met = written(_dealt(cut), "pieces-met")
         differ = met.where("kind = 2")
         crowded = written(differ.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CROWD).select("a"), "crowded")
         more = gram < MIN and not crowded.isEmpty()

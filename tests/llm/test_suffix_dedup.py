@@ -112,3 +112,11 @@ def test_long_texts_in_segments(monkeypatch):
         text, lo, hi, a, _ = S.pieces(raw, offs)
         got += [x for s, e in zip((lo + begin[text]).tolist(), (hi + begin[text]).tolist()) for x in range(s, e)]
     assert sorted(got) == list(range(3000 - S.MIN + 1))
+
+
+def test_hot_anchors_are_dealt_by_content(spark, monkeypatch):
+    """With every anchor hot, all pieces are dealt by anchor and content; the result is the same."""
+    rows = corpus()
+    monkeypatch.setattr(S, "HOT_SHARE", 0.0)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    assert Counter(map(tuple, S.digest(S.remove_repeats(df)).collect())) == brute(rows)
