@@ -10,7 +10,9 @@ greatest possible overlap of any pair below them cannot reach the bar. At the
 leaves the shingles themselves are compared, unless the pair is connected
 already. Trees are built per task from rows that share a token:
 
-1. Every (shingle, set) is dealt by shingle and counted over all documents.
+1. Every (shingle, set) is dealt by shingle and counted over all documents. The
+   hashes' leading bits make parts of about a million shingles, and a Spark
+   partition holds several parts, which it takes one after the other.
    Shingles of one set only can't be part of an overlap and are dropped, but
    still count in the set's size.
 2. Ordered from the rarest shingle on, a set can link only by one of its first
@@ -42,7 +44,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.groups import attach_groups
@@ -97,7 +99,8 @@ def _info(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row, raw, offs in blocks(batch.column(1)):
             tok, at = shingle_sets(raw, offs)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(offs) - 1), pa.array(np.diff(at)), pa.array(names(tok, at))], ["doc_id", "n", "sig"])
+            k = len(offs) - 1
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, k), batch.column(2).slice(row, k), pa.array(np.diff(at)), pa.array(names(tok, at))], ["doc_id", "key", "n", "sig"])
 
 
 # --- rows of many tokens, packed: a header a set, then its tokens ----------------
@@ -131,8 +134,10 @@ def _runs(key: np.ndarray) -> np.ndarray:
     return np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)])) if len(key) else np.zeros(1, np.int64)
 
 
-#: Bytes kept of a token where it is dealt by its highest bits: 48 bits plus those.
-LOW = 6
+#: Bytes kept of a token where it is dealt by its highest bits, at least eight of them: together all 64.
+LOW = 7
+#: Fewest partitions of a shuffle of tokens, and the most of them for each of the session's shuffle partitions, as powers of two.
+LEAST_LOG2, EACH_LOG2 = 6, 2
 
 
 def slots(n: int) -> np.ndarray:
@@ -159,9 +164,9 @@ def slots(n: int) -> np.ndarray:
     return out.astype(np.int32)
 
 
-def _deal_tokens(parts_log2: int):
+def _deal_tokens(parts_log2: int, partitions_log2: int):
     """(slot, p, data): every set's tokens, dealt by their highest bits. Sets met before in the task are left out."""
-    slot = slots(1 << parts_log2)
+    slot, finer = slots(1 << partitions_log2), parts_log2 - partitions_log2
 
     def flush(sig, n, run, tok):
         owner = np.repeat(np.arange(len(sig)), run)
@@ -175,7 +180,8 @@ def _deal_tokens(parts_log2: int):
             who = owner[a:b][own[:-1]]
             rows.append(int(p[a]))
             data.append(pack(sig[who], n[who], np.diff(own), tok[a:b], LOW))
-        return pa.RecordBatch.from_arrays([pa.array(slot[rows]), pa.array(rows, pa.int32()), pa.array(data, pa.binary())], ["slot", "p", "data"])
+        part = np.array(rows, np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(slot[part >> finer]), pa.array(part, pa.int32()), pa.array(data, pa.binary())], ["slot", "p", "data"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -196,12 +202,12 @@ def _deal_tokens(parts_log2: int):
     return run
 
 
-def _count_shared(parts_log2: int, set_parts: int):
-    """Of the tokens of a part: those of several sets, dealt by set, with their count."""
-    slot = slots(set_parts)
+def _count_shared(parts_log2: int, partitions_log2: int):
+    """Of the tokens of a part: those of several sets, dealt by set, with their count. Rows come sorted by part."""
+    slot, finer = slots(1 << partitions_log2), parts_log2 - partitions_log2
 
     def out(tok, sig, n, count):
-        q = (sig.view(np.uint64) % np.uint64(set_parts)).astype(np.int64)
+        q = (sig.view(np.uint64) >> np.uint64(64 - parts_log2)).astype(np.int64)
         order = np.lexsort((sig, q))
         tok, sig, n, count, q = tok[order], sig[order], n[order], count[order], q[order]
         cut = _runs(q)
@@ -210,7 +216,8 @@ def _count_shared(parts_log2: int, set_parts: int):
             own = _runs(sig[a:b])[:-1]
             rows.append(int(q[a]))
             data.append(pack(sig[a:b][own], n[a:b][own], np.diff(np.append(own, b - a)), tok[a:b], 8, count[a:b]))
-        return pa.RecordBatch.from_arrays([pa.array(slot[rows]), pa.array(data, pa.binary())], ["slot", "data"])
+        part = np.array(rows, np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(slot[part >> finer]), pa.array(part, pa.int32()), pa.array(data, pa.binary())], ["slot", "p", "data"])
 
     def settle(held, final):
         """Tokens known to be frequent leave at once, so that memory doesn't grow with a hot one."""
@@ -225,11 +232,17 @@ def _count_shared(parts_log2: int, set_parts: int):
         return (tok[leave], sig[leave], n[leave], np.minimum(count[leave], TOP_COUNT)), (sig[~leave], n[~leave], tok[~leave])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, hot, limit = [], 0, np.zeros(0, np.uint64), 1 << 20
+        held, size, hot, limit, part = [], 0, np.zeros(0, np.uint64), 1 << 20, None
         for batch in batches:
             for p, data in zip(batch.column("p").to_pylist(), batch.column("data"), strict=True):
+                if p != part:
+                    if held:
+                        gone, _ = settle(held, True)
+                        if len(gone[0]):
+                            yield out(*gone)
+                    held, size, hot, limit, part = [], 0, np.zeros(0, np.uint64), 1 << 20, p
                 sig, n, tok, _ = unpack(data.as_py(), LOW)
-                tok = (tok & np.uint64((1 << (8 * LOW)) - 1)) | (np.uint64(p) << np.uint64(64 - parts_log2)) if parts_log2 else tok
+                tok |= np.uint64(p << (64 - parts_log2))
                 if len(hot):
                     k = np.minimum(np.searchsorted(hot, tok), len(hot) - 1)
                     is_hot = hot[k] == tok
@@ -254,10 +267,23 @@ def _count_shared(parts_log2: int, set_parts: int):
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sets that a shared token puts in their prefix: sig, n, seed (smallest token hash), toks (shared ones), pref (those of the prefix)."""
-    held = [unpack(x.as_py(), 8, True) for batch in batches for x in batch.column("data")]
-    if not held:
-        return
+    """Sets that a shared token puts in their prefix: sig, n, seed (smallest token hash), toks (shared ones), pref (those of the prefix).
+
+    Rows come sorted by part, which is all that is held of them at a time.
+    """
+    held, part = [], None
+    for batch in batches:
+        for p, data in zip(batch.column("p").to_pylist(), batch.column("data"), strict=True):
+            if p != part and held:
+                yield from _prefixes(held)
+                held = []
+            part = p
+            held.append(unpack(data.as_py(), 8, True))
+    if held:
+        yield from _prefixes(held)
+
+
+def _prefixes(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
     sig, n, tok, count = (np.concatenate(x) for x in zip(*held, strict=True))
     order = np.lexsort((tok, count, sig))
     sig, n, tok, count = sig[order], n[order], tok[order], count[order]
@@ -570,11 +596,19 @@ def _meetings(cands: DataFrame, own: DataFrame) -> DataFrame | None:
         F.min("n").alias("low"), F.max("n").alias("high"), F.count(F.lit(1)).alias("size"), F.when(F.min("comp") == F.max("comp"), F.min("comp")).alias("only")
     )
     met = written(hit.join(placed.select("sig", "node"), "sig").select("tok", "node").distinct().join(stats, "node"), "met")
-    x, y = met.alias("x"), met.alias("y")
+    # One side leaves out the component with most of a token's nodes: two nodes of different components are not
+    # both in it, and the nodes of one large component don't meet each other.
+    each = met.where("only is not null").groupBy("tok", "only").agg(F.count(F.lit(1)).alias("c"))
+    most = written(each.groupBy("tok").agg(F.max(F.struct("c", "only"))["only"].alias("most")), "main")
+    rest = met.join(most, "tok", "left").where("most is null or only is null or only <> most").drop("most")
+    x, y = met.alias("x"), rest.alias("y")
+    first = F.struct("x.size", "x.node") >= F.struct("y.size", "y.node")
+    side = lambda c: (F.when(first, F.col(f"x.{c}")).otherwise(F.col(f"y.{c}")), F.when(first, F.col(f"y.{c}")).otherwise(F.col(f"x.{c}")))
+    (anchor, partner), (_, size) = side("node"), side("size")
     pairs = written(
-        x.join(y, (F.col("x.tok") == F.col("y.tok")) & (F.struct("x.size", "x.node") >= F.struct("y.size", "y.node")) & ~F.coalesce(F.col("x.only") == F.col("y.only"), F.lit(False))
+        x.join(y, (F.col("x.tok") == F.col("y.tok")) & ~F.coalesce(F.col("x.only") == F.col("y.only"), F.lit(False))
                & (NUM * F.col("x.high") >= DEN * F.col("y.low")) & (NUM * F.col("y.high") >= DEN * F.col("x.low")))
-        .select(F.col("x.node").alias("anchor"), F.col("y.node").alias("partner"), F.col("y.size").alias("size")).distinct(),
+        .select(anchor.alias("anchor"), partner.alias("partner"), size.alias("size")).distinct(),
         "pairs",
     )
     parts = pairs.groupBy("anchor").agg(F.ceil(F.sum("size") / (4 * CHUNK)).cast("long").alias("parts"))
@@ -586,15 +620,20 @@ def _meetings(cands: DataFrame, own: DataFrame) -> DataFrame | None:
 
 
 def _sets(texts: DataFrame) -> tuple[DataFrame, DataFrame, int]:
-    """Per row of ``texts`` (doc_id, text) its set's size and name; the candidate sets; the number of rows."""
+    """Per row of ``texts`` (doc_id, text, key) its set's size and name; the candidate sets; the number of rows."""
     kind = texts.schema["doc_id"].dataType.simpleString()
-    info = written(texts.mapInArrow(_info, f"doc_id {kind}, n long, sig long"), "sets")
+    info = written(texts.mapInArrow(_info, f"doc_id {kind}, key long, n long, sig long"), "sets")
     n_rows, n_tokens = info.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    # A part holds about a million tokens, and the set parts as many.
-    parts_log2 = max(6, (int(n_tokens) >> 20).bit_length())
-    dealt = texts.select("text").mapInArrow(_deal_tokens(parts_log2), "slot int, p int, data binary")
-    shared = dealt.repartition(1 << parts_log2, "slot").mapInArrow(_count_shared(parts_log2, 1 << parts_log2), "slot int, data binary")
-    cands = shared.repartition(1 << parts_log2, "slot").mapInArrow(_candidates, "sig long, n int, seed long, toks binary, pref binary")
+    # A part holds about a million tokens, or the sets of as many. The number of partitions is the cluster's.
+    parts_log2 = max(8, (int(n_tokens) >> 20).bit_length())
+    spark = texts.sparkSession
+    width = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    most = max(LEAST_LOG2, (width - 1).bit_length() + EACH_LOG2)
+    partitions_log2 = min(most, max(LEAST_LOG2, (int(n_tokens) >> 20).bit_length()))
+    deal = lambda df: df.repartition(1 << partitions_log2, "slot").sortWithinPartitions("p")
+    dealt = deal(texts.select("text").mapInArrow(_deal_tokens(parts_log2, partitions_log2), "slot int, p int, data binary"))
+    shared = deal(dealt.mapInArrow(_count_shared(parts_log2, partitions_log2), "slot int, p int, data binary"))
+    cands = shared.mapInArrow(_candidates, "sig long, n int, seed long, toks binary, pref binary")
     cands = written(cands, "candidates")
     release(texts.sparkSession)
     return info, cands, n_rows
@@ -606,7 +645,7 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     A row's number of links is the sum of the copies of the sets that its set
     links with, and its own set's other copies.
     """
-    info, cands, _ = _sets(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
+    info, cands, _ = _sets(_texts(docs, id_col, text_col))
     met = _meetings(cands, cands.select("sig", "n", F.col("sig").alias("comp"), F.lit(1).alias("group_size")))
     if met is None:
         found = cands.select(F.col("sig").alias("a"), F.col("sig").alias("b"), F.lit(0).cast("long").alias("shared")).limit(0)
@@ -619,26 +658,43 @@ def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return out.select(F.col("a").alias("set_a"), F.col("b").alias("set_b"), "n_a", "n_b", "shared", "doc_a", "doc_b")
 
 
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), row_key(id_col, text_col).alias("key"))
+
+
+def row_key(id_col: str, text_col: str) -> Column:
+    """Tells rows with one id and different texts apart."""
+    return F.xxhash64(id_col, text_col)
+
+
 def sets_and_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id (smallest doc_id reachable by links), set_name."""
-    info, cands, n_rows = _sets(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
+    return _components(_texts(docs, id_col, text_col)).select("doc_id", "n_shingles", F.col("least.doc_id").alias("component_id"), "set_name")
+
+
+def _components(texts: DataFrame) -> DataFrame:
+    """doc_id, key, n_shingles, set_name, and least: doc_id and key of the component's row with the smallest id."""
+    info, cands, n_rows = _sets(texts)
     root = _links(cands)
     # Per set its rows, then per component its smallest id; each level is small against the one below.
-    sets = info.where("sig <> 0").groupBy("sig").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"))
+    own = F.struct("doc_id", "key")
+    sets = info.where("sig <> 0").groupBy("sig").agg(F.min(F.when(F.col("doc_id").isNotNull(), own)).alias("least"), F.count(F.lit(1)).alias("copies"))
     sets = written(sets.join(root, "sig", "left").withColumn("root", F.coalesce("root", "sig")), "sets")
-    comps = written(sets.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("group_size")), "components")
-    named = written(attach_groups(sets.select("sig", "root", "copies"), comps, "root", n_rows).select("sig", "component_id", F.col("copies").alias("group_size")), "named")
+    comps = written(sets.groupBy("root").agg(F.min("least").alias("least"), F.count(F.lit(1)).alias("group_size")), "components")
+    named = written(attach_groups(sets.select("sig", "root", "copies"), comps, "root", n_rows).select("sig", "least", F.col("copies").alias("group_size")), "named")
     full = attach_groups(info.where("sig <> 0"), named, "sig", n_rows)
-    out = ["doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("sig").alias("set_name")]
-    return full.select(*out).unionByName(info.where("sig = 0").withColumn("component_id", F.col("doc_id")).select(*out))
+    out = ["doc_id", "key", F.col("n").alias("n_shingles"), "least", F.col("sig").alias("set_name")]
+    return full.select(*out).unionByName(info.where("sig = 0").withColumn("least", own).select(*out))
 
 
 def keep_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each component: that of the smallest id. Rows without words all stay.
 
-    Rows with a null id are in no group and stay; of rows with equal ids, all
-    stay or go together.
+    Rows with a null id are in no group and stay. Of rows with the smallest id
+    and different texts one stays; rows alike in id and text stay or go together.
     """
-    found = sets_and_components(docs, id_col, text_col)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(gone, id_col, "left_anti").select(*docs.columns)
+    found = _components(_texts(docs, id_col, text_col))
+    gone = found.where(F.col("doc_id").isNotNull() & (F.struct("doc_id", "key") != F.col("least")))
+    gone = gone.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct()
+    away = (docs[id_col] == gone["_id"]) & (F.xxhash64(docs[id_col], docs[text_col]) == gone["_key"])
+    return docs.join(gone, away, "left_anti")

@@ -119,3 +119,20 @@ def test_all_links_are_listed(spark, monkeypatch):
         got = [tuple(sorted(((r.doc_a, r.n_a), (r.doc_b, r.n_b)), key=str)) + (r.shared,) for r in ngram_join.links(df).collect()]
         assert sorted(got, key=str) == sorted(want, key=str)
     assert not ngram_join.links(df.limit(0)).collect()
+
+
+def test_kept_rows_of_one_id(spark):
+    """Rows with one id and different texts are told apart: the copy goes, the unique text stays."""
+    a, b = " ".join(f"w{k}" for k in range(40)), " ".join(f"v{k}" for k in range(40))
+    df = spark.createDataFrame([(1, a, {"k": 1}), (5, a + " x", None), (5, b, None), (9, b + " y", None), (None, b, None)], "doc_id long, text string, key map<string,int>")
+    assert sorted((r.doc_id, r.text) for r in ngram_join.keep_rows(df).where("doc_id is not null").collect()) == [(1, a), (5, b)]
+
+
+def test_many_parts_in_a_partition(spark, monkeypatch):
+    """Parts of a partition are taken one after the other."""
+    monkeypatch.setattr(ngram_join, "LEAST_LOG2", 1)
+    monkeypatch.setattr(ngram_join, "EACH_LOG2", -1)
+    rows = corpus(6)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = ngram_join.sets_and_components(df).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(map(tuple, got), key=str) == brute(rows)
