@@ -91,6 +91,29 @@ def count_of(c: Column, part: str) -> Column:
     return ((F.length(c) - F.length(F.replace(c, F.lit(part), F.lit("")))) / len(part)).cast("int")
 
 
+def matches(c: Column, pattern: str) -> Column:
+    """array<struct<start, end, m>> of all matches in a short text (a sentence or a line), in characters."""
+    both = F.array(F.struct(F.split(c, pattern, -1).alias("p"), F.regexp_extract_all(c, F.lit(pattern), F.lit(0)).alias("h")))
+
+    def placed(b: Column) -> Column:
+        before = lambda i: F.aggregate(F.slice(b["p"], F.lit(1), i + 1), F.lit(0), lambda n, x: n + F.length(x)) + F.aggregate(F.slice(b["h"], F.lit(1), i), F.lit(0), lambda n, x: n + F.length(x))
+        return F.transform(b["h"], lambda m, i: F.struct(before(i).alias("start"), (before(i) + F.length(m)).alias("end"), m.alias("m")))
+
+    return F.get(F.transform(both, placed), F.lit(0))
+
+
+def replace_each(c: Column, pattern: str, by) -> Column:
+    """Every match replaced by what ``by`` makes of it: a function from a column to a column."""
+    return F.array_join(F.zip_with(F.split(c, pattern, -1), F.regexp_extract_all(c, F.lit(pattern), F.lit(0)), lambda p, m: F.concat(p, F.coalesce(by(m), F.lit("")))), "")
+
+
+def reading_counts(c: Column) -> tuple[Column, Column, Column]:
+    """Words, sentences and syllables of prose without Markdown."""
+    found = words(c)
+    n_sentences = F.size(F.filter(F.split(c, "[.!?]+"), lambda s: s.rlike(WORD)))
+    return F.size(found), n_sentences, F.aggregate(found, F.lit(0), lambda a, x: a + syllables(x))
+
+
 def flesch(n_words: Column, n_sentences: Column, n_syllables: Column) -> Column:
     """Reading ease for Portuguese, 0 to 100, one decimal; 0 without words."""
     per_sentence = n_words / F.greatest(n_sentences, F.lit(1))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -40,14 +42,14 @@ SEVERITIES = ("informacao", "observacao", "alerta", "erro", "bloqueador")
 FINDING = "id string, rule string, category string, severity string, confidence double, chapter string, line int, excerpt string, explanation string, suggestion string, auto_fixable boolean"
 
 
-def finding(rows: DataFrame, rule, category: str, severity, confidence, excerpt: Column, explanation: str, suggestion: str | None = None, fixable=False) -> DataFrame:
-    """``rows`` (doc_id, line, chapter and what the columns need) as findings, with doc_id in front."""
+def finding(rows: DataFrame, rule, category: str, severity, confidence, excerpt: Column, explanation, suggestion=None, fixable=False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``rows`` (doc_id, line, chapter and what the columns need) as findings, with doc_id in front and the columns to ``keep`` behind."""
     col = lambda x: x if isinstance(x, Column) else F.lit(x)
     short = T.squeeze(excerpt)
     return rows.select(
         "doc_id", H.finding_id(col(rule), F.coalesce(F.col("line"), F.lit(0)), short).alias("id"), col(rule).alias("rule"), F.lit(category).alias("category"), col(severity).alias("severity"),
         F.round(col(confidence).cast("double"), 2).alias("confidence"), F.col("chapter").cast("string").alias("chapter"), F.col("line").cast("int").alias("line"), short.alias("excerpt"),
-        F.lit(explanation).alias("explanation"), F.lit(suggestion).cast("string").alias("suggestion"), col(fixable).alias("auto_fixable"),
+        col(explanation).alias("explanation"), col(suggestion).cast("string").alias("suggestion"), col(fixable).alias("auto_fixable"), *keep,
     )
 
 
@@ -61,83 +63,146 @@ def verdict(findings: DataFrame) -> DataFrame:
 
 # Misspelt words and their spelling, by rule code.
 SPELLING = {
-    "com_certeza": ("concerteza", "com certeza"), "de_repente": ("derrepente", "de repente"), "a_partir": ("apartir", "a partir"),
-    "por_isso": ("porisso", "por isso"), "excecao": ("excessão", "exceção"), "privilegio": ("previlégio", "privilégio"),
-    "empecilho": ("impecilho", "empecilho"), "menos": ("menas", "menos"), "seja": ("seje", "seja"), "esteja": ("esteje", "esteja"),
-    "atraves": ("atravez", "através"), "enxergar": ("enchergar", "enxergar"), "mexer": ("mecher", "mexer"),
-    "reivindicar": ("reinvindicar", "reivindicar"), "beneficente": ("beneficiente", "beneficente"), "sobrancelha": ("sombrancelha", "sobrancelha"),
-    "cabeleireiro": ("cabeleleiro", "cabeleireiro"), "mortadela": ("mortandela", "mortadela"), "asterisco": ("asterístico", "asterisco"),
-    "problema": ("probrema", "problema"), "ideia": ("idéia", "ideia"), "assembleia": ("assembléia", "assembleia"),
-    "heroico": ("heróico", "heroico"), "voo": ("vôo", "voo"), "enjoo": ("enjôo", "enjoo"),
+    "grammar.spelling.com_certeza": ("concerteza", "com certeza"), "grammar.spelling.de_repente": ("derrepente", "de repente"), "grammar.spelling.a_partir": ("apartir", "a partir"),
+    "grammar.spelling.por_isso": ("porisso", "por isso"), "grammar.spelling.excecao": ("excessão", "exceção"), "grammar.spelling.privilegio": ("previlégio", "privilégio"),
+    "grammar.spelling.empecilho": ("impecilho", "empecilho"), "grammar.spelling.menos": ("menas", "menos"), "grammar.spelling.seja": ("seje", "seja"), "grammar.spelling.esteja": ("esteje", "esteja"),
+    "grammar.spelling.atraves": ("atravez", "através"), "grammar.spelling.enxergar": ("enchergar", "enxergar"), "grammar.spelling.mexer": ("mecher", "mexer"),
+    "grammar.spelling.reivindicar": ("reinvindicar", "reivindicar"), "grammar.spelling.beneficente": ("beneficiente", "beneficente"), "grammar.spelling.sobrancelha": ("sombrancelha", "sobrancelha"),
+    "grammar.spelling.cabeleireiro": ("cabeleleiro", "cabeleireiro"), "grammar.spelling.mortadela": ("mortandela", "mortadela"), "grammar.spelling.asterisco": ("asterístico", "asterisco"),
+    "grammar.spelling.problema": ("probrema", "problema"), "grammar.spelling.ideia": ("idéia", "ideia"), "grammar.spelling.assembleia": ("assembléia", "assembleia"),
+    "grammar.spelling.heroico": ("heróico", "heroico"), "grammar.spelling.voo": ("vôo", "voo"), "grammar.spelling.enjoo": ("enjôo", "enjoo"),
 }
 
 # Fixed values: (code, category, pattern, severity, confidence, replacement or None).
 PATTERNS = (
-    ("agreement.possible_existential_houveram", "concordancia_verbal", r"\bhouveram\b", "observacao", 0.65, None),
-    ("agreement.existential_haver_plural", "concordancia_verbal", r"\bhaviam\s+(?:muitos?|muitas?|vários?|várias?)\b", "alerta", 0.9, None),
-    ("agreement.existir_plural_noun", "concordancia_verbal", r"\b(?:existe|existia)\s+(?:muitos|muitas|vários|várias)\b", "alerta", 0.92, None),
-    ("agreement.haver_auxiliary_plural", "concordancia_verbal", r"\b(?:deve|pode|parece)\s+haverem\b", "erro", 0.96, None),
-    ("agreement.elapsed_time_fazer", "concordancia_verbal", r"\bfazem\s+(?:\d+|um|uma|dois|duas|três|quatro|cinco|seis|sete|oito|nove|dez)\s+(?:anos?|meses?|dias?|horas?)\b", "erro", 0.97, None),
-    ("agreement.a_gente_plural", "concordancia_verbal", r"\ba\s+gente\s+(?:fomos|somos|vamos|temos|estamos)\b", "observacao", 0.9, None),
-    ("agreement.nos_singular", "concordancia_verbal", r"\bnós\s+(?:vai|foi|era|tem|está)\b", "alerta", 0.93, None),
-    ("agreement.eles_singular", "concordancia_verbal", r"\b(?:eles|elas)\s+(?:vai|foi|era|tem|está)\b", "alerta", 0.94, None),
-    ("agreement.simple_singular_subject_rangeram", "concordancia_verbal", r"\b((?:o|a)\s+[A-Za-zÀ-úà-ÿ]+\s+)rangeram\b", "erro", 0.98, "$1rangeu"),
-    ("regency.preferir_do_que", "regencia", r"\b(?:prefiro|preferia|preferiu|preferem|preferimos)\b[^.!?\n]{1,80}\bdo\s+que\b", "observacao", 0.8, None),
-    ("regency.obedecer_direct_article", "regencia", r"\b(?:obedecer|obedeceu|obedecia|desobedecer|desobedeceu)\s+(?:o|a|os|as)\s+", "observacao", 0.85, None),
-    ("pronoun.entre_eu", "pronomes", r"\bentre\s+eu\s+e\b", "erro", 0.97, None),
-    ("pronoun.para_mim_infinitive", "pronomes", r"\bpara\s+mim\s+([a-záàâãéêíóôõúç]+(?:ar|er|ir))\b", "observacao", 0.75, None),
-    ("crasis.invalid_before_fixed_expression", "crase", r"\bà\s+(partir|pé|prazo|cavalo|respeito)\b", "erro", 0.99, "a $1"),
-    ("crasis.a_medida_que", "crase", r"\ba\s+medida\s+que\b", "erro", 0.98, "à medida que"),
-    ("crasis.as_vezes", "crase", r"\bas\s+vezes\b", "erro", 0.98, "às vezes"),
-    ("crasis.daqui_a", "crase", r"\bdaqui\s+à\s+(?=\d|um\b|uma\b|dois\b|duas\b|pouco\b)", "erro", 0.99, "daqui a "),
-    ("crasis.masculine_locution", "crase", r"\bà\s+(?:longo|curto)\s+prazo\b|\bà\s+domicílio\b", "erro", 0.98, None),
-    ("punctuation.space_before_mark", "pontuacao", r"\s+([,.;:!?])", "erro", 0.99, "$1"),
-    ("punctuation.missing_space_after_mark", "pontuacao", r"([,;:])(?=[A-Za-zÀ-úà-ÿ])", "erro", 0.98, "$1 "),
-    ("punctuation.repeated_separator", "pontuacao", r"([,;])\1+", "erro", 0.99, "$1"),
-    ("punctuation.space_after_open_parenthesis", "pontuacao", r"\(\s+", "erro", 0.99, "("),
-    ("punctuation.space_before_close_parenthesis", "pontuacao", r"\s+\)", "erro", 0.99, ")"),
+    ("grammar.agreement.possible_existential_houveram", "concordancia_verbal", r"\bhouveram\b", "observacao", 0.65, None),
+    ("grammar.agreement.existential_haver_plural", "concordancia_verbal", r"\bhaviam\s+(?:muitos?|muitas?|vários?|várias?)\b", "alerta", 0.9, None),
+    ("grammar.agreement.existir_plural_noun", "concordancia_verbal", r"\b(?:existe|existia)\s+(?:muitos|muitas|vários|várias)\b", "alerta", 0.92, None),
+    ("grammar.agreement.haver_auxiliary_plural", "concordancia_verbal", r"\b(?:deve|pode|parece)\s+haverem\b", "erro", 0.96, None),
+    ("grammar.agreement.elapsed_time_fazer", "concordancia_verbal", r"\bfazem\s+(?:\d+|um|uma|dois|duas|três|quatro|cinco|seis|sete|oito|nove|dez)\s+(?:anos?|meses?|dias?|horas?)\b", "erro", 0.97, None),
+    ("grammar.agreement.a_gente_plural", "concordancia_verbal", r"\ba\s+gente\s+(?:fomos|somos|vamos|temos|estamos)\b", "observacao", 0.9, None),
+    ("grammar.agreement.nos_singular", "concordancia_verbal", r"\bnós\s+(?:vai|foi|era|tem|está)\b", "alerta", 0.93, None),
+    ("grammar.agreement.eles_singular", "concordancia_verbal", r"\b(?:eles|elas)\s+(?:vai|foi|era|tem|está)\b", "alerta", 0.94, None),
+    ("grammar.agreement.simple_singular_subject_rangeram", "concordancia_verbal", r"\b((?:o|a)\s+[A-Za-zÀ-úà-ÿ]+\s+)rangeram\b", "erro", 0.98, "$1rangeu"),
+    ("grammar.regency.preferir_do_que", "regencia", r"\b(?:prefiro|preferia|preferiu|preferem|preferimos)\b[^.!?\n]{1,80}\bdo\s+que\b", "observacao", 0.8, None),
+    ("grammar.regency.obedecer_direct_article", "regencia", r"\b(?:obedecer|obedeceu|obedecia|desobedecer|desobedeceu)\s+(?:o|a|os|as)\s+", "observacao", 0.85, None),
+    ("grammar.pronoun.entre_eu", "pronomes", r"\bentre\s+eu\s+e\b", "erro", 0.97, None),
+    ("grammar.pronoun.para_mim_infinitive", "pronomes", r"\bpara\s+mim\s+([a-záàâãéêíóôõúç]+(?:ar|er|ir))\b", "observacao", 0.75, None),
+    ("grammar.crasis.invalid_before_fixed_expression", "crase", r"\bà\s+(partir|pé|prazo|cavalo|respeito)\b", "erro", 0.99, "a $1"),
+    ("grammar.crasis.a_medida_que", "crase", r"\ba\s+medida\s+que\b", "erro", 0.98, "à medida que"),
+    ("grammar.crasis.as_vezes", "crase", r"\bas\s+vezes\b", "erro", 0.98, "às vezes"),
+    ("grammar.crasis.daqui_a", "crase", r"\bdaqui\s+à\s+(?=\d|um\b|uma\b|dois\b|duas\b|pouco\b)", "erro", 0.99, "daqui a "),
+    ("grammar.crasis.masculine_locution", "crase", r"\bà\s+(?:longo|curto)\s+prazo\b|\bà\s+domicílio\b", "erro", 0.98, None),
+    ("grammar.punctuation.space_before_mark", "pontuacao", r"\s+([,.;:!?])", "erro", 0.99, "$1"),
+    ("grammar.punctuation.missing_space_after_mark", "pontuacao", r"([,;:])(?=[A-Za-zÀ-úà-ÿ])", "erro", 0.98, "$1 "),
+    ("grammar.punctuation.repeated_separator", "pontuacao", r"([,;])\1+", "erro", 0.99, "$1"),
+    ("grammar.punctuation.space_after_open_parenthesis", "pontuacao", r"\(\s+", "erro", 0.99, "("),
+    ("grammar.punctuation.space_before_close_parenthesis", "pontuacao", r"\s+\)", "erro", 0.99, ")"),
 )
 DUPLICATE = r"(?iU)\b(?!que\b)([A-Za-zÀ-úà-ÿ]{2,})\s+\1\b"
 
 
-def grammar_rules() -> list[tuple[str, str, str, str, float, str | None]]:
-    """All rules, the spelling ones first."""
-    spelling = [(f"grammar.spelling.{code}", "ortografia", rf"\b{wrong}\b", "erro", 0.99, right) for code, (wrong, right) in SPELLING.items()]
-    return spelling + [(f"grammar.{code}", *rest) for code, *rest in PATTERNS]
+#: What each pattern says and advises; spelling rules speak for themselves.
+ADVICE = {
+    "grammar.agreement.possible_existential_houveram": ("In the sense of existing, this verb has no subject and no plural; as an auxiliary it may have one.", "If it means that something existed, write 'houve'."),
+    "grammar.agreement.existential_haver_plural": ("In the sense of existing, this verb stays in the singular.", "If it means that something existed, write 'havia'."),
+    "grammar.agreement.existir_plural_noun": ("This verb agrees with the plural that follows it.", "Write 'existem' or 'existiam' before a plural."),
+    "grammar.agreement.haver_auxiliary_plural": ("After an auxiliary the infinitive of this verb takes no plural.", "Write 'deve', 'pode' or 'parece haver'."),
+    "grammar.agreement.elapsed_time_fazer": ("For time gone by this verb has no plural.", "Write 'faz'."),
+    "grammar.agreement.a_gente_plural": ("'a gente' takes the third person singular.", "Put the verb in the singular, or write 'nós'."),
+    "grammar.agreement.nos_singular": ("'nós' takes the first person plural.", "Mend the agreement, unless a character speaks so."),
+    "grammar.agreement.eles_singular": ("A plural subject takes a plural verb.", "Mend the agreement; the plural of 'tem' is 'têm'."),
+    "grammar.agreement.simple_singular_subject_rangeram": ("A subject with a singular article takes a singular verb.", "Write 'rangeu'."),
+    "grammar.regency.preferir_do_que": ("The norm prefers one thing 'a' another.", "Recast as 'preferir X a Y'."),
+    "grammar.regency.obedecer_direct_article": ("This verb takes the preposition 'a'.", "Put in 'a', and the accent where an article follows."),
+    "grammar.pronoun.entre_eu": ("After 'entre' the pronoun isn't a subject.", "Write 'entre mim e'."),
+    "grammar.pronoun.para_mim_infinitive": ("The subject of an infinitive is 'eu'.", "If the pronoun is the infinitive's subject, write 'para eu'."),
+    "grammar.crasis.invalid_before_fixed_expression": ("No article stands in this phrase, so there is no crasis.", "Write 'a' without the accent."),
+    "grammar.crasis.a_medida_que": ("The conjunction has the accent.", "Write 'à medida que'."),
+    "grammar.crasis.as_vezes": ("The adverb of time has the accent.", "Write 'às vezes'."),
+    "grammar.crasis.daqui_a": ("For time to come the preposition stands alone.", "Write 'daqui a'."),
+    "grammar.crasis.masculine_locution": ("Before a masculine noun there is no crasis.", "Write 'a longo prazo', 'a curto prazo' or 'em domicílio'."),
+    "grammar.punctuation.space_before_mark": ("A mark follows its word without a space.", "Take the space out."),
+    "grammar.punctuation.missing_space_after_mark": ("A space follows this mark.", "Put a space in."),
+    "grammar.punctuation.repeated_separator": ("The mark seems doubled by accident.", "Keep one."),
+    "grammar.punctuation.space_after_open_parenthesis": ("No space follows an opening parenthesis.", "Take the space out."),
+    "grammar.punctuation.space_before_close_parenthesis": ("No space precedes a closing parenthesis.", "Take the space out."),
+}
+_OTHER_ADVICE = ("A configured pattern matches.", "Check the passage.")
+
+#: (code, category, pattern, severity, confidence, replacement): None, a string ("$1" is a group), or a function from the match's column to a column.
+Rule = tuple[str, str, str, str, float, object]
+
+
+def grammar_rules(extra: tuple[Rule, ...] = ()) -> list[Rule]:
+    """All rules: the spelling ones, the patterns, then ``extra``."""
+    spelling = [(code, "ortografia", rf"\b{wrong}\b", "erro", 0.99, right) for code, (wrong, right) in SPELLING.items()]
+    return [*spelling, *PATTERNS, *extra]
+
+
+def _advice(code: str) -> tuple[str, str]:
+    if code in SPELLING:
+        wrong, right = SPELLING[code]
+        return f"'{wrong}' isn't the standard spelling.", f"Write '{right}'."
+    return ADVICE.get(code, _OTHER_ADVICE)
+
+
+def _literal(fix) -> bool:
+    """Whether a replacement is plain words, which take a capital over from the match."""
+    return isinstance(fix, str) and "$" not in fix and fix[:1].isalpha()
+
+
+def preview(m: Column, pattern: str, fix) -> Column:
+    """What a match would become; null without a replacement."""
+    if fix is None:
+        return F.lit(None).cast("string")
+    if callable(fix):
+        return fix(m)
+    if _literal(fix):
+        return F.when(m.rlike(r"^\p{Lu}"), fix[0].upper() + fix[1:]).otherwise(fix)
+    return F.regexp_replace(m, "(?iU)" + re.sub(r"\(\?=[^)]*\)$", "", pattern), fix)
 
 
-def grammar(lines: DataFrame, ignored: tuple[str, ...] = ()) -> DataFrame:
+def grammar(lines: DataFrame, ignored: tuple[str, ...] = (), extra: tuple[Rule, ...] = (), replacement: bool = False) -> DataFrame:
     """Findings of the grammar rules on the text lines of ``line_table``.
 
     A line of dialogue may be off the norm on purpose: outside punctuation its
     errors and alerts drop to observations, at 0.85 of the confidence, and are not
-    fixed. All rules run in one scan.
+    fixed. All rules run in one scan. ``extra`` adds rules; with ``replacement`` a
+    column of that name says what each match would become.
     """
     rows = lines.where("kind = 'text'")
     hits = []
-    for code, kind, pattern, severity, sure, fix in grammar_rules():
+    for code, kind, pattern, severity, sure, fix in grammar_rules(extra):
         if code in ignored:
             continue
-        fields = [F.lit(code).alias("rule"), F.lit(kind).alias("kind"), F.lit(severity).alias("severity"), F.lit(sure).alias("sure"), F.lit(fix is not None).alias("fix")]
-        hits.append(_struct_hits("(?iU)" + pattern, fields))
-    hits.append(_struct_hits(DUPLICATE, [F.lit("grammar.duplication.adjacent_word").alias("rule"), F.lit("duplicacao").alias("kind"), F.lit("erro").alias("severity"), F.lit(0.98).alias("sure"), F.lit(False).alias("fix")]))
+        why, what = _advice(code)
+        fields = [F.lit(x).alias(n) for n, x in (("rule", code), ("kind", kind), ("severity", severity), ("sure", sure), ("fix", fix is not None), ("why", why), ("what", what))]
+        hits.append(_struct_hits("(?iU)" + pattern, fields, lambda m, pattern=pattern, fix=fix: preview(m, pattern, fix)))
+    twice = (("rule", "grammar.duplication.adjacent_word"), ("kind", "duplicacao"), ("severity", "erro"), ("sure", 0.98), ("fix", False), ("why", "One word stands twice in a row."), ("what", "Take one out, unless someone stammers."))
+    if "grammar.duplication.adjacent_word" not in ignored:
+        hits.append(_struct_hits(DUPLICATE, [F.lit(x).alias(n) for n, x in twice], lambda m: F.lit(None).cast("string")))
     rows = rows.select("doc_id", "line", "chapter", "context", F.explode(F.flatten(F.array(*hits))).alias("h"))
     spoken = (F.col("context") == "dialogue") & (F.col("h.kind") != "pontuacao")
     doubled = F.col("h.kind") == "duplicacao"
     severity = F.when(spoken & F.col("h.severity").isin("erro", "alerta"), "observacao").otherwise(F.col("h.severity"))
     sure = F.when(spoken & doubled, 0.8).when(spoken, F.round(F.col("h.sure") * 0.85, 2)).otherwise(F.col("h.sure"))
-    return finding(rows, F.col("h.rule"), "gramatica", severity, sure, F.col("h.m"), "A pattern of doubtful grammar or spelling.", "Check the passage against the norm.", F.col("h.fix") & ~spoken)
+    why = F.concat("h.why", F.when(spoken, " In dialogue it may be a character's own way of speaking.").otherwise(""))
+    out = finding(rows.withColumn("replacement", F.col("h.to")), F.col("h.rule"), "gramatica", severity, sure, F.col("h.m"), why, F.col("h.what"), F.col("h.fix") & ~spoken, keep=("replacement",))
+    return out if replacement else out.drop("replacement")
 
 
-def _struct_hits(pattern: str, fields: list[Column]) -> Column:
-    return F.transform(F.regexp_extract_all("text", F.lit(pattern), F.lit(0)), lambda m: F.struct(m.alias("m"), *fields))
+def _struct_hits(pattern: str, fields: list[Column], to) -> Column:
+    return F.transform(F.regexp_extract_all("text", F.lit(pattern), F.lit(0)), lambda m: F.struct(m.alias("m"), *fields, to(m).alias("to")))
 
 
-def _fixes(text: Column, kinds: tuple[str, ...] | None, ignored: tuple[str, ...]) -> Column:
-    for code, kind, pattern, _, _, fix in grammar_rules():
+def _fixes(text: Column, kinds: tuple[str, ...] | None, ignored: tuple[str, ...], extra: tuple[Rule, ...]) -> Column:
+    for code, kind, pattern, _, _, fix in grammar_rules(extra):
         if fix is None or code in ignored or kinds and kind not in kinds:
             continue
-        if "$" in fix or not fix[0].isalpha():
+        if callable(fix):
+            text = T.replace_each(text, "(?iU)" + pattern, fix)
+        elif not _literal(fix):
             text = F.regexp_replace(text, "(?iU)" + pattern, fix)
         else:  # a capital at the start of the match stays one
             text = F.regexp_replace(text, r"(?U)(?=\p{Lu})(?i:" + pattern + ")", fix[0].upper() + fix[1:])
@@ -145,9 +210,9 @@ def _fixes(text: Column, kinds: tuple[str, ...] | None, ignored: tuple[str, ...]
     return text
 
 
-def autofix(text: Column, dialogue: Column, ignored: tuple[str, ...] = ()) -> Column:
+def autofix(text: Column, dialogue: Column, ignored: tuple[str, ...] = (), extra: tuple[Rule, ...] = ()) -> Column:
     """A line after the safe replacements, in rule order; of dialogue only the punctuation is fixed."""
-    return F.when(dialogue, _fixes(text, ("pontuacao",), ignored)).otherwise(_fixes(text, None, ignored))
+    return F.when(dialogue, _fixes(text, ("pontuacao",), ignored, extra)).otherwise(_fixes(text, None, ignored, extra))
 
 
 def balance(lines: DataFrame) -> DataFrame:
@@ -176,10 +241,12 @@ CONNECTORS = {
     "concessao": ["embora", "ainda que", "mesmo que", "apesar disso"],
     "explicacao": ["ou seja", "isto é", "em outras palavras"],
 }
+# Pairs of connectors that say one thing.
 REDUNDANT = (
     r"\bmas\s+(?:porém|contudo|todavia|entretanto|no\s+entanto)\b", r"\bporém\s+(?:contudo|todavia|entretanto)\b",
     r"\bcontudo\s+(?:porém|todavia|entretanto)\b", r"\bportanto\s+(?:logo|por\s+isso)\b",
 )
+# A concession and an adversative in one sentence.
 OVERLAP = (r"\bembora\b[^.!?\n]{1,180},?\s+mas\b", r"\bapesar\s+de\b[^.!?\n]{1,180},?\s+mas\b")
 
 
@@ -207,26 +274,77 @@ def repeated_openings(sentences: DataFrame, openings: list[str] | None = None, l
     found = R.runs(s.select("doc_id", "scope", "key", "pos"), ["doc_id", "scope"], "pos", "key", least)
     inside = s.join(found, ["doc_id", "scope", "key"]).where("pos BETWEEN first AND last")
     rows = inside.groupBy("doc_id", "scope", "key", "first").agg(
-        F.min("line").alias("line"), F.first("chapter").alias("chapter"), F.min_by("context", "pos").alias("context"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), " / ").alias("m")
+        F.min("line").alias("line"), F.count(F.lit(1)).alias("n"), F.first("chapter").alias("chapter"), F.min_by("context", "pos").alias("context"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), " / ").alias("m")
     )
     spoken = F.col("context") == "dialogue"
-    return finding(rows, "cohesion.connector.repeated_opening", "coesao", F.when(spoken, "informacao").otherwise("observacao"), F.when(spoken, 0.7).otherwise(0.82), F.col("m"), "Neighbouring sentences open alike.", "Vary the openings unless the rhythm is meant.")
+    return finding(rows, "cohesion.connector.repeated_opening", "coesao", F.when(spoken, "informacao").otherwise("observacao"), F.when(spoken, 0.7).otherwise(0.82), F.col("m"), F.concat(F.col("n").cast("string"), F.lit(" sentences in a row open with '"), "key", F.lit("'.")), "Vary the openings unless the rhythm is meant.")
+
+
+# Nouns for persons and their gender.
+PERSONS = {
+    "homem": "masculino", "menino": "masculino", "mestre": "masculino", "general": "masculino", "imperador": "masculino", "filho": "masculino",
+    "pai": "masculino", "velho": "masculino", "guerreiro": "masculino", "açougueiro": "masculino", "rapaz": "masculino", "irmão": "masculino",
+    "professor": "masculino", "aluno": "masculino", "jovem": "comum",
+    "mulher": "feminino", "menina": "feminino", "mestra": "feminino", "imperatriz": "feminino", "filha": "feminino", "mãe": "feminino",
+    "velha": "feminino", "guerreira": "feminino", "irmã": "feminino", "professora": "feminino", "aluna": "feminino",
+    "homens": "masculino_plural", "meninos": "masculino_plural", "filhos": "masculino_plural", "irmãos": "masculino_plural",
+    "mulheres": "feminino_plural", "meninas": "feminino_plural", "filhas": "feminino_plural", "irmãs": "feminino_plural",
+}
+# What joins a noun to a name as its apposition, within 45 characters; nouns within 16 characters of each other are one person.
+_CALLED, _IS_A, _NEAR, _ONE = r"(?iU)\b(?:chamad[oa]|conhecid[oa]\s+como)\b", r"(?iU)\b(?:era|foi|é)\s+(?:um|uma|o|a)\b", 45, 16
 
 
-def ambiguous_pronouns(sentences: DataFrame, entities: dict[str, str], pronouns: dict[str, str] | None = None) -> DataFrame:
-    """Sentences of prose that open with a pronoun while the sentence before names several entities it could mean.
+def referents(sentence: Column, entities: dict, persons: dict[str, str]) -> Column:
+    """array<struct<name, g>>: the persons that a sentence names.
 
-    ``entities``: word to gender ("comum" fits any singular). Each distinct word counts once.
+    ``entities``: name to gender, or to {"genero", "aliases"}. A noun that overlaps a
+    name, or stands beside it as its apposition, is the same person.
+    """
+    low = F.lower(sentence)
+    known = {name: (e, [name]) if isinstance(e, str) else (e.get("genero", "comum"), e.get("aliases", [name])) for name, e in entities.items()}
+    spot = lambda words: T.matches(low, r"(?iU)\b(?:" + "|".join(rf"\Q{w.lower()}\E" for w in sorted(words, key=lambda w: (-len(w), w))) + r")\b")
+    none = F.array().cast("array<struct<start:int,end:int,m:string>>")
+    names = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(g).alias("g"), spot(al).alias("at")) for n, (g, al) in known.items()]) if known else F.array().cast("array<struct<name:string,g:string,at:array<struct<start:int,end:int,m:string>>>>")
+    gender = F.create_map(*[x for k, v in persons.items() for x in (F.lit(k), F.lit(v))]) if persons else F.create_map().cast("map<string,string>")
+    between = lambda x, y: F.substring(low, x + 1, y - x)
+
+    def same(noun: Column, e: Column) -> Column:
+        left, right = F.least(noun["end"], e["end"]), F.greatest(noun["start"], e["start"])
+        gap, near = between(left, right), F.greatest(F.lit(0), right - left) <= _NEAR
+        touch = (noun["start"] < e["end"]) & (e["start"] < noun["end"])
+        return touch | gap.rlike(_CALLED) | (near & (gap.contains(",") | gap.contains("—") | gap.rlike(_IS_A)))
+
+    def cluster(acc: Column, m: Column) -> Column:
+        last = F.element_at(acc, -1)
+        g = F.try_element_at(gender, m["m"])
+        joins = (F.size(acc) > 0) & (m["start"] - last["end"] <= _ONE) & ~between(last["end"], m["start"]).rlike("[,;.!?]")
+        one = F.struct(F.concat(last["name"], F.lit(" "), m["m"]).alias("name"), F.when(last["g"] == g, g).otherwise("comum").alias("g"), m["end"].alias("end"))
+        return F.when(joins, F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(one))).otherwise(F.array_append(acc, F.struct(m["m"].alias("name"), g.alias("g"), m["end"].alias("end"))))
+
+    def all_of(n: Column) -> Column:
+        spans = F.flatten(F.transform(n, lambda e: e["at"]))
+        nouns = F.filter(spot(persons) if persons else none, lambda m: ~F.exists(spans, lambda e: same(m, e)))
+        grouped = F.aggregate(nouns, F.array().cast("array<struct<name:string,g:string,end:int>>"), cluster)
+        own = F.transform(F.filter(n, lambda e: F.size(e["at"]) > 0), lambda e: F.struct(F.concat(F.lit("entity:"), e["name"]).alias("name"), e["g"].alias("g")))
+        return F.array_distinct(F.concat(own, F.transform(grouped, lambda e: F.struct(F.concat(F.lit("noun:"), e["name"]).alias("name"), e["g"].alias("g")))))
+
+    return F.get(F.transform(F.array(names), all_of), F.lit(0))
+
+
+def ambiguous_pronouns(sentences: DataFrame, entities: dict, pronouns: dict[str, str] | None = None, persons: dict[str, str] | None = None) -> DataFrame:
+    """Sentences of prose that open with a pronoun while the sentence before names several persons it could mean (``referents``).
+
+    A person of gender "comum" fits any singular. ``persons``: nouns and their gender, ``PERSONS`` by default.
     """
-    pronouns = pronouns or {"ele": "masculino", "ela": "feminino", "eles": "masculino_plural", "elas": "feminino_plural"}
+    pronouns, persons = pronouns or {"ele": "masculino", "ela": "feminino", "eles": "masculino_plural", "elas": "feminino_plural"}, PERSONS if persons is None else persons
     w = W.partitionBy("doc_id").orderBy("line", "index")
-    s = sentences.withColumns({"before": F.lag("text").over(w), "before_chapter": F.lag("chapter").over(w)})
-    opening = leading(F.col("text"), list(pronouns))
-    gender = F.coalesce(*[F.when(opening == p, F.lit(g)) for p, g in pronouns.items()])
-    named = F.filter(F.array(*[F.when(F.col("before").rlike(rf"(?iU)\b{name}\b"), F.struct(F.lit(name).alias("name"), F.lit(g).alias("g"))) for name, g in entities.items()]), lambda x: x.isNotNull())
-    fits = F.filter(named, lambda x: (x["g"] == gender) | ((x["g"] == "comum") & ~gender.contains("plural")))
-    rows = s.where((F.col("context") == "prose") & F.col("chapter").eqNullSafe(F.col("before_chapter")) & F.col("before").isNotNull()).where(opening.isNotNull() & (F.size(fits) >= 2))
-    return finding(rows, "cohesion.reference.ambiguous_pronoun", "coesao", "observacao", 0.65, F.concat_ws(" ", "before", "text"), "The pronoun has more than one recent referent.", "Name the referent if it isn't plain.")
+    s = sentences.withColumns({"before": F.lag("text").over(w), "before_chapter": F.lag("chapter").over(w)}).withColumn("opening", leading(F.col("text"), list(pronouns)))
+    s = s.where((F.col("context") == "prose") & F.col("chapter").eqNullSafe(F.col("before_chapter")) & F.col("before").isNotNull() & F.col("opening").isNotNull())
+    gender = F.coalesce(*[F.when(F.col("opening") == p, F.lit(g)) for p, g in pronouns.items()])
+    fits = F.filter(referents(F.col("before"), entities, persons), lambda x: (x["g"] == gender) | ((x["g"] == "comum") & ~gender.contains("plural")))
+    rows = s.withColumn("fits", fits).where(F.size("fits") >= 2)
+    names = F.array_join(F.transform("fits", lambda x: F.substring_index(x["name"], ":", -1)), ", ")
+    return finding(rows, "cohesion.reference.ambiguous_pronoun", "coesao", "observacao", 0.65, F.concat_ws(" ", "before", "text"), F.concat(F.lit("The pronoun '"), "opening", F.lit("' could mean: "), names, F.lit(".")), "Name the person if it isn't plain who is meant.")
 
 
 # --- coherence and factuality -----------------------------------------------------------
@@ -239,48 +357,49 @@ def _any(patterns: list[str]) -> Column:
     return hit
 
 
-def _scope(scope: str) -> list[str]:
-    return ["doc_id"] + {"livro": [], "capitulo": ["chapter"], "secao": ["chapter", "section"]}[scope]
+def _hits(lines: DataFrame, structs: list[Column], when) -> DataFrame:
+    """Text lines, a row for each rule's struct for which ``when`` holds: all rules in one scan. Extra columns k1 and k2 are the rule's scope."""
+    rows = lines.where("kind = 'text'").select("doc_id", "line", "chapter", "section", "text", F.explode(F.filter(F.array(*structs), when)).alias("h"))
+    return rows.select("*", "h.*").drop("h")
+
+
+def _scoped(i: int, rule: dict, default: str) -> list[Column]:
+    """The rule's place and its scope's keys; those that don't count are null."""
+    scope = rule.get("scope", default)
+    if scope not in ("livro", "capitulo", "secao"):
+        raise ValueError(f"unknown scope: {scope}")
+    null = F.lit(None).cast("string")
+    return [F.lit(i).alias("rule"), (null if scope == "livro" else F.col("chapter")).alias("k1"), (F.col("section") if scope == "secao" else null).alias("k2"), F.lit(str(rule["id"])).alias("rule_id")]
+
+
+_KEYS = ["doc_id", "rule", "k1", "k2"]
 
 
 def after_terminal(lines: DataFrame, rules: list[dict]) -> DataFrame:
     """What can't be after a terminal state, once per terminal line. Rules: id, terminal, incompatible (patterns), scope, confidence."""
-    out = None
-    for rule in rules:
-        keys, order = _scope(rule.get("scope", "capitulo")), [F.col("line")]
-        rows = lines.where("kind = 'text'").withColumns({"ends": _any(rule["terminal"]), "bad": _any(rule["incompatible"])}).where("ends OR bad")
-        rows = R.carry_forward(rows, keys, order, F.col("ends"), F.struct("line", "text"), "term").where("bad AND term IS NOT NULL").withColumn("term_line", F.col("term.line"))
-        rows = R.top_per_key(rows, [*keys, "term_line"], order)
-        found = finding(rows, "coherence.state.incompatible_after_terminal", "coerencia", "alerta", rule.get("confidence", 0.9), F.concat_ws(" / ", "term.text", "text"), f"State rule {rule['id']}: an activity follows its end.", "Check for a return, a memory or a contradiction.")
-        out = found if out is None else out.unionByName(found)
-    return out
+    structs = [F.struct(*_scoped(i, r, "capitulo"), F.lit(float(r.get("confidence", 0.9))).alias("sure"), _any(r["terminal"]).alias("ends"), _any(r["incompatible"]).alias("bad")) for i, r in enumerate(rules)]
+    order = [F.col("line")]
+    rows = _hits(lines, structs, lambda h: h["ends"] | h["bad"])
+    rows = R.carry_forward(rows, _KEYS, order, F.col("ends"), F.struct("line", "text"), "term").where("bad AND term IS NOT NULL").withColumn("term_line", F.col("term.line"))
+    rows = R.top_per_key(rows, [*_KEYS, "term_line"], order)
+    return finding(rows, "coherence.state.incompatible_after_terminal", "coerencia", "alerta", F.col("sure"), F.concat_ws(" / ", "term.text", "text"), F.concat(F.lit("State rule "), "rule_id", F.lit(": an activity follows its end.")), "Check for a return, a memory or a contradiction.")
 
 
 def milestone_order(lines: DataFrame, rules: list[dict]) -> DataFrame:
     """Milestones that come after a later one. Rules: id, milestones (lists of patterns in order), scope, confidence."""
-    out = None
-    for rule in rules:
-        idx = F.filter(F.array(*[F.when(_any(p), F.lit(i)) for i, p in enumerate(rule["milestones"])]), lambda x: x.isNotNull())
-        rows = lines.where("kind = 'text'").select("doc_id", "line", "chapter", "section", "text", F.explode(idx).alias("idx"))
-        w = W.partitionBy("doc_id").orderBy("line", "idx")
-        rows = rows.withColumn("prev", F.lag(F.struct("idx", "chapter", "section", "text")).over(w))
-        for key in _scope(rule.get("scope", "capitulo"))[1:]:
-            rows = rows.where(F.col(key).eqNullSafe(F.col(f"prev.{key}")))
-        found = finding(rows.where("idx < prev.idx"), "coherence.timeline.milestone_order", "coerencia", "alerta", rule.get("confidence", 0.9), F.concat_ws(" / ", "prev.text", "text"), f"Sequence {rule['id']}: milestones are out of order.", "Check the order of events.")
-        out = found if out is None else out.unionByName(found)
-    return out
+    structs = [F.struct(*_scoped(i, r, "capitulo"), F.lit(float(r.get("confidence", 0.9))).alias("sure"), F.lit(k).alias("idx"), _any(p).alias("hit")) for i, r in enumerate(rules) for k, p in enumerate(r["milestones"])]
+    rows = _hits(lines, structs, lambda h: h["hit"])
+    rows = rows.withColumn("prev", F.lag(F.struct("idx", "k1", "k2", "text")).over(W.partitionBy("doc_id", "rule").orderBy("line", "idx")))
+    rows = rows.where(F.col("k1").eqNullSafe(F.col("prev.k1")) & F.col("k2").eqNullSafe(F.col("prev.k2")) & (F.col("idx") < F.col("prev.idx")))
+    return finding(rows, "coherence.timeline.milestone_order", "coerencia", "alerta", F.col("sure"), F.concat_ws(" / ", "prev.text", "text"), F.concat(F.lit("Sequence "), "rule_id", F.lit(": milestones are out of order.")), "Check the order of events.")
 
 
 def conflicting_quantities(lines: DataFrame, rules: list[dict]) -> DataFrame:
     """Quantities that differ from the first one of their scope. Rules: id, patterns (group 1 is the value), scope, confidence."""
-    out = None
-    for rule in rules:
-        values = F.array(*[F.struct(F.lit(i).alias("p"), number_words(F.regexp_extract("text", "(?iU)" + p, 1)).alias("v")) for i, p in enumerate(rule["patterns"])])
-        rows = lines.where("kind = 'text'").select("doc_id", "line", "chapter", "section", "text", F.explode(F.filter(values, lambda x: x["v"].isNotNull())).alias("x"))
-        rows = R.conflicts_with_first(rows.select("*", "x.p", "x.v"), _scope(rule.get("scope", "livro")), [F.col("line"), F.col("p")], "v")
-        found = finding(rows, "coherence.fact.conflicting_quantity", "coerencia", "alerta", rule.get("confidence", 0.95), F.col("text"), f"Fact {rule['id']} has several values in one scope.", "Settle on one value.")
-        out = found if out is None else out.unionByName(found)
-    return out
+    value = lambda p: number_words(F.regexp_extract("text", "(?iU)" + p.replace("(?P<", "(?<"), 1))
+    structs = [F.struct(*_scoped(i, r, "livro"), F.lit(float(r.get("confidence", 0.95))).alias("sure"), F.lit(k).alias("p"), value(p).alias("v")) for i, r in enumerate(rules) for k, p in enumerate(r["patterns"])]
+    rows = R.conflicts_with_first(_hits(lines, structs, lambda h: h["v"].isNotNull()), _KEYS, [F.col("line"), F.col("p")], "v")
+    return finding(rows, "coherence.fact.conflicting_quantity", "coerencia", "alerta", F.col("sure"), F.col("text"), F.concat(F.lit("Fact "), "rule_id", F.lit(" is "), F.col("reference").cast("string"), F.lit(" first and "), F.col("v").cast("string"), F.lit(" here.")), "Settle on one value.")
 
 
 def coverage(lines: DataFrame, rules: dict[str, list[str]]) -> DataFrame:
@@ -294,36 +413,40 @@ def coverage(lines: DataFrame, rules: dict[str, list[str]]) -> DataFrame:
 def claim_support(lines: DataFrame, claims: list[dict], sources: dict[str, dict]) -> DataFrame:
     """The first fault of each claim that a document makes: an unknown source, a source without title
     or url, no source, or a status under review. Claims: id, patterns, sources, nature, status, confidence."""
-    out = None
-    for c in claims:
+    structs = []
+    for i, c in enumerate(claims):
         ids = c.get("sources", [])
-        unknown = [i for i in ids if i not in sources]
-        partial = [i for i in ids if i in sources and not all(sources[i].get(k) for k in ("titulo", "url"))]
+        unknown = [x for x in ids if x not in sources]
+        partial = [x for x in ids if x in sources and not all(sources[x].get(k) for k in ("titulo", "url"))]
         if unknown:
-            rule, severity, sure = "factuality.source.unknown_reference", "erro", 1.0
+            fault = ("factuality.source.unknown_reference", "erro", 1.0, f"refers to sources that aren't there: {', '.join(unknown)}")
         elif partial:
-            rule, severity, sure = "factuality.source.incomplete_metadata", "erro", 1.0
+            fault = ("factuality.source.incomplete_metadata", "erro", 1.0, f"has sources without title or url: {', '.join(partial)}")
         elif c.get("nature", "historica") in c.get("needs_source", ("historica", "cientifica", "biografica")) and not ids:
-            rule, severity, sure = "factuality.source.missing_support", "alerta", c.get("confidence", 0.85)
+            fault = ("factuality.source.missing_support", "alerta", float(c.get("confidence", 0.85)), "has no source")
         elif c.get("status") in c.get("review", ("nao_verificada", "contestada")):
-            rule, severity, sure = "factuality.claim.review_status", "alerta", c.get("confidence", 0.85)
+            fault = ("factuality.claim.review_status", "alerta", float(c.get("confidence", 0.85)), f"is marked {c['status']}")
         else:
             continue
-        rows = lines.where("kind = 'text'").where(_any(c["patterns"])).groupBy("doc_id").agg(F.min_by(F.struct("line", "chapter", "text"), "line").alias("f")).select("doc_id", "f.*")
-        found = finding(rows, rule, "factualidade", severity, sure, F.col("text"), f"Claim {c['id']} isn't supported as it stands.", "Add or complete a source, or reword the claim.")
-        out = found if out is None else out.unionByName(found)
-    return out
+        why = c.get("note") or f"Claim {c['id']} {fault[3]}."
+        fields = (("claim", i), ("code", fault[0]), ("severity", fault[1]), ("sure", fault[2]), ("why", why), ("what", c.get("advice") or "Add or complete a source, or reword the claim."))
+        structs.append(F.struct(*[F.lit(x).alias(n) for n, x in fields], _any(c["patterns"]).alias("hit")))
+    if not structs:
+        return lines.sparkSession.createDataFrame([], "doc_id " + lines.schema["doc_id"].dataType.simpleString() + ", " + FINDING)
+    rows = _hits(lines, structs, lambda h: h["hit"])
+    rows = rows.groupBy("doc_id", "claim").agg(F.min_by(F.struct("line", "chapter", "text", "code", "severity", "sure", "why", "what"), "line").alias("f")).select("doc_id", "f.*")
+    return finding(rows, F.col("code"), "factualidade", F.col("severity"), F.col("sure"), F.col("text"), F.col("why"), F.col("what"))
 
 
 def anachronisms(lines: DataFrame, rules: list[dict]) -> DataFrame:
-    """Terms out of their time, outside ignored sections. Rules: id, patterns, ignore (section titles), confidence."""
-    out = None
-    for rule in rules:
-        scope = ~F.lower(F.coalesce("section", F.lit(""))).isin([s.lower() for s in rule.get("ignore", ["Reflexão"])] or [""])
-        rows = lines.where("kind = 'text'").where(scope & _any(rule["patterns"]))
-        found = finding(rows, "factuality.anachronism.temporal_term", "factualidade", "alerta", rule.get("confidence", 0.95), F.col("text"), f"Term {rule['id']} doesn't fit the time of the story.", "Use an image of the time.")
-        out = found if out is None else out.unionByName(found)
-    return out
+    """Terms out of their time, outside ignored sections. Rules: id, patterns, ignore (section titles), confidence, note, advice."""
+    structs = []
+    for r in rules:
+        scope = ~F.lower(F.coalesce("section", F.lit(""))).isin([s.lower() for s in r.get("ignore", ["Reflexão"])] or [""])
+        fields = (("sure", float(r.get("confidence", 0.95))), ("why", r.get("note") or f"Term {r['id']} doesn't fit the time of the story."), ("what", r.get("advice") or "Use an image of the time."))
+        structs.append(F.struct(*[F.lit(x).alias(n) for n, x in fields], (scope & _any(r["patterns"])).alias("hit")))
+    rows = _hits(lines, structs, lambda h: h["hit"])
+    return finding(rows, "factuality.anachronism.temporal_term", "factualidade", "alerta", F.col("sure"), F.col("text"), F.col("why"), F.col("what"))
 
 
 # --- structure, point of view, style --------------------------------------------------------
@@ -370,16 +493,176 @@ def section_rules(lines: DataFrame, required: list[str], shares: dict[str, tuple
     out = finding(full.withColumn("m", F.explode(gone)), "structure.section.missing", "estrutura", "alerta", 0.95, F.col("m"), "A required section is missing.", "Add the section.")
     for name, (low, high) in shares.items():
         share = F.coalesce(F.try_element_at("parts", F.lit(name.lower())), F.lit(0)) / F.greatest(F.col("total"), F.lit(1))
-        out = out.unionByName(finding(full.where(F.array_contains("have", name.lower()) & ~share.between(low, high)), "structure.section.proportion", "estrutura", "observacao", 0.9, F.lit(name), "The section's share of the chapter is out of range.", "Shorten or extend it."))
+        out = out.unionByName(finding(full.where(F.array_contains("have", name.lower()) & ~share.between(low, high)), "structure.section.proportion_outside_range", "estrutura", "observacao", 0.8, F.lit(name), "The section's share of the chapter is out of range.", "Shorten or extend it."))
     few = full.where(F.coalesce("total", F.lit(0)) < min_words)
-    return out.unionByName(finding(few, "structure.chapter.min_words", "estrutura", "observacao", 0.9, F.col("chapter"), "The chapter is too short.", "Extend it."))
+    return out.unionByName(finding(few, "structure.chapter.below_min_words", "estrutura", "observacao", 0.85, F.col("chapter"), "The chapter is too short.", "Extend it."))
+
 
+_IMAGE = r"!\[(.*?)\]\((.*?)\)"
 
-# First-person verbs and phrases that address the reader.
+
+def section_repeats(lines: DataFrame, unique: list[str]) -> DataFrame:
+    """Sections that a chapter should hold once and holds more often."""
+    heads = lines.where("kind = 'heading' AND level > 1 AND chapter IS NOT NULL").where(F.lower("title").isin([u.lower() for u in unique] or [""]))
+    rows = heads.groupBy("doc_id", "chapter", F.lower("title").alias("k")).agg(F.count(F.lit(1)).alias("n"), F.min_by(F.struct("line", "title"), "line").alias("f")).where("n > 1").select("doc_id", "chapter", "n", "f.*")
+    return finding(rows, "structure.section.duplicate", "estrutura", "alerta", 0.95, F.col("title"), F.concat(F.lit("The section stands "), F.col("n").cast("string"), F.lit(" times in its chapter.")), "Keep one, or allow several.")
+
+
+def chapter_elements(lines: DataFrame, attribution: bool = False, image: bool = False, alt: bool = False, files: DataFrame | None = None) -> DataFrame:
+    """What chapters lack: a line of attribution (a quote), an image, an image's text; and images whose file isn't among ``files`` (path).
+
+    Web and data addresses are no files.
+    """
+    heads = lines.where("kind = 'heading' AND level = 1").groupBy("doc_id", F.col("title").alias("chapter")).agg(F.min("line").alias("line"))
+    marks = lines.where("chapter IS NOT NULL AND kind <> 'heading'").select("doc_id", "chapter", "line", F.trim("text").startswith(">").alias("quote"), F.regexp_extract_all("text", F.lit(_IMAGE), F.lit(0)).alias("images"))
+    per = marks.groupBy("doc_id", "chapter").agg(F.max("quote").alias("quote"), F.sum(F.size("images")).alias("n"))
+    full = heads.join(per, ["doc_id", "chapter"], "left")
+    out = []
+    if attribution:
+        out.append(finding(full.where(~F.coalesce("quote", F.lit(False))), "structure.element.missing_attribution", "estrutura", "alerta", 0.95, F.col("chapter"), "The chapter has no line of attribution.", "Add one, or don't ask for it."))
+    if image:
+        out.append(finding(full.where(F.coalesce("n", F.lit(0)) == 0), "structure.element.missing_image", "estrutura", "alerta", 0.95, F.col("chapter"), "The chapter has no image.", "Add one, or don't ask for it."))
+    each = marks.where(F.size("images") > 0).select("doc_id", "chapter", "line", F.explode("images").alias("m"))
+    each = each.select("doc_id", "chapter", "line", F.trim(F.regexp_extract("m", _IMAGE, 1)).alias("alt"), F.trim(F.regexp_extract("m", _IMAGE, 2)).alias("target"))
+    if alt:
+        out.append(finding(each.where("alt = ''"), "structure.image.missing_alt", "estrutura", "observacao", 0.99, F.concat(F.lit("![]("), "target", F.lit(")")), "The image has no text in its place.", "Say in a few words what it shows or is for."))
+    if files is not None:
+        gone = each.where(~F.col("target").rlike("(?i)^(?:https?:|data:)")).join(files.select(F.col("path").alias("target")), "target", "left_anti")
+        out.append(finding(gone, "structure.image.missing_file", "estrutura", "alerta", 1.0, F.col("target"), "The image's file isn't there.", "Add the file or mend the path."))
+    return _union(lines, out)
+
+
+def framework_mismatch(lines: DataFrame, expected: str) -> DataFrame:
+    """Documents whose front matter doesn't declare the expected framework."""
+    used = F.max(F.when(F.col("kind") == "front", F.regexp_extract("text", r"^framework_used:\s*[\"']?(.*?)[\"']?\s*$", 1)))
+    rows = lines.groupBy("doc_id").agg(used.alias("used")).where(F.coalesce("used", F.lit("")) != expected).withColumns({"line": F.lit(1), "chapter": F.lit(None).cast("string")})
+    return finding(rows, "structure.framework.mismatch", "estrutura", "alerta", 0.99, F.concat(F.lit("framework_used: "), F.coalesce(F.nullif("used", F.lit("")), F.lit("None"))), f"The book is set up for '{expected}'.", "Bring the front matter and the configuration together.")
+
+
+def _union(lines: DataFrame, parts: list[DataFrame]) -> DataFrame:
+    if not parts:
+        return lines.sparkSession.createDataFrame([], "doc_id " + lines.schema["doc_id"].dataType.simpleString() + ", " + FINDING)
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def structure(lines: DataFrame, config: dict, files: DataFrame | None = None) -> DataFrame:
+    """All structure rules that ``config`` asks for (keys as ``rules_from_config`` gives them)."""
+    c = config
+    parts = [heading_jumps(lines, c.get("max_jump", 1)), duplicate_titles(lines)]
+    kept = lines
+    if c.get("ignored_chapters"):
+        kept = lines.where(~F.lower(F.coalesce("chapter", F.lit(""))).isin([x.lower() for x in c["ignored_chapters"]]))
+    if c.get("framework"):
+        parts.append(framework_mismatch(lines, c["framework"]))
+    if c.get("registry"):
+        parts.append(registry_check(kept, c["registry"], tuple(x.lower() for x in c.get("pending", ("pendente",)))))
+    if c.get("required") or c.get("shares") or c.get("min_words"):
+        parts.append(section_rules(kept, c.get("required", []), c.get("shares", {}), c.get("min_words", 0)))
+    if c.get("unique", c.get("required")):
+        parts.append(section_repeats(kept, c.get("unique", c.get("required"))))
+    e = c.get("elements", {})
+    if e:
+        parts.append(chapter_elements(kept, bool(e.get("atribuicao")), bool(e.get("imagem")), bool(e.get("texto_alternativo_imagem")), files if e.get("arquivo_imagem") else None))
+    out = _union(lines, parts)
+    return out.where(~F.col("rule").isin(list(c["ignored"]))) if c.get("ignored") else out
+
+
+def rules_from_config(config: dict) -> dict[str, object]:
+    """The rules of a book's YAML configuration, as the operators take them: states, sequences, facts, claims, sources, terms, structure, readability, entities, style, banned, view, ignored."""
+    review = config.get("revisao") or {}
+    coherence, facts, structure_ = review.get("coerencia") or {}, review.get("factualidade") or {}, review.get("estrutura") or {}
+    cohesion, view = review.get("coesao") or {}, review.get("ponto_de_vista") or {}
+    with_ = lambda rule, **more: {"id": rule.get("id", more.pop("name")), **{k: v for k, v in more.items() if v is not None}}
+    registry = structure_.get("registro_capitulos") or {}
+    entries = config.get(registry.get("campo"), []) if registry.get("campo") else []
+    return {
+        "states": [with_(r, name="estado", terminal=r.get("padroes_terminais", []), incompatible=r.get("padroes_incompativeis", r.get("padroes_atividade", [])), scope=r.get("escopo"), confidence=r.get("confianca")) for r in coherence.get("estados", [])],
+        "sequences": [with_(r, name="sequencia", milestones=[m.get("padroes", []) for m in r.get("marcos", [])], scope=r.get("escopo"), confidence=r.get("confianca")) for r in coherence.get("sequencias", [])],
+        "facts": [with_(r, name="quantidade", patterns=r.get("padroes", []), scope=r.get("escopo"), confidence=r.get("confianca")) for r in coherence.get("fatos_numericos", [])],
+        "claims": [
+            with_(r, name="alegacao", patterns=r.get("padroes", []), sources=list(r.get("fontes", [])), nature=r.get("natureza"), status=r.get("status", "nao_verificada"), confidence=r.get("confianca"), note=r.get("nota"), advice=r.get("sugestao"))
+            for r in facts.get("alegacoes", [])
+        ],
+        "sources": facts.get("fontes", {}),
+        "terms": [with_(r, name="termo_temporal", patterns=r.get("padroes", []), ignore=r.get("ignorar_secoes"), confidence=r.get("confianca"), note=r.get("nota"), advice=r.get("sugestao")) for r in facts.get("termos_temporais", [])],
+        "structure": {
+            k: v for k, v in {
+                "max_jump": (structure_.get("hierarquia_titulos") or {}).get("salto_maximo"), "framework": structure_.get("framework_esperado") or config.get("framework"),
+                "registry": [str(x.get(registry.get("campo_titulo", "titulo"), "")) for x in entries], "pending": registry.get("valores_pendentes"),
+                "required": structure_.get("secoes_obrigatorias"), "unique": structure_.get("secoes_unicas"), "elements": structure_.get("elementos_obrigatorios"),
+                "min_words": structure_.get("min_palavras_capitulo"), "ignored_chapters": structure_.get("capitulos_ignorados"), "ignored": structure_.get("ignorar_regras"),
+                "shares": {name: (float(x.get("min", 0)), float(x.get("max", 1))) for name, x in (structure_.get("proporcoes_secoes") or {}).items()},
+            }.items() if v
+        },
+        "readability": {k: v for k, v in (review.get("legibilidade") or {}).items()},
+        "entities": cohesion.get("entidades", {}),
+        "view": tuple(view.get("secoes_permitidas_1a_pessoa", ("Prefácio", "Reflexão"))),
+        "ignored": tuple((review.get("gramatica") or {}).get("ignorar_regras", ())),
+        "style": (config.get("style_sheet") or {}).get("grafia_estrita", {}),
+        "banned": (config.get("style_sheet") or {}).get("termos_anacronicos_proibidos", []),
+    }
+
+
+def configured(lines: DataFrame, config: dict, files: DataFrame | None = None) -> DataFrame:
+    """Findings of every configured rule on the lines of a book, as one table."""
+    rules, sentences = rules_from_config(config), T.sentence_table(lines)
+    parts = [grammar(lines, rules["ignored"]), balance(lines), connector_pairs(sentences), repeated_openings(sentences), ambiguous_pronouns(sentences, rules["entities"]), point_of_view(lines, rules["view"])]
+    for fn, key in ((after_terminal, "states"), (milestone_order, "sequences"), (conflicting_quantities, "facts"), (anachronisms, "terms")):
+        if rules[key]:
+            parts.append(fn(lines, rules[key]))
+    parts += [claim_support(lines, rules["claims"], rules["sources"]), structure(lines, rules["structure"], files), readability(lines, **{k: rules["readability"][k] for k in READABILITY if k in rules["readability"]})]
+    return _union(lines, parts)
+
+
+# The goals of readability.
+READABILITY = {"min_flesch": 60.0, "max_palavras_frase": 24, "silabas_palavra_dificil": 4, "min_letras_palavra_dificil": 8, "min_palavras_secao": 40, "max_itens_relatorio": 10, "ignorar_palavras": ()}
+
+
+def readability(lines: DataFrame, **goals) -> DataFrame:
+    """readability.global_target, section_below_target, long_sentence and potentially_difficult_word.
+
+    Long sentences and difficult words are reported up to ``max_itens_relatorio`` of a
+    document: the first sentences, and the most frequent words.
+    """
+    g = READABILITY | goals
+    clean = F.regexp_replace(F.trim("text"), "[*_`]", "")
+    rows = lines.where("kind IN ('text', 'fence')").select("doc_id", "line", "chapter", "section", "context", clean.alias("t")).where(F.col("t").rlike(T.WORD))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "t"))), lambda x: x["t"]), "\n").alias("t")
+
+    def scored(by: list[str]) -> DataFrame:
+        out = rows.groupBy(*by).agg(F.min("line").alias("line"), joined)
+        w, s, y = T.reading_counts(F.col("t"))
+        return out.withColumns({"w": w, "s": s, "y": y}).withColumn("score", T.flesch(F.col("w"), F.col("s"), F.col("y")))
+
+    text = F.col("score").cast("string")
+    whole = scored(["doc_id"]).where(F.col("score") < g["min_flesch"]).withColumns({"line": F.lit(1), "chapter": F.lit(None).cast("string")})
+    out = [finding(whole, "readability.global_target", "legibilidade", "alerta", 0.75, F.concat(F.lit("Score: "), text), f"The text scores below {g['min_flesch']}.", "Look at the densest passages; the score asks for nothing by itself.")]
+    parts = scored(["doc_id", "chapter", "section"]).where((F.col("w") >= g["min_palavras_secao"]) & (F.col("score") < g["min_flesch"]))
+    name = F.concat(F.coalesce("chapter", F.lit("Sem capítulo")), F.lit(" — "), F.coalesce("section", F.lit("Narração")))
+    out.append(finding(parts, "readability.section_below_target", "legibilidade", "observacao", 0.7, name, F.concat(F.lit("The section scores "), text, F.lit(f", below {g['min_flesch']}.")), "Revise the densest passages, unless the style is meant."))
+    long = T.sentence_table(lines).withColumn("n", F.size(T.words(F.col("text")))).where(F.col("n") > g["max_palavras_frase"])
+    long = R.top_per_key(long, ["doc_id"], [F.col("line"), F.col("index")], g["max_itens_relatorio"])
+    out.append(finding(long, "readability.long_sentence", "legibilidade", "observacao", 0.85, F.col("text"), F.concat(F.lit("The sentence has "), F.col("n").cast("string"), F.lit(f" words; the limit is {g['max_palavras_frase']}.")), "Read it aloud, and divide it if it loses breath."))
+    words = rows.select("doc_id", "line", "chapter", F.posexplode(T.words(F.col("t"))).alias("p", "word")).withColumn("k", F.lower("word"))
+    words = words.where((F.length("k") >= g["min_letras_palavra_dificil"]) & (T.syllables(F.col("k")) >= g["silabas_palavra_dificil"]))
+    if g["ignorar_palavras"]:
+        words = words.where(~F.col("k").isin([x.lower() for x in g["ignorar_palavras"]]))
+    hard = words.groupBy("doc_id", "k").agg(F.count(F.lit(1)).alias("n"), F.min_by(F.struct("line", "chapter", "word"), F.struct("line", "p")).alias("f")).select("doc_id", "k", "n", "f.*")
+    hard = R.top_per_key(hard, ["doc_id"], [F.desc("n"), F.col("k")], g["max_itens_relatorio"])
+    why = F.concat(F.lit("About "), T.syllables(F.col("k")).cast("string"), F.lit(" syllables, found "), F.col("n").cast("string"), F.lit(" times."))
+    out.append(finding(hard, "readability.potentially_difficult_word", "legibilidade", "informacao", 0.5, F.col("word"), why, "See whether the context explains it."))
+    return _union(lines, out)
+
+
+# First-person verbs.
 FIRST_PERSON = (
     r"\b(?:eu\s+)?(?:vi|percebi|senti|notei|pensei|decidi|caminhei|olhei|observei)\b",
     r"\b(?:nós\s+)?(?:vimos|percebemos|sentimos|notamos|pensamos|decidimos|caminhamos|olhamos|observamos)\b",
 )
+# Words to the reader.
 READER = (r"\bcomo\s+você\s+(?:verá|sabe|percebeu|aprenderá)\b", r"\bcaro\s+leitor\b", r"\bleitora?\b", r"\bveja\s+bem\b", r"\bobserve\s+que\b")
 
 
@@ -398,12 +681,15 @@ META = (
     "é importante dizer", "é importante destacar", "é importante ressaltar", "é importante notar", "vale destacar", "vale ressaltar", "cabe destacar",
     "cabe ressaltar", "convém destacar", "convém ressaltar", "não podemos esquecer", "é fundamental notar", "é preciso dizer", "importante mencionar",
 )
+# A negation and its correction.
 ANTITHESIS = (
     r"não\s+(?:é|são)\s+(?:apenas\s+|só\s+|somente\s+)?[^,.;!?—\n]{1,80}[,;]\s*(?:mas(?:\s+sim)?|e\s+sim)\b[^.;!?—\n]{1,240}",
     r"não\s+(?:apenas|só|somente)\s+[^,.;!?—\n]{1,80}[,;]?\s*mas\s+também\b[^.;!?—\n]{1,240}",
     r"\bo que\b[^.\n]{1,80};\s*o que\b",
 )
+# Fixed value: a question answered at once.
 QUESTION_ANSWER = r"[^.!?\n]{5,120}\?\s*Porque\b"
+# Openings that a run may repeat.
 ANAPHORA = ("que", "não", "seja", "sejam", "assim")
 
 

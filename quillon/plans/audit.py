@@ -19,6 +19,22 @@ _LINES = f"SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS
 _TEXT = f"SELECT l.doc_id, l.line, l.t, d.lang AS chapter, d.source AS section FROM ({_LINES}) l JOIN documents d USING (doc_id) WHERE line > 2 AND trim(t) <> '' AND trim(t) <> '---' AND NOT starts_with(trim(t), ':::') AND NOT starts_with(trim(t), '![') AND NOT starts_with(trim(t), '>') AND NOT starts_with(trim(t), '```') AND NOT regexp_matches(trim(t), '^#{{1,3}}\\s+.+')"
 
 
+#: Faults by document, each a line of its own: what the grammar, balance, autofix and typography rules look for.
+_FAULTS = ((5, 0, "Uma lista,colada;aqui: fim"), (7, 1, "Um lado ( aberto"), (6, 2, "Sim,, talvez;; ou não,,, nunca"), (4, 3, "- Fala - Disse o homem  velho"), (9, 4, "foi foi embora embora"))
+_FAULTY_MS = "SELECT doc_id, text" + "".join(f" || CASE WHEN doc_id % {m} = {r} THEN chr(10) || '{t}' ELSE '' END" for m, r, t in _FAULTS) + f" AS text FROM ({_MS})"
+_FAULTY_LINES = _LINES.replace(_MS, _FAULTY_MS)
+_FAULTY = _TEXT.replace(_MS, _FAULTY_MS)
+
+
+def faulty_manuscript(spark, root):
+    extra = [F.when(F.col("doc_id") % m == r, F.lit("\n" + t)).otherwise("") for m, r, t in _FAULTS]
+    return manuscript(spark, root).select("doc_id", F.concat("text", *extra).alias("text"))
+
+
+def faulty_lines(spark, root):
+    return T.line_table(faulty_manuscript(spark, root))
+
+
 def manuscript(spark, root):
     d = table(spark, root, "documents")
     mark = F.when(F.col("doc_id") % 3 == 0, "### ").otherwise("## ")
@@ -34,10 +50,54 @@ def f13(spark, root):
     return lines(spark, root).where("kind = 'text'").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("chapter").alias("chapter"), F.min("section").alias("section"))
 
 
-@query("r1_grammar", f"WITH t AS ({_TEXT}) SELECT doc_id, CAST(sum(len(regexp_extract_all(t, '[,;:][A-Za-zÀ-úà-ÿ]')) ) AS BIGINT) AS n FROM t GROUP BY doc_id HAVING sum(len(regexp_extract_all(t, '[,;:][A-Za-zÀ-úà-ÿ]'))) > 0")
+@query("r1_grammar", f"""
+    WITH t AS ({_FAULTY}), n AS (SELECT doc_id, len(regexp_extract_all(t, '[,;:][A-Za-zÀ-úà-ÿ]')) AS gap, len(regexp_extract_all(t, ',,+|;;+')) AS twice FROM t)
+    SELECT doc_id, sum(gap)::BIGINT AS missing_space, sum(twice)::BIGINT AS repeated FROM n GROUP BY doc_id HAVING sum(gap + twice) > 0""")
 def r1(spark, root):
-    found = A.grammar(lines(spark, root)).where("rule = 'grammar.punctuation.missing_space_after_mark'")
-    return found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    found = A.grammar(faulty_lines(spark, root)).where("rule IN ('grammar.punctuation.missing_space_after_mark', 'grammar.punctuation.repeated_separator')")
+    return found.groupBy("doc_id").agg(*[F.count_if(F.col("rule").endswith(end)).alias(name) for end, name in (("space_after_mark", "missing_space"), ("repeated_separator", "repeated"))])
+
+
+#: A line for each grammar rule, which fires that one alone: (rule, line, excerpt, severity, confidence, what the match becomes).
+_EACH = (
+    *[(code, f"Ali {wrong} estava.", wrong, "erro", 0.99, right) for code, (wrong, right) in A.SPELLING.items()],
+    ("grammar.agreement.possible_existential_houveram", "Ontem houveram festas.", "houveram", "observacao", 0.65, None),
+    ("grammar.agreement.existential_haver_plural", "Lá haviam muitos barcos.", "haviam muitos", "alerta", 0.9, None),
+    ("grammar.agreement.existir_plural_noun", "Sempre existe vários modos.", "existe vários", "alerta", 0.92, None),
+    ("grammar.agreement.haver_auxiliary_plural", "Hoje deve haverem provas.", "deve haverem", "erro", 0.96, None),
+    ("grammar.agreement.elapsed_time_fazer", "Já fazem dez anos disso.", "fazem dez anos", "erro", 0.97, None),
+    ("grammar.agreement.a_gente_plural", "Hoje a gente vamos cedo.", "a gente vamos", "observacao", 0.9, None),
+    ("grammar.agreement.nos_singular", "Ontem nós foi cedo.", "nós foi", "alerta", 0.93, None),
+    ("grammar.agreement.eles_singular", "Ontem elas era boas.", "elas era", "alerta", 0.94, None),
+    ("grammar.agreement.simple_singular_subject_rangeram", "Enfim a porta rangeram.", "a porta rangeram", "erro", 0.98, "a porta rangeu"),
+    ("grammar.regency.preferir_do_que", "Eu prefiro chuva do que vento.", "prefiro chuva do que", "observacao", 0.8, None),
+    ("grammar.regency.obedecer_direct_article", "Convém obedecer a lei.", "obedecer a", "observacao", 0.85, None),
+    ("grammar.pronoun.entre_eu", "Fica entre eu e ti.", "entre eu e", "erro", 0.97, None),
+    ("grammar.pronoun.para_mim_infinitive", "Deixa para mim fazer.", "para mim fazer", "observacao", 0.75, None),
+    ("grammar.crasis.invalid_before_fixed_expression", "Vamos à pé.", "à pé", "erro", 0.99, "a pé"),
+    ("grammar.crasis.a_medida_que", "Cresce a medida que chove.", "a medida que", "erro", 0.98, "à medida que"),
+    ("grammar.crasis.as_vezes", "Chove as vezes.", "as vezes", "erro", 0.98, "às vezes"),
+    ("grammar.crasis.daqui_a", "Volta daqui à pouco.", "daqui à", "erro", 0.99, "daqui a "),
+    ("grammar.crasis.masculine_locution", "Paga à longo prazo.", "à longo prazo", "erro", 0.98, None),
+    ("grammar.punctuation.space_before_mark", "Sim ! Talvez.", "!", "erro", 0.99, "!"),
+    ("grammar.punctuation.missing_space_after_mark", "Sim;talvez.", ";", "erro", 0.98, "; "),
+    ("grammar.punctuation.repeated_separator", "Sim;; talvez.", ";;", "erro", 0.99, ";"),
+    ("grammar.punctuation.space_after_open_parenthesis", "Sim ( talvez).", "(", "erro", 0.99, "("),
+    ("grammar.punctuation.space_before_close_parenthesis", "Sim (talvez ).", ")", "erro", 0.99, ")"),
+    ("grammar.duplication.adjacent_word", "Foi embora embora.", "embora embora", "erro", 0.98, None),
+)
+_quoted = lambda x: "NULL" if x is None else "'" + x.replace("'", "''") + "'"
+_EACH_SQL = ", ".join(f"({k}, {_quoted(code)}, {_quoted(m)}, {_quoted(sev)}, {sure}, {_quoted(to)})" for k, (code, _, m, sev, sure, to) in enumerate(_EACH))
+
+
+@query("r1_each_rule", f"""
+    WITH e(k, rule, excerpt, severity, confidence, replacement) AS (VALUES {_EACH_SQL})
+    SELECT doc_id, rule, 1 AS line, excerpt, severity, confidence::DOUBLE AS confidence, replacement IS NOT NULL AS auto_fixable, replacement FROM documents JOIN e ON k = doc_id % {len(_EACH)}""")
+def r1_each(spark, root):
+    """Every rule by itself: each document is a line that breaks one of them."""
+    phrases = F.array(*[F.lit(line) for _, line, *_ in _EACH])
+    d = table(spark, root, "documents").select("doc_id", F.get(phrases, (F.col("doc_id") % len(_EACH)).cast("int")).alias("text"))
+    return A.grammar(T.line_table(d), replacement=True).select("doc_id", "rule", "line", "excerpt", "severity", "confidence", "auto_fixable", "replacement")
 
 
 @query("r1_all_rules")
@@ -45,20 +105,33 @@ def r1_all(spark, root):
     return A.grammar(lines(spark, root))
 
 
-@query("r2_duplicate_words")
+_END, _HEAD = "([A-Za-zÀ-úà-ÿ]{2,})$", "^([A-Za-zÀ-úà-ÿ]{2,})"
+
+
+@query("r2_duplicate_words", f"""
+    WITH t AS ({_FAULTY}), w AS (SELECT doc_id, line, unnest(string_split_regex(t, '\\s+')) AS w, generate_subscripts(string_split_regex(t, '\\s+'), 1) AS p FROM t),
+    e AS (SELECT doc_id, line, p, w, lower(regexp_extract(w, '(?:^|[^\\pL\\pN_]){_END}', 1)) AS tail, lower(regexp_extract(w, '{_HEAD}(?:[^\\pL\\pN_]|$)', 1)) AS head FROM w),
+    n AS (SELECT *, lead(head) OVER (PARTITION BY doc_id, line ORDER BY p) AS next FROM e),
+    f AS (SELECT * FROM n WHERE tail <> '' AND tail <> 'que' AND tail = next),
+    r AS (SELECT doc_id, line, p - row_number() OVER (PARTITION BY doc_id, line ORDER BY p) AS island FROM f),
+    c AS (SELECT doc_id, (count(*) + 1) // 2 AS n FROM r GROUP BY doc_id, line, island) SELECT doc_id, sum(n)::BIGINT AS n FROM c GROUP BY doc_id""")
 def r2(spark, root):
-    return A.grammar(lines(spark, root)).where("rule = 'grammar.duplication.adjacent_word'").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    return A.grammar(faulty_lines(spark, root)).where("rule = 'grammar.duplication.adjacent_word'").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("r3_balance", f"WITH t AS ({_TEXT}) SELECT doc_id, min(line)::INT AS line FROM t WHERE t LIKE '%(%' OR t LIKE '%)%' GROUP BY doc_id HAVING sum(length(t) - length(replace(t, '(', ''))) <> sum(length(t) - length(replace(t, ')', '')))")
+@query("r3_balance", f"""
+    WITH t AS ({_FAULTY}), n AS (SELECT doc_id, line, length(t) - length(replace(t, '(', '')) AS a, length(t) - length(replace(t, ')', '')) AS b, length(t) - length(replace(t, '"', '')) AS q FROM t)
+    SELECT doc_id, 'grammar.punctuation.unbalanced_parentheses' AS rule, (min(line) FILTER (WHERE a + b > 0))::INT AS line FROM n GROUP BY doc_id HAVING sum(a) <> sum(b)
+    UNION ALL SELECT doc_id, 'grammar.punctuation.unbalanced_straight_quotes', (min(line) FILTER (WHERE q > 0))::INT FROM n GROUP BY doc_id HAVING sum(q) % 2 = 1""")
 def r3(spark, root):
-    return A.balance(lines(spark, root)).where("rule = 'grammar.punctuation.unbalanced_parentheses'").select("doc_id", "line")
+    return A.balance(faulty_lines(spark, root)).where("rule <> 'grammar.punctuation.unbalanced_smart_quotes'").select("doc_id", "rule", "line")
 
 
-@query("r4_autofix", f"WITH t AS ({_TEXT}) SELECT doc_id, line::INT AS line, regexp_replace(replace(t, ',,', ','), ',+', ',', 'g') = t AS same FROM t WHERE t LIKE '%,,%'")
+@query("r4_autofix", f"""
+    WITH t AS ({_FAULTY}) SELECT doc_id, line::INT AS line, regexp_replace(regexp_replace(t, ',,+', ',', 'g'), ';;+', ';', 'g') AS fixed FROM t WHERE regexp_matches(t, '^Sim,, .*')""")
 def r4(spark, root):
-    t = lines(spark, root).where("kind = 'text'").where(F.col("text").contains(",,"))
-    return t.select("doc_id", "line", (A.autofix(F.col("text"), F.col("context") == "dialogue") == F.col("text")).alias("same"))
+    t = faulty_lines(spark, root).where("kind = 'text'").where(F.col("text").rlike("^Sim,, "))
+    return t.select("doc_id", "line", A.autofix(F.col("text"), F.col("context") == "dialogue").alias("fixed"))
 
 
 @query("r5_connector_pairs", f"WITH t AS ({_TEXT}), s AS (SELECT doc_id, unnest(regexp_extract_all(regexp_replace(trim(t), '[*_`]', '', 'g'), '[^.!?]+(?:[.!?]+|$)')) AS s FROM t) SELECT doc_id, CAST(sum(len(regexp_extract_all(lower(' ' || trim(s) || ' '), '[^a-zà-ÿ]the\\s+of[^a-zà-ÿ]'))) AS BIGINT) AS n FROM s GROUP BY doc_id HAVING sum(len(regexp_extract_all(lower(' ' || trim(s) || ' '), '[^a-zà-ÿ]the\\s+of[^a-zà-ÿ]'))) > 0")
@@ -67,24 +140,47 @@ def r5(spark, root):
     return found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("r6_repeated_openings")
+_SENT = f"""t AS ({_TEXT}), s0 AS (SELECT doc_id, line, chapter, starts_with(trim(t), '—') AS spoken, unnest(x) AS s, generate_subscripts(x, 1) AS i
+      FROM (SELECT *, regexp_extract_all(regexp_replace(trim(t), '[*_`]', '', 'g'), '[^.!?]+(?:[.!?]+|$)') AS x FROM t)), s AS (SELECT doc_id, line, chapter, spoken, i, trim(s) AS s FROM s0 WHERE regexp_matches(s, '[A-Za-zÀ-úà-ÿ]'))"""
+_PLAIN_UP = "translate(lower({}), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿß', 'xxxxxxxxxxxxxxxxxxxxxxxxxxxxxx')"
+
+
+@query("r6_repeated_openings", f"""
+    WITH {_SENT}, k AS (SELECT *, nullif(regexp_extract({_PLAIN_UP.format("s")}, '^[—\\s"''“”]*(the of|der|the|de|la|of)\\b', 1), '') AS key FROM s),
+    r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, chapter ORDER BY line, i) - row_number() OVER (PARTITION BY doc_id, chapter, key ORDER BY line, i) AS island FROM k)
+    SELECT doc_id, min(line)::INT AS line, count(*) AS sentences FROM r WHERE key IS NOT NULL GROUP BY doc_id, chapter, key, island HAVING count(*) >= 3""")
 def r6(spark, root):
-    return A.repeated_openings(T.sentence_table(lines(spark, root)), ["the", "the of", "of", "der", "la", "de"], 3)
+    found = A.repeated_openings(T.sentence_table(lines(spark, root)), ["the", "the of", "of", "der", "la", "de"], 3)
+    return found.select("doc_id", "line", F.regexp_extract("explanation", "^([0-9]+)", 1).cast("long").alias("sentences"))
 
 
-@query("r7_ambiguous_pronouns")
+@query("r7_ambiguous_pronouns", f"""
+    WITH {_SENT}, b AS (SELECT *, lag(s) OVER w AS before, lag(chapter) OVER w AS before_chapter FROM s WINDOW w AS (PARTITION BY doc_id ORDER BY line, i))
+    SELECT doc_id, line::INT AS line, count(*) AS n FROM b WHERE NOT spoken AND before IS NOT NULL AND chapter IS NOT DISTINCT FROM before_chapter AND regexp_matches({_PLAIN_UP.format("s")}, '^[—\\s"''“”]*the\\b')
+      AND regexp_matches({_PLAIN_UP.format("before")}, '\\band\\b') AND regexp_matches({_PLAIN_UP.format("before")}, '\\bof\\b') GROUP BY ALL""")
 def r7(spark, root):
-    return A.ambiguous_pronouns(T.sentence_table(lines(spark, root)), {"and": "masculino", "of": "masculino", "with": "feminino"}, {"the": "masculino"})
+    found = A.ambiguous_pronouns(T.sentence_table(lines(spark, root)), {"and": "masculino", "of": "masculino", "with": "feminino"}, {"the": "masculino"}, {})
+    return found.groupBy("doc_id", "line").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("r7_referents", """
+    WITH e(k, names) AS (VALUES (0, 'entity:Rui|noun:menina'), (1, 'entity:Rui'), (2, 'noun:velho mestre'), (3, 'noun:homem|noun:mulher'), (4, 'entity:Rui|entity:Ana'), (5, 'noun:jovem'))
+    SELECT doc_id, names FROM documents JOIN e ON k = doc_id % 6""")
+def r7_referents(spark, root):
+    """Names, nouns beside them, and nouns that are one person."""
+    said = F.array(*[F.lit(x) for x in ("Rui viu que a menina dormia.", "Rui, o pai, dormia.", "O velho mestre dormia.", "O homem dormia; a mulher lia.", "Rui e a menina Aninha e Ana liam, disse o Rui.", "A jovem lia.")])
+    d = table(spark, root, "documents").select("doc_id", F.get(said, (F.col("doc_id") % 6).cast("int")).alias("t"))
+    found = A.referents(F.col("t"), {"Rui": "masculino", "Ana": {"genero": "feminino", "aliases": ["Ana", "menina Aninha"]}}, A.PERSONS)
+    return d.select("doc_id", F.array_join(F.transform(found, lambda x: x["name"]), "|").alias("names"))
 
 
 @query("r8_after_terminal", f"""
-    WITH t AS ({_TEXT}), f AS (SELECT *, regexp_matches(t, '(^|[^A-Za-zÀ-ÿ])(was|die)([^A-Za-zÀ-ÿ]|$)') AS ends, regexp_matches(t, '(^|[^A-Za-zÀ-ÿ])(with|von)([^A-Za-zÀ-ÿ]|$)') AS bad FROM t),
+    WITH t AS ({_TEXT}), f AS (SELECT *, regexp_matches(t, '(?i)(^|[^A-Za-zÀ-ÿ])(was|die)([^A-Za-zÀ-ÿ]|$)') AS ends, regexp_matches(t, '(?i)(^|[^A-Za-zÀ-ÿ])(with|von)([^A-Za-zÀ-ÿ]|$)') AS bad FROM t),
     g AS (SELECT *, max(CASE WHEN ends THEN line END) OVER (PARTITION BY doc_id, chapter ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS term FROM f)
     SELECT doc_id, min(line)::INT AS line FROM g WHERE bad AND term IS NOT NULL GROUP BY doc_id, term""")
 def r8(spark, root):
     rules = [{"id": "end", "terminal": [r"(^|[^A-Za-zÀ-ÿ])(was|die)([^A-Za-zÀ-ÿ]|$)"], "incompatible": [r"(^|[^A-Za-zÀ-ÿ])(with|von)([^A-Za-zÀ-ÿ]|$)"]}]
-    low = lines(spark, root).withColumn("text", F.regexp_replace("text", "[A-ZÀ-Þ]", "x"))  # patterns ignore case; the oracle's don't
-    return A.after_terminal(low, rules).select("doc_id", "line")
+    return A.after_terminal(lines(spark, root), rules).select("doc_id", "line")
 
 
 @query("r9_milestones", f"""
@@ -132,15 +228,75 @@ def r14_sections(spark, root):
     return A.section_rules(lines(spark, root), ["src0"], {}).select("doc_id", "rule")
 
 
+@query("r14_elements", """
+    SELECT doc_id, unnest(list_filter([
+      CASE WHEN doc_id % 4 <> 0 THEN 'structure.element.missing_attribution' END, CASE WHEN doc_id % 5 <> 0 THEN 'structure.element.missing_image' END,
+      CASE WHEN doc_id % 10 = 0 THEN 'structure.image.missing_alt' END, CASE WHEN doc_id % 15 = 0 THEN 'structure.image.missing_file' END,
+      CASE WHEN doc_id % 6 = 1 THEN 'structure.section.duplicate' END, CASE WHEN doc_id % 7 <> 0 THEN 'structure.framework.mismatch' END, 'structure.chapter.below_min_words'], lambda x : x IS NOT NULL)) AS rule FROM documents""")
+def r14_elements(spark, root):
+    """A short chapter a document, with or without a line of attribution, an image, its text and file, a section twice, and a framework."""
+    d, on = F.col("doc_id"), lambda m, r, t: F.when(F.col("doc_id") % m == r, t).otherwise("")
+    image = F.when(d % 10 == 0, F.concat(F.lit("![]("), d.cast("string"), F.lit(".png)\n"))).when(d % 5 == 0, F.concat(F.lit("![mapa](https://x/"), d.cast("string"), F.lit(".png)\n"))).otherwise("")
+    image = F.when((d % 15 == 0) & (d % 10 != 0), "![mapa](gone.png)\n").when(d % 30 == 0, "![](gone.png)\n").otherwise(image)
+    text = F.concat(F.lit("---\nframework_used: "), F.when(d % 7 == 0, "three acts").otherwise("other"), F.lit("\n---\n# A\n"), on(4, 0, "> by someone\n"), image, F.lit("## Part\nfew words\n"), on(6, 1, "## Part\nmore\n"))
+    docs_ = table(spark, root, "documents").select("doc_id", text.alias("text"))
+    files = docs_.select(F.concat(F.col("doc_id").cast("string"), F.lit(".png")).alias("path"))
+    config = {"framework": "three acts", "unique": ["Part"], "min_words": 50, "elements": {"atribuicao": True, "imagem": True, "texto_alternativo_imagem": True, "arquivo_imagem": True}}
+    return A.structure(T.line_table(docs_), config, files).select("doc_id", "rule")
+
+
+@query("r17_long_sentences", f"""
+    WITH {_SENT}, n AS (SELECT *, len(regexp_extract_all(s, '[A-Za-zÀ-úà-ÿ]+')) AS n FROM s), k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line, i) AS k FROM n WHERE n > 24)
+    SELECT doc_id, line::INT AS line, count(*) AS n FROM k WHERE k <= 10 GROUP BY ALL""")
+def r17_long(spark, root):
+    return A.readability(lines(spark, root)).where("rule = 'readability.long_sentence'").groupBy("doc_id", "line").agg(F.count(F.lit(1)).alias("n"))
+
+
+_HARD = f"[{T.VOWELS}]+"
+
+
+@query("r17_difficult_words", f"""
+    WITH t AS ({_TEXT.replace(" AND NOT starts_with(trim(t), '```')", "")}), w AS (SELECT doc_id, line, unnest(regexp_extract_all(t, '[A-Za-zÀ-úà-ÿ]+')) AS w FROM (SELECT doc_id, line, regexp_replace(trim(t), '[*_`]', '', 'g') AS t FROM t)),
+    c AS (SELECT doc_id, lower(w) AS k, count(*) AS n, min(line) AS line FROM w WHERE length(w) >= 8 AND greatest(1, len(regexp_extract_all(lower(w), '{_HARD}'))) >= 4 GROUP BY ALL),
+    r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, k) AS r FROM c) SELECT doc_id, k AS word, line::INT AS line FROM r WHERE r <= 10""")
+def r17_hard(spark, root):
+    return A.readability(lines(spark, root)).where("rule = 'readability.potentially_difficult_word'").select("doc_id", F.lower("excerpt").alias("word"), "line")
+
+
+@query("r17_sections", f"""
+    WITH t AS ({_TEXT.replace(" AND NOT starts_with(trim(t), '```')", "")}), x AS (SELECT doc_id, string_agg(t, chr(10) ORDER BY line) AS t FROM (SELECT doc_id, line, regexp_replace(trim(t), '[*_`]', '', 'g') AS t FROM t) WHERE regexp_matches(t, '[A-Za-zÀ-úà-ÿ]') GROUP BY doc_id),
+    n AS (SELECT doc_id, len(regexp_extract_all(t, '[A-Za-zÀ-úà-ÿ]+')) AS w, len(list_filter(string_split_regex(t, '[.!?]+'), lambda s : regexp_matches(s, '[A-Za-zÀ-úà-ÿ]'))) AS s,
+      list_sum(list_transform(regexp_extract_all(t, '[A-Za-zÀ-úà-ÿ]+'), lambda w : greatest(1, len(regexp_extract_all(lower(w), '{_HARD}'))))) AS y FROM x),
+    f AS (SELECT doc_id, w, round(greatest(0.0, least(100.0, 248.835 - 1.015 * (w / greatest(s, 1)) - 84.6 * (y / w))), 1) AS f FROM n)
+    SELECT doc_id, 'readability.global_target' AS rule FROM f WHERE f < 60 UNION ALL SELECT doc_id, 'readability.section_below_target' FROM f WHERE f < 60 AND w >= 40""")
+def r17_sections(spark, root):
+    return A.readability(lines(spark, root)).where("rule IN ('readability.global_target', 'readability.section_below_target')").select("doc_id", "rule")
+
+
 @query("r16_point_of_view", f"WITH t AS ({_TEXT}) SELECT doc_id, line::INT AS line FROM t WHERE section <> 'src0' AND NOT regexp_matches(trim(t), '^(?:—|- |–)') AND NOT regexp_matches(trim(t), '^\".*\"$') AND NOT regexp_matches(trim(t), '^“.*”$') AND contains(lower(t), 'was the')")
 def r16(spark, root):
     return A.point_of_view(lines(spark, root), ("src0",), ("was the",), ("zzzz qqqq",)).select("doc_id", "line")
 
 
-@query("r18_formulaic", "SELECT doc_id, (length(text) - length(replace(lower(text), 'tion the', ''))) // 8 AS meta FROM documents")
+@query("r18_formulaic", f"""
+    WITH l AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS x FROM documents), d AS (SELECT doc_id, count(*) FILTER (WHERE NOT starts_with(trim(x), '—') AND len(string_split(trim(x), ' — ')) > 2) AS dashes FROM l GROUP BY doc_id),
+    n AS (SELECT doc_id, (length(text) - length(replace(lower(text), 'tion the', ''))) // 8 AS meta, len(regexp_extract_all(text, '(?i)\\bof the\\b')) AS antithesis, len(regexp_extract_all(text, '(?i)[^.!?\\n]{{5,120}}\\?\\s*porque\\b')) AS questions,
+      len(regexp_extract_all(text, '[A-Za-zÀ-úà-ÿ]+')) AS words FROM documents),
+    f AS (SELECT n.*, dashes, meta + antithesis + questions + dashes AS flags FROM n JOIN d USING (doc_id)), p AS (SELECT *, round(flags * 1000 / greatest(words, 1), 2) AS per_1000 FROM f)
+    SELECT doc_id, meta, antithesis, questions, dashes, flags, words, per_1000, CASE WHEN flags = 0 THEN 'sem_marcadores' WHEN flags < greatest(4, ceil(words / 1000)) THEN 'ocorrencias_isoladas' WHEN per_1000 < 2 THEN 'revisao_recomendada' ELSE 'excesso' END AS level FROM p""")
 def r18(spark, root):
-    out = A.formulaic(table(spark, root, "documents"), ("tion the",), ("zzzz qqqq",), ("zzzz",))
-    return out.select("doc_id", F.col("meta").cast("long").alias("meta"))
+    out = A.formulaic(table(spark, root, "documents"), ("tion the",), (r"\bof the\b",), ("zzzz",))
+    return out.select("doc_id", *[F.col(c).cast("long").alias(c) for c in ("meta", "antithesis", "questions", "dashes", "flags", "words")], "per_1000", "level")
+
+
+@query("w10_anaphora", r"""
+    WITH p AS (SELECT doc_id, unnest(string_split_regex(text, '\n\s*\n')) AS p FROM documents), q AS (SELECT doc_id, trim(p, chr(32)) AS p FROM p),
+    o AS (SELECT doc_id, list_transform(string_split(regexp_replace(p, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s : lower(regexp_extract(s, '[A-Za-zÀ-úà-ÿ]+'))) AS o FROM q WHERE p <> '' AND NOT regexp_matches(p, '^[—#]')),
+    r AS (SELECT doc_id, len(list_filter(range(1, len(o) + 1), lambda i : o[i] IN ('the', 'of', 'der', 'la', 'de') AND (i = 1 OR o[i - 1] <> o[i]) AND coalesce(o[i + 1] = o[i] AND o[i + 2] = o[i], false))) AS n FROM o)
+    SELECT doc_id, sum(n)::BIGINT AS anaphora FROM r GROUP BY doc_id HAVING sum(n) > 0""")
+def w10(spark, root):
+    out = A.formulaic(table(spark, root, "documents"), (), (), ("the", "of", "der", "la", "de"))
+    return out.where("anaphora > 0").select("doc_id", F.col("anaphora").cast("long").alias("anaphora"))
 
 
 @query("r18_levels")
@@ -153,14 +309,19 @@ def r19(spark, root):
     return A.phrase_counts(table(spark, root, "documents"), ("with", "von hand")).select("doc_id", F.col("n").cast("long").alias("n"))
 
 
-@query("r20_style_sheet")
+_ACCENTS = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿßÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ"
+
+
+@query("r20_style_sheet", f"""
+    WITH p(rule, phrase, flag) AS (VALUES ('style.spelling', 'The', ''), ('style.spelling', 'And', ''), ('style.banned_term', 'with', '(?i)'), ('style.banned_term', 'of the', '(?i)')),
+    n AS (SELECT doc_id, rule, phrase, CAST(len(regexp_extract_all(translate(text, '{_ACCENTS}', repeat('x', {len(_ACCENTS)})), flag || '\\b' || phrase || '\\b')) AS INT) AS n FROM documents, p) SELECT * FROM n WHERE n > 0""")
 def r20(spark, root):
-    return A.style_sheet(table(spark, root, "documents"), {"and": ["thnd", "andd"]}, ["idiot", "stupid"])
+    return A.style_sheet(table(spark, root, "documents"), {"the": ["The"], "and": ["And"]}, ["with", "of the"])
 
 
-@query("r21_typography", f"WITH t AS ({_LINES}) SELECT doc_id, line::INT AS line FROM t WHERE t LIKE '%  %' OR t LIKE '% - %' OR t LIKE '% -- %' OR regexp_matches(t, '^\\s*(?:--|-)\\s+')")
+@query("r21_typography", f"WITH t AS ({_FAULTY_LINES}) SELECT doc_id, line::INT AS line FROM t WHERE t LIKE '%  %' OR t LIKE '% - %' OR t LIKE '% -- %' OR regexp_matches(t, '^\\s*(?:--|-)\\s+')")
 def r21(spark, root):
-    return A.typography_findings(lines(spark, root)).select("doc_id", "line")
+    return A.typography_findings(faulty_lines(spark, root)).select("doc_id", "line")
 
 
 @query("r22_verdict", f"WITH t AS ({_TEXT}) SELECT DISTINCT doc_id, 'revisao_recomendada' AS verdict FROM t WHERE contains(lower(t), 'apache')")
@@ -168,7 +329,18 @@ def r22(spark, root):
     return A.verdict(A.anachronisms(lines(spark, root), [{"id": "l", "patterns": ["apache"], "ignore": ["-"]}]))
 
 
-@query("u2_findings_union")
+_UNBALANCED = f"WITH t AS ({_FAULTY}), n AS (SELECT doc_id, line, length(t) - length(replace(t, '(', '')) AS a, length(t) - length(replace(t, ')', '')) AS b FROM t) SELECT doc_id, 'grammar.punctuation.unbalanced_parentheses' AS rule, 'gramatica' AS category, 'erro' AS severity, (min(line) FILTER (WHERE a + b > 0))::INT AS line FROM n GROUP BY doc_id HAVING sum(a) <> sum(b)"
+
+
+@query("u2_findings_union", f"""
+    SELECT * FROM ({_UNBALANCED}) UNION ALL SELECT doc_id, 'structure.heading.level_jump', 'estrutura', 'alerta', 2 FROM documents WHERE doc_id % 3 = 0
+    UNION ALL SELECT doc_id, 'factuality.anachronism.temporal_term', 'factualidade', 'alerta', line::INT FROM ({_FAULTY}) WHERE contains(lower(t), 'apache')
+    UNION ALL SELECT doc_id, 'typography.normalise', 'tipografia', 'informacao', line::INT FROM ({_FAULTY_LINES}) WHERE t LIKE '%  %' OR t LIKE '% - %' OR t LIKE '% -- %' OR regexp_matches(t, '^\\s*(?:--|-)\\s+')""")
 def u2(spark, root):
-    t = lines(spark, root)
-    return A.grammar(t).unionByName(A.balance(t)).unionByName(A.point_of_view(t)).unionByName(A.heading_jumps(t)).unionByName(A.typography_findings(t))
+    """Outputs of four families of rules as one table, over lines that are made once."""
+    t = faulty_lines(spark, root)
+    parts = [A.balance(t).where("rule = 'grammar.punctuation.unbalanced_parentheses'"), A.heading_jumps(t), A.anachronisms(t, [{"id": "l", "patterns": ["apache"], "ignore": ["-"]}]), A.typography_findings(t)]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.select("doc_id", "rule", "category", "severity", "line")
