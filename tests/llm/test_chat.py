@@ -77,8 +77,7 @@ def test_conversations(spark):
         for r in rows:
             if r[0] == conv and r[3]:
                 assert r[3] in text
-        src = sorted({r[:4] for r in rows if r[0] == conv}, key=str)
-        assert len([r for r in own if r.action != "insert"]) == len({(r[0], r[1], (r[2] or "").strip().lower() if r[2] is not None else None, r[3] or "") for r in src})
+        assert len([r for r in own if r.action != "insert"]) == sum(r[0] == conv for r in rows)
     assert not chat.repair(df.limit(0)).collect()
 
 
@@ -103,3 +102,29 @@ def test_crowded_turns(spark, monkeypatch):
         assert cost(cut, conv) == cost(whole, conv)
         assert legal([r for r, _ in parse("".join(r.rendered for r in cut if r.conv_id == conv))])
     assert len([r for r in cut if r.action != "insert"]) == len(rows)
+
+
+def test_rows_alike_are_turns_of_their_own(spark):
+    """Copies are numbered over partitions; a run of them is repaired at the least cost."""
+    rows = [(1, 0, "user", "a")] * 37 + [(1, 1, "tool", "b")] * 9 + [(2, 0, "user", "x"), (2, 1, "assistant", "y")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    out = sorted(chat.repair(df).collect(), key=lambda r: (r.conv_id, r.turn, r.rid, r.part))
+    assert len(out) == len({(r.conv_id, r.rid, r.part) for r in out}) and len([r for r in out if r.action != "insert"]) == len(rows)
+    assert rebuild([r for r in out if r.conv_id == 2]) == "<|user|>\nx\n<|end|>\n<|assistant|>\ny\n<|end|>\n"
+    text = rebuild([r for r in out if r.conv_id == 1])
+    assert legal([r for r, _ in parse(text)]) and text.count("a\n") == 37 and text.count("b\n") == 9
+    price = {"insert": chat.INSERT, "keep": 0.0, "relabel": chat.RELABEL, "merge": chat.MERGE}
+    cost = sum(price[r.action] + (chat.RELABEL if r.action == "merge" and r.source_role != r.role else 0.0) for r in out if r.conv_id == 1)
+    m = chat.step("user", False)
+    for t in [("user", False)] * 36 + [("tool", False)] * 9:
+        m = chat.product(m, chat.step(*t))
+    assert cost == pytest.approx(min(m[chat.B, s] + chat.END[s] for s in range(4)))
+
+
+def test_long_conversation_with_long_texts(spark, monkeypatch):
+    """Thousands of turns over many chunks and held blocks, one of them very long."""
+    monkeypatch.setattr(chat, "HOLD", 100)
+    rows = [(1, k, "user" if k % 2 == 0 else "assistant", "w " * (200000 if k == 700 else 2)) for k in range(3000)] + [(2, 0, "user", "q")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    out = chat.repair(df).where("conv_id = 1").select("action", "role", "turn").collect()
+    assert len(out) == 3000 and all(r.action == "keep" for r in out)
