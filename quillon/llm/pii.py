@@ -10,15 +10,20 @@ by itself (a card in any separators or with digits after it), reads as an email
 once (at) and [dot] are put back, or is a national phone format after a word such
 as "call". Phone formats without such a word, and candidates that run on over a
 good core, speak neither for nor against. All other candidates are negatives. They
-enter as counts by kind and feature mask, at most 4 * 2**18 rows whatever the
-input; the trees are grown on those counts and become one SQL expression. Per kind
-and format (``FORMS``), the threshold is the lowest score from which on labelled
-candidates are right in at least ``PRECISION`` of cases; candidates above it that
-touch no base span of their kind are added; of overlapping ones the best-scored.
+enter as counts by kind, feature mask and half (a hash of the text), at most
+8 * 2**18 rows whatever the input; the trees are grown on one half's counts and
+become one SQL expression. Per kind and format (``FORMS``), the threshold is set on
+the other half: the lowest score from which on labelled candidates are right in at
+least ``PRECISION`` of cases, by the lower limit of a confidence interval, so the
+evidence needed depends on the counts alone. Candidates above it that touch no base
+span of their kind are added; of overlapping ones the best-scored.
 
 Matching is leftmost and non-overlapping per kind; positions are in code points,
 ends exclusive. Possessive repeats and left boundaries make each pattern linear
-in long runs, and match as the plain ones do.
+in long runs, and match as the plain ones do. Lists of matches are walked in blocks,
+overlaps are looked up in a mask, and overlapping candidates are settled in one pass,
+so a text with very many matches costs in proportion to them (but for the copying of
+one block, and sorting).
 
 Defined results: null text counts as empty and has no spans; repeated rows each
 get their row; an empty table gives an empty result; extra columns are not read.
@@ -59,33 +64,57 @@ WIDE = {
 }
 #: What a text needs for a kind to be looked for at all.
 NEEDS = {"email": rf"@|{_AT}", "ip": r"[0-9]\.[0-9]", "card": r"[0-9]", "phone": r"[0-9]"}
-#: Share of positives among labelled candidates that a threshold asks for.
-PRECISION = 0.95
-#: Candidates of a score that must speak for it at least.
-SUPPORT = 20
+#: Share of positives among labelled candidates that a threshold asks for, by the lower limit of Wilson's
+#: interval that holds the true share with 75 % from one side.
+PRECISION, SURE = 0.95, 0.6745
+#: Elements of a list that a fold appends to at a time.
+BLOCK = 256
 ROUNDS, SHRINK = 25, 0.3
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _index(n: Column) -> Column:
+    return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+
+
+def _blocks(values: Column) -> Column:
+    """A list in blocks."""
+    many = F.ceil(F.size(values) / F.lit(float(BLOCK))).cast("int")
+    return F.transform(_index(many), lambda b: F.slice(values, b * BLOCK + 1, F.lit(BLOCK)))
+
+
+def before(sizes: Column) -> Column:
+    """array<int>: to each of the sizes, the sum of those before it."""
+
+    def running(block: Column, start: Column) -> Column:
+        zero = F.struct(start.alias("pos"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(block, zero, lambda acc, x: F.struct((acc["pos"] + x).alias("pos"), F.array_append(acc["out"], acc["pos"]).alias("out")), lambda acc: acc["out"])
+
+    def all_of(blocks: Column) -> Column:
+        total = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda acc, x: acc + x))
+        return F.flatten(F.zip_with(blocks, running(total, F.lit(0)), running))
+
+    return let(_blocks(sizes), all_of)
+
+
 def spans(text: Column, pattern: str, needs: str | None = None) -> Column:
     """array<struct<start, end, m, before, after>>: all matches, with up to 24 characters before and 1 after."""
     pieces, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
-    def walk(pieces: Column, hits: Column) -> Column:
-        kind = "array<struct<start:int,end:int,m:string,before:string,after:string>>"
+    def one(b: Column, i: Column) -> Column:
+        piece, m = F.get(b["p"], i), F.get(b["h"], i)
+        start = F.get(b["at"], i) + F.length(piece)
+        return F.struct(start.alias("start"), (start + F.length(m)).alias("end"), m.alias("m"), F.right(piece, F.lit(24)).alias("before"), F.left(F.get(b["p"], i + 1), F.lit(1)).alias("after"))
 
-        def step(acc: Column, i: Column) -> Column:
-            piece, m = F.get(pieces, i), F.get(hits, i)
-            start = acc["pos"] + F.length(piece)
-            end = start + F.length(m)
-            one = F.struct(start.alias("start"), end.alias("end"), m.alias("m"), F.right(piece, F.lit(24)).alias("before"), F.left(F.get(pieces, i + 1), F.lit(1)).alias("after"))
-            return F.struct(end.alias("pos"), F.array_append(acc["out"], one).alias("out"))
+    def placed(b: Column) -> Column:
+        sizes = F.zip_with(F.slice(b["p"], F.lit(1), F.size(b["h"])), b["h"], lambda p, h: F.length(p) + F.length(h))
+        return let(F.struct(b["p"].alias("p"), b["h"].alias("h"), before(sizes).alias("at")), lambda c: F.transform(_index(F.size(c["h"])), lambda i: one(c, i)))
 
-        index = F.when(F.size(hits) > 0, F.sequence(F.lit(0), F.size(hits) - 1)).otherwise(F.array().cast("array<int>"))
-        return F.aggregate(index, F.struct(F.lit(0).alias("pos"), F.array().cast(kind).alias("out")), step, lambda acc: acc["out"])
-
-    # An array of one, so that both lists are made once and named in a lambda.
-    both = F.transform(F.array(F.struct(pieces.alias("p"), hits.alias("h"))), lambda b: walk(b["p"], b["h"]))
-    found = F.get(both, F.lit(0))
+    found = let(F.struct(pieces.alias("p"), hits.alias("h")), placed)
     none = F.array().cast("array<struct<start:int,end:int,m:string,before:string,after:string>>")
     return found if needs is None else F.when(text.rlike(needs), found).otherwise(none)
 
@@ -157,14 +186,27 @@ def label(s: Column, kind: str, known: Column) -> Column:
 def candidates(text: Column, kind: str, base: Column) -> Column:
     """array<struct<start, end, mask, known, label>>: candidates with their features, whether they overlap a base span, and their labels."""
 
-    def one(s: Column) -> Column:
+    def one(s: Column, covered: Column) -> Column:
         mask = F.lit(0)
         for bit, feature in enumerate(FEATURES):
             mask = mask + F.when(feature(s), 1 << bit).otherwise(0)
-        known = F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-        return F.struct(s["start"].alias("start"), s["end"].alias("end"), mask.alias("mask"), known.alias("known"), label(s, kind, known).alias("label"))
+        known = F.contains(F.substring(covered, s["start"] + 1, s["end"] - s["start"]), F.lit(b"1"))
+        return let(known, lambda k: F.struct(s["start"].alias("start"), s["end"].alias("end"), mask.alias("mask"), k.alias("known"), label(s, kind, k).alias("label")))
+
+    def once(found: Column) -> Column:
+        """Without a span that two generators propose."""
+        return F.filter(found, lambda c, i: (i == 0) | (F.get(found, i - 1)["start"] != c["start"]) | (F.get(found, i - 1)["end"] != c["end"]))
+
+    found = F.concat(*[spans(text, pattern, NEEDS[kind]) for pattern in WIDE[kind]])
+    rated = let(covered_mask(base), lambda covered: F.transform(found, lambda s: one(s, covered)))
+    return let(F.array_sort(rated), once)
 
-    return F.array_distinct(F.concat(*[F.transform(spans(text, pattern, NEEDS[kind]), one) for pattern in WIDE[kind]]))
+
+def covered_mask(base: Column) -> Column:
+    """Bytes, one a code point up to the last base span's end: "1" in base spans, "0" elsewhere."""
+    return F.array_join(
+        F.transform(base, lambda b, i: F.concat(F.repeat(F.lit("0"), b["start"] - F.coalesce(F.get(base, i - 1)["end"], F.lit(0))), F.repeat(F.lit("1"), b["end"] - b["start"]))), ""
+    ).cast("binary")
 
 
 # --- boosting, on counts by mask ---------------------------------------------------------
@@ -208,8 +250,14 @@ def boost(counts: list[tuple[int, int, int]]) -> list:
     return trees
 
 
+def sure_share(n: int, pos: int) -> float:
+    """Lower limit of Wilson's confidence interval for the share of positives."""
+    z, p = SURE, pos / n
+    return (p + z * z / (2 * n) - z * math.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+
+
 def threshold(trees: list, counts: list[tuple[int, int, int]]) -> float:
-    """The lowest score from which on at least PRECISION are right; infinite if none is."""
+    """The lowest score from which on at least PRECISION are surely right; infinite if none is."""
     best, n, pos = math.inf, 0, 0
     ranked: dict[float, list[int]] = {}
     for m, k, p in counts:
@@ -218,9 +266,9 @@ def threshold(trees: list, counts: list[tuple[int, int, int]]) -> float:
         at[1] += p
     for s in sorted(ranked, reverse=True):
         n, pos = n + ranked[s][0], pos + ranked[s][1]
-        if ranked[s][1] < PRECISION * ranked[s][0] or pos < PRECISION * n:
+        if ranked[s][1] < PRECISION * ranked[s][0]:
             break
-        if n >= SUPPORT:
+        if sure_share(n, pos) >= PRECISION:
             best = s
     return best
 
@@ -253,13 +301,14 @@ def fit(docs: DataFrame, text_col: str = "text") -> Fitted:
     rows = docs.select(text.alias("t")).where(F.col("t").rlike("|".join(dict.fromkeys(NEEDS.values()))))
     rows = rows.withColumns({f"b_{k}": base_spans(F.col("t"), k) for k in KINDS})
     found = F.flatten(F.array(*[_tag(candidates(F.col("t"), k, F.col(f"b_{k}")), k) for k in KINDS]))
-    counts = rows.select(F.inline(found)).where("label is not null").groupBy("kind", "mask").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("pos"))
-    got = sorted(tuple(r) for r in counts.collect())  # at most 4 * 2**18 rows
+    half = F.pmod(F.xxhash64("t"), F.lit(2)).alias("half")
+    counts = rows.select(half, F.inline(found)).where("label is not null").groupBy("kind", "mask", "half").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("pos"))
+    got = sorted(tuple(r) for r in counts.collect())  # at most 8 * 2**18 rows
     out = {}
     for kind in KINDS:
-        own = [(m, n, p) for k, m, n, p in got if k == kind]
-        trees = boost(own)
-        out[kind] = (trees, bars(trees, own))
+        grow, rest = ([(m, n, p) for k, m, half, n, p in got if k == kind and half == h] for h in (0, 1))
+        trees = boost(grow)
+        out[kind] = (trees, bars(trees, rest))
     return out
 
 
@@ -288,10 +337,7 @@ def find(docs: DataFrame, model: Fitted, id_col: str = "doc_id", text_col: str =
         trees, bar = model[kind]
         rated = F.transform(F.filter(candidates(F.col("text"), kind, F.col(f"b_{kind}")), lambda c: ~c["known"]), lambda c: F.struct(score(trees, c["mask"]).alias("score"), c["mask"].bitwiseAND(F.lit(FORMS)).alias("form"), c["start"].alias("start"), c["end"].alias("end")))
         good = F.filter(rated, lambda c: above(c, bar))
-        # Of candidates that overlap, the best one stays; of equal ones the first, then the shorter.
-        better = lambda o, c: (o["score"] > c["score"]) | ((o["score"] == c["score"]) & ((o["start"] < c["start"]) | ((o["start"] == c["start"]) & (o["end"] < c["end"]))))
-        best = F.transform(F.array(good), lambda g: F.filter(g, lambda c: ~F.exists(g, lambda o: (o["start"] < c["end"]) & (c["start"] < o["end"]) & better(o, c))))
-        return F.array_distinct(plain(F.flatten(best), kind))
+        return plain(best_apart(good), kind)
 
     base = F.flatten(F.array(*[plain(F.col(f"b_{k}"), k) for k in KINDS]))
     extra = [added(k) for k in KINDS if (bool(bar) if isinstance(bar := model[k][1], dict) else math.isfinite(bar))]
@@ -299,6 +345,25 @@ def find(docs: DataFrame, model: Fitted, id_col: str = "doc_id", text_col: str =
     return out.select("doc_id", "text", "base", F.array_sort(F.concat("base", *extra)).alias("spans"))
 
 
+def best_apart(found: Column) -> Column:
+    """Of candidates in order of start and end, some that don't overlap: each is held until one begins after it, and gives way to a better-scored one before that."""
+    one = "struct<score:double,form:int,start:int,end:int>"
+    none, empty = F.lit(None).cast(one), F.array().cast(f"array<{one}>")
+
+    def step(acc: Column, c: Column) -> Column:
+        top = acc["top"]
+        clear = top.isNull() | (c["start"] >= top["end"])
+        kept = F.when(top.isNotNull() & clear, F.array_append(acc["out"], top)).otherwise(acc["out"])
+        return F.struct(F.when(clear | (c["score"] > top["score"]), c).otherwise(top).alias("top"), kept.alias("out"))
+
+    def block(acc: Column, b: Column) -> Column:
+        inner = F.aggregate(b, F.struct(acc["top"].alias("top"), empty.alias("out")), step)
+        return let(inner, lambda x: F.struct(x["top"].alias("top"), F.array_append(acc["outs"], x["out"]).alias("outs")))
+
+    start = F.struct(none.alias("top"), F.array().cast(f"array<array<{one}>>").alias("outs"))
+    return F.aggregate(let(found, _blocks), start, block, lambda acc: F.concat(F.flatten(acc["outs"]), F.when(acc["top"].isNull(), empty).otherwise(F.array(acc["top"]))))
+
+
 def joined(spans_: Column) -> Column:
     """kind:start:end, comma-joined."""
     names = F.array(*[F.lit(k) for k in KINDS])
