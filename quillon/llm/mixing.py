@@ -11,7 +11,9 @@ descent on
 totals in shares of the token budget, in the metric of token shares. A rate
 depends on its document's posteriors and on the few vectors of each step, so no
 rates are stored between steps: every step is one sum over all documents, and
-only a vector of domains reaches the driver.
+only a vector of domains reaches the driver. A duality gap says when to stop: the
+objective is within ``GAP`` of its minimum then, and a fit that doesn't get there
+in ``MOST_STEPS`` raises an error. Texts are scored once; posteriors are written.
 
 Defined results: null and empty texts have no tokens, the
 posteriors of the models' biases, and a rate like any other; equal texts get
@@ -25,6 +27,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,7 +44,9 @@ TARGETS = {"good": 0.9, "low": 0.05, "toxic": 0.05}
 #: Labelled rows that the classifier is fitted on at most, chosen by hash of the id.
 TRAIN_ROWS = 6000
 RIDGE = 1e-3
-STEPS, TOLERANCE = 48, 1e-6
+#: The fit ends when the objective (squared shares) is known to be so close to its minimum.
+GAP = 1e-8
+MOST_STEPS = 2000
 
 
 @dataclass
@@ -84,6 +89,7 @@ class Rates:
     step: float
     ridge: float = RIDGE
     path: list[tuple[np.ndarray, float]] = field(default_factory=list)
+    gap: float = float("inf")
 
     def at(self, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(rate, extrapolated rate) of documents with posteriors p (rows)."""
@@ -94,41 +100,49 @@ class Rates:
             r = new
         return r, y
 
-
-def _members(model: Classifier, column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(tokens, posteriors) block by block."""
-    for _, raw, offs in blocks(column):
-        found = words(raw, offs, SPACED)
-        p = np.array([model.posterior(f) for f in features(raw, offs, found)]).reshape(len(offs) - 1, len(DOMAINS))
-        yield np.bincount(found[1], minlength=len(offs) - 1), p
+    def best_for(self, p: np.ndarray, residual: np.ndarray) -> np.ndarray:
+        """The rates that are best where the residual of the domains is fixed: the dual function's."""
+        return np.maximum(0.0, 1 - (p @ residual) / self.ridge)
 
 
 _P = [f"p_{d}" for d in DOMAINS]
 
 
-def members(docs: DataFrame, model: Classifier, text_col: str = "text") -> DataFrame:
-    """tokens and posteriors of every document."""
+def members(docs: DataFrame, model: Classifier, text_col: str = "text", names: tuple[str, ...] = ("tokens", *_P)) -> DataFrame:
+    """``docs`` with tokens and posteriors of every row."""
+    at = docs.columns.index(text_col)
+    schema = T.StructType([*docs.schema.fields, T.StructField(names[0], T.LongType()), *[T.StructField(c, T.DoubleType()) for c in names[1:]]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for tokens, p in _members(model, batch.column(0)):
-                yield pa.RecordBatch.from_arrays([pa.array(tokens, pa.int64()), *(pa.array(p[:, k]) for k in range(p.shape[1]))], ["tokens", *_P])
+            for row, raw, offs in blocks(batch.column(at)):
+                n = len(offs) - 1
+                found = words(raw, offs, SPACED)
+                p = np.array([model.posterior(f) for f in features(raw, offs, found)]).reshape(n, len(DOMAINS))
+                new = [pa.array(np.bincount(found[1], minlength=n), pa.int64()), *(pa.array(p[:, k]) for k in range(p.shape[1]))]
+                yield pa.RecordBatch.from_arrays([*batch.slice(row, n).columns, *new], schema.names)
 
-    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "tokens long, " + ", ".join(f"{c} double" for c in _P))
+    return docs.mapInArrow(run, schema)
 
 
-def _sums(narrow: DataFrame, rates: Rates) -> np.ndarray:
-    """Expected domain totals at the extrapolated rates."""
+def _sums(narrow: DataFrame, rates: Rates, residual: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, float, float]:
+    """One pass: expected domain totals at the extrapolated rates, the plain ones, and those best for ``residual``; sums of t * (r - 1)^2 of the last two."""
+    k = len(DOMAINS)
+    names = [f"s{i}" for i in range(3 * k + 2)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(DOMAINS))
+        total = np.zeros(len(names))
         for batch in batches:
-            p = np.stack([batch.column(c).to_numpy() for c in _P], 1) if len(batch) else np.zeros((0, len(DOMAINS)))
-            total += (batch.column("tokens").to_numpy() * rates.at(p)[1]) @ p
-        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in total], list(_P))
+            if len(batch):
+                p, t = np.stack([batch.column(c).to_numpy() for c in _P], 1), batch.column("tokens").to_numpy()
+                r, y = rates.at(p)
+                best = r if residual is None else rates.best_for(p, residual)
+                total += np.concatenate(((t * y) @ p, (t * r) @ p, (t * best) @ p, [t @ (r - 1) ** 2, t @ (best - 1) ** 2]))
+        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in total], names)
 
-    out = narrow.mapInArrow(run, ", ".join(f"{c} double" for c in _P)).agg(*[F.coalesce(F.sum(c), F.lit(0.0)) for c in _P]).first()
-    return np.array(list(out))
+    out = narrow.mapInArrow(run, ", ".join(f"{c} double" for c in names)).agg(*[F.coalesce(F.sum(c), F.lit(0.0)) for c in names]).first()
+    x = np.array(list(out))
+    return x[:k], x[k : 2 * k], x[2 * k : 3 * k], float(x[-2]), float(x[-1])
 
 
 def fit_rates(narrow: DataFrame, targets: dict[str, float], budget: float | None = None) -> Rates:
@@ -141,49 +155,54 @@ def fit_rates(narrow: DataFrame, targets: dict[str, float], budget: float | None
     rates = Rates(1.0 / (top + RIDGE))
     goal = np.array([targets.get(d, 0.0) for d in DOMAINS])
     goal = goal / max(goal.sum(), 1e-12)
-    age, last = 1.0, None
-    for _ in range(STEPS):
-        gradient = _sums(narrow, rates) / total - goal
+    age, last, plain = 1.0, None, None
+    for _ in range(MOST_STEPS):
+        # The residual of the last step's plain rates is a dual point: min over r of the Lagrangian there bounds the objective from below.
+        ahead, own, best, far, far_best = _sums(narrow, rates, plain)
+        gradient, residual = ahead / total - goal, own / total - goal
+        objective = residual @ residual / 2 + RIDGE / 2 * far / total
+        if plain is not None:
+            bound = plain @ (best / total - goal) - plain @ plain / 2 + RIDGE / 2 * far_best / total
+            rates.gap = float(objective - bound)
+            if rates.gap <= GAP:
+                return rates
+        plain = residual
         if last is not None and float(gradient @ gradient) > float(last @ last):
             age = 1.0  # momentum overshot: start it afresh
         following = (1 + np.sqrt(1 + 4 * age * age)) / 2
         rates.path.append((gradient, (age - 1) / following))
-        age = following
-        if last is not None and np.abs(gradient - last).max() < TOLERANCE:
-            break
-        last = gradient
-    return rates
+        age, last = following, gradient
+    raise RuntimeError(f"rates are not fitted after {MOST_STEPS} steps: the objective may be {rates.gap:.3g} above its minimum")
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, budget: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def mix(
+    docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, budget: float | None = None, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True
+) -> DataFrame:
     """``docs`` with tokens, posteriors, rate, and copies: the rate rounded up or down by a hash of the row, right on average.
 
     New columns are named mix_tokens, mix_p_<domain>, mix_rate, mix_copies; of a
     clashing name the older column stays and the new one gets a "_" in front.
+    Without ``keep_text`` the text column is left out, and is not written with the posteriors.
     """
     model = train(docs, labels, id_col=id_col, text_col=text_col)
-    narrow = written(members(docs, model, text_col), "members")
-    rates = fit_rates(narrow, targets or TARGETS, budget)
     names = ["mix_tokens", *(f"mix_{c}" for c in _P), "mix_rate", "mix_copies"]
-    taken = set(docs.columns)
+    lot = "_chance"
+    while lot in docs.columns:
+        lot = "_" + lot
+    taken = {*docs.columns, lot}
     for i, name in enumerate(names):
         while name in taken:
             name = "_" + name
         names[i] = name
         taken.add(name)
-    at = docs.columns.index(text_col)
     chance = F.pmod(F.xxhash64(F.lit(17), *[docs[c] for c in (id_col, text_col)]), F.lit(1 << 20)) / (1 << 20)
-    schema = T.StructType([*docs.schema.fields, T.StructField(names[0], T.LongType()), *[T.StructField(c, T.DoubleType()) for c in names[1:-1]], T.StructField(names[-1], T.LongType())])
+    rated = members(docs.select(*[docs[c] for c in docs.columns], chance.alias(lot)), model, text_col, tuple(names[:-2]))
+    rated = written(rated if keep_text else rated.drop(text_col), "members")
+    rates = fit_rates(rated.select(*[F.col(c).alias(n) for c, n in zip(names[:-2], ("tokens", *_P), strict=True)]), targets or TARGETS, budget)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            row = 0
-            for tokens, p in _members(model, batch.column(at)):
-                part = batch.slice(row, len(tokens))
-                row += len(tokens)
-                r = rates.at(p)[0]
-                copies = np.floor(r + part.column(part.num_columns - 1).to_numpy()).astype(np.int64)
-                new = [pa.array(tokens, pa.int64()), *(pa.array(p[:, k]) for k in range(p.shape[1])), pa.array(r), pa.array(copies)]
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *new], schema.names)
-
-    return docs.select(*[docs[c] for c in docs.columns], chance.alias("_chance")).mapInArrow(run, schema)
+    @F.pandas_udf("double")
+    def rate(*p: pd.Series) -> pd.Series:
+        return pd.Series(rates.at(np.stack([x.to_numpy(dtype=float) for x in p], 1))[0])
+
+    out = rated.withColumn(names[-2], rate(*names[1:-2])).withColumn(names[-1], F.floor(F.col(names[-2]) + F.col(lot)).cast("long"))
+    return out.select(*[c for c in docs.columns if keep_text or c != text_col], *names)

@@ -102,8 +102,7 @@ def op6(spark: SparkSession, root: str) -> DataFrame:
 
 @query("op1_mixing")
 def op1(spark: SparkSession, root: str) -> DataFrame:
-    out = mixing.mix(table(spark, root, "documents").select("doc_id", "text", "source"), table(spark, root, "labels"))
-    return out.drop("text")
+    return mixing.mix(table(spark, root, "documents").select("doc_id", "text", "source"), table(spark, root, "labels"), keep_text=False)
 
 
 @query("op5_chat_formatting")
