@@ -112,13 +112,13 @@ def keep_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     hashes = written(docs.select(F.xxhash64(text).alias("h")), "dedup-hashes")
     words = filter_words(hashes.count())
     bits = written(twice_bits(hashes, words), "dedup-filter")
-    packed = docs.select(
-        F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col(id_col).alias("id"), F.xxhash64(*[docs[c] for c in docs.columns]).alias("tie"), text.alias("body")
-    )
+    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col(id_col).alias("id"), text.alias("body"))
     rows = _flagged(packed.withColumn("h", F.xxhash64("body")), bits, words)
     single = rows.where(~F.col("maybe")).select("row.*")
+    # Maps can't be hashed; as JSON they can.
+    tie = [F.to_json(F.struct(F.col("row")[f.name])) if "map<" in f.dataType.simpleString() else F.col("row")[f.name] for f in docs.schema.fields]
     best = (
-        rows.where("maybe").withColumn("sha", F.unhex(F.sha2("body", 256)))
+        rows.where("maybe").withColumns({"sha": F.unhex(F.sha2("body", 256)), "tie": F.xxhash64(*tie)})
         .groupBy("sha").agg(F.max_by("row", F.struct("id", "tie")).alias("row")).select("row.*")
     )
     return single.unionByName(best)

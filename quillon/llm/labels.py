@@ -18,7 +18,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, label_col: str, limit: int
     """(doc_id, text, label) of at most ``limit`` labelled ids outside the held-out fold, chosen by hash of the id.
 
     ``limit`` bounds what is broadcast. Of repeated labels of an id the largest
-    counts; null labels don't; an id whose document repeats comes as often.
+    counts; null labels don't. An id whose document repeats comes as often; callers
+    learn once from an id, from its largest row.
     """
     known = (
         labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")).where("doc_id is not null and label is not null")
