@@ -67,3 +67,22 @@ def test_lines_near_the_threshold_are_exact(spark):
     found = {r.h for r in line_dedup.boilerplate(df, sites=8).collect()}
     want = {r.h for r in spark.createDataFrame([(f"line {n}",) for n in (8, 9, 30)], "t string").select(line_dedup.line_hash(F.col("t")).alias("h")).collect()}
     assert found == want
+
+
+def test_kept_rows_may_hold_maps(spark):
+    df = spark.createDataFrame([(1, "a", {"k": 1}), (2, "a", {"k": 2}), (2, "a", None), (3, "b", {})], "doc_id long, text string, tie map<string,int>")
+    out = exact_dedup.keep_rows(df).collect()
+    assert sorted(r.doc_id for r in out) == [2, 3]
+
+
+def test_hot_and_long_lines(spark, monkeypatch):
+    """With every line hot the joins are broadcast; a very long line is a line like any other."""
+    from quillon.llm import groups
+
+    long = "x y " * 100000
+    rows = [(k, f"own {k}\n{long}\nshared", f"s{k}") for k in range(9)] + [(50, "shared\n" + long, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = sorted((k, 3, 2, f"own {k}") for k in range(9)) + [(50, 2, 2, "")]
+    assert sorted(map(tuple, line_dedup.remove_lines(df).collect())) == want
+    monkeypatch.setattr(groups, "HOT_SHARE", 0.0)
+    assert sorted(map(tuple, line_dedup.remove_lines(df).collect())) == want

@@ -154,3 +154,58 @@ def test_toxicity_trains_on_whole_texts(spark, monkeypatch):
     toxicity.train(docs, labels)
     assert len(seen) > 40 and {t for t, _ in seen} <= {t for _, t in rows}
     assert all(("zorgon blaxt zorgish" in t) == bool(k) for t, k in seen)
+
+
+def test_rates_reach_the_least_squares(spark):
+    """Against a dense solver of the same quadratic program; an unreachable fit raises."""
+    rng = np.random.default_rng(3)
+    p = rng.dirichlet([0.6, 0.3, 0.3], 40)
+    t = rng.integers(0, 300, 40)
+    narrow = spark.createDataFrame([(int(n), *map(float, q)) for n, q in zip(t, p)], "tokens long, p_good double, p_low double, p_toxic double")
+    goal = np.array([0.2, 0.7, 0.1])
+    rates = mixing.fit_rates(narrow, dict(zip(mixing.DOMAINS, goal)))
+    w = t / t.sum()
+
+    def value(r):
+        return ((w * r) @ p - goal) @ ((w * r) @ p - goal) / 2 + mixing.RIDGE / 2 * (w @ (r - 1) ** 2)
+
+    r = np.ones(40)
+    for _ in range(200000):
+        r = np.maximum(0, r - 0.9 * (p @ ((w * r) @ p - goal) + mixing.RIDGE * (r - 1)))
+    assert value(rates.at(p)[0]) <= value(r) + 2e-8 and rates.gap <= mixing.GAP
+    with pytest.raises(RuntimeError):
+        few = pytest.MonkeyPatch()
+        few.setattr(mixing, "MOST_STEPS", 2)
+        try:
+            mixing.fit_rates(narrow, dict(zip(mixing.DOMAINS, goal)))
+        finally:
+            few.undo()
+
+
+def test_dual_descent_finds_the_optimum(monkeypatch):
+    """The linear model against projected gradient ascent on the whole dual, with the same scaling and caps."""
+    monkeypatch.setattr(quality, "EPOCHS", 3000)
+    rng = np.random.default_rng(5)
+    y = np.array([k % 2 for k in range(40)])
+    rows = [np.unique(np.concatenate((rng.choice(30, 5, replace=False), 40 + rng.choice(20, 3, replace=False) + 10 * label))) for label in y]
+    model = quality.fit(rows, y)
+    train = np.flatnonzero(np.arange(40) % quality.CALIBRATE != 0)
+    count = np.full((2, quality.DIM), quality.SMOOTH)
+    for k in train:
+        count[y[k], rows[k]] += 1
+    ratio = np.log(count[1] / count[1].sum()) - np.log(count[0] / count[0].sum())
+    x = np.zeros((len(train), 80))
+    for i, k in enumerate(train):
+        x[i, rows[k]] = ratio[rows[k]] / np.sqrt(len(rows[k]))
+    x = np.hstack((x, np.ones((len(train), 1))))
+    sign = np.where(y[train] == 1, 1.0, -1.0)
+    share = np.array([(y[train] == 0).mean(), (y[train] == 1).mean()])
+    cap = quality.COST * 0.5 / share[y[train]]
+    q = (sign[:, None] * x) @ (sign[:, None] * x).T
+    a, rate = np.zeros(len(train)), 1 / np.linalg.eigvalsh(q)[-1]
+    for _ in range(200000):
+        a = np.clip(a - rate * (q @ a - 1), 0, cap)
+    best = (a * sign) @ x
+    primal = lambda v: v @ v / 2 + (cap * np.maximum(0, 1 - sign * (x @ v))).sum()
+    own = np.append(np.where(ratio[:80] == 0, 0, model.weight[:80] / np.where(ratio[:80] == 0, 1, ratio[:80])), model.bias)
+    assert primal(own) <= primal(best) * 1.02 + 1e-6

@@ -113,3 +113,32 @@ def test_a_format_whose_candidates_are_mostly_wrong_stays_out(spark):
     rows += [(200 + k, f"pay 4000.0000.{k:04d}.{7 * k:04d} now") for k in range(100)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert not any("phone" in r.spans or "card" in r.spans for r in pii.digest(pii.find(df, pii.fit(df))).collect())
+
+
+def test_very_many_matches(spark):
+    """A log-like text: lists of matches span many blocks, and the work stays in proportion to them."""
+    import time
+
+    text = " ".join(f"10.{k % 256}.0.{k % 200} +49 30 {1000000 + k} a{k}@b.de {k}.{k}" for k in range(6000))
+    df = spark.createDataFrame([(1, text), (2, text[:1000])], "doc_id long, text string")
+    began = time.time()
+    got = {r.doc_id: r for r in pii.digest(pii.find(df, pii.fit(df))).collect()}
+    assert got[1].base_sha256 == hashlib.sha256(",".join(brute(text)).encode()).hexdigest()
+    assert (got[1].n_email, got[1].n_ip) == (6000, 6000) and time.time() - began < 120
+
+
+def test_overlaps_are_settled_in_order(spark):
+    from pyspark.sql import functions as F
+
+    spans = [(1.0, 0, 5), (2.0, 3, 8), (1.5, 7, 9), (1.0, 9, 12), (1.0, 9, 13), (0.5, 20, 30), (3.0, 29, 31)] + [(1.0, 40 + 3 * k, 42 + 3 * k) for k in range(600)]
+    df = spark.createDataFrame([([{"score": s, "form": 0, "start": a, "end": b} for s, a, b in spans],), ([],)], "g array<struct<score:double,form:int,start:int,end:int>>")
+    got = [[(x.start, x.end) for x in r[0]] for r in df.select(pii.best_apart(F.col("g"))).collect()]
+    assert got == [[(3, 8), (9, 12), (29, 31)] + [(40 + 3 * k, 42 + 3 * k) for k in range(600)], []]
+
+
+def test_running_sums(spark):
+    from pyspark.sql import functions as F
+
+    sizes = [k % 7 for k in range(1000)]
+    rows = spark.createDataFrame([(sizes,), ([],), ([5],)], "s array<int>").select(pii.before(F.col("s"))).collect()
+    assert [r[0] for r in rows] == [[sum(sizes[:k]) for k in range(1000)], [], [0]]

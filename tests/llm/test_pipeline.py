@@ -67,3 +67,42 @@ def test_run_is_the_stages(spark, tmp_path):
     tables(spark, root)
     out = C.run(spark, root)
     assert out.count() > 50 and out.where("mix_rate < 0").count() == 0
+
+
+def test_no_rows(spark, tmp_path):
+    root = str(tmp_path)
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{root}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{root}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{root}/benchmark.parquet")
+    assert C.run(spark, root).count() == 0
+
+
+def test_repeated_ids_long_texts_and_clashing_columns(spark, tmp_path):
+    root = str(tmp_path / "a")
+    tables(spark, root)
+    docs = spark.read.parquet(f"{root}/documents.parquet").selectExpr("*", "1 AS mix_rate", "2 AS key", "map('a', 1) AS _chance")
+    rng = random.Random(9)
+    words = lambda n: " ".join(rng.choice(WORDS) + rng.choice("ijklmnop") for _ in range(n)) + "."
+    more = [(7, words(70)), (7, words(70)), (300, words(60000)), (301, ""), (301, "")]
+    more = spark.createDataFrame([(d, t, "en", None, 0, 1, 2, {"a": 1}) for d, t in more], docs.schema)
+    clash = str(tmp_path / "b")
+    docs.unionByName(more).write.parquet(f"{clash}/documents.parquet")
+    for t in ("labels", "benchmark"):
+        spark.read.parquet(f"{root}/{t}.parquet").write.parquet(f"{clash}/{t}.parquet")
+    out = C.run(spark, clash).select("doc_id", "mix_rate", "_mix_rate", "_chance", "text").collect()
+    assert all(r.mix_rate == 1 and r._mix_rate >= 0 and r._chance == {"a": 1} for r in out)
+    assert sorted(r.doc_id for r in out if r.doc_id in (7, 300)) == [7, 7, 7, 300]
+    assert len([r for r in out if r.doc_id == 300 and len(r.text.split()) == 60000]) == 1
+
+
+def test_a_run_leaves_other_tables_alone(spark, tmp_path):
+    """A frame that reads tables of its own outlives a pipeline run."""
+    from quillon.llm import exact_dedup
+
+    root = str(tmp_path)
+    tables(spark, root)
+    held = exact_dedup.keep_table(spark.read.parquet(f"{root}/documents.parquet"))
+    first = C.run(spark, root)
+    n = C.run(spark, root).count()
+    assert held.count() == spark.read.parquet(f"{root}/documents.parquet").count()
+    assert first.count() == n
