@@ -50,6 +50,11 @@ def uuid5(namespace_hex: str, name: Column) -> Column:
     return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("5"), F.substring(h, 14, 3)), F.concat(variant, F.substring(h, 18, 3)), F.substring(h, 21, 12))
 
 
+def random_uid() -> Column:
+    """Thirty-two random hex digits; another value on every evaluation, so write it before it is used twice."""
+    return F.replace(F.uuid(), F.lit("-"), F.lit(""))
+
+
 def ean13_check(first12: Column) -> Column:
     """The thirteenth digit."""
     total = F.aggregate(F.sequence(F.lit(1), F.lit(12)), F.lit(0), lambda acc, i: acc + F.substring(first12, i, F.lit(1)).cast("int") * F.when(i % 2 == 0, 3).otherwise(1))

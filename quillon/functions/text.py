@@ -102,6 +102,21 @@ def matches(c: Column, pattern: str) -> Column:
     return F.get(F.transform(both, placed), F.lit(0))
 
 
+def sums_before(sizes: Column, block: int = 256) -> Column:
+    """array<int>: to each size the sum of those before it. Folds append to one block at a time, so long lists stay cheap."""
+    index = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    blocks = F.transform(index(F.ceil(F.size(sizes) / F.lit(float(block))).cast("int")), lambda b: F.slice(sizes, b * block + 1, F.lit(block)))
+
+    def running(part: Column, start: Column) -> Column:
+        zero = F.struct(start.alias("pos"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(part, zero, lambda a, x: F.struct((a["pos"] + x).alias("pos"), F.array_append(a["out"], a["pos"]).alias("out")), lambda a: a["out"])
+
+    def whole(b: Column) -> Column:
+        return F.flatten(F.zip_with(b, running(F.transform(b, lambda p: F.aggregate(p, F.lit(0), lambda a, x: a + x)), F.lit(0)), running))
+
+    return F.get(F.transform(F.array(blocks), whole), F.lit(0))
+
+
 def replace_each(c: Column, pattern: str, by) -> Column:
     """Every match replaced by what ``by`` makes of it: a function from a column to a column."""
     return F.array_join(F.zip_with(F.split(c, pattern, -1), F.regexp_extract_all(c, F.lit(pattern), F.lit(0)), lambda p, m: F.concat(p, F.coalesce(by(m), F.lit("")))), "")

@@ -170,6 +170,75 @@ def plan_issues(plan: DataFrame, low: float, high: float) -> DataFrame:
     return rows.select("book", "chapter", F.explode(F.filter(F.array(*[F.when(t, F.lit(n)) for t, n in rules]), lambda x: x.isNotNull())).alias("issue"))
 
 
+# What a plan's art direction covers, and what a scene's sheet holds.
+DIRECTION = ("estilo_ilustracao", "fotografia", "cinematografia", "cenografia", "cor_e_luz")
+SHEET = ("id", "tipo", "paginas", "funcao", "ancora_textual", "descricao", "zona_texto", "personagens", "elementos_continuidade", "alt_texto", "arquivo", "status")
+MODES = ("sem_imagens", "abertura_pagina_par", "totalmente_ilustrado")
+# What a plan's configuration says unless it says otherwise.
+PLAN = {
+    "modo": "totalmente_ilustrado", "quantidade_spreads": "fixa", "paginas_por_capitulo": 0, "cenas_por_capitulo": 0, "min_spreads_por_capitulo": 3, "palavras_por_spread_referencia": 210,
+    "tolerancia_superior_densidade": 1.25, "paginas_iniciais": 0, "paginas_finais": 0, "inicio_capitulo_impar": False, "abertura_pagina_unica": False, "cenas_internas_em_spread": 0, "fase": "planejamento",
+}
+
+
+def plan_review(books: DataFrame, chapters: DataFrame, scenes: DataFrame, config: dict | None = None) -> DataFrame:
+    """(book, chapter, rule): faults of illustration plans against their manuscripts; rule codes without "structure.illustration_plan.".
+
+    books (book, total_pages, direction: array of names). chapters (book, pos from 1,
+    title, words: of the manuscript without reflections, or null; plan_title, first,
+    last, reflection: of the plan, or null). scenes (book, pos, scene from 1, missing:
+    array of empty fields, id, pages, asset, asset_exists). ``config``: keys of ``PLAN``.
+    """
+    c = PLAN | (config or {})
+    issue = lambda df, chapter, rule: df.select("book", chapter.cast("int").alias("chapter"), F.lit(rule).alias("rule"))
+    none = F.lit(None)
+    if c["modo"] not in MODES:
+        return issue(books, none, "invalid_mode")
+    if c["modo"] == "sem_imagens":
+        return issue(books.limit(0), none, "invalid_mode")
+    from pyspark.sql import Window as W
+
+    adaptive, least = str(c["quantidade_spreads"]).lower() == "adaptativa", c["min_spreads_por_capitulo"]
+    n = scenes.groupBy("book", "pos").agg(F.count(F.lit(1)).alias("n"))
+    ch = chapters.join(n, ["book", "pos"], "left").na.fill(0, ["n"])
+    front, per = c["paginas_iniciais"], c["paginas_por_capitulo"]
+    start = F.coalesce(F.lag("last").over(W.partitionBy("book").orderBy("pos")), F.lit(front)) + 1 if adaptive else front + (F.col("pos") - 1) * per + 1
+    length = 2 + 2 * F.greatest(F.lit(0), F.col("n") - 1) if adaptive else F.lit(per)
+    ch = ch.withColumn("start", start).withColumns({"end": F.col("start") + length - 1, "spreads": F.greatest(F.lit(0), F.col("n") - 1)})
+    both = ch.where("title IS NOT NULL AND first IS NOT NULL")
+    planned, written = F.count("first"), F.count("title")
+    pages = F.coalesce(F.sum(F.col("last") - F.col("first") + 1), F.lit(0)) if adaptive else written * per
+    totals = books.join(ch.groupBy("book").agg(planned.alias("planned"), written.alias("written"), pages.alias("pages")), "book", "left").na.fill(0, ["planned", "written", "pages"])
+    wrong = (F.col("first") != F.col("start")) | (F.col("last") != F.col("end"))
+    odd = (F.col("start") % 2 != 1) if c["inicio_capitulo_impar"] else F.lit(False)
+    count = F.col("spreads") < least if adaptive else F.col("n") != c["cenas_por_capitulo"]
+    dense = F.lit(False)
+    if adaptive and c["palavras_por_spread_referencia"] > 0 and c["tolerancia_superior_densidade"] > 0:
+        dense = F.col("spreads") < F.greatest(F.lit(least), F.ceil(F.col("words") / (c["palavras_por_spread_referencia"] * c["tolerancia_superior_densidade"])))
+    rules = [(F.col("title") != F.col("plan_title"), "chapter_mismatch"), (wrong | odd, "page_geometry"), (~F.col("reflection").eqNullSafe(F.col("end")), "reflection_page"), (count, "scene_count"), (dense, "spread_density")]
+    several = lambda df, tests, *keys: df.select(*keys, F.explode(F.filter(F.array(*[F.when(t, F.lit(name)) for t, name in tests]), lambda x: x.isNotNull())).alias("rule"))
+    out = several(both, rules, "book", F.col("pos").cast("int").alias("chapter"))
+    lacking = F.size(F.array_except(F.array(*[F.lit(x) for x in DIRECTION]), F.coalesce("direction", F.array().cast("array<string>")))) > 0
+    whole = [(F.col("total_pages") != front + F.col("pages") + c["paginas_finais"], "total_pages"), (lacking, "missing_art_direction"), (F.col("planned") != F.col("written"), "chapter_count")]
+    out = out.unionByName(several(totals, whole, "book", none.cast("int").alias("chapter")))
+    # Where a scene should stand: an opening page of its own if there is one, then spreads.
+    sc = scenes.join(both.select("book", "pos", "start", "spreads"), ["book", "pos"])
+    k, most = F.col("scene"), F.col("spreads") if adaptive else F.lit(c["cenas_internas_em_spread"])
+    if c["modo"] == "abertura_pagina_par":
+        want = F.when(k == 1, F.array(F.col("start") - 1))
+    else:
+        lead = 1 if c["abertura_pagina_unica"] else 0
+        at = F.col("start") + lead + 2 * (k - 1 - lead)
+        want = F.when((k == 1) & F.lit(bool(lead)), F.array("start")).when(k <= most + lead, F.array(at, at + 1))
+    making = F.lit(str(c["fase"]).lower() in ("producao", "produção", "final"))
+    own = [(F.size("missing") > 0, "incomplete_scene"), (want.isNotNull() & ~F.coalesce(F.col("pages").cast("array<long>") == want.cast("array<long>"), F.lit(False)), "scene_pages"), (making & F.col("asset").isNotNull() & ~F.col("asset_exists"), "missing_asset")]
+    out = out.unionByName(several(sc, own, "book", F.col("pos").cast("int").alias("chapter")))
+    for column, rule in (("id", "duplicate_scene_id"), ("asset", "duplicate_asset")):
+        twice = sc.where(F.coalesce(F.col(column), F.lit("")) != "").groupBy("book", column).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        out = out.unionByName(issue(twice, none, rule))
+    return out
+
+
 def cover_preflight(covers: DataFrame, least_contrast: float = 4.5, least_bleed: float = 3.0) -> DataFrame:
     """(cover, issues, status) of covers (cover, ink, paper, bleed, isbn, spine): colours, bleed, ISBN and spine."""
     from quillon.functions.hashing import isbn13

@@ -43,6 +43,39 @@ def verify_chain(events: DataFrame, chain: str, order: str, payload: str, previo
     return out.where("NOT (_linked AND _true)").drop("_linked", "_true")
 
 
+def append_chained(log: DataFrame, events: DataFrame, chain: str, order: str, payload: str) -> DataFrame:
+    """``events`` with previous_hash and event_hash, each chain going on from its last event in ``log`` (chain, order, event_hash).
+
+    A hash needs the one before, so the new events of a chain are folded in order; what is appended at once to a chain is a handful.
+    """
+    last = log.groupBy(chain).agg(F.max_by("event_hash", order).alias("_last"))
+    kind = events.schema[order].dataType.simpleString()
+    by = events.groupBy(chain).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(payload).alias("p")))).alias("es")).join(last, chain, "left")
+
+    def step(acc: Column, e: Column) -> Column:
+        own = chain_hash(acc["h"], e["p"])
+        return F.struct(own.alias("h"), F.array_append(acc["out"], F.struct(e["o"].alias("o"), acc["h"].alias("previous"), own.alias("own"))).alias("out"))
+
+    zero = F.struct(F.col("_last").alias("h"), F.array().cast(f"array<struct<o:{kind},previous:string,own:string>>").alias("out"))
+    done = by.select(chain, F.explode(F.aggregate("es", zero, step, lambda a: a["out"])).alias("e")).select(chain, F.col("e.o").alias(order), F.col("e.previous").alias("previous_hash"), F.col("e.own").alias("event_hash"))
+    return events.join(done, [chain, order])
+
+
+def iso(at: Column) -> Column:
+    """A timestamp in UTC as ISO 8601 with microseconds."""
+    return F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")
+
+
+def epoch(at: Column) -> Column:
+    """Whole seconds since 1970."""
+    return F.unix_timestamp(at)
+
+
+def expired(at: Column, ttl: int, now: Column | None = None) -> Column:
+    """Whether more than ``ttl`` seconds have gone by; ``now`` is the current time by default."""
+    return epoch(at) + ttl < epoch(F.current_timestamp() if now is None else now)
+
+
 def apply_once(events: DataFrame, uid: str = "event_uid") -> DataFrame:
     """Each event once, however often it was sent."""
     return events.dropDuplicates([uid])

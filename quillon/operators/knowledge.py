@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quillon.functions import hashing as H
+from quillon.functions import text as T
+from quillon.session import settled
+
 
 def lookup(wanted: DataFrame, maps: list[DataFrame], redirects: DataFrame | None = None) -> DataFrame:
     """(key, id) for each wanted key, from the first map (key, id) that has it; ties take the smallest id.
@@ -51,8 +55,8 @@ def mentions(texts: DataFrame, aliases: DataFrame, id_col: str = "doc_id", text_
 
     Aliases join a text's distinct words by their first word, so a text meets only
     aliases that can occur in it; each of those is then searched as a whole. Only
-    (text key, word) and (text key, alias) are shuffled before the matching texts.
-    Positions are in characters.
+    (text key, word) and (text key, alias) are shuffled before the matching texts,
+    each of which comes once, with the list of its aliases. Positions are in characters.
     """
     word = r"[\p{L}\p{N}_]+"
     alias = aliases.select("entity", F.lower("alias").alias("alias")).where("alias <> ''").distinct()
@@ -60,17 +64,18 @@ def mentions(texts: DataFrame, aliases: DataFrame, id_col: str = "doc_id", text_
     text = F.lower(F.coalesce(F.col(text_col), F.lit("")))
     rows = texts.select(F.col(id_col).alias("id"), text.alias("t")).withColumn("key", F.xxhash64("id", "t"))
     heads = rows.select("key", F.explode(F.array_distinct(F.regexp_extract_all("t", F.lit(word), F.lit(0)))).alias("head"))
-    pairs = heads.join(alias, "head").select("key", "entity", "alias").distinct()
-    whole = F.concat(F.lit(r"(?<![\p{L}\p{N}_])\Q"), F.col("alias"), F.lit(r"\E(?![\p{L}\p{N}_])"))
-    hit = rows.join(pairs, "key").withColumn("p", F.split("t", whole, -1)).where(F.size("p") > 1)
-    size = F.length("alias")
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
-    starts = F.aggregate(
-        F.slice("p", F.lit(1), F.size("p") - 1), zero,
-        lambda acc, piece: F.struct((acc["at"] + F.length(piece) + size).alias("at"), F.array_append(acc["out"], acc["at"] + F.length(piece)).alias("out")),
-        lambda acc: acc["out"],
-    )
-    return hit.select("id", "entity", "alias", F.explode(starts).alias("start")).select("id", "entity", "start", (F.col("start") + F.length("alias")).alias("end"))
+    pairs = heads.join(alias, "head").groupBy("key").agg(F.collect_set(F.struct("entity", "alias")).alias("as"))
+
+    def found(a: Column) -> Column:
+        whole = F.concat(F.lit(r"(?<![\p{L}\p{N}_])\Q"), a["alias"], F.lit(r"\E(?![\p{L}\p{N}_])"))
+        # What stands before each occurrence: the pieces and the occurrences before it, and its own piece.
+        pieces = F.transform(F.split(F.col("t"), whole, -1), lambda x: F.length(x))
+        size = F.length(a["alias"])
+        starts = F.get(F.transform(F.array(pieces), lambda p: F.transform(F.slice(T.sums_before(p), F.lit(2), F.size(p)), lambda before, i: before + i * size)), F.lit(0))
+        return F.transform(starts, lambda start: F.struct(a["entity"].alias("entity"), start.alias("start"), (start + size).alias("end")))
+
+    hit = rows.join(pairs, "key").select("id", F.explode(F.flatten(F.transform("as", found))).alias("m"))
+    return hit.select("id", "m.entity", "m.start", "m.end")
 
 
 def continuity(claims: DataFrame) -> DataFrame:
@@ -95,17 +100,55 @@ def continuity(claims: DataFrame) -> DataFrame:
 def reachable(edges: DataFrame, source: str, target: str, depth: int = 32) -> DataFrame:
     """(a, b) where b is reached from a in at most ``depth`` steps; a cycle shows as (a, a).
 
-    Path doubling: ceil(log2(depth)) joins.
+    Path doubling: ceil(log2(depth)) joins, each written. The result lists pairs, so
+    it is meant for small graphs; for cycles in large ones see ``on_cycles``.
     """
     pairs = edges.select(F.col(source).alias("a"), F.col(target).alias("b")).distinct()
     step = 1
     while step < depth:
         far = pairs.alias("x").join(pairs.alias("y"), F.col("x.b") == F.col("y.a")).select("x.a", "y.b")
-        pairs = pairs.unionByName(far).distinct()
+        pairs = settled(pairs.unionByName(far).distinct())
         step *= 2
     return pairs
 
 
+def on_cycles(edges: DataFrame, source: str, target: str, rounds: int = 32, depth: int = 64) -> DataFrame:
+    """(node): nodes on a cycle of at most ``depth`` steps.
+
+    Edges whose start has no predecessor or whose end has no successor are on no
+    cycle; they are peeled off for some rounds, each written, and pairs are only
+    listed for what is left.
+    """
+    core = settled(edges.select(F.col(source).alias("a"), F.col(target).alias("b")).distinct())
+    n = core.count()
+    for _ in range(rounds):
+        kept = core.join(core.select(F.col("b").alias("a")).distinct(), "a", "left_semi")
+        kept = settled(kept.join(kept.select(F.col("a").alias("b")).distinct(), "b", "left_semi").select("a", "b"))
+        left = kept.count()
+        core, n, same = kept, left, left == n
+        if same or not left:
+            break
+    return reachable(core, "a", "b", depth).where("a = b").select(F.col("a").alias("node")).distinct()
+
+
+def universe_issues(claims: DataFrame, conflicts: DataFrame, precedence: DataFrame) -> DataFrame:
+    """(code, severity, subject, predicate, continuity, ids) over a whole universe.
+
+    universe_claim_conflict: a conflict (first, second, status) that is open.
+    derived_universe_claim_conflict: claims (id, subject, predicate, value, continuity)
+    of one subject, predicate and continuity with several values. timeline_cycle:
+    events that precede themselves (earlier, later).
+    """
+    null = F.lit(None).cast("string")
+    row = lambda df, code, severity, subject, predicate, branch, ids: df.select(F.lit(code).alias("code"), F.lit(severity).alias("severity"), subject.cast("string").alias("subject"), predicate.cast("string").alias("predicate"), branch.cast("string").alias("continuity"), ids.cast("array<long>").alias("ids"))
+    open_ = row(conflicts.where("status = 'open'"), "universe_claim_conflict", "error", null, null, null, F.array("first", "second"))
+    by = claims.withColumn("continuity", F.coalesce("continuity", F.lit("main"))).groupBy("subject", "predicate", "continuity")
+    split = by.agg(F.min("value").alias("low"), F.max("value").alias("high"), F.array_sort(F.collect_set("id")).alias("ids")).where("low <> high")
+    derived = row(split, "derived_universe_claim_conflict", "error", F.col("subject"), F.col("predicate"), F.col("continuity"), F.col("ids"))
+    cycle = row(on_cycles(precedence, "earlier", "later"), "timeline_cycle", "critical", null, null, null, F.array("node"))
+    return open_.unionByName(derived).unionByName(cycle)
+
+
 def state_at(events: DataFrame, entity: str, attribute: str, value: str, order: list[str], cutoff: tuple | None = None) -> DataFrame:
     """The state of each (entity, attribute) up to and with a position in the narrative order."""
     position = F.struct(*order)
@@ -113,18 +156,140 @@ def state_at(events: DataFrame, entity: str, attribute: str, value: str, order:
     return upto.groupBy(entity, attribute).agg(F.max_by(value, position).alias(value))
 
 
-def dossier(entity_rows: DataFrame, aliases: DataFrame, relations: DataFrame, mentions_: DataFrame) -> DataFrame:
-    """One nested row an entity: (entity, name, aliases, relations, mentions).
+def upto(rows: DataFrame, cutoff: tuple | None, document: str = "document", position: tuple[str, ...] = ("chapter", "scene")) -> DataFrame:
+    """Rows of the cutoff's document at or before its place in the narrative: (document, chapter, scene). Without one, all rows."""
+    if cutoff is None:
+        return rows
+    place = F.struct(*[F.lit(c).cast(rows.schema[p].dataType).alias(p) for p, c in zip(position, cutoff[1:], strict=True)])
+    return rows.where((F.col(document) == F.lit(cutoff[0])) & (F.struct(*position) <= place))
+
+
+def dossier(entity_rows: DataFrame, aliases: DataFrame, relations: DataFrame, mentions_: DataFrame, states: DataFrame | None = None, claims: DataFrame | None = None, cutoff: tuple | None = None) -> DataFrame:
+    """One nested row an entity: (entity, name, aliases, relations, mentions), and with them timeline and claims.
 
     Each part is folded to a row an entity before it joins, so parts don't multiply.
+    ``cutoff`` (document, chapter, scene) leaves out mentions and states that come
+    later, for a reader who must not know them. states (entity, document, chapter,
+    scene, ordinal, attribute, old, new): an event is a chapter, scene and ordinal with
+    its deltas. claims (entity, predicate, value, continuity, rank): position is their
+    place by rank among claims of one predicate and continuity.
     """
     al = aliases.groupBy("entity").agg(F.array_sort(F.collect_set("alias")).alias("aliases"))
     out_ = relations.select(F.col("source").alias("entity"), F.struct(F.lit("out").alias("way"), "kind", F.col("target").alias("other")).alias("r"))
     in_ = relations.select(F.col("target").alias("entity"), F.struct(F.lit("in").alias("way"), "kind", F.col("source").alias("other")).alias("r"))
     rel = out_.unionByName(in_).groupBy("entity").agg(F.array_sort(F.collect_set("r")).alias("relations"))
-    men = mentions_.groupBy("entity").agg(F.count(F.lit(1)).alias("mentions"))
+    men = upto(mentions_, cutoff).groupBy("entity").agg(F.count(F.lit(1)).alias("mentions"))
     full = entity_rows.join(al, "entity", "left").join(rel, "entity", "left").join(men, "entity", "left")
-    return full.withColumn("mentions", F.coalesce("mentions", F.lit(0))).withColumn("aliases", F.coalesce("aliases", F.array().cast("array<string>")))
+    full = full.withColumn("mentions", F.coalesce("mentions", F.lit(0))).withColumn("aliases", F.coalesce("aliases", F.array().cast("array<string>")))
+    if states is not None:
+        place = ["entity", "document", "chapter", "scene", "ordinal"]
+        deltas = F.filter(F.array_sort(F.collect_list(F.struct("attribute", "old", "new"))), lambda d: d["attribute"].isNotNull())
+        events = upto(states, cutoff).groupBy(*place).agg(deltas.alias("deltas"))
+        full = full.join(events.groupBy("entity").agg(F.array_sort(F.collect_list(F.struct(*place[1:], "deltas"))).alias("timeline")), "entity", "left")
+    if claims is not None:
+        by = W.partitionBy("entity", "predicate", F.coalesce("continuity", F.lit("main"))).orderBy(F.desc_nulls_last("rank"))
+        ranked = claims.withColumn("position", F.dense_rank().over(by))
+        full = full.join(ranked.groupBy("entity").agg(F.array_sort(F.collect_list(F.struct("predicate", "continuity", "position", "value", "rank"))).alias("claims")), "entity", "left")
+    return full
+
+
+def scene_context(scenes: DataFrame, links: DataFrame, derivations: DataFrame) -> DataFrame:
+    """``scenes`` (scene and what belongs to it) with links, array of (relationship, source, target, weight) that touch the scene, and derivations, kind to status.
+
+    Links (relationship, source, target, weight) meet a scene at either end, each once;
+    of repeated derivations (scene, kind, status) of a kind the largest status counts.
+    """
+    link = F.struct("relationship", "source", "target", "weight")
+    ends = links.select(F.explode(F.array_distinct(F.array("source", "target"))).alias("scene"), link.alias("l"))
+    ends = ends.groupBy("scene").agg(F.array_sort(F.collect_set("l")).alias("links"))
+    kinds = derivations.groupBy("scene", "kind").agg(F.max("status").alias("status"))
+    kinds = kinds.groupBy("scene").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("kind", "status")))).alias("derivations"))
+    out = scenes.join(ends, "scene", "left").join(kinds, "scene", "left")
+    empty = F.array().cast(ends.schema["links"].dataType)
+    return out.withColumns({"links": F.coalesce("links", empty), "derivations": F.coalesce("derivations", F.create_map().cast("map<string,string>"))})
+
+
+#: How bad each broken invariant is.
+INVARIANTS = {
+    "table_integrity": "critical", "foreign_key": "critical", "source_missing": "error", "source_changed": "warning", "anchor_out_of_bounds": "error", "scene_hash_mismatch": "critical",
+    "active_tombstone": "error", "passage_hash_mismatch": "critical", "inverted_claim_interval": "error", "missing_merkle_roots": "error", "stale_materializations": "warning", "governance_log_invalid": "critical",
+}
+
+
+def invariants(t: dict[str, DataFrame], keys: dict[str, str] | None = None, references: list[tuple[str, str, str, str]] | None = None, roots: int = 3) -> DataFrame:
+    """(code, severity, owner): broken invariants of an index; tables that aren't given aren't checked.
+
+    documents (document, sha), files (document, sha, n_lines), scenes (scene, document,
+    start_line, end_line, content, sha), tombstones (scene, restored_at), passages
+    (passage, content, sha), claims (claim, starts, ends: comparable positions),
+    merkle_roots (document, kind), derivations (scene, kind, status), governance
+    (chain, seq, payload, previous_hash, event_hash). ``keys``: table to its key, which
+    must not repeat. ``references``: (table, column, table, key) that must resolve.
+    """
+    from quillon.operators.governance import verify_chain
+
+    found: list[DataFrame] = []
+
+    def add(code: str, rows: DataFrame, owner) -> None:
+        found.append(rows.select(F.lit(code).alias("code"), F.lit(INVARIANTS[code]).alias("severity"), (owner if isinstance(owner, Column) else F.col(owner)).cast("string").alias("owner")))
+
+    has = lambda *names: all(n in t for n in names)
+    for name, key in (keys or {}).items():
+        add("table_integrity", t[name].groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), F.concat_ws(":", F.lit(name), F.col(key).cast("string")))
+    for child, column, parent, key in references or []:
+        loose = t[child].where(F.col(column).isNotNull()).select(F.col(column).alias("_r")).join(t[parent].select(F.col(key).alias("_r")), "_r", "left_anti").distinct()
+        add("foreign_key", loose, F.concat_ws(":", F.lit(f"{child}.{column}"), F.col("_r").cast("string")))
+    if has("documents", "files"):
+        files = t["files"].select("document", F.col("sha").alias("_sha"), "n_lines")
+        add("source_missing", t["documents"].join(files, "document", "left_anti"), "document")
+        add("source_changed", t["documents"].join(files, "document").where(F.col("sha").isNotNull() & (F.col("sha") != F.col("_sha"))), "document")
+        if has("scenes"):
+            add("anchor_out_of_bounds", t["scenes"].join(files, "document").where((F.col("start_line") < 1) | (F.col("end_line") > F.greatest("n_lines", F.lit(1)))), "scene")
+    for name, code, key in (("scenes", "scene_hash_mismatch", "scene"), ("passages", "passage_hash_mismatch", "passage")):
+        if has(name):
+            add(code, t[name].where(F.sha2("content", 256) != F.col("sha")), key)
+    if has("scenes", "tombstones"):
+        add("active_tombstone", t["scenes"].join(t["tombstones"].where("restored_at IS NULL").select("scene").distinct(), "scene", "left_semi"), "scene")
+    if has("claims"):
+        add("inverted_claim_interval", t["claims"].where("starts > ends"), "claim")
+    if has("documents", "merkle_roots"):
+        full = t["merkle_roots"].groupBy("document").agg(F.count_distinct("kind").alias("n")).where(F.col("n") >= roots)
+        add("missing_merkle_roots", t["documents"].join(full, "document", "left_anti"), "document")
+    if has("derivations"):
+        stale = t["derivations"].where("status IN ('stale', 'failed')").agg(F.count(F.lit(1)).alias("n")).where("n > 0")
+        add("stale_materializations", stale, "n")
+    if has("governance"):
+        add("governance_log_invalid", verify_chain(t["governance"], "chain", "seq", "payload"), F.concat_ws(":", F.col("chain").cast("string"), F.col("seq").cast("string")))
+    return reduce(DataFrame.unionByName, found)
+
+
+def universe_sync(locals_: DataFrame, shared: DataFrame, namespace: str) -> DataFrame:
+    """(work, local, entity, kind, confidence): each work's entities (work, local, type, name, uid, order) against the universe's (entity, type, name).
+
+    A declared uid is a certain identity (1.0), else a uid is derived from type and
+    name (0.5, uncertain). An entity with that uid is the one; else one of equal type
+    and name, whatever the case; else a new one. New ones count for the entities that
+    come later in ``order``, so the first work that brings a name settles it.
+    """
+    key = F.struct(F.col("type"), F.lower("name").alias("name"))
+    own = locals_.withColumns({"global": F.coalesce("uid", H.uuid5(namespace, F.concat_ws(":", "type", F.lower("name")))), "key": key})
+    known = shared.select(F.col("entity").alias("global"), F.col("entity").alias("by_uid"))
+    named = shared.groupBy(key.alias("key")).agg(F.min("entity").alias("by_name"))
+    rows = own.join(known, "global", "left").join(named, "key", "left").withColumn("found", F.coalesce("by_uid", "by_name"))
+    # What isn't there yet: the first of a name brings its uid, and a uid that was brought before is found by itself.
+    new = rows.where("found IS NULL")
+    first = new.groupBy("key").agg(F.min_by("global", "order").alias("name_entity"))
+    uids = new.join(first, "key").groupBy("global").agg(F.min_by("name_entity", "order").alias("uid_entity"), F.min("order").alias("uid_order"))
+    new = rows.join(first, "key", "left").join(uids, "global", "left")
+    entity = F.coalesce("found", F.when(F.col("uid_order") < F.col("order"), F.col("uid_entity")), "name_entity")
+    sure = F.col("uid").isNotNull()
+    return new.select("work", "local", entity.alias("entity"), F.when(sure, "same_identity").otherwise("uncertain").alias("kind"), F.when(sure, 1.0).otherwise(0.5).alias("confidence"))
+
+
+def universe_relations(mapping: DataFrame, relations: DataFrame) -> DataFrame:
+    """Relations (work, source, target, type) of works between universe entities: (work, source, target, type, confidence); those with an unmapped end are left out."""
+    end = lambda c: mapping.select("work", F.col("local").alias(c), F.col("entity").alias(f"_{c}"))
+    return relations.join(end("source"), ["work", "source"]).join(end("target"), ["work", "target"]).select("work", F.col("_source").alias("source"), F.col("_target").alias("target"), "type", F.lit(1.0).alias("confidence"))
 
 
 def next_free_ordinals(rows: DataFrame, keys: list[str], ordinal: str, ident: str) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quillon.session import settled
+
 
 def in_list(col: Column, values: list) -> Column:
     """``col IN values``; an empty list is false for every row."""
@@ -132,12 +134,12 @@ def fallback_match(new: DataFrame, old: DataFrame, keys: list[str], new_id: str,
 
 
 def resolve_redirects(edges: DataFrame, source: str, target: str, rounds: int = 40) -> DataFrame:
-    """Every redirect pointed at its final target, by pointer doubling. Raises if some still move after
+    """Every redirect pointed at its final target, by pointer doubling; each round is written. Raises if some still move after
     ``rounds`` doublings, which only a cycle can cause."""
     up = edges.select(F.col(source).alias("s"), F.col(target).alias("t"))
     for _ in range(rounds):
         nxt = up.alias("a").join(up.alias("b"), F.col("a.t") == F.col("b.s"), "left").select(F.col("a.s").alias("s"), F.coalesce("b.t", "a.t").alias("t"), F.col("b.t").isNotNull().alias("moved"))
-        nxt = nxt.checkpoint() if edges.sparkSession.sparkContext.getCheckpointDir() else nxt
+        nxt = settled(nxt)
         if not nxt.where("moved").head(1):
             return up.select(F.col("s").alias(source), F.col("t").alias(target))
         up = nxt.select("s", "t")

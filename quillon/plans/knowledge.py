@@ -49,10 +49,17 @@ def m2(spark, root):
     return S.fuse(a, b, "id").select("id", "score")
 
 
-@query("q4_hybrid")
+@query("q4_hybrid", f"""
+    WITH tok AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS term FROM documents), dl AS (SELECT doc_id, count(*) AS len FROM tok GROUP BY doc_id), st AS (SELECT count(*) AS n, avg(len) AS avgdl FROM dl),
+    tf AS (SELECT doc_id, term, count(*) AS tf FROM tok WHERE term IN ('tion', 'ment') GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+    lex AS (SELECT doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avgdl))), 6) AS lexical_score FROM tf JOIN df USING (term) JOIN dl USING (doc_id) CROSS JOIN st GROUP BY doc_id ORDER BY 2 DESC, 1 LIMIT 32),
+    a AS (SELECT *, row_number() OVER (ORDER BY lexical_score DESC, doc_id)::INT AS rank_l FROM lex),
+    sem AS (SELECT e.vec_id AS doc_id, {_DIST} AS d FROM embeddings e, embeddings q WHERE q.vec_id = 7 ORDER BY d, doc_id LIMIT 160), b AS (SELECT doc_id, d AS distance, row_number() OVER (ORDER BY d, doc_id)::INT AS rank_s FROM sem),
+    f AS (SELECT doc_id, rank_l, lexical_score, rank_s, distance, round(coalesce(1.0 / (60 + rank_l), 0) + coalesce(1.0 / (60 + rank_s), 0), 9) AS score, source FROM a FULL JOIN b USING (doc_id) JOIN documents USING (doc_id)),
+    k AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, doc_id) AS k FROM f) SELECT doc_id, rank_l, lexical_score, rank_s, round(distance + 1, 6) AS distance, score, source FROM k WHERE k <= 2 ORDER BY score DESC, doc_id LIMIT 8""")
 def q4(spark, root):
     vectors = table(spark, root, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    return S.hybrid(docs(spark, root).select("doc_id", "text", "source"), vectors, ["tion", "ment"], query_vector(spark, root), "source", 8, 2)
+    return S.hybrid(docs(spark, root).select("doc_id", "text", "source"), vectors, ["tion", "ment"], query_vector(spark, root), "source", 8, 2).withColumn("distance", F.round(F.col("distance") + 1, 6))
 
 
 @query("q5_embed_pending", "SELECT sha256(text) AS sha, 4 AS dim FROM documents WHERE doc_id % 2 = 1 AND sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE doc_id % 2 = 0) GROUP BY 1")
@@ -69,10 +76,12 @@ def q5(spark, root):
 @query("q6_mentions", """
     WITH a(entity, alias) AS (VALUES (1, 'and the'), (2, 'was'), (3, 'und')),
     t AS (SELECT doc_id, ' ' || regexp_replace(translate(lower(text), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿß', repeat('x', 28)), '[^a-z0-9_]', '  ', 'g') || ' ' AS t FROM documents)
-    SELECT doc_id AS id, entity, len(regexp_extract_all(t, ' ' || alias || ' ')) AS n FROM t, a WHERE alias <> 'and the' AND contains(t, ' ' || alias || ' ')""")
+    SELECT doc_id AS id, entity, len(regexp_extract_all(t, ' ' || alias || ' ')) AS n FROM t, a WHERE alias <> 'and the' AND contains(t, ' ' || alias || ' ')
+    UNION ALL SELECT doc_id, 1, len(regexp_extract_all(' ' || regexp_replace(translate(lower(text), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿß', repeat('x', 28)), '[^a-z0-9_ ]', '; ', 'g') || ' ', '[ ;]and the[ ;]')) AS n
+      FROM documents WHERE regexp_matches(' ' || regexp_replace(translate(lower(text), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿß', repeat('x', 28)), '[^a-z0-9_ ]', '; ', 'g') || ' ', '[ ;]and the[ ;]')""")
 def q6(spark, root):
     aliases = spark.createDataFrame([(1, "And The"), (2, "was"), (3, "und")], "entity int, alias string")
-    found = K.mentions(docs(spark, root), aliases).where("entity <> 1")
+    found = K.mentions(docs(spark, root), aliases)
     return found.groupBy("id", "entity").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -95,12 +104,43 @@ def q7(spark, root):
     return out.select(F.col("entity").cast("int").alias("entity"), "mentions", F.size(F.coalesce("relations", F.array())).cast("long").alias("relations"))
 
 
-@query("q8_scene_context", "SELECT conv_id, turn, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS after FROM conversations")
+@query("q7_cutoff", """
+    WITH m AS (SELECT c_nationkey AS entity, count(*) AS mentions FROM customer WHERE c_custkey % 2 = 1 AND (c_custkey % 10, c_custkey % 7) <= (5, 3) GROUP BY 1),
+    e AS (SELECT s_nationkey AS entity, s_suppkey % 10 AS chapter, s_suppkey % 7 AS scene, s_suppkey AS ordinal FROM supplier WHERE s_suppkey % 2 = 1 AND (s_suppkey % 10, s_suppkey % 7) <= (5, 3)),
+    t AS (SELECT entity, count(*) AS events, string_agg(chapter || '.' || scene || '.' || ordinal || ':2', ',' ORDER BY chapter, scene, ordinal) AS timeline FROM e GROUP BY entity),
+    c AS (SELECT s_nationkey AS entity, s_suppkey, dense_rank() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey % 5 DESC) AS position FROM supplier), k AS (SELECT entity, count(*) FILTER (WHERE position = 1) AS best FROM c GROUP BY entity)
+    SELECT n_nationkey::BIGINT AS entity, coalesce(mentions, 0) AS mentions, coalesce(events, 0) AS events, coalesce(timeline, '') AS timeline, coalesce(best, 0) AS best FROM nation n LEFT JOIN m ON m.entity = n_nationkey LEFT JOIN t ON t.entity = n_nationkey LEFT JOIN k ON k.entity = n_nationkey""")
+def q7_cutoff(spark, root):
+    """Dossiers for a reader who has come to document 1, chapter 5, scene 3: later mentions and states are left out."""
+    n = table(spark, root, "nation").select(F.col("n_nationkey").cast("long").alias("entity"), F.col("n_name").alias("name"))
+    place = lambda c: [(F.col(c) % 2).alias("document"), (F.col(c) % 10).alias("chapter"), (F.col(c) % 7).alias("scene")]
+    men = table(spark, root, "customer").select(F.col("c_nationkey").cast("long").alias("entity"), *place("c_custkey"))
+    s = table(spark, root, "supplier").withColumn("entity", F.col("s_nationkey").cast("long"))
+    delta = lambda a, old, new: F.struct(F.lit(a).alias("attribute"), F.lit(old).alias("old"), F.lit(new).alias("new"))
+    states = s.select("entity", *place("s_suppkey"), F.col("s_suppkey").alias("ordinal"), F.explode(F.array(delta("mood", "calm", "angry"), delta("place", "home", "sea"))).alias("d")).select("entity", "document", "chapter", "scene", "ordinal", "d.*")
+    claims_ = s.select("entity", F.lit("born").alias("predicate"), F.lit(None).cast("string").alias("continuity"), F.col("s_name").alias("value"), (F.col("s_suppkey") % 5).alias("rank"))
+    rel = s.select(F.col("entity").alias("source"), F.lit("hosts").alias("kind"), (F.col("s_suppkey") + 1000).alias("target"))
+    out = K.dossier(n, n.select("entity", F.lower("name").alias("alias")), rel, men, states, claims_, (1, 5, 3))
+    told = F.transform("timeline", lambda e: F.concat_ws(".", e["chapter"].cast("string"), e["scene"].cast("string"), F.concat_ws(":", e["ordinal"].cast("string"), F.size(e["deltas"]).cast("string"))))
+    best = F.size(F.filter("claims", lambda c: c["position"] == 1)).cast("long")
+    return out.select("entity", "mentions", F.coalesce(F.size("timeline").cast("long"), F.lit(0)).alias("events"), F.coalesce(F.array_join(told, ","), F.lit("")).alias("timeline"), F.coalesce(best, F.lit(0)).alias("best"))
+
+
+@query("q8_scene_context", """
+    WITH s AS (SELECT conv_id * 1000 + turn AS scene, conv_id, role FROM conversations), l AS (SELECT scene AS a, lead(scene) OVER (PARTITION BY conv_id ORDER BY scene) AS b FROM s),
+    e AS (SELECT a AS scene, a, b FROM l WHERE b IS NOT NULL UNION ALL SELECT b, a, b FROM l WHERE b IS NOT NULL)
+    SELECT scene, role, coalesce(string_agg(e.a || '>' || e.b, ',' ORDER BY e.a, e.b), '') AS links, CASE WHEN scene % 3 = 0 THEN 'stale' WHEN scene % 3 = 1 THEN 'fresh' END AS summary FROM s LEFT JOIN e USING (scene) GROUP BY ALL""")
 def q8(spark, root):
+    """Each turn as a scene, with the links to its neighbours and the state of its summary."""
     from pyspark.sql import Window as W
 
-    w = W.partitionBy("conv_id").orderBy("turn")
-    return table(spark, root, "conversations").select("conv_id", "turn", F.lag("role").over(w).alias("before"), F.lead("role").over(w).alias("after"))
+    scenes = table(spark, root, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("scene"), "conv_id", "role")
+    link = scenes.withColumn("target", F.lead("scene").over(W.partitionBy("conv_id").orderBy("scene"))).where("target IS NOT NULL")
+    links = link.select(F.lit("next").alias("relationship"), F.col("scene").alias("source"), "target", F.lit(1.0).alias("weight"))
+    made = scenes.where("scene % 3 < 2").select("scene", F.lit("summary").alias("kind"), F.when(F.col("scene") % 3 == 0, "stale").otherwise("fresh").alias("status"))
+    out = K.scene_context(scenes.select("scene", "role"), links, made)
+    told = F.transform("links", lambda x: F.concat_ws(">", x["source"].cast("string"), x["target"].cast("string")))
+    return out.select("scene", "role", F.array_join(told, ",").alias("links"), F.try_element_at("derivations", F.lit("summary")).alias("summary"))
 
 
 @query("q9_index_report", "SELECT lang, count(*) AS docs, count(l.doc_id) AS labelled, count(DISTINCT source) AS sources FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY lang")
@@ -124,18 +164,56 @@ def q10(spark, root):
 @query("q11_cycles", "WITH RECURSIVE e AS (SELECT p_partkey AS a, CASE WHEN p_partkey = 0 THEN 1 ELSE p_partkey // 3 END AS b FROM part), r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a) SELECT DISTINCT a AS node FROM r WHERE a = b")
 def q11(spark, root):
     e = table(spark, root, "part").select(F.col("p_partkey").alias("a"), F.when(F.col("p_partkey") == 0, 1).otherwise(F.floor(F.col("p_partkey") / 3)).alias("b"))
-    return K.reachable(e, "a", "b", 64).where("a = b").select(F.col("a").alias("node")).distinct()
+    return K.on_cycles(e, "a", "b")
+
+
+@query("q11_universe", """
+    WITH c AS (SELECT user_id::VARCHAR AS subject, event_type AS predicate, CASE event_id % 3 WHEN 0 THEN 'alt' ELSE 'main' END AS continuity, event_id AS id, (user_id % 4 = 0 AND event_id % 2 = 0)::INT AS val FROM events)
+    SELECT 'universe_claim_conflict' AS code, 'error' AS severity, NULL AS subject, NULL AS predicate, NULL AS continuity, 2 AS n FROM events WHERE event_id % 100 = 3
+    UNION ALL SELECT 'derived_universe_claim_conflict', 'error', subject, predicate, continuity, count(*)::INT FROM c GROUP BY ALL HAVING count(DISTINCT val) > 1
+    UNION ALL SELECT 'timeline_cycle', 'critical', NULL, NULL, NULL, 1 FROM part WHERE p_partkey % 10 IN (1, 2, 3)""")
+def q11_universe(spark, root):
+    e = table(spark, root, "events")
+    branch = F.when(F.col("event_id") % 3 == 0, "alt").when(F.col("event_id") % 3 == 1, "main")
+    c = e.select(F.col("event_id").alias("id"), F.col("user_id").alias("subject"), F.col("event_type").alias("predicate"), ((F.col("user_id") % 4 == 0) & (F.col("event_id") % 2 == 0)).cast("int").alias("value"), branch.alias("continuity"))
+    found = e.where("event_id % 50 = 3").select(F.col("event_id").alias("first"), (F.col("event_id") + 1).alias("second"), F.when(F.col("event_id") % 100 == 3, "open").otherwise("settled").alias("status"))
+    p = F.col("p_partkey")
+    before = table(spark, root, "part").select(p.alias("earlier"), F.when(p % 10 == 3, p - 2).otherwise(p + 1).alias("later")).where("earlier % 10 <> 0")
+    return K.universe_issues(c, found, before).select("code", "severity", "subject", "predicate", "continuity", F.size("ids").alias("n"))
 
 
 @query("q12_invariants", """
-    SELECT 'hash_mismatch' AS code, doc_id AS id FROM documents WHERE doc_id % 50 = 1 UNION ALL SELECT 'inverted_interval', event_id FROM events WHERE value < 0.5
-    UNION ALL SELECT 'missing_label', doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)""")
+    WITH s AS (SELECT conv_id * 1000 + turn AS scene, conv_id, turn FROM conversations)
+    SELECT 'table_integrity' AS code, 'critical' AS severity, 'documents:' || doc_id AS owner FROM documents WHERE doc_id % 90 = 7
+    UNION ALL SELECT 'foreign_key', 'critical', 'scenes.document:' || conv_id FROM (SELECT DISTINCT conv_id FROM conversations WHERE conv_id NOT IN (SELECT doc_id FROM documents))
+    UNION ALL SELECT 'source_missing', 'error', doc_id::VARCHAR FROM documents WHERE doc_id % 40 = 1
+    UNION ALL SELECT 'source_changed', 'warning', doc_id::VARCHAR FROM documents WHERE doc_id % 50 = 2 AND doc_id % 40 <> 1
+    UNION ALL SELECT 'anchor_out_of_bounds', 'error', scene::VARCHAR FROM s JOIN documents ON doc_id = conv_id WHERE turn + 1 > 4 AND conv_id % 40 <> 1
+    UNION ALL SELECT 'scene_hash_mismatch', 'critical', scene::VARCHAR FROM s WHERE scene % 30 = 3
+    UNION ALL SELECT 'active_tombstone', 'error', scene::VARCHAR FROM s WHERE scene % 60 = 4
+    UNION ALL SELECT 'passage_hash_mismatch', 'critical', item_id::VARCHAR FROM benchmark WHERE item_id % 20 = 5
+    UNION ALL SELECT 'inverted_claim_interval', 'error', event_id::VARCHAR FROM events WHERE event_id % 9 > event_id % 7
+    UNION ALL SELECT 'missing_merkle_roots', 'error', doc_id::VARCHAR FROM documents WHERE doc_id % 70 = 8
+    UNION ALL SELECT 'stale_materializations', 'warning', count(*)::VARCHAR FROM s WHERE scene % 5 < 2
+    UNION ALL SELECT 'governance_log_invalid', 'critical', event_id // 10 || ':' || event_id FROM events WHERE event_id % 97 = 5 OR (event_id % 97 = 6 AND event_id % 10 <> 0)""")
 def q12(spark, root):
-    d = docs(spark, root).select("doc_id", "text", F.sha2(F.when(F.col("doc_id") % 50 == 1, F.concat("text", F.lit("x"))).otherwise(F.col("text")), 256).alias("stored"))
-    bad = d.where(F.sha2("text", 256) != F.col("stored")).select(F.lit("hash_mismatch").alias("code"), F.col("doc_id").alias("id"))
-    flip = table(spark, root, "events").where("value < 0.5").select(F.lit("inverted_interval").alias("code"), F.col("event_id").alias("id"))
-    none = d.select("doc_id").join(table(spark, root, "labels"), "doc_id", "left_anti").select(F.lit("missing_label").alias("code"), F.col("doc_id").alias("id"))
-    return bad.unionByName(flip).unionByName(none)
+    """Each of the twelve invariants, broken in places."""
+    d = docs(spark, root).select("doc_id", F.col("doc_id").alias("document"), F.sha2("text", 256).alias("sha"))
+    files = d.where("doc_id % 40 <> 1").select("document", F.when(F.col("doc_id") % 50 == 2, "0").otherwise(F.col("sha")).alias("sha"), F.lit(4).alias("n_lines"))
+    c = table(spark, root, "conversations").withColumn("scene", F.col("conv_id") * 1000 + F.col("turn"))
+    scenes = c.select("scene", F.col("conv_id").alias("document"), F.lit(1).alias("start_line"), (F.col("turn") + 1).alias("end_line"), F.coalesce("text", F.lit("")).alias("content"))
+    scenes = scenes.withColumn("sha", F.when(F.col("scene") % 30 == 3, "0").otherwise(F.sha2("content", 256)))
+    gone = scenes.where("scene % 30 = 4").select("scene", F.when(F.col("scene") % 60 != 4, "later").alias("restored_at"))
+    b = table(spark, root, "benchmark").select(F.col("item_id").alias("passage"), F.col("text").alias("content"))
+    b = b.withColumn("sha", F.when(F.col("passage") % 20 == 5, "0").otherwise(F.sha2("content", 256)))
+    e = table(spark, root, "events")
+    spans = e.select(F.col("event_id").alias("claim"), F.struct(F.lit(0).alias("chapter"), (F.col("event_id") % 9).alias("scene")).alias("starts"), F.struct(F.lit(0).alias("chapter"), (F.col("event_id") % 7).alias("scene")).alias("ends"))
+    roots = d.select("document", F.explode(F.array(*[F.lit(k) for k in ("content", "structure", "knowledge")])).alias("kind")).where("document % 70 <> 8 OR kind <> 'knowledge'")
+    made = scenes.select("scene", F.lit("summary").alias("kind"), F.element_at(F.array(*[F.lit(x) for x in ("stale", "failed", "fresh", "fresh", "pending")]), (F.col("scene") % 5 + 1).cast("int")).alias("status"))
+    tables = {"documents": d, "files": files, "scenes": scenes, "tombstones": gone, "passages": b, "claims": spans, "merkle_roots": roots, "derivations": made, "governance": broken_chain(spark, root)}
+    twice = {"documents": d.unionByName(d.where("doc_id % 90 = 7"))}
+    found = K.invariants(tables, references=[("scenes", "document", "documents", "document")])
+    return found.unionByName(K.invariants(twice, keys={"documents": "document"}))
 
 
 _STATES = "CASE event_id % 4 WHEN 0 THEN 'suggested' WHEN 1 THEN 'approved' WHEN 2 THEN 'rejected' ELSE 'superseded' END"
@@ -158,21 +236,39 @@ def g1(spark, root):
     return G.replay(proposals(spark, root), "proposal", "seq", "state")
 
 
+def chained(spark, root):
+    """Events as chains of ten, appended in two goes."""
+    e = table(spark, root, "events").select("event_id", F.floor(F.col("event_id") / 10).alias("chain"), F.col("event_id").alias("seq"), F.concat_ws("/", "event_type", F.col("user_id").cast("string")).alias("payload"))
+    none = e.limit(0).withColumn("event_hash", F.lit(None).cast("string"))
+    first = G.append_chained(none, e.where("event_id % 10 < 6"), "chain", "seq", "payload")
+    return first.unionByName(G.append_chained(first, e.where("event_id % 10 >= 6"), "chain", "seq", "payload"))
+
+
+def broken_chain(spark, root):
+    return chained(spark, root).withColumn("event_hash", F.when(F.col("event_id") % 97 == 5, "0").otherwise(F.col("event_hash")))
+
+
+@query("k5_chained_append", """
+    WITH RECURSIVE e AS (SELECT event_id, event_id // 10 AS chain, event_type || '/' || user_id AS payload, row_number() OVER (PARTITION BY event_id // 10 ORDER BY event_id) AS k FROM events),
+    h AS (SELECT event_id, chain, k, NULL::VARCHAR AS previous_hash, sha256('|' || payload) AS event_hash FROM e WHERE k = 1
+      UNION ALL SELECT e.event_id, e.chain, e.k, h.event_hash, sha256(h.event_hash || '|' || e.payload) FROM h JOIN e ON e.chain = h.chain AND e.k = h.k + 1)
+    SELECT event_id, previous_hash, event_hash FROM h""")
+def k5(spark, root):
+    return chained(spark, root).select("event_id", "previous_hash", "event_hash")
+
+
 @query("g2_hash_chain", "SELECT event_id FROM events WHERE event_id % 97 = 5 OR (event_id % 97 = 6 AND event_id % 10 <> 0)")
 def g2(spark, root):
-    e = table(spark, root, "events").select("event_id", F.floor(F.col("event_id") / 10).alias("chain"), "event_type")
-    # A chain of one link a step: each hash is over the one before, built here and then broken in places.
-    own = G.chain_hash(F.lit(None).cast("string"), F.concat_ws("|", F.col("chain").cast("string"), "event_type", "event_id"))
-    e = e.withColumn("event_hash", own)
-    from pyspark.sql import Window as W
+    """Chains whose links were built one after the other, broken in places: a false hash, and the event after it."""
+    return G.verify_chain(broken_chain(spark, root), "chain", "seq", "payload").select("event_id")
 
-    e = e.withColumn("previous_hash", F.lag("event_hash").over(W.partitionBy("chain").orderBy("event_id")))
-    e = e.withColumns({"payload": F.concat_ws("|", F.col("chain").cast("string"), "event_type", "event_id")})
-    broken = e.withColumn("event_hash", F.when(F.col("event_id") % 97 == 5, F.lit("0")).otherwise(F.col("event_hash")))
-    before = F.lag("event_hash").over(W.partitionBy("chain").orderBy("event_id"))
-    linked = F.col("previous_hash").eqNullSafe(before)
-    good = F.col("event_hash") == G.chain_hash(F.lit(None).cast("string"), F.col("payload"))
-    return broken.withColumns({"l": linked, "g": good}).where("NOT (l AND g)").select("event_id")
+
+@query("d1_time", """
+    SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f+00:00') AS iso, floor(epoch(ts))::BIGINT AS epoch, floor(epoch(ts))::BIGINT + 86400 < (SELECT max(floor(epoch(ts))::BIGINT) FROM events) AS expired FROM events""")
+def d1(spark, root):
+    e = table(spark, root, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    last = e.agg(F.max("ts").alias("now"))  # one row
+    return e.crossJoin(F.broadcast(last)).select("event_id", G.iso(F.col("ts")).alias("iso"), G.epoch(F.col("ts")).alias("epoch"), G.expired(F.col("ts"), 86400, F.col("now")).alias("expired"))
 
 
 @query("g3_apply_once", "SELECT user_id % 50 AS uid, count(*) AS n FROM (SELECT DISTINCT user_id FROM events) GROUP BY 1")
@@ -181,9 +277,11 @@ def g3(spark, root):
     return once.groupBy((F.col("event_uid") % 50).alias("uid")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("g4_state_at", "SELECT user_id, event_type, arg_max(value, event_id) AS value FROM events WHERE event_id <= 700 GROUP BY ALL")
+@query("g4_state_at", "SELECT user_id, event_type, arg_max(value, event_id) AS value FROM events WHERE event_id <= (SELECT max(event_id) * 3 // 4 FROM events) GROUP BY ALL")
 def g4(spark, root):
-    return K.state_at(table(spark, root, "events"), "user_id", "event_type", "value", ["event_id"], (700,))
+    """The state at three quarters of the events."""
+    e = table(spark, root, "events")
+    return K.state_at(e, "user_id", "event_type", "value", ["event_id"], (e.agg(F.max("event_id")).first()[0] * 3 // 4,))
 
 
 @query("g5_leases", "SELECT event_type, arg_max(user_id, event_id) AS user_id FROM events GROUP BY event_type HAVING max(event_id) + 3600 >= (SELECT 900)")
@@ -191,15 +289,35 @@ def g5(spark, root):
     return G.lease_holders(table(spark, root, "events"), "event_type", "user_id", "event_id", 3600, 900)
 
 
-@query("i12_universe_sync", "WITH w AS (SELECT source, lang, count(*) AS n FROM documents GROUP BY ALL) SELECT lang, count(*) AS works, CAST(sum(n) AS BIGINT) AS docs FROM w GROUP BY lang")
+@query("i12_universe_sync", """
+    WITH l AS (SELECT source AS work, doc_id AS local, lang AS type, 'name' || doc_id % 40 AS lname, CASE WHEN doc_id % 3 = 0 THEN 'U' || doc_id % 20 END AS uid, doc_id AS o FROM documents),
+    g AS (SELECT *, CASE WHEN uid IS NOT NULL THEN uid ELSE 'N:' || type || ':' || lname END AS global FROM l), sh AS (SELECT 'U' || k AS entity, 'en' AS type, 'name' || k AS lname FROM range(6) t(k)),
+    r AS (SELECT g.*, coalesce(a.entity, b.entity) AS found FROM g LEFT JOIN sh a ON a.entity = global LEFT JOIN sh b ON b.type = g.type AND b.lname = g.lname),
+    f AS (SELECT type, lname, arg_min(global, o) AS name_entity FROM r WHERE found IS NULL GROUP BY ALL), u AS (SELECT global, arg_min(name_entity, o) AS uid_entity, min(o) AS uid_order FROM r JOIN f USING (type, lname) WHERE found IS NULL GROUP BY global)
+    SELECT work, local, coalesce(found, CASE WHEN uid_order < o THEN uid_entity END, name_entity) AS entity, CASE WHEN uid IS NULL THEN 'uncertain' ELSE 'same_identity' END AS kind, CASE WHEN uid IS NULL THEN 0.5 ELSE 1.0 END::DOUBLE AS confidence
+    FROM r LEFT JOIN f USING (type, lname) LEFT JOIN u USING (global)""")
 def i12(spark, root):
-    works = [docs(spark, root).where(F.col("source") == s).select(F.lit(s).alias("work"), "lang") for s in ("src0", "src1")]
-    rest = docs(spark, root).where(~F.col("source").isin("src0", "src1")).select(F.col("source").alias("work"), "lang")
-    all_ = works[0].unionByName(works[1]).unionByName(rest)
-    return all_.groupBy("lang").agg(F.count_distinct("work").alias("works"), F.count(F.lit(1)).alias("docs"))
-
-
-@query("w15_greedy_chunks")
+    """Sources as works, each document an entity of one of forty names a language, some with a declared uid."""
+    d, k = docs(spark, root), F.col("doc_id")
+    name = F.concat(F.when(k % 2 == 0, "Name").otherwise("NAME"), (k % 40).cast("string"))
+    own = d.select(F.col("source").alias("work"), k.alias("local"), F.col("lang").alias("type"), name.alias("name"), F.when(k % 3 == 0, F.concat(F.lit("U"), (k % 20).cast("string"))).alias("uid"), k.alias("order"))
+    shared = spark.range(6).select(F.concat(F.lit("U"), F.col("id").cast("string")).alias("entity"), F.lit("en").alias("type"), F.concat(F.lit("name"), F.col("id").cast("string")).alias("name"))
+    space = "6ba7b8119dad11d180b400c04fd430c8"
+    found = K.universe_sync(own, shared, space)
+    # A derived uid can't be written in SQL here; it is shown as what it is derived from.
+    names = own.select("type", F.lower("name").alias("name")).distinct().select(K.H.uuid5(space, F.concat_ws(":", "type", "name")).alias("entity"), F.concat_ws(":", F.lit("N"), "type", "name").alias("shown"))
+    return found.join(names, "entity", "left").select("work", "local", F.coalesce("shown", "entity").alias("entity"), "kind", "confidence")
+
+
+@query("w15_greedy_chunks", """
+    WITH RECURSIVE l AS (SELECT doc_id, CASE WHEN ends_with(text, chr(10)) OR text = '' THEN list_slice(string_split(text, chr(10)), 1, -2) ELSE string_split(text, chr(10)) END AS ls FROM documents),
+    z AS (SELECT doc_id, list_transform(ls, lambda x : len(regexp_extract_all(x, '[A-Za-zÀ-úà-ÿ]+'))) AS z FROM l), n AS (SELECT doc_id, z, len(z) AS n FROM z WHERE len(z) > 0),
+    r AS (SELECT doc_id, z, n, 1 AS i, 0 AS rep, 0 AS s, 0 AS k, NULL::INT AS a, NULL::INT AS b FROM n
+      UNION ALL
+      SELECT doc_id, z, n, CASE WHEN rep = 1 THEN i + 1 ELSE i END, 1 - rep, CASE WHEN cut THEN greatest(s + 1, i - least(1, i - s - 1)) ELSE s END, k + cut::INT, CASE WHEN cut THEN s END, CASE WHEN cut THEN i END
+      FROM (SELECT *, i > s AND (coalesce(list_sum(z[s + 1:i]), 0) >= 60 OR coalesce(list_sum(z[s + 1:i]), 0) + z[i + 1] > 60) AS cut FROM r WHERE i < n)),
+    cuts AS (SELECT doc_id, k - 1 AS passage, a AS "first", b AS "end" FROM r WHERE a IS NOT NULL), tail AS (SELECT doc_id, k AS passage, s AS "first", n AS "end" FROM r WHERE i = n AND rep = 0)
+    SELECT doc_id, passage::INT AS passage, "first"::INT AS "first", "end"::INT AS "end" FROM cuts UNION ALL SELECT doc_id, passage::INT, "first"::INT, "end"::INT FROM tail""")
 def w15(spark, root):
     """Passages of about 60 words, with one line of overlap."""
     sizes = F.transform(T.lines(F.col("text")), lambda x: F.size(T.words(x)))
@@ -230,7 +348,11 @@ def x3(spark, root):
     return X.page_summary(table(spark, root, "pages")).select("page_id", F.col("headings").cast("long").alias("headings"))
 
 
-@query("s9_html_pages")
+@query("s9_html_pages", r"""
+    WITH t AS (SELECT page_id, html, trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script>|<style\b.*?</style>|<!--.*?-->', ' ', 'g'), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) AS t FROM pages),
+    n AS (SELECT page_id, html, len(list_filter(string_split(t, ' '), lambda w : w <> '')) AS words FROM t)
+    SELECT page_id, len(regexp_extract_all(html, '(?is)<h1[^>]*>.*?</h1>|<h2[^>]*>.*?</h2>|<h3[^>]*>.*?</h3>|<h4[^>]*>.*?</h4>|<h5[^>]*>.*?</h5>|<h6[^>]*>.*?</h6>'))::INT AS headings, words::INT AS words, greatest(1, round(words / 200.0))::INT AS minutes,
+      len(list_filter(regexp_extract_all(html, '(?is)<table\b.*?</table>'), lambda x : len(regexp_extract_all(regexp_extract(x, '(?is)<tr\b.*?</tr>'), '(?i)<t[dh]\b')) >= 6))::INT AS wide_tables FROM n""")
 def s9(spark, root):
     return X.page_summary(table(spark, root, "pages"))
 
@@ -279,7 +401,11 @@ def x12(spark, root):
     return R.top_per_key(table(spark, root, "part"), ["p_brand"], [F.desc("p_retailprice"), F.col("p_partkey")]).select("p_brand", F.col("p_partkey").alias("best"))
 
 
-@query("x13_title_lines")
+@query("x13_title_lines", """
+    WITH RECURSIVE w AS (SELECT p_partkey, string_split_regex(trim(concat_ws(' ', p_name, p_brand, p_type)), '\\s+') AS w FROM part),
+    r AS (SELECT p_partkey, w, 1 AS i, w[1] AS line, '' AS done FROM w
+      UNION ALL SELECT p_partkey, w, i + 1, CASE WHEN length(line) + 1 + length(w[i + 1]) <= 18 THEN line || ' ' || w[i + 1] ELSE w[i + 1] END, CASE WHEN length(line) + 1 + length(w[i + 1]) <= 18 THEN done ELSE done || line || '|' END FROM r WHERE i < len(w))
+    SELECT p_partkey, done || line AS title FROM r WHERE i = len(w)""")
 def x13(spark, root):
     return table(spark, root, "part").select("p_partkey", F.array_join(X.title_lines(F.concat_ws(" ", "p_name", "p_brand", "p_type"), 18), "|").alias("title"))
 

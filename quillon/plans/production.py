@@ -18,7 +18,7 @@ from quillon.sources.tables import table
 
 @query("c13_title_replace", "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN regexp_replace(upper(left(p_name, 1)) || substr(p_name, 2), '\\bRed\\b', 'Crimson', 'g') ELSE regexp_replace(p_name, '\\bred\\b', 'crimson', 'g') END AS name FROM part")
 def c13(spark, root):
-    name = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.upper(F.left("p_name", F.lit(1))), F.substring("p_name", 2, 1000))).otherwise(F.col("p_name"))
+    name = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.upper(F.left("p_name", F.lit(1))), F.substring(F.col("p_name"), F.lit(2), F.length("p_name")))).otherwise(F.col("p_name"))
     return table(spark, root, "part").select("p_partkey", T.replace_word(name, "red", "crimson").alias("name"))
 
 
@@ -77,6 +77,42 @@ def r15_pages(spark, root):
     return X.plan_pages(p).select("book", "chapter", "first", "last")
 
 
+@query("r15_plan_review", """
+    WITH t AS (SELECT conv_id AS book, turn, coalesce(length(text), 0) AS words, row_number() OVER (PARTITION BY conv_id ORDER BY turn)::INT AS pos, 2 + turn % 4 AS n FROM conversations),
+    c AS (SELECT *, sum(2 * n) OVER (PARTITION BY book ORDER BY pos) + 2 - CASE WHEN turn % 6 = 5 THEN 1 ELSE 0 END AS last FROM t), s AS (SELECT *, coalesce(lag(last) OVER (PARTITION BY book ORDER BY pos), 2) + 1 AS start FROM c),
+    g AS (SELECT *, start + 2 * n - 1 AS fin, CASE WHEN turn % 7 = 3 THEN 1 ELSE 0 END AS shift FROM s), x AS (SELECT *, start + shift AS first FROM g),
+    k AS (SELECT x.*, unnest(range(1, n + 1)) AS scene FROM x)
+    SELECT book, pos AS chapter, unnest(list_filter([CASE WHEN turn % 5 = 4 THEN 'chapter_mismatch' END, CASE WHEN first <> start OR last <> fin THEN 'page_geometry' END, CASE WHEN last <> fin THEN 'reflection_page' END,
+      CASE WHEN n - 1 < 3 THEN 'scene_count' END, CASE WHEN n - 1 < greatest(3, ceil(words / (210 * 1.25))) THEN 'spread_density' END], lambda v : v IS NOT NULL)) AS rule FROM x
+    UNION ALL SELECT book, NULL, 'total_pages' FROM (SELECT book, sum(last - first + 1) AS p FROM x GROUP BY book) WHERE 200 <> 2 + p + 4
+    UNION ALL SELECT DISTINCT book, NULL, 'missing_art_direction' FROM x WHERE book % 2 = 0
+    UNION ALL SELECT book, pos, 'incomplete_scene' FROM k WHERE scene = 2 AND turn % 3 = 0
+    UNION ALL SELECT book, pos, 'scene_pages' FROM k WHERE scene = 1 AND turn % 4 = 1
+    UNION ALL SELECT book, pos, 'missing_asset' FROM k WHERE (scene + turn) % 9 = 0
+    UNION ALL SELECT book, NULL, 'duplicate_scene_id' FROM k GROUP BY book, scene, pos % 6 HAVING count(*) > 1""")
+def r15_review(spark, root):
+    """Turns as chapters of an adaptive plan, with faults planted by turn."""
+    from pyspark.sql import Window as W
+
+    w = W.partitionBy("book").orderBy("turn")
+    t = table(spark, root, "conversations").select(F.col("conv_id").alias("book"), "turn", F.coalesce(F.length("text"), F.lit(0)).alias("words"), F.col("role").alias("title"), (2 + F.col("turn") % 4).alias("n"))
+    t = t.withColumns({"pos": F.row_number().over(w), "last": F.sum(2 * F.col("n")).over(w) + 2 - F.when(F.col("turn") % 6 == 5, 1).otherwise(0)})
+    t = t.withColumn("start", F.coalesce(F.lag("last").over(w), F.lit(2)) + 1)
+    t = t.withColumns({"first": F.col("start") + F.when(F.col("turn") % 7 == 3, 1).otherwise(0), "reflection": F.col("last"), "plan_title": F.when(F.col("turn") % 5 == 4, "other").otherwise(F.col("title"))})
+    s = t.select("book", "pos", "turn", "start", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("scene"))
+    opening = F.when(F.col("turn") % 4 == 1, F.array(F.col("start") + 9)).otherwise(F.array("start"))
+    at = F.col("start") + 1 + 2 * (F.col("scene") - 2)
+    scenes = s.select(
+        "book", "pos", "scene", F.when((F.col("scene") == 2) & (F.col("turn") % 3 == 0), F.array(F.lit("descricao"))).otherwise(F.array().cast("array<string>")).alias("missing"),
+        F.concat_ws("-", F.col("scene").cast("string"), (F.col("pos") % 6).cast("string")).alias("id"), F.when(F.col("scene") == 1, opening).otherwise(F.array(at, at + 1)).alias("pages"),
+        F.concat_ws("/", F.col("pos").cast("string"), F.col("scene").cast("string")).alias("asset"), ((F.col("scene") + F.col("turn")) % 9 != 0).alias("asset_exists"),
+    )
+    full = F.array(*[F.lit(x) for x in X.DIRECTION])
+    books = t.select("book").distinct().select("book", F.lit(200).alias("total_pages"), F.when(F.col("book") % 2 == 0, F.slice(full, 1, 3)).otherwise(full).alias("direction"))
+    config = {"quantidade_spreads": "adaptativa", "paginas_iniciais": 2, "paginas_finais": 4, "abertura_pagina_unica": True, "fase": "final"}
+    return X.plan_review(books, t.drop("turn", "n", "start"), scenes, config)
+
+
 @query("r17_readability", _FL + ", f AS (SELECT doc_id, CASE WHEN w > 0 THEN round(greatest(0.0, least(100.0, 248.835 - 1.015 * (w / greatest(s, 1)) - 84.6 * (y / w))), 1) ELSE 0.0 END AS f FROM n) SELECT doc_id, 'readability.below_target' AS rule FROM f WHERE f < 60")
 def r17(spark, root):
     score = T.flesch(F.col("w"), F.col("s"), F.col("y"))
@@ -113,7 +149,9 @@ def i13(spark, root):
     return R.upsert(e.where("parent % 2 = 0"), e, ["parent", "child"])
 
 
-@query("x5_spreads")
+@query("x5_spreads", """
+    WITH s AS (SELECT conv_id, row_number() OVER w - 1 AS item, coalesce(length(text), 0) AS n, sum(coalesce(length(text), 0)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run, sum(coalesce(length(text), 0)) OVER (PARTITION BY conv_id) AS total FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+    SELECT conv_id, item::INT AS item, least(floor((run - n + n / 2.0) * 3 / greatest(total, 1))::INT, 2) AS spread FROM s""")
 def x5(spark, root):
     t = table(spark, root, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", F.length("text").alias("n")))), lambda x: x["n"]).alias("sizes"))
     return t.select("conv_id", F.posexplode(X.balanced_groups(F.col("sizes"), 3)).alias("item", "spread"))

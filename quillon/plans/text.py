@@ -95,7 +95,9 @@ def c16(spark, root):
     return table(spark, root, "benchmark").select("item_id", F.array_join(F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0)))), " OR ").alias("terms"))
 
 
-@query("c17_snippet")
+@query("c17_snippet", r"""
+    WITH w AS (SELECT doc_id, string_split_regex(text, '\s+') AS w FROM documents), p AS (SELECT doc_id, w, list_position(list_transform(w, lambda x : lower(regexp_replace(x, '[.,]', '', 'g'))), 'the') AS pos FROM w)
+    SELECT doc_id, regexp_replace(array_to_string(w[greatest(1, pos - 8):greatest(1, pos - 8) + 23], ' '), '(?i)\b(the)\b', '<mark>\1</mark>', 'g') AS snippet FROM p WHERE pos > 0""")
 def c17(spark, root):
     """Twenty-four words around the first hit of a term, hits marked."""
     words = F.split("text", "\\s+")
@@ -170,7 +172,15 @@ def h6(spark, root):
     return table(spark, root, "part").select("p_partkey", H.isbn13(code).alias("code"))
 
 
-@query("h7_bars")
+_LISTED = "[" + ", ".join(f"'{x}'" for x in H.EAN_L) + "]"
+_PARITIES = "[" + ", ".join(f"'{x}'" for x in H.EAN_PARITY) + "]"
+
+
+@query("h7_bars", f"""
+    WITH c AS (SELECT p_partkey, d || ((10 - {_SUM12} % 10) % 10)::VARCHAR AS code FROM (SELECT p_partkey, {_D12} AS d FROM part)), t AS (SELECT {_LISTED} AS l, {_PARITIES} AS p),
+    r AS (SELECT l, p, list_transform(l, lambda x : translate(x, '01', '10')) AS r FROM t)
+    SELECT p_partkey, '101' || array_to_string(list_transform(range(2, 8), lambda i : CASE WHEN p[code[1]::INT + 1][i - 1] = 'L' THEN l[code[i]::INT + 1] ELSE reverse(r[code[i]::INT + 1]) END), '') || '01010'
+      || array_to_string(list_transform(range(8, 14), lambda i : r[code[i]::INT + 1]), '') || '101' AS bars FROM c, r""")
 def h7(spark, root):
     d = F.lpad((F.col("p_partkey") * 7919 + 978000000000).cast("string"), 12, "0")
     return table(spark, root, "part").select("p_partkey", H.ean13_bars(F.concat(d, H.ean13_check(d))).alias("bars"))

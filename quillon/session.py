@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(master: str = "local[*]", shuffle_partitions: int = 8, app: str = "quillon", **conf: str) -> SparkSession:
@@ -23,3 +25,20 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8, app: st
     for key, value in conf.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` written to the folder that driver and executors share, and read back: a loop's rounds don't pile up in one plan.
+
+    A local master without ``spark.checkpoint.dir`` gets a folder of its own; any other is refused.
+    """
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if not sc.getCheckpointDir():
+        root = spark.conf.get("spark.checkpoint.dir", None)
+        if not root:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+            root = "file://" + tempfile.mkdtemp(prefix="quillon-")
+        sc.setCheckpointDir(root)
+    return df.checkpoint()

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import struct
+import time
 import uuid
+from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -38,21 +43,185 @@ def probe(spark: SparkSession, path: str) -> DataFrame:
     return raw.select("path", F.sha2("content", 256).alias("sha256"), n.alias("n_lines"), F.col("length").alias("n_bytes"))
 
 
+def _hadoop(spark: SparkSession, path: str):
+    """(file system, path class) of a path."""
+    path_of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return path_of(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path_of
+
+
+def _move(fs, path_of, source: str, target: str) -> None:
+    if not fs.rename(path_of(source), path_of(target)):
+        raise OSError(f"{source} can't be moved to {target}")
+
+
+def _siblings(fs, path_of, path: str, mark: str) -> list[str]:
+    """Paths named ``path``.<mark>-..., oldest first."""
+    found = fs.globStatus(path_of(f"{path}.{mark}-*"))
+    return sorted(str(x.getPath()) for x in found) if found else []
+
+
+def recover(spark: SparkSession, path: str) -> None:
+    """After a crash between the two renames of a swap, put the old dataset back."""
+    fs, path_of = _hadoop(spark, path)
+    old = _siblings(fs, path_of, path, "old")
+    if old and not fs.exists(path_of(path)):
+        _move(fs, path_of, old[-1], path)
+
+
 def write_atomic(df: DataFrame, path: str) -> None:
-    """Write beside ``path``, then swap it in by rename; a failed write leaves the old dataset."""
+    """Write beside ``path``, then swap it in by rename; a failed write or rename leaves the old dataset.
+
+    Should the process die between the two renames, the next ``write_atomic`` or ``recover`` puts the old one back.
+    """
     spark = df.sparkSession
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    path_of = jvm.org.apache.hadoop.fs.Path
-    fs, stage = path_of(path).getFileSystem(conf), f"{path}.{uuid.uuid4().hex}"
+    recover(spark, path)
+    fs, path_of = _hadoop(spark, path)
+    stage, old = f"{path}.new-{uuid.uuid4().hex}", f"{path}.old-{time.time_ns():020d}"
     df.write.parquet(stage)
-    old = path_of(f"{stage}.old")
-    if fs.exists(path_of(path)):
-        fs.rename(path_of(path), old)
-    fs.rename(path_of(stage), path_of(path))
-    if fs.exists(old):
-        fs.delete(old, True)
+    there = fs.exists(path_of(path))
+    if there:
+        _move(fs, path_of, path, old)
+    try:
+        _move(fs, path_of, stage, path)
+    except OSError:
+        if there:
+            _move(fs, path_of, old, path)
+        raise
+    for gone in _siblings(fs, path_of, path, "old"):
+        fs.delete(path_of(gone), True)
+
+
+def backup(spark: SparkSession, path: str) -> str:
+    """Copy a dataset to ``path``.backup-<time>; that name is the result."""
+    fs, path_of = _hadoop(spark, path)
+    target = f"{path}.backup-{time.time_ns():020d}"
+    util = spark.sparkContext._jvm.org.apache.hadoop.fs.FileUtil
+    if not util.copy(fs, path_of(path), fs, path_of(target), False, True, spark.sparkContext._jsc.hadoopConfiguration()):
+        raise OSError(f"{path} can't be copied")
+    return target
+
+
+def backups(spark: SparkSession, path: str) -> list[str]:
+    """The backups of a dataset, oldest first."""
+    return _siblings(*_hadoop(spark, path), path, "backup")
+
+
+def prune(spark: SparkSession, path: str, keep: int = 5) -> list[str]:
+    """Delete all but the newest ``keep`` backups; those that went are the result."""
+    fs, path_of = _hadoop(spark, path)
+    gone = backups(spark, path)[: -keep or None] if keep > 0 else backups(spark, path)
+    for name in gone:
+        fs.delete(path_of(name), True)
+    return gone
+
+
+def restore(spark: SparkSession, saved: str, path: str) -> None:
+    """Swap a backup in for the dataset."""
+    write_atomic(spark.read.parquet(saved), path)
+
+
+def rebuild(spark: SparkSession, sources: str, path: str, build: Callable[[DataFrame], DataFrame], keep: int | None = 5) -> str | None:
+    """Make the dataset at ``path`` anew from whole files (path, text) and swap it in; the old one is backed up first, unless ``keep`` is None.
+
+    Without any source the old dataset stays and an error is raised.
+    """
+    there, at = _hadoop(spark, sources)
+    rows = texts(spark, sources) if there.globStatus(at(sources)) else None
+    if rows is None or rows.isEmpty():
+        raise FileNotFoundError(f"no source to rebuild from: {sources}")
+    recover(spark, path)
+    fs, path_of = _hadoop(spark, path)
+    saved = backup(spark, path) if keep is not None and fs.exists(path_of(path)) else None
+    write_atomic(build(rows), path)
+    if keep is not None:
+        prune(spark, path, keep)
+    return saved
 
 
 def write_report(df: DataFrame, path: str) -> None:
     """Findings as JSON lines."""
     df.write.mode("overwrite").json(path)
+
+
+def markdown_report(findings: DataFrame, most: int = 100, title: str = "Review") -> DataFrame:
+    """(doc_id, report): a document's findings as a Markdown text, worst severity and first line first.
+
+    At most ``most`` are listed; the heading says how many there are.
+    """
+    rank = F.array_position(F.array(*[F.lit(x) for x in ("bloqueador", "erro", "alerta", "observacao", "informacao")]), F.col("severity"))
+    n = F.count(F.lit(1)).over(W.partitionBy("doc_id"))
+    place = F.row_number().over(W.partitionBy("doc_id").orderBy(rank, F.coalesce("line", F.lit(0)), "rule", "id"))
+    rows = findings.withColumns({"_n": n, "_k": place}).where(F.col("_k") <= most)
+    where = F.concat_ws(", ", F.col("chapter"), F.concat(F.lit("line "), F.col("line").cast("string")))
+    item = F.concat(
+        F.lit("## "), "severity", F.lit(": `"), "rule", F.lit("`\n\n"), F.when(where != "", F.concat(where, F.lit("\n\n"))).otherwise(""),
+        F.lit("> "), "excerpt", F.lit("\n\n"), "explanation", F.coalesce(F.concat(F.lit("\n\n*"), "suggestion", F.lit("*")), F.lit("")),
+    )
+    by = rows.select("doc_id", "_n", F.struct("_k", item.alias("item")).alias("x")).groupBy("doc_id").agg(F.max("_n").alias("n"), F.array_sort(F.collect_list("x")).alias("xs"))
+    head = F.concat(F.lit(f"# {title}\n\n"), F.col("n").cast("string"), F.lit(" findings"), F.when(F.col("n") > F.size("xs"), F.concat(F.lit(", "), F.size("xs").cast("string"), F.lit(" listed"))).otherwise(""))
+    return by.select("doc_id", F.concat_ws("\n\n", head, F.array_join(F.transform("xs", lambda x: x["item"]), "\n\n")).alias("report"))
+
+
+def write_markdown(findings: DataFrame, path: str, most: int = 100) -> None:
+    """``markdown_report`` as one folder of text a document: ``path``/doc_id=<id>."""
+    markdown_report(findings, most).write.mode("overwrite").partitionBy("doc_id").text(path)
+
+
+def _image_header(data: bytes | None) -> dict:
+    """Width, height, mode, format and whether there is a colour profile, from the head of a PNG, JPEG or GIF."""
+    none = {"width": None, "height": None, "mode": None, "format": None, "has_icc": None}
+    if data is None:
+        return none
+    if data[:8] == b"\x89PNG\r\n\x1a\n" and len(data) >= 26:
+        w, h, depth, colour = struct.unpack(">IIBB", data[16:26])
+        modes = {0: "1" if depth == 1 else "L", 2: "RGB", 3: "P", 4: "LA", 6: "RGBA"}
+        at, icc = 8, False
+        while at + 8 <= len(data):
+            size, name = struct.unpack(">I4s", data[at : at + 8])
+            if name in (b"IDAT", b"IEND"):
+                break
+            icc |= name == b"iCCP"
+            at += 12 + size
+        return {"width": w, "height": h, "mode": modes.get(colour), "format": "PNG", "has_icc": icc}
+    if data[:2] == b"\xff\xd8":
+        at, icc = 2, False
+        while at + 4 <= len(data) and data[at] == 0xFF:
+            mark, size = data[at + 1], struct.unpack(">H", data[at + 2 : at + 4])[0]
+            icc |= mark == 0xE2 and data[at + 4 : at + 15] == b"ICC_PROFILE"
+            if 0xC0 <= mark <= 0xCF and mark not in (0xC4, 0xC8, 0xCC) and at + 10 <= len(data):
+                h, w, parts = struct.unpack(">HHB", data[at + 5 : at + 10])
+                return {"width": w, "height": h, "mode": {1: "L", 3: "RGB", 4: "CMYK"}.get(parts), "format": "JPEG", "has_icc": icc}
+            at += 2 + size
+        return none
+    if data[:6] in (b"GIF87a", b"GIF89a") and len(data) >= 10:
+        w, h = struct.unpack("<HH", data[6:10])
+        return {"width": w, "height": h, "mode": "P", "format": "GIF", "has_icc": False}
+    return none
+
+
+#: Bytes of a file that are looked at for an image's header.
+HEAD = 1 << 20
+
+
+def images(spark: SparkSession, path: str) -> DataFrame:
+    """(path, width, height, mode, format, has_icc) of PNG, JPEG and GIF files; nulls for others. Pixels are never decoded."""
+    kind = "width int, height int, mode string, format string, has_icc boolean"
+
+    @F.pandas_udf(kind)
+    def header(content: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_image_header(None if c is None else bytes(c)) for c in content], columns=["width", "height", "mode", "format", "has_icc"])
+
+    raw = spark.read.format("binaryFile").load(path).select("path", F.substring("content", 1, HEAD).alias("content"))
+    return raw.select("path", header("content").alias("h")).select("path", "h.*")
+
+
+def pdfs(spark: SparkSession, path: str) -> DataFrame:
+    """(path, pages, boxes) of PDF files: the number of page objects, one at least, and the distinct media boxes in points.
+
+    Objects inside compressed streams can't be seen; such files may count one page only.
+    """
+    text = F.decode("content", "ISO-8859-1")
+    raw = spark.read.format("binaryFile").load(path).where(F.substring("content", 1, 4) == F.lit(b"%PDF"))
+    found = F.regexp_extract_all(text, F.lit(r"/MediaBox\s*\[\s*([^\]]+?)\s*\]"), F.lit(1))
+    boxes = F.array_sort(F.array_distinct(F.transform(found, lambda b: F.transform(F.split(b, r"\s+"), lambda x: x.try_cast("double")))))
+    return raw.select("path", F.greatest(F.lit(1), F.regexp_count(text, F.lit(r"/Type\s*/Page\b"))).alias("pages"), boxes.alias("boxes"))
