@@ -54,8 +54,8 @@ from quillon.llm.textnp import SPACED, blocks, gram_hashes, mix, words
 WORDS = 5
 #: A link needs NUM * intersection >= DEN * union.
 NUM, DEN = 100, 80
-#: Sets in one chunk of a seed, and in one leaf node of the completing step.
-CHUNK = 512
+#: Sets in one chunk of a seed, and in one leaf node of the completing step; a task of that step meets a node and partners of about twice as many.
+CHUNK = 256
 #: Counts of a shingle stop here; rarer is what matters, and any order that all share is right.
 TOP_COUNT = 4096
 #: Bits of a token bitmap.
@@ -134,8 +134,6 @@ def _runs(key: np.ndarray) -> np.ndarray:
     return np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)])) if len(key) else np.zeros(1, np.int64)
 
 
-#: Bytes kept of a token where it is dealt by its highest bits, at least eight of them: together all 64.
-LOW = 7
 #: Fewest partitions of a shuffle of tokens, and the most of them for each of the session's shuffle partitions, as powers of two.
 LEAST_LOG2, EACH_LOG2 = 6, 2
 
@@ -164,6 +162,11 @@ def slots(n: int) -> np.ndarray:
     return out.astype(np.int32)
 
 
+def low_bytes(parts_log2: int) -> int:
+    """Bytes kept of a token that is dealt by its highest bits: with those, all 64."""
+    return 8 - parts_log2 // 8
+
+
 def _deal_tokens(parts_log2: int, partitions_log2: int):
     """(slot, p, data): every set's tokens, dealt by their highest bits. Sets met before in the task are left out."""
     slot, finer = slots(1 << partitions_log2), parts_log2 - partitions_log2
@@ -179,7 +182,7 @@ def _deal_tokens(parts_log2: int, partitions_log2: int):
             own = _runs(owner[a:b])
             who = owner[a:b][own[:-1]]
             rows.append(int(p[a]))
-            data.append(pack(sig[who], n[who], np.diff(own), tok[a:b], LOW))
+            data.append(pack(sig[who], n[who], np.diff(own), tok[a:b], low_bytes(parts_log2)))
         part = np.array(rows, np.int64)
         return pa.RecordBatch.from_arrays([pa.array(slot[part >> finer]), pa.array(part, pa.int32()), pa.array(data, pa.binary())], ["slot", "p", "data"])
 
@@ -241,7 +244,7 @@ def _count_shared(parts_log2: int, partitions_log2: int):
                         if len(gone[0]):
                             yield out(*gone)
                     held, size, hot, limit, part = [], 0, np.zeros(0, np.uint64), 1 << 20, p
-                sig, n, tok, _ = unpack(data.as_py(), LOW)
+                sig, n, tok, _ = unpack(data.as_py(), low_bytes(parts_log2))
                 tok |= np.uint64(p << (64 - parts_log2))
                 if len(hot):
                     k = np.minimum(np.searchsorted(hot, tok), len(hot) - 1)
@@ -611,7 +614,7 @@ def _meetings(cands: DataFrame, own: DataFrame) -> DataFrame | None:
         .select(anchor.alias("anchor"), partner.alias("partner"), size.alias("size")).distinct(),
         "pairs",
     )
-    parts = pairs.groupBy("anchor").agg(F.ceil(F.sum("size") / (4 * CHUNK)).cast("long").alias("parts"))
+    parts = pairs.groupBy("anchor").agg(F.ceil(F.sum("size") / (2 * CHUNK)).cast("long").alias("parts"))
     tasks = pairs.join(parts, "anchor").withColumn("part", F.pmod(F.xxhash64("partner"), "parts")).select("anchor", "partner", "part")
     sets = placed.join(cands.select("sig", "toks"), "sig")
     mine = tasks.select("anchor", "part").distinct().join(sets, F.col("anchor") == F.col("node")).withColumn("own", F.lit(True))
@@ -625,7 +628,7 @@ def _sets(texts: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     info = written(texts.mapInArrow(_info, f"doc_id {kind}, key long, n long, sig long"), "sets")
     n_rows, n_tokens = info.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     # A part holds about a million tokens, or the sets of as many. The number of partitions is the cluster's.
-    parts_log2 = max(8, (int(n_tokens) >> 20).bit_length())
+    parts_log2 = max(6, (int(n_tokens) >> 20).bit_length())
     spark = texts.sparkSession
     width = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     most = max(LEAST_LOG2, (width - 1).bit_length() + EACH_LOG2)
