@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillon.llm.labels import training_rows
-from quillon.llm.quality import Model, features, fit
+from quillon.llm.quality import Model, features, fit, packed
 from quillon.llm.scratch import written
 from quillon.llm.textnp import SPACED, blocks, words
 
@@ -61,7 +61,7 @@ class Classifier:
         return (1 - low) * (1 - toxic), low, (1 - low) * toxic
 
 
-def fit_classifier(rows: list[np.ndarray], y: np.ndarray) -> Classifier:
+def fit_classifier(rows: list[np.ndarray] | list[bytes], y: np.ndarray) -> Classifier:
     """From feature rows and numbers of their domains."""
     other = np.flatnonzero(y != 1)
     return Classifier(fit(rows, (y == 1).astype(int)), fit([rows[k] for k in other], (y[other] == 2).astype(int)))
@@ -69,7 +69,7 @@ def fit_classifier(rows: list[np.ndarray], y: np.ndarray) -> Classifier:
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        own = [f.astype(np.uint32).tobytes() for _, raw, offs in blocks(batch.column("text")) for f in features(raw, offs)]
+        own = [packed(f) for _, raw, offs in blocks(batch.column("text")) for f in features(raw, offs)]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.string()), batch.column("label"), pa.array(own, pa.binary())], ["doc_id", "label", "own"])
 
 
@@ -79,7 +79,7 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_ROWS, id_col: s
     rows = training_rows(docs, labels.withColumn("domain", domain), "domain", limit, id_col, text_col)
     found = rows.mapInArrow(_extract, "doc_id string, label int, own binary").groupBy("doc_id").agg(F.max("label"), F.max("own")).collect()
     got = sorted((r[0], r[1], r[2]) for r in found)
-    return fit_classifier([np.frombuffer(r[2], np.uint32).astype(np.int64) for r in got], np.array([r[1] for r in got], np.int64))
+    return fit_classifier([bytes(r[2]) for r in got], np.array([r[1] for r in got], np.int64))
 
 
 @dataclass

@@ -62,6 +62,21 @@ def features(raw: np.ndarray, offs: np.ndarray, found: tuple[np.ndarray, ...] |
         yield own
 
 
+def packed(own: np.ndarray) -> bytes:
+    """A text's feature numbers, or a bit for each place where that is shorter: at most DIM / 8 bytes."""
+    if 4 * len(own) >= DIM // 8:
+        bits = np.zeros(DIM, bool)
+        bits[own] = True
+        return np.packbits(bits).tobytes()
+    return own.astype(np.uint32).tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    if len(data) == DIM // 8:
+        return np.flatnonzero(np.unpackbits(np.frombuffer(data, np.uint8)))
+    return np.frombuffer(data, np.uint32)
+
+
 @dataclass
 class Model:
     weight: np.ndarray
@@ -76,8 +91,9 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.slope * self.margin(own) + self.shift, -40, 40))))
 
 
-def fit(rows: list[np.ndarray], y: np.ndarray) -> Model:
-    """Fit on feature rows with labels 0 and 1."""
+def fit(rows: list[np.ndarray] | list[bytes], y: np.ndarray) -> Model:
+    """Fit on feature rows, as they are or packed, with labels 0 and 1. Packed rows are opened one at a time."""
+    at = lambda k: unpacked(rows[k]) if isinstance(rows[k], bytes) else rows[k]
     if len(set(y.tolist())) < 2:
         p = float(np.clip(y.mean(), 0.01, 0.99)) if len(y) else 0.5
         return Model(np.zeros(DIM, np.float32), 0.0, 0.0, float(np.log(p / (1 - p))))
@@ -89,19 +105,20 @@ def fit(rows: list[np.ndarray], y: np.ndarray) -> Model:
         train = np.flatnonzero(~apart)
     count = np.full((2, DIM), SMOOTH)
     for k in train:
-        count[int(y[k]), rows[k]] += 1
+        count[int(y[k]), at(k)] += 1
     ratio = np.log(count[1] / count[1].sum()) - np.log(count[0] / count[0].sum())
     w, bias = np.zeros(DIM), 0.0
     sign = np.where(y == 1, 1.0, -1.0)
     share = np.array([(y[train] == 0).mean(), (y[train] == 1).mean()])
     cap = COST * 0.5 / share[y.astype(int)]  # classes weigh the same in total
-    scaled = {int(k): ratio[rows[k]] / np.sqrt(max(1, len(rows[k]))) for k in train}
-    norm = {k: float(v @ v) + 1.0 for k, v in scaled.items()}
-    alpha, rng = dict.fromkeys(scaled, 0.0), np.random.Generator(np.random.PCG64(7))
+    scale = lambda own: ratio[own] / np.sqrt(max(1, len(own)))
+    norm = {int(k): float(v @ v) + 1.0 for k in train for v in (scale(at(k)),)}
+    alpha, rng = dict.fromkeys(norm, 0.0), np.random.Generator(np.random.PCG64(7))
     for _ in range(EPOCHS):
         moved = 0.0
         for k in rng.permutation(train).tolist():
-            x, own = scaled[k], rows[k]
+            own = at(k)
+            x = scale(own)
             grad = sign[k] * (float(w[own] @ x) + bias) - 1
             new = min(max(alpha[k] - grad / norm[k], 0.0), cap[k])
             if (step := (new - alpha[k]) * sign[k]) != 0:
@@ -112,7 +129,7 @@ def fit(rows: list[np.ndarray], y: np.ndarray) -> Model:
         if moved < 1e-3:
             break
     model = Model((w * ratio).astype(np.float32), bias, 1.0, 0.0)
-    m = np.array([model.margin(rows[k]) for k in np.flatnonzero(apart)])
+    m = np.array([model.margin(at(k)) for k in np.flatnonzero(apart)])
     t = y[apart].astype(float)
     pos, neg = t.sum(), len(t) - t.sum()
     goal = np.where(t == 1, (pos + 1) / (pos + 2), 1 / (neg + 2))
@@ -132,15 +149,15 @@ def fit(rows: list[np.ndarray], y: np.ndarray) -> Model:
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        own = [f.astype(np.uint32).tobytes() for _, raw, offs in blocks(batch.column("text")) for f in features(raw, offs)]
+        own = [packed(f) for _, raw, offs in blocks(batch.column("text")) for f in features(raw, offs)]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.string()), batch.column("label"), pa.array(own, pa.binary())], ["doc_id", "label", "own"])
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", limit: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """A model from at most ``limit`` labelled ids outside the held-out fold; their features alone reach the driver."""
+    """A model from at most ``limit`` labelled ids outside the held-out fold; their features alone reach the driver, at most DIM / 8 bytes a row."""
     rows = training_rows(docs, labels, label_col, limit, id_col, text_col).mapInArrow(_extract, "doc_id string, label int, own binary")
     got = sorted((r[0], r[1], r[2]) for r in rows.groupBy("doc_id").agg(F.max("label"), F.max("own")).collect())
-    return fit([np.frombuffer(r[2], np.uint32).astype(np.int64) for r in got], np.array([int(r[1] > 0) for r in got]))
+    return fit([bytes(r[2]) for r in got], np.array([int(r[1] > 0) for r in got]))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
