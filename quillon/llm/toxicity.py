@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.labels import held_out, training_rows
+from quillon.llm.scratch import written
 from quillon.llm.textnp import LOWER, SPACED, blocks, words
 
 SPAN, STEP = 64, 48
@@ -33,6 +34,8 @@ GRAM_PLACES, GRAM_DIM = 1 << 15, 12
 THRESHOLD = 0.3
 #: Labelled rows with label 1 and with label 0 that the network is trained on at most, chosen by hash of the id.
 TRAIN_ROWS = (1500, 3000)
+#: Bytes of their texts at most, which the driver holds; a text that would go beyond is left out, whole.
+TRAIN_BYTES = 256 << 20
 EPOCHS, BATCH, RATE = 14, 48, 0.006
 #: Windows run at once.
 WIDE = 2048
@@ -278,11 +281,21 @@ def scores(p: dict[str, np.ndarray], raw: np.ndarray, offs: np.ndarray) -> np.nd
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", limits: tuple[int, int] = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text") -> dict[str, np.ndarray]:
     """A network trained on at most ``limits`` labelled ids of class 1 and 0, outside the held-out fold.
 
-    The rows are sampled, their texts are whole: the driver holds them, and each epoch scores all their windows.
+    The rows are sampled, their texts are whole: the driver holds up to ``TRAIN_BYTES`` of them, and each epoch scores all their windows.
     """
     parts = [training_rows(docs, labels.where(pick), label_col, limit, id_col, text_col) for pick, limit in zip((F.col(label_col) > 0, F.col(label_col) <= 0), limits, strict=True)]
     rows = parts[0].unionByName(parts[1]).select(F.col("doc_id").cast("string").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), "label")
-    got = sorted((r[0], r[1], r[2]) for r in rows.groupBy("doc_id").agg(F.max("label"), F.max("text")).collect())
+    rows = written(rows.groupBy("doc_id").agg(F.max("label").alias("label"), F.max("text").alias("text")), "toxicity-training")
+    size = rows.select("doc_id", F.octet_length("text").alias("n")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()  # at most the limits' rows
+    left, out = TRAIN_BYTES, set()
+    for r in size:
+        if r["n"] <= left:
+            left -= r["n"]
+        else:
+            out.add(r["doc_id"])
+    if out:
+        rows = rows.where(~F.col("doc_id").isin(sorted(out)))
+    got = sorted((r["doc_id"], r["label"], r["text"]) for r in rows.collect())
     order = np.random.Generator(np.random.PCG64(11)).permutation(len(got))
     return fit([got[k][2] for k in order], np.array([int(got[k][1] > 0) for k in order]))
 
