@@ -12,7 +12,9 @@ already. Trees are built per task from rows that share a token:
 
 1. Every (shingle, set) is dealt by shingle and counted over all documents. The
    hashes' leading bits make parts of about a million shingles, and a Spark
-   partition holds several parts, which it takes one after the other.
+   partition holds several parts, which it takes one after the other. A shingle
+   with a large share of all is hot: tasks report it in the scan that names the
+   sets, and it isn't counted but passes for the most frequent, dealt by set.
    Shingles of one set only can't be part of an overlap and are dropped, but
    still count in the set's size.
 2. Ordered from the rarest shingle on, a set can link only by one of its first
@@ -46,6 +48,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from quillon.llm.groups import attach_groups
 from quillon.llm.scratch import release, written
@@ -58,6 +61,10 @@ NUM, DEN = 100, 80
 CHUNK = 256
 #: Counts of a shingle stop here; rarer is what matters, and any order that all share is right.
 TOP_COUNT = 4096
+#: A shingle is hot from about this share of all rows (shingle, set) on; so at most 1/share of them are broadcast.
+HOT_SHARE = 1 / 8192
+#: Rows (shingle, set) that a task looks at together for large shares, and the fewest of one shingle that it reports.
+LOOK, LEAST_HOT = 1 << 21, 64
 #: Bits of a token bitmap.
 BITS = 2048
 FANOUT = 8
@@ -95,12 +102,36 @@ def names(tok: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return np.where(n > 0, mix(name + n.astype(np.uint64) * _M2) | np.uint64(1), np.uint64(0)).view(np.int64)
 
 
-def _info(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for row, raw, offs in blocks(batch.column(1)):
-            tok, at = shingle_sets(raw, offs)
-            k = len(offs) - 1
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, k), batch.column(2).slice(row, k), pa.array(np.diff(at)), pa.array(names(tok, at))], ["doc_id", "key", "n", "sig"])
+def _heavy(held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles with a large share of some sets' shingles, and how many of the sets have each."""
+    tok, count = np.unique(np.concatenate(held), return_counts=True)
+    large = count >= max(LEAST_HOT, int(count.sum() * HOT_SHARE))
+    return tok[large].view(np.int64), count[large]
+
+
+def _info(kind: pa.DataType):
+    """Size and name of each row's set; and rows with a null name: shingles with a large share of what a task looked at (key), and how many sets of it have them (n)."""
+
+    def report(held: list[np.ndarray]) -> pa.RecordBatch:
+        tok, count = _heavy(held)
+        return pa.RecordBatch.from_arrays([pa.nulls(len(tok), kind), pa.array(tok), pa.array(count, pa.int64()), pa.nulls(len(tok), pa.int64())], ["doc_id", "key", "n", "sig"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for row, raw, offs in blocks(batch.column(1)):
+                tok, at = shingle_sets(raw, offs)
+                k = len(offs) - 1
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, k).cast(kind), batch.column(2).slice(row, k), pa.array(np.diff(at)), pa.array(names(tok, at))], ["doc_id", "key", "n", "sig"])
+                held.append(tok)
+                size += len(tok)
+                if size > LOOK:
+                    yield report(held)
+                    held, size = [], 0
+        if held:
+            yield report(held)
+
+    return run
 
 
 # --- rows of many tokens, packed: a header a set, then its tokens ----------------
@@ -167,13 +198,22 @@ def low_bytes(parts_log2: int) -> int:
     return 8 - parts_log2 // 8
 
 
-def _deal_tokens(parts_log2: int, partitions_log2: int):
-    """(slot, p, data): every set's tokens, dealt by their highest bits. Sets met before in the task are left out."""
+def _deal_tokens(parts_log2: int, partitions_log2: int, hot: np.ndarray):
+    """(slot, p, hot, data): every set's tokens, dealt by their highest bits, and the ``hot`` ones (sorted) by those of the set's name. Sets met before in the task are left out."""
     slot, finer = slots(1 << partitions_log2), parts_log2 - partitions_log2
 
     def flush(sig, n, run, tok):
         owner = np.repeat(np.arange(len(sig)), run)
-        p = (tok >> np.uint64(64 - parts_log2)).astype(np.int64)
+        if len(hot):
+            is_hot = hot[np.minimum(np.searchsorted(hot, tok), len(hot) - 1)] == tok
+            if is_hot.any():
+                by_set = (sig.view(np.uint64)[owner[is_hot]] >> np.uint64(64 - parts_log2)).astype(np.int64)
+                yield dealt(sig, n, owner[is_hot], tok[is_hot], by_set, True, 8)
+                owner, tok = owner[~is_hot], tok[~is_hot]
+        if len(tok):
+            yield dealt(sig, n, owner, tok, (tok >> np.uint64(64 - parts_log2)).astype(np.int64), False, low_bytes(parts_log2))
+
+    def dealt(sig, n, owner, tok, p, is_hot, width):
         order = np.argsort(p, kind="stable")
         p, owner, tok = p[order], owner[order], tok[order]
         cut = _runs(p)
@@ -182,9 +222,9 @@ def _deal_tokens(parts_log2: int, partitions_log2: int):
             own = _runs(owner[a:b])
             who = owner[a:b][own[:-1]]
             rows.append(int(p[a]))
-            data.append(pack(sig[who], n[who], np.diff(own), tok[a:b], low_bytes(parts_log2)))
+            data.append(pack(sig[who], n[who], np.diff(own), tok[a:b], width))
         part = np.array(rows, np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(slot[part >> finer]), pa.array(part, pa.int32()), pa.array(data, pa.binary())], ["slot", "p", "data"])
+        return pa.RecordBatch.from_arrays([pa.array(slot[part >> finer]), pa.array(part, pa.int32()), pa.array(np.full(len(part), is_hot)), pa.array(data, pa.binary())], ["slot", "p", "hot", "data"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -200,7 +240,7 @@ def _deal_tokens(parts_log2: int, partitions_log2: int):
                 if len(seen) > 1 << 20:  # forgetting costs a repeated row, no more
                     seen.clear()
                 if fresh:
-                    yield flush(sig[fresh], n[fresh], n[fresh], np.concatenate([tok[at[k] : at[k + 1]] for k in fresh]))
+                    yield from flush(sig[fresh], n[fresh], n[fresh], np.concatenate([tok[at[k] : at[k + 1]] for k in fresh]))
 
     return run
 
@@ -237,7 +277,11 @@ def _count_shared(parts_log2: int, partitions_log2: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, hot, limit, part = [], 0, np.zeros(0, np.uint64), 1 << 20, None
         for batch in batches:
-            for p, data in zip(batch.column("p").to_pylist(), batch.column("data"), strict=True):
+            for p, is_hot_row, data in zip(batch.column("p").to_pylist(), batch.column("hot").to_pylist(), batch.column("data"), strict=True):
+                if is_hot_row:
+                    sig, n, tok, _ = unpack(data.as_py(), 8)
+                    yield out(tok, sig, n, np.full(len(tok), TOP_COUNT))
+                    continue
                 if p != part:
                     if held:
                         gone, _ = settle(held, True)
@@ -625,8 +669,12 @@ def _meetings(cands: DataFrame, own: DataFrame) -> DataFrame | None:
 def _sets(texts: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     """Per row of ``texts`` (doc_id, text, key) its set's size and name; the candidate sets; the number of rows."""
     kind = texts.schema["doc_id"].dataType.simpleString()
-    info = written(texts.mapInArrow(_info, f"doc_id {kind}, key long, n long, sig long"), "sets")
+    found = written(texts.mapInArrow(_info(to_arrow_type(texts.schema["doc_id"].dataType)), f"doc_id {kind}, key long, n long, sig long"), "sets")
+    info = found.where("sig IS NOT NULL")
     n_rows, n_tokens = info.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    # A shingle with twice HOT_SHARE of all is reported for at least half of that; the sums let at most 1 / HOT_SHARE pass.
+    heavy = found.where("sig IS NULL").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= max(LEAST_HOT, int(n_tokens * HOT_SHARE)))
+    hot = np.sort(np.array([r["key"] for r in heavy.select("key").collect()], np.int64).view(np.uint64))
     # A part holds about a million tokens, or the sets of as many. The number of partitions is the cluster's.
     parts_log2 = max(6, (int(n_tokens) >> 20).bit_length())
     spark = texts.sparkSession
@@ -634,7 +682,7 @@ def _sets(texts: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     most = max(LEAST_LOG2, (width - 1).bit_length() + EACH_LOG2)
     partitions_log2 = min(most, max(LEAST_LOG2, (int(n_tokens) >> 20).bit_length()))
     deal = lambda df: df.repartition(1 << partitions_log2, "slot").sortWithinPartitions("p")
-    dealt = deal(texts.select("text").mapInArrow(_deal_tokens(parts_log2, partitions_log2), "slot int, p int, data binary"))
+    dealt = deal(texts.select("text").mapInArrow(_deal_tokens(parts_log2, partitions_log2, hot), "slot int, p int, hot boolean, data binary"))
     shared = deal(dealt.mapInArrow(_count_shared(parts_log2, partitions_log2), "slot int, p int, data binary"))
     cands = shared.mapInArrow(_candidates, "sig long, n int, seed long, toks binary, pref binary")
     cands = written(cands, "candidates")

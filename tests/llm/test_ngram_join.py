@@ -136,3 +136,14 @@ def test_many_parts_in_a_partition(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = ngram_join.sets_and_components(df).select("doc_id", "n_shingles", "component_id").collect()
     assert sorted(map(tuple, got), key=str) == brute(rows)
+
+
+def test_hot_shingles(spark, monkeypatch):
+    """Shingles that pass for the most frequent without being counted change nothing, whether many do or all."""
+    rows = corpus(7)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    for share, least in ((1 / 200, 2), (0.0, 1)):
+        monkeypatch.setattr(ngram_join, "HOT_SHARE", share)
+        monkeypatch.setattr(ngram_join, "LEAST_HOT", least)
+        got = ngram_join.sets_and_components(df).select("doc_id", "n_shingles", "component_id").collect()
+        assert sorted(map(tuple, got), key=str) == brute(rows)
