@@ -4,8 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Tables whose rows are whole texts.
+TEXTS = ("documents", "pages")
+#: Bytes of a table of texts from which on it is worth dealing out to all cores.
+DEAL_BYTES = 4 << 20
+
 
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     """Read ``root/name.parquet`` (a file or a folder) through Spark's own reader,
-    so that any file system Spark knows can hold it."""
-    return spark.read.parquet(f"{root}/{name}.parquet")
+    so that any file system Spark knows can hold it.
+
+    A file with one row group is one task, which a table of texts would keep busy
+    for long while other cores idle: if there are fewer input tasks than cores, its
+    rows are dealt out. Large tables have more tasks than cores and are left alone.
+    """
+    df = spark.read.parquet(f"{root}/{name}.parquet")
+    if name in TEXTS:
+        cores = spark.sparkContext.defaultParallelism
+        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+        if DEAL_BYTES <= size < cores * (32 << 20) and df.rdd.getNumPartitions() < cores:
+            return df.repartition(cores)
+    return df
