@@ -62,7 +62,7 @@ def q4(spark, root):
     return S.hybrid(docs(spark, root).select("doc_id", "text", "source"), vectors, ["tion", "ment"], query_vector(spark, root), "source", 8, 2).withColumn("distance", F.round(F.col("distance") + 1, 6))
 
 
-@query("q5_embed_pending", "SELECT sha256(text) AS sha, 4 AS dim FROM documents WHERE doc_id % 2 = 1 AND sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE doc_id % 2 = 0) GROUP BY 1")
+@query("q5_embed_pending", "SELECT sha256(text) AS sha, 4 AS dim, any_value(length(text))::DOUBLE AS size FROM documents WHERE doc_id % 2 = 1 AND sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE doc_id % 2 = 0) GROUP BY 1")
 def q5(spark, root):
     d = docs(spark, root).select("doc_id", F.sha2("text", 256).alias("sha"), F.col("text").alias("content"))
     cache = d.where("doc_id % 2 = 0").select("sha").distinct()
@@ -70,7 +70,7 @@ def q5(spark, root):
     def embed(texts):
         return [[float(sum(map(ord, t)) % 97), float(len(t)), 1.0, 0.0] for t in texts]
 
-    return S.embed_pending(d.where("doc_id % 2 = 1"), cache, embed, 4).select("sha", F.size("embedding").alias("dim"))
+    return S.embed_pending(d.where("doc_id % 2 = 1"), cache, embed, 4).select("sha", F.size("embedding").alias("dim"), F.get("embedding", F.lit(1)).cast("double").alias("size"))
 
 
 @query("q6_mentions", """

@@ -89,10 +89,12 @@ def f11(spark, root):
     return table(spark, root, "documents").where(~R.in_list(F.lower("lang"), ["de", "fr"])).select("doc_id")
 
 
-@query("f12_suppression", "SELECT event_id, event_type FROM events WHERE event_type NOT IN (SELECT event_type FROM events WHERE event_id % 2 = 3) AND event_type NOT IN ('view')")
+@query("f12_suppression", "SELECT event_id, event_type FROM events WHERE NOT (event_type = 'view' AND user_id % 3 = 0) AND NOT (event_type = 'click' AND user_id % 3 = 1)")
 def f12(spark, root):
-    ignored = spark.createDataFrame([("view",)], "event_type string")
-    return table(spark, root, "events").select("event_id", "event_type").join(ignored, "event_type", "left_anti").select("event_id", "event_type")
+    """Rules that are suppressed in some scopes only."""
+    ignored = spark.createDataFrame([("view", 0), ("click", 1)], "event_type string, scope long")
+    e = table(spark, root, "events").select("event_id", "event_type", (F.col("user_id") % 3).alias("scope"))
+    return e.join(ignored, ["event_type", "scope"], "left_anti").select("event_id", "event_type")
 
 
 # --- joins ------------------------------------------------------------------------
