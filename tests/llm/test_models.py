@@ -182,6 +182,22 @@ def test_rates_reach_the_least_squares(spark):
             few.undo()
 
 
+@pytest.mark.parametrize(
+    ("spread", "goal", "met"),
+    [((30, 0.02, 0.02), (0.94, 0.01, 0.05), False), ((0.4, 0.05, 0.05), (0.94, 0.01, 0.05), True), ((30, 0.02, 0.02), (0, 0, 1), False), ((0.05, 0.05, 0.05), (0, 0.5, 0.5), True)],
+)
+def test_rates_take_few_passes(spark, spread, goal, met):
+    """Nearly pure posteriors, where most rates stay near one, and targets that can't be met, which are reported."""
+    rng = np.random.default_rng(3)
+    p, t = rng.dirichlet(spread, 800), rng.integers(0, 3000, 800)
+    narrow = spark.createDataFrame([(int(n), *map(float, q)) for n, q in zip(t, p)], "tokens long, p_good double, p_low double, p_toxic double")
+    rates = mixing.fit_rates(narrow, dict(zip(mixing.DOMAINS, goal)))
+    assert rates.passes <= 20 and rates.gap <= mixing.GAP
+    shares = (t / t.sum() * rates.at(p)[0]) @ p
+    assert np.allclose([rates.missed[d] for d in mixing.DOMAINS], shares - np.array(goal), atol=1e-9)
+    assert (max(map(abs, rates.missed.values())) < 0.02) == met
+
+
 def test_dual_descent_finds_the_optimum(monkeypatch):
     """The linear model against projected gradient ascent on the whole dual, with the same scaling and caps."""
     monkeypatch.setattr(quality, "EPOCHS", 3000)
