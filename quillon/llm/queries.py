@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import chat, decontaminate, exact_dedup, line_dedup, mixing, ngram_join, pii, quality, suffix_dedup, toxicity
+from quillon.llm import chat, collisions, decontaminate, exact_dedup, hard_negatives, line_dedup, mixing, ngram_join, pii, quality, suffix_dedup, toxicity, whitening
 from quillon.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -123,3 +123,46 @@ def op5(spark: SparkSession, root: str) -> DataFrame:
 def op7(spark: SparkSession, root: str) -> DataFrame:
     out = line_dedup.remove_lines(table(spark, root, "documents"))
     return out.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query(
+    "op11_embedding_near_dedup",
+    """
+    WITH RECURSIVE v AS (
+      SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+      WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(embedding, lambda c: c <> 0)) > 0),
+    l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+    r AS (SELECT vec_id, vec_id AS z FROM embeddings UNION SELECT r.vec_id, l.y FROM r JOIN l ON l.x = r.z),
+    c AS (SELECT vec_id, min(z) AS component_id FROM r GROUP BY vec_id),
+    n AS (SELECT x, count(*) AS n FROM l GROUP BY x)
+    SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM c LEFT JOIN n ON x = vec_id
+    """,
+)
+def op11(spark: SparkSession, root: str) -> DataFrame:
+    return collisions.near_copies(table(spark, root, "embeddings"))
+
+
+@query("op12_embedding_whitening")
+def op12(spark: SparkSession, root: str) -> DataFrame:
+    # The contract's long holds deviations up to 2^63; the operator's decimal goes on.
+    return whitening.whiten(table(spark, root, "embeddings")).withColumn("deviation", F.expr("try_cast(deviation AS BIGINT)"))
+
+
+@query(
+    "op13_hard_negatives",
+    """
+    WITH v AS (
+      SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda c: floor(256 * c::DOUBLE)) AS e FROM embeddings
+      WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+    s AS (
+      SELECT a.vec_id AS anchor_id, b.vec_id AS vec_id, a.label = b.label AS same, list_dot_product(a.e, b.e)::BIGINT AS score
+      FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+    p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+    SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+    FROM p JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+    QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) <= 3
+    """,
+)
+def op13(spark: SparkSession, root: str) -> DataFrame:
+    changed = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, root, "embeddings"), F.col("vec_id") % 50 == 0, changed)
