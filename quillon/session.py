@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders of local sessions that name none, by application.
+_LOCAL: dict[str, str] = {}
+
 
 def build_session(master: str = "local[*]", shuffle_partitions: int = 8, app: str = "quillon", **conf: str) -> SparkSession:
     """A session with adaptive execution, UTC and the given number of shuffle partitions.
@@ -27,18 +31,28 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8, app: st
     return builder.getOrCreate()
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """``df`` written to the folder that driver and executors share, and read back: a loop's rounds don't pile up in one plan.
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    A local master without ``spark.checkpoint.dir`` gets a folder of its own; any other is refused.
+    A local master without one gets a folder of its own; any other is refused.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        app = spark.sparkContext.applicationId
+        root = _LOCAL.get(app) or _LOCAL.setdefault(app, "file://" + tempfile.mkdtemp(prefix="quillon-"))
+    return root.rstrip("/")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark)}/quillon-{name}-{uuid.uuid4().hex}"
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read back: a loop's rounds don't pile up in one plan."""
+    sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        root = spark.conf.get("spark.checkpoint.dir", None)
-        if not root:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-            root = "file://" + tempfile.mkdtemp(prefix="quillon-")
-        sc.setCheckpointDir(root)
+        sc.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()

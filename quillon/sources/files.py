@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quillon.sources.lease import Lease, LeaseLost
+
 
 def texts(spark: SparkSession, path: str) -> DataFrame:
     """(path, text) of whole files; a byte-order mark is stripped, files that aren't UTF-8 or are empty are left out."""
@@ -68,9 +70,10 @@ def recover(spark: SparkSession, path: str) -> None:
         _move(fs, path_of, old[-1], path)
 
 
-def write_atomic(df: DataFrame, path: str) -> None:
+def write_atomic(df: DataFrame, path: str, lease: Lease | None = None) -> None:
     """Write beside ``path``, then swap it in by rename; a failed write or rename leaves the old dataset.
 
+    With a ``lease``, a writer that has lost it by the time of the swap is refused.
     Should the process die between the two renames, the next ``write_atomic`` or ``recover`` puts the old one back.
     """
     spark = df.sparkSession
@@ -78,6 +81,12 @@ def write_atomic(df: DataFrame, path: str) -> None:
     fs, path_of = _hadoop(spark, path)
     stage, old = f"{path}.new-{uuid.uuid4().hex}", f"{path}.old-{time.time_ns():020d}"
     df.write.parquet(stage)
+    if lease:
+        try:
+            lease.check()
+        except LeaseLost:
+            fs.delete(path_of(stage), True)
+            raise
     there = fs.exists(path_of(path))
     if there:
         _move(fs, path_of, path, old)
