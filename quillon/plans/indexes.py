@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quillon.operators.index import TextIndex
 from quillon.plans.registry import ORACLES, query
 from quillon.session import scratch
+from quillon.sources import sqlite
 from quillon.sources.tables import table
 
 
@@ -47,3 +48,27 @@ def v2_changes(spark, root):
 def v2_phrase(spark, root):
     index = TextIndex.create(spark, scratch(spark, "index"), table(spark, root, "documents"), tokens="letters")
     return index.matching("in the", phrase=True).select(F.col("doc").alias("doc_id"), "n")
+
+
+@query("s4_sqlite", """
+    SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderstatus IN ('F', 'O') AND o_custkey > 20 AND o_orderkey IS NOT NULL""")
+def s4_sqlite(spark, root):
+    """Orders written as SQLite databases, a task each, and read back in ranges with columns and filters handed down."""
+    path = scratch(spark, "sqlite")
+    sqlite.register(spark)
+    orders = table(spark, root, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
+    orders.repartition(4, "o_custkey").write.format("sqlite").option("table", "orders").mode("append").save(path)
+    back = sqlite.sqlite_table(spark, path, "orders", ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"])
+    return back.where("o_orderstatus IN ('F', 'O') AND o_custkey > 20 AND o_orderkey IS NOT NULL")
+
+
+@query("s5_sqlite_works", "SELECT c_nationkey, count(*) AS n, sum(c_custkey)::BIGINT AS keys FROM customer GROUP BY c_nationkey HAVING count(DISTINCT c_nationkey) = 1")
+def s5_works(spark, root):
+    """One database a task, joined to one table that knows the database of each row: no database holds rows of a nation that another one has."""
+    path = scratch(spark, "works")
+    sqlite.register(spark)
+    customers = table(spark, root, "customer").select("c_custkey", F.col("c_nationkey").cast("long").alias("c_nationkey"), "c_name")
+    customers.repartition(5, "c_nationkey").write.format("sqlite").option("table", "customer").mode("append").save(path)
+    rows = sqlite.sqlite_table(spark, path, "customer", ["c_custkey", "c_nationkey"], origin="work")
+    by = rows.groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("n"), F.sum("c_custkey").alias("keys"), F.count_distinct("work").alias("works"))
+    return by.where("works = 1").select(F.col("c_nationkey").cast("int").alias("c_nationkey"), "n", "keys")
