@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillon.operators.index import TextIndex
+from quillon.operators.vector_index import VectorIndex
 from quillon.plans.registry import ORACLES, query
 from quillon.session import scratch
 from quillon.sources import sqlite
@@ -72,3 +73,27 @@ def s5_works(spark, root):
     rows = sqlite.sqlite_table(spark, path, "customer", ["c_custkey", "c_nationkey"], origin="work")
     by = rows.groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("n"), F.sum("c_custkey").alias("keys"), F.count_distinct("work").alias("works"))
     return by.where("works = 1").select(F.col("c_nationkey").cast("int").alias("c_nationkey"), "n", "keys")
+
+
+@query("v1_vector_index", ORACLES["q3_nearest"])
+def v1_vectors(spark, root):
+    """Exact: the nearest cells, then those that the bound doesn't rule out."""
+    vectors = table(spark, root, "embeddings")
+    index = VectorIndex.create(spark, scratch(spark, "vectors"), vectors)
+    q = [float(x) for x in vectors.where("vec_id = 7").select("embedding").first()[0]]
+    return index.search(q, 20, exact=True).select(F.col("id").alias("vec_id"), F.round(F.col("distance") + 1, 6).alias("distance"))
+
+
+_LEFT = "SELECT vec_id, CASE WHEN vec_id % 4 = 0 THEN list_transform(embedding, lambda c: -c) ELSE embedding END AS embedding FROM embeddings WHERE vec_id % 3 <> 0 OR vec_id = 9"
+
+
+@query("v1_vector_changes", ORACLES["q3_nearest"].replace("FROM embeddings e, embeddings q", f"FROM ({_LEFT}) e, embeddings q").replace("LIMIT 20", "LIMIT 25"))
+def v1_changes(spark, root):
+    """Half of the vectors first, then the others and opposite vectors for a quarter, then a third deleted but one."""
+    vectors = table(spark, root, "embeddings").select("vec_id", "embedding")
+    index = VectorIndex.create(spark, scratch(spark, "vectors"), vectors.where("vec_id % 2 = 0"))
+    opposite = vectors.where("vec_id % 4 = 0").withColumn("embedding", F.transform("embedding", lambda c: -c))
+    index.add(vectors.where("vec_id % 2 <> 0").unionByName(opposite))
+    index.delete(vectors.where("vec_id % 3 = 0 AND vec_id <> 9"))
+    q = [float(x) for x in vectors.where("vec_id = 7").select("embedding").first()[0]]
+    return index.search(q, 25, exact=True).select(F.col("id").alias("vec_id"), F.round(F.col("distance") + 1, 6).alias("distance"))
