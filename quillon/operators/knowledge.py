@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillon.functions import hashing as H
-from quillon.functions import text as T
+from quillon.operators.automaton import occurrences
 from quillon.session import settled
 
 
@@ -51,31 +51,14 @@ def split_entity(aliases: DataFrame, names: list[str], source: object, new: obje
 
 
 def mentions(texts: DataFrame, aliases: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, entity, start, end) of every whole-word occurrence of an alias, ignoring case.
+    """(id, entity, start, end) of every whole-word occurrence of an alias (entity, alias), ignoring case.
 
-    Aliases join a text's distinct words by their first word, so a text meets only
-    aliases that can occur in it; each of those is then searched as a whole. Only
-    (text key, word) and (text key, alias) are shuffled before the matching texts,
-    each of which comes once, with the list of its aliases. Positions are in characters.
+    Occurrences of one alias don't overlap; those of different ones may. Positions
+    are in characters. One pass a text finds all aliases (see ``automaton``); their
+    entities are joined to the hits, so an alias of many entities costs one search.
     """
-    word = r"[\p{L}\p{N}_]+"
     alias = aliases.select("entity", F.lower("alias").alias("alias")).where("alias <> ''").distinct()
-    alias = alias.withColumn("head", F.regexp_extract("alias", word, 0))
-    text = F.lower(F.coalesce(F.col(text_col), F.lit("")))
-    rows = texts.select(F.col(id_col).alias("id"), text.alias("t")).withColumn("key", F.xxhash64("id", "t"))
-    heads = rows.select("key", F.explode(F.array_distinct(F.regexp_extract_all("t", F.lit(word), F.lit(0)))).alias("head"))
-    pairs = heads.join(alias, "head").groupBy("key").agg(F.collect_set(F.struct("entity", "alias")).alias("as"))
-
-    def found(a: Column) -> Column:
-        whole = F.concat(F.lit(r"(?<![\p{L}\p{N}_])\Q"), a["alias"], F.lit(r"\E(?![\p{L}\p{N}_])"))
-        # What stands before each occurrence: the pieces and the occurrences before it, and its own piece.
-        pieces = F.transform(F.split(F.col("t"), whole, -1), lambda x: F.length(x))
-        size = F.length(a["alias"])
-        starts = F.get(F.transform(F.array(pieces), lambda p: F.transform(F.slice(T.sums_before(p), F.lit(2), F.size(p)), lambda before, i: before + i * size)), F.lit(0))
-        return F.transform(starts, lambda start: F.struct(a["entity"].alias("entity"), start.alias("start"), (start + size).alias("end")))
-
-    hit = rows.join(pairs, "key").select("id", F.explode(F.flatten(F.transform("as", found))).alias("m"))
-    return hit.select("id", "m.entity", "m.start", "m.end")
+    return occurrences(texts, alias, id_col, text_col).join(alias, "alias").select("id", "entity", "start", "end")
 
 
 def continuity(claims: DataFrame) -> DataFrame:
