@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import hashing as H
 from quillon.operators.automaton import occurrences
+from quillon.operators.graph import PEEL, strong_components
 from quillon.session import settled
 
 
@@ -95,23 +96,9 @@ def reachable(edges: DataFrame, source: str, target: str, depth: int = 32) -> Da
     return pairs
 
 
-def on_cycles(edges: DataFrame, source: str, target: str, rounds: int = 32, depth: int = 64) -> DataFrame:
-    """(node): nodes on a cycle of at most ``depth`` steps.
-
-    Edges whose start has no predecessor or whose end has no successor are on no
-    cycle; they are peeled off for some rounds, each written, and pairs are only
-    listed for what is left.
-    """
-    core = settled(edges.select(F.col(source).alias("a"), F.col(target).alias("b")).distinct())
-    n = core.count()
-    for _ in range(rounds):
-        kept = core.join(core.select(F.col("b").alias("a")).distinct(), "a", "left_semi")
-        kept = settled(kept.join(kept.select(F.col("a").alias("b")).distinct(), "b", "left_semi").select("a", "b"))
-        left = kept.count()
-        core, n, same = kept, left, left == n
-        if same or not left:
-            break
-    return reachable(core, "a", "b", depth).where("a = b").select(F.col("a").alias("node")).distinct()
+def on_cycles(edges: DataFrame, source: str, target: str, rounds: int = PEEL) -> DataFrame:
+    """(node): nodes on a cycle, of whatever length (see ``graph``); ``rounds``: peeling steps between other work."""
+    return strong_components(edges, source, target, peel=rounds).select("node")
 
 
 def universe_issues(claims: DataFrame, conflicts: DataFrame, precedence: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from quillon.operators import governance as G
 from quillon.operators import knowledge as K
 from quillon.operators import relational as R
 from quillon.operators import search as S
+from quillon.operators.graph import cycles, strong_components
 from quillon.plans.registry import query
 from quillon.plans.relational import claims
 from quillon.sources import manuscript
@@ -167,6 +168,29 @@ def q11(spark, root):
     return K.on_cycles(e, "a", "b")
 
 
+@query("q11_components", """
+    WITH RECURSIVE e AS (SELECT DISTINCT p_partkey % 97 AS a, (p_partkey * 5 + 3) % 97 AS b FROM part WHERE p_partkey % 97 > 40 UNION SELECT p_partkey % 41, (p_partkey + 1) % 37 FROM part),
+    r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+    SELECT x.a AS node, min(x.b) AS component FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY x.a""")
+def q11_components(spark, root):
+    p = table(spark, root, "part").select(F.col("p_partkey").alias("k"))
+    one = p.where("k % 97 > 40").selectExpr("k % 97 AS a", "(k * 5 + 3) % 97 AS b")
+    return strong_components(one.unionByName(p.selectExpr("k % 41 AS a", "(k + 1) % 37 AS b")), "a", "b", core=0)
+
+
+@query("q11_cycle_paths", """
+    SELECT (k // 12) * 12 AS component, 5::BIGINT AS nodes, concat_ws('-', (k // 12) * 12, (k // 12) * 12 + 1, (k // 12) * 12 + 3, (k // 12) * 12) AS cycle
+    FROM (SELECT c_custkey - c_custkey % 12 AS k FROM customer GROUP BY 1 HAVING count(*) = 12 OR (k = 0 AND count(*) = 11))""")
+def q11_paths(spark, root):
+    """Twelve events each, of which the first five are in a circle with one shortcut; the others hang on it."""
+    c = table(spark, root, "customer").select(F.col("c_custkey").alias("k"))
+    c = c.unionByName(c.sparkSession.range(1).select(F.col("id").alias("k"))).distinct()
+    full = c.groupBy(F.floor(F.col("k") / 12).alias("g")).agg(F.count(F.lit(1)).alias("n")).where("n = 12").select((F.col("g") * 12).alias("g"))
+    steps = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in ((0, 1), (1, 2), (2, 4), (4, 3), (3, 0), (1, 3), (3, 5), (5, 6), (6, 7), (8, 0), (9, 8), (10, 11), (4, 7))])
+    e = full.select("g", F.explode(steps).alias("s")).select((F.col("g") + F.col("s.a")).alias("earlier"), (F.col("g") + F.col("s.b")).alias("later"))
+    return cycles(e, "earlier", "later").withColumn("cycle", F.array_join("cycle", "-"))
+
+
 @query("q11_universe", """
     WITH c AS (SELECT user_id::VARCHAR AS subject, event_type AS predicate, CASE event_id % 3 WHEN 0 THEN 'alt' ELSE 'main' END AS continuity, event_id AS id, (user_id % 4 = 0 AND event_id % 2 = 0)::INT AS val FROM events)
     SELECT 'universe_claim_conflict' AS code, 'error' AS severity, NULL AS subject, NULL AS predicate, NULL AS continuity, 2 AS n FROM events WHERE event_id % 100 = 3
