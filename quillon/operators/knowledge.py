@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quillon.functions import hashing as H
 from quillon.operators.automaton import occurrences
 from quillon.operators.graph import PEEL, strong_components
+from quillon.operators.intervals import partners
 from quillon.session import settled
 
 
@@ -62,23 +63,33 @@ def mentions(texts: DataFrame, aliases: DataFrame, id_col: str = "doc_id", text_
     return occurrences(texts, alias, id_col, text_col).join(alias, "alias").select("id", "entity", "start", "end")
 
 
-def continuity(claims: DataFrame) -> DataFrame:
-    """Conflicts among claims (id, subject, predicate, continuity, value, rank, starts, ends).
+def conflicts(claims: DataFrame) -> DataFrame:
+    """Claims (id, subject, predicate, continuity, value, rank, starts, ends) that overlap in time with others of their subject, predicate and continuity that say something else, with how many (``partners``).
 
-    A null continuity is "main". Claims of one subject, predicate and continuity
-    that differ and overlap in time conflict; if the best-ranked of them disagree
-    among themselves it is an error, else a warning.
+    A null continuity is "main". No pairs are listed: see ``intervals.partners``; for those, ``relational.overlapping_pairs``.
+    """
+    c = claims.select("id", "subject", "predicate", F.coalesce("continuity", F.lit("main")).alias("continuity"), "value", "rank", "starts", "ends")
+    return partners(c, ["subject", "predicate", "continuity"], "id", "starts", "ends", "value")
+
+
+def continuity(claims: DataFrame, ids: bool = True) -> DataFrame:
+    """(subject, predicate, continuity, ids, severity): conflicts among claims, as ``conflicts`` finds them.
+
+    If the best-ranked of the conflicting claims disagree among themselves it is an
+    error, else a warning. ``ids`` lists all of them in one row; without it ``n``
+    says how many they are, which suits subjects with very many claims.
     """
-    c = claims.withColumn("continuity", F.coalesce("continuity", F.lit("main")))
-    x, y = c.alias("x"), c.alias("y")
-    same = reduce(lambda p, q: p & q, [F.col(f"x.{k}") == F.col(f"y.{k}") for k in ("subject", "predicate", "continuity")])
-    clash = x.join(y, same & (F.col("x.id") < F.col("y.id")) & (F.col("x.value") != F.col("y.value")) & (F.greatest("x.starts", "y.starts") <= F.least("x.ends", "y.ends")))
-    keys = [F.col(f"x.{k}").alias(k) for k in ("subject", "predicate", "continuity")]
-    sides = clash.select(*keys, F.explode(F.array(F.struct("x.id", "x.value", "x.rank"), F.struct("y.id", "y.value", "y.rank"))).alias("s"))
     by = ["subject", "predicate", "continuity"]
-    ranked = sides.select(*by, "s.id", "s.value", "s.rank").groupBy(*by, "rank").agg(F.collect_set("value").alias("values"), F.collect_set("id").alias("ids"))
-    out = ranked.groupBy(*by).agg(F.max_by("values", "rank").alias("top"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("ids"))
-    return out.select(*by, "ids", F.when(F.size("top") > 1, "error").otherwise("warning").alias("severity"))
+    ranked = conflicts(claims).groupBy(*by, "rank").agg(F.min("value").alias("low"), F.max("value").alias("high"), *([F.collect_set("id").alias("ids")] if ids else [F.count_distinct("id").alias("n")]))
+    all_ = F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("ids") if ids else F.sum("n").alias("n")
+    out = ranked.groupBy(*by).agg(F.max_by(F.struct("low", "high"), "rank").alias("top"), all_)
+    return out.select(*by, "ids" if ids else "n", F.when(F.col("top.low") != F.col("top.high"), "error").otherwise("warning").alias("severity"))
+
+
+def conflict_classes(claims: DataFrame) -> DataFrame:
+    """(subject, predicate, continuity, value, claims, links, first, last): what the conflicting claims of a subject say, how often, against how many others, and when."""
+    by = ["subject", "predicate", "continuity", "value"]
+    return conflicts(claims).groupBy(*by).agg(F.count(F.lit(1)).alias("claims"), F.sum("partners").alias("links"), F.min("starts").alias("first"), F.max("ends").alias("last"))
 
 
 def reachable(edges: DataFrame, source: str, target: str, depth: int = 32) -> DataFrame:

@@ -162,6 +162,17 @@ def q10(spark, root):
     return K.continuity(c).select("subject", "predicate", F.size("ids").cast("long").alias("n"), "severity")
 
 
+@query("q10_classes", """
+    WITH c AS (SELECT event_id AS id, user_id % 20 AS subject, event_type AS predicate, json_extract_string(props, '$.k')::BIGINT % 4 AS value, event_id AS s, event_id + user_id % 9 AS e FROM events WHERE event_id % 7 <> 0)
+    SELECT a.subject, a.predicate, a.value, count(DISTINCT a.id) AS claims, count(*) AS links, min(a.s) AS first, max(a.e) AS last
+    FROM c a JOIN c b ON a.subject = b.subject AND a.predicate = b.predicate AND a.value <> b.value AND greatest(a.s, b.s) <= least(a.e, b.e) GROUP BY ALL""")
+def q10_classes(spark, root):
+    e = table(spark, root, "events").where("event_id % 7 <> 0")
+    k = F.try_variant_get(F.try_parse_json("props"), "$.k", "bigint")
+    c = e.select(F.col("event_id").alias("id"), (F.col("user_id") % 20).alias("subject"), F.col("event_type").alias("predicate"), F.lit(None).cast("string").alias("continuity"), (k % 4).alias("value"), F.lit(1).alias("rank"), F.col("event_id").alias("starts"), (F.col("event_id") + F.col("user_id") % 9).alias("ends"))
+    return K.conflict_classes(c).drop("continuity")
+
+
 @query("q11_cycles", "WITH RECURSIVE e AS (SELECT p_partkey AS a, CASE WHEN p_partkey = 0 THEN 1 ELSE p_partkey // 3 END AS b FROM part), r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a) SELECT DISTINCT a AS node FROM r WHERE a = b")
 def q11(spark, root):
     e = table(spark, root, "part").select(F.col("p_partkey").alias("a"), F.when(F.col("p_partkey") == 0, 1).otherwise(F.floor(F.col("p_partkey") / 3)).alias("b"))
