@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quillon.operators import sync as knowledge_sync
 from quillon.operators.index import TextIndex
 from quillon.operators.vector_index import VectorIndex
 from quillon.plans.registry import ORACLES, query
@@ -97,3 +98,44 @@ def v1_changes(spark, root):
     index.delete(vectors.where("vec_id % 3 = 0 AND vec_id <> 9"))
     q = [float(x) for x in vectors.where("vec_id = 7").select("embedding").first()[0]]
     return index.search(q, 25, exact=True).select(F.col("id").alias("vec_id"), F.round(F.col("distance") + 1, 6).alias("distance"))
+
+
+@query("i11_sync", """
+    WITH e AS (SELECT 'c' || c_custkey AS uid, c_name AS name, c_nationkey AS n FROM customer UNION ALL SELECT 's' || s_suppkey, s_name, s_nationkey FROM supplier),
+    k AS (SELECT 'c' || o_custkey AS uid, count(*) AS claims, sum(CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey ELSE 1 END)::BIGINT AS total FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_nationkey % 5 <> 0 OR o_orderkey % 3 = 0 GROUP BY 1),
+    a AS (SELECT uid, count(*) AS aliases FROM (SELECT uid, 'of ' || n_name AS alias FROM e JOIN nation ON n = n_nationkey WHERE n % 5 <> 0 OR uid LIKE 's%' UNION ALL SELECT uid, uid || ' renamed' FROM e WHERE n % 5 = 0 AND uid LIKE 'c%') GROUP BY uid)
+    SELECT uid, name, CASE WHEN uid LIKE 'c%' THEN 'character' ELSE 'organization' END AS type, coalesce(aliases, 0) AS aliases, coalesce(claims, 0) AS claims, coalesce(total, 0)::BIGINT AS total
+    FROM e LEFT JOIN k USING (uid) LEFT JOIN a USING (uid)""")
+def i11_sync(spark, root):
+    """One knowledge file a nation with its customers, suppliers and orders; then every fifth nation's anew, with other aliases and a third of its claims."""
+    nation = table(spark, root, "nation").select(F.col("n_nationkey").alias("n"), "n_name")
+    both = table(spark, root, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("uid"), F.col("c_name").alias("name"), F.lit("character").alias("type"), F.col("c_nationkey").alias("n"))
+    both = both.unionByName(table(spark, root, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("uid"), F.col("s_name").alias("name"), F.lit("organization").alias("type"), F.col("s_nationkey").alias("n")))
+    ordered = table(spark, root, "orders").join(table(spark, root, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_name", F.col("c_nationkey").alias("n")), "o_custkey")
+    key = F.col("o_orderkey")
+    values = F.struct(F.col("c_name").alias("subject"), F.when(key % 2 == 0, "ordered").otherwise("said").alias("predicate"), F.lit("s1").alias("scene_uid"), F.when(key % 2 == 0, F.to_json(F.struct(key.alias("x")))).otherwise('{"x":"text"}').alias("x"), key.alias("key"))
+
+    def files(second: bool):
+        # Objects are put together as text, so that a value may be a number here and a text there.
+        own = F.concat(F.lit("of "), "n_name")
+        alias = F.when(F.col("type") == "character", F.concat("uid", F.lit(" renamed"))).otherwise(own) if second else own
+        entity = F.to_json(F.struct("uid", "name", "type", F.array(alias).alias("aliases")))
+        e = both.join(F.broadcast(nation), "n").groupBy("n").agg(F.array_join(F.array_sort(F.collect_list(entity)), ",").alias("e"))
+        claim = F.concat(F.lit('{"subject":"'), F.col("x.subject"), F.lit('","predicate":"'), F.col("x.predicate"), F.lit('","scene_uid":"s1","value":'), F.regexp_extract("x.x", r"^\{.x.:(.*)\}$", 1), F.lit("}"))
+        c = ordered.select("n", values.alias("x"))
+        c = (c.where("x.key % 3 = 0") if second else c).groupBy("n").agg(F.array_join(F.array_sort(F.collect_list(claim)), ",").alias("c"))
+        text = F.concat(F.lit('{"schema_version":1,"predicates":[{"code":"ordered","value_kind":"number"}],"entities":['), F.coalesce("e", F.lit("")), F.lit('],"claims":['), F.coalesce("c", F.lit("")), F.lit("]}"))
+        return e.join(c, "n", "full").select(F.format_string("nation-%02d", "n").alias("name"), "n", text.alias("text"))
+
+    path = scratch(spark, "files")
+    files(False).select("name", "text").write.partitionBy("name").text(f"{path}/first")
+    files(True).where("n % 5 = 0").select("name", "text").write.partitionBy("name").text(f"{path}/second")
+    store = knowledge_sync.create(spark, scratch(spark, "knowledge"))
+    scenes = spark.createDataFrame([("s1", "", True)], "scene string, content string, active boolean")
+    for part in ("first", "second"):
+        found = knowledge_sync.items(spark, f"{path}/{part}/name=*/part-*", F.regexp_extract("path", "/name=([^/]+)/", 1))
+        knowledge_sync.sync(store, found, scenes, "work", extract_mentions=False)
+    claims = store.read("claims").groupBy(F.col("subject").alias("uid")).agg(F.count(F.lit(1)).alias("claims"), F.sum(F.coalesce(F.col("value").try_cast("long"), F.lit(1))).alias("total"))
+    aliases = store.read("aliases").groupBy("uid").agg(F.count(F.lit(1)).alias("aliases"))
+    out = store.read("entities").join(claims, "uid", "left").join(aliases, "uid", "left")
+    return out.select("uid", "name", "type", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("aliases", "claims", "total")])
