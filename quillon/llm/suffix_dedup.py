@@ -321,6 +321,18 @@ def repeated(bodies: list[bytes], depth: int = MIN) -> list[np.ndarray]:
     return [at[cut[k] : cut[k + 1]] - base[k] for k in range(len(bodies))]
 
 
+_BODY = "a long, d long, lo int, many boolean, body binary"
+
+
+def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pieces without those that this task has let through: equal rows bring equal pieces, of which one a task goes on."""
+    seen: set[tuple[int, int, int]] = set()
+    for batch in batches:
+        keys = zip(*(batch.column(k).to_pylist() for k in ("a", "d", "lo")), strict=True)
+        new = [k not in seen and not seen.add(k) for k in keys]
+        yield batch if all(new) else batch.filter(pa.array(new))
+
+
 def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Covered spans of pieces that aren't settled; rows come sorted by anchor."""
 
@@ -335,13 +347,18 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lo = np.concatenate(lo)
             yield _covered(np.concatenate(d), lo, lo + MIN)
 
-    held, size, anchor = [], 0, None
+    held, size, anchor, seen = [], 0, None, set()
     for batch in batches:
         for a, d, lo, many, body in zip(*(batch.column(k).to_pylist() for k in ("a", "d", "lo", "many", "body")), strict=True):
             if a != anchor and size > BATCH:  # an anchor's pieces stay together: at most CROWD of them
                 yield from out(held)
                 held, size = [], 0
+            if a != anchor:
+                seen = set()
             anchor = a
+            if (d, lo) in seen:
+                continue
+            seen.add((d, lo))
             held.append((d, lo, many, body))
             size += len(body)
     if held:
@@ -381,6 +398,8 @@ def covered_spans(texts: DataFrame) -> DataFrame:
         wanted = differ.groupBy("d", "src").agg(F.collect_list(F.struct("a", "lo", "hi", "many")).alias("want"))
         body = F.expr(f"substring(cast(text AS binary), lo - src + 1, hi - lo + {MIN - 1})")
         bodies = source.select("d", "src", "text").join(wanted, ["d", "src"]).select("d", "src", "text", F.inline("want")).select("a", "d", "lo", "many", body.alias("body"))
+        # Rows that are alike have one key, and so the same pieces: they go on once a task, not once a row.
+        bodies = bodies.mapInArrow(_once, _BODY)
         if more:
             bodies = written(bodies, "bodies")
         few = bodies.join(crowded, "a", "left_anti") if more else bodies

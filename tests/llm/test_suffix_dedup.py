@@ -120,3 +120,18 @@ def test_hot_anchors_are_dealt_by_content(spark, monkeypatch):
     monkeypatch.setattr(S, "HOT_SHARE", 0.0)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
     assert Counter(map(tuple, S.digest(S.remove_repeats(df)).collect())) == brute(rows)
+
+
+def test_repeated_rows_bring_their_pieces_once(spark):
+    """One row many times, and one that differs in a letter: the anchor's task searches two pieces."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(6)
+    text = "".join(map(chr, rng.integers(97, 123, 900)))
+    other = text[:450] + "#" + text[451:]
+    rows = [(1, text)] * 40 + [(2, other), (3, "".join(map(chr, rng.integers(97, 123, 400))))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert Counter(map(tuple, S.digest(S.remove_repeats(df)).collect())) == brute(rows)
+    bodies = pa.RecordBatch.from_pydict({"a": [7] * 6, "d": [1, 1, 2, 1, 2, 3], "lo": pa.array([0, 0, 0, 5, 0, 0], pa.int32()), "many": [True] * 6, "body": [b"x"] * 6})
+    out = [r for b in S._once(iter([bodies.slice(0, 2), bodies.slice(2)])) for r in b.to_pylist()]
+    assert [(r["d"], r["lo"]) for r in out] == [(1, 0), (2, 0), (1, 5), (3, 0)]
