@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quillon.functions import hashing as H
 from quillon.operators import sync as knowledge_sync
 from quillon.operators.index import TextIndex
+from quillon.operators.merkle import Level, MerkleTree
 from quillon.operators.vector_index import VectorIndex
 from quillon.plans.registry import ORACLES, query
 from quillon.session import scratch
@@ -139,3 +141,21 @@ def i11_sync(spark, root):
     aliases = store.read("aliases").groupBy("uid").agg(F.count(F.lit(1)).alias("aliases"))
     out = store.read("entities").join(claims, "uid", "left").join(aliases, "uid", "left")
     return out.select("uid", "name", "type", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("aliases", "claims", "total")])
+
+
+_EDITED = "SELECT doc_id, source, CASE WHEN doc_id % 50 = 0 THEN NULL ELSE lang END AS lang, CASE WHEN doc_id % 60 = 7 THEN text || '!' ELSE text END AS text FROM documents WHERE doc_id % 77 <> 3 AND lang <> 'es'"
+
+
+@query("i6_incremental", ORACLES["i6_merkle"].replace("FROM documents", f"FROM ({_EDITED})").replace("ORDER BY lang)", "ORDER BY lang NULLS FIRST)"))
+def i6_incremental(spark, root):
+    """Roots after an edit: some texts are longer, some documents have lost their language, some are gone, and all of one language; only their paths are hashed again."""
+    d = table(spark, root, "documents").select("doc_id", "source", "lang", "text")
+    leaf = lambda df: df.select("source", "lang", "doc_id", H.node_hash("doc", F.col("lang"), F.col("text")).alias("digest"))
+    levels = [Level("edition", ["source", "lang"], "doc_id"), Level("work", ["source"], "lang")]
+    tree = MerkleTree.create(spark, scratch(spark, "merkle"), leaf(d), levels)
+    gone = d.where("doc_id % 77 = 3 OR lang = 'es'")
+    left = d.where("doc_id % 77 <> 3 AND lang <> 'es' AND (doc_id % 50 = 0 OR doc_id % 60 = 7)")
+    new = left.withColumns({"lang": F.when(F.col("doc_id") % 50 != 0, F.col("lang")), "text": F.when(F.col("doc_id") % 60 == 7, F.concat("text", F.lit("!"))).otherwise(F.col("text"))})
+    moved = left.where("doc_id % 50 = 0")
+    tree.update(leaf(new), gone.unionByName(moved))
+    return tree.roots().withColumnRenamed("digest", "root")
