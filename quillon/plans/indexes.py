@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import hashing as H
 from quillon.operators import sync as knowledge_sync
+from quillon.operators.diff import apply, hunks
 from quillon.operators.index import TextIndex
 from quillon.operators.merkle import Level, MerkleTree
 from quillon.operators.vector_index import VectorIndex
@@ -159,3 +160,18 @@ def i6_incremental(spark, root):
     moved = left.where("doc_id % 50 = 0")
     tree.update(leaf(new), gone.unionByName(moved))
     return tree.roots().withColumnRenamed("digest", "root")
+
+
+@query("c15_hunks", """
+    SELECT doc_id, sha256(t) AS sha, t <> text AS changed FROM (SELECT doc_id, text,
+      regexp_replace(replace(CASE WHEN doc_id % 3 = 0 THEN 'first line' || chr(10) || text WHEN doc_id % 3 = 1 THEN text || chr(10) || 'last line' ELSE text END, ' the ', CASE WHEN doc_id % 4 = 0 THEN chr(10) ELSE ' the ' END), chr(10) || '[a-d][^' || chr(10) || ']*', '', 'g') AS t FROM documents)""")
+def c15_hunks(spark, root):
+    """Hunks from each text to an edited one (lines added, split and removed), carried out: the edited text must come back."""
+    d = table(spark, root, "documents").select("doc_id", "text")
+    n = F.lit("\n")
+    edited = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("first line\n"), "text")).when(F.col("doc_id") % 3 == 1, F.concat("text", F.lit("\nlast line"))).otherwise(F.col("text"))
+    edited = F.when(F.col("doc_id") % 4 == 0, F.replace(edited, F.lit(" the "), n)).otherwise(edited)
+    both = d.withColumn("after", F.regexp_replace(edited, "\n[a-d][^\n]*", ""))
+    found = hunks(both, "doc_id", "text", "after")
+    out = apply(both, found, "doc_id", "text", "again")
+    return out.join(found.select("doc_id").distinct().withColumn("changed", F.lit(True)), "doc_id", "left").select("doc_id", F.sha2("again", 256).alias("sha"), F.coalesce("changed", F.lit(False)).alias("changed"))
