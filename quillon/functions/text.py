@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: The collation under which case and marks of any script are ignored: keys of joins, groups and comparisons, without Python.
+ANY_CASE = "UNICODE_CI_AI"
 #: Letters of a word in prose: ASCII and Latin-1 letters.
 LETTERS = "A-Za-zÀ-úà-ÿ"
 WORD = f"[{LETTERS}]+"
@@ -22,6 +24,11 @@ def fold(c: Column) -> Column:
     return F.translate(F.lower(c), _FROM, _TO)
 
 
+def same_text(a: Column, b: Column) -> Column:
+    """Whether two texts are equal but for case and marks, in any script."""
+    return F.collate(a, ANY_CASE) == F.collate(b, ANY_CASE)
+
+
 def slug(c: Column) -> Column:
     """Plain letters and digits joined by "-"; "" if none."""
     return F.regexp_replace(F.regexp_replace(fold(c), "[^a-z0-9]+", "-"), "^-+|-+$", "")

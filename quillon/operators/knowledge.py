@@ -15,24 +15,32 @@ from quillon.operators.intervals import partners
 from quillon.session import settled
 
 
-def lookup(wanted: DataFrame, maps: list[DataFrame], redirects: DataFrame | None = None) -> DataFrame:
+def lookup(wanted: DataFrame, maps: list[DataFrame], redirects: DataFrame | None = None, collation: str | None = None) -> DataFrame:
     """(key, id) for each wanted key, from the first map (key, id) that has it; ties take the smallest id.
 
-    ``redirects`` (source, target) send a found id on, one hop.
+    ``redirects`` (source, target) send a found id on, one hop. With a ``collation``
+    (``text.ANY_CASE``: case and marks of any script are ignored) keys are equal as it says; a wanted key comes back as it was asked for.
     """
     ranked = reduce(DataFrame.unionByName, [m.select("key", "id", F.lit(p).alias("pref")) for p, m in enumerate(maps)])
-    best = ranked.join(wanted.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.min(F.struct("pref", "id")).alias("b")).select("key", F.col("b.id").alias("id"))
+    asked = wanted.select("key").distinct()
+    if collation is None:
+        best = ranked.join(asked, "key", "left_semi").groupBy("key").agg(F.min(F.struct("pref", "id")).alias("b"))
+    else:
+        same = F.collate("key", collation).alias("same")
+        best = asked.select("key", same).join(ranked.select(same, "pref", "id").groupBy("same").agg(F.min(F.struct("pref", "id")).alias("b")), "same")
+    best = best.select("key", F.col("b.id").alias("id"))
     if redirects is not None:
         best = best.join(redirects, best["id"] == redirects["source"], "left").select("key", F.coalesce("target", "id").alias("id"))
     return best
 
 
-def match_identity(local: DataFrame, shared: DataFrame) -> DataFrame:
+def match_identity(local: DataFrame, shared: DataFrame, collation: str | None = None) -> DataFrame:
     """(id, eid, confidence): local (id, uid, name) against shared (eid, uid, name). Equal uid is certain
-    (1.0), else an equal name is a guess (0.5). Two equi-joins, not one with OR."""
+    (1.0), else an equal name, by ``collation`` if one is given, is a guess (0.5). Two equi-joins, not one with OR."""
+    named = lambda df: df if collation is None else df.withColumn("name", F.collate("name", collation))
     by_uid = shared.where(F.col("uid").isNotNull()).select("uid", F.col("eid").alias("e1"))
-    by_name = shared.select("name", F.col("eid").alias("e2"))
-    out = local.join(by_uid, "uid", "left").join(by_name, "name", "left")
+    by_name = named(shared.select("name", F.col("eid").alias("e2")))
+    out = named(local).join(by_uid, "uid", "left").join(by_name, "name", "left")
     conf = F.when(F.col("e1").isNotNull(), 1.0).when(F.col("e2").isNotNull(), 0.5)
     return out.select("id", F.coalesce("e1", "e2").alias("eid"), conf.alias("confidence"))
 

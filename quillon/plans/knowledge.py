@@ -27,6 +27,18 @@ def q1(spark, root):
     return S.active_documents(d).select("doc_id")
 
 
+_ACCENTED = "[A-Za-zàâäáéèêëíîïñóôöúùûüçÀÂÄÁÉÈÊËÍÎÏÑÓÔÖÚÙÛÜÇ]+"
+
+
+@query("f5_any_case", f"SELECT strip_accents(lower(w)) AS word, count(DISTINCT w) AS forms, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '{_ACCENTED}')) AS w FROM documents) GROUP BY 1")
+def f5_any_case(spark, root):
+    """Words that are one but for case and accents, grouped by the collation; a group is named by one of its folded forms."""
+    words = docs(spark, root).select(F.explode(F.regexp_extract_all("text", F.lit(_ACCENTED), F.lit(0))).alias("w"))
+    forms = words.groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    by = forms.groupBy(F.collate("w", T.ANY_CASE).alias("same")).agg(F.min(T.fold(F.col("w"))).alias("word"), F.count(F.lit(1)).alias("forms"), F.sum("n").alias("n"))
+    return by.select("word", "forms", "n")
+
+
 _DIST = "round(1 - list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) / (sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])) * sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[]))), 6)"
 
 

@@ -194,3 +194,20 @@ def test_tools(spark):
     for name, args, error in (("get_scene_context", {"scene": "no"}, LookupError), ("get_entity_dossier", {"name": "no"}, LookupError), ("search_book_context", {"query": " "}, ValueError), ("nothing", {}, LookupError), ("propose_book_knowledge", {"proposal": "p", "payload": {"a": "x" * 70000}}, ValueError)):
         with pytest.raises(error):
             tools.call(book, name, **args)
+
+
+def test_names_of_any_script(spark):
+    """Case and marks are ignored by the collation, without Python; the key that was asked for comes back."""
+    from quillon.functions import text as T
+
+    known = spark.createDataFrame([("Άννα", 1), ("Ёлка", 2), ("Łódź", 3), ("ана", 9)], "key string, id long")
+    asked = spark.createDataFrame([("ΑΝΝΑ",), ("елка",), ("ЁЛКА",), ("Ана",), ("нет",)], "key string")
+    got = K.lookup(asked, [known], collation=T.ANY_CASE)
+    assert sorted(map(tuple, got.collect())) == sorted([("ΑΝΝΑ", 1), ("елка", 2), ("ЁЛКА", 2), ("Ана", 9)])
+    assert "Python" not in got._jdf.queryExecution().executedPlan().toString()
+    local = spark.createDataFrame([(1, None, "ΆΝΝΑ"), (2, "u", "x"), (3, None, "Zoë")], "id long, uid string, name string")
+    shared = spark.createDataFrame([(10, None, "άννα"), (20, "u", "y"), (30, None, "zoe")], "eid long, uid string, name string")
+    assert sorted(map(tuple, K.match_identity(local, shared, T.ANY_CASE).collect())) == [(1, 10, 0.5), (2, 20, 1.0), (3, 30, 0.5)]
+    assert [r[0] for r in K.match_identity(local, shared).where("eid IS NOT NULL").select("id").collect()] == [2]
+    one = spark.createDataFrame([("Ünïcode", "unicode"), ("Ναι", "ναί"), ("a", "b")], "x string, y string").select(T.same_text(F.col("x"), F.col("y")))
+    assert [r[0] for r in one.collect()] == [True, True, False]
