@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quillon.functions import hashing as H
@@ -14,6 +15,7 @@ from quillon.plans.registry import ORACLES, query
 from quillon.session import scratch
 from quillon.sources import sqlite
 from quillon.sources.tables import table
+from quillon.streaming.proposals import log_stream, replay_timed
 
 
 def _bm25(docs: str, terms: tuple[str, ...], k: int) -> str:
@@ -175,3 +177,26 @@ def c15_hunks(spark, root):
     found = hunks(both, "doc_id", "text", "after")
     out = apply(both, found, "doc_id", "text", "again")
     return out.join(found.select("doc_id").distinct().withColumn("changed", F.lit(True)), "doc_id", "left").select("doc_id", F.sha2("again", 256).alias("sha"), F.coalesce("changed", F.lit(False)).alias("changed"))
+
+
+@query("g1_timed", """
+    WITH o AS (SELECT o_custkey AS proposal, o_orderdate::DATE AS d, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate::DATE, o_orderkey) AS k FROM orders),
+    p AS (SELECT proposal, min(d) FILTER (WHERE k = 1) AS a, min(d) FILTER (WHERE k = 2) AS b, count(*) FILTER (WHERE k = 3) AS again FROM o WHERE k <= 3 GROUP BY proposal),
+    x AS (SELECT *, b IS NOT NULL AND b - a < 100 AS decided FROM p)
+    SELECT proposal, 'applied' AS outcome, 1 + decided::INT AS n FROM x UNION ALL SELECT proposal, 'expired', 1 FROM x WHERE NOT decided
+    UNION ALL SELECT proposal, 'illegal', 1 FROM x WHERE b IS NOT NULL AND NOT decided UNION ALL SELECT proposal, 'repeated', 1 FROM x WHERE again > 0""")
+def g1_timed(spark, root):
+    """A log of proposals streamed with event time: a customer's first order suggests, the second one decides if it comes within 100 days, the third repeats the second's uid."""
+    k = F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.to_date("o_orderdate"), "o_orderkey"))
+    o = table(spark, root, "orders").select("o_custkey", F.unix_date(F.to_date("o_orderdate")).alias("day"), k.alias("k")).where("k <= 3")
+    second = F.max(F.when(F.col("k") == 2, F.col("day"))).over(Window.partitionBy("o_custkey"))
+    day = F.when(F.col("k") == 3, second).otherwise(F.col("day"))
+    log = o.select(F.format_string("%d-%d", "o_custkey", F.least("k", F.lit(2))).alias("event_uid"), F.col("o_custkey").alias("proposal_uid"), F.when(F.col("k") == 1, "suggested").otherwise("approved").alias("to_status"), F.timestamp_seconds(day * F.lit(86400).cast("long")).alias("created_at"))
+    path, out, state = scratch(spark, "log"), scratch(spark, "outcomes"), scratch(spark, "state")
+    log.coalesce(1).write.json(path)
+    # The last event only moves the watermark beyond all others.
+    end = log.agg(F.max("created_at").alias("at")).select(F.lit("end").alias("event_uid"), F.lit(-1).cast("long").alias("proposal_uid"), F.lit("suggested").alias("to_status"), (F.col("at") + F.expr("INTERVAL 20000 DAYS")).alias("created_at"))
+    end.write.mode("append").json(path)
+    stream = replay_timed(log_stream(spark, path, 1), 100 * 86_400_000, "10000 days")
+    stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out).groupBy("proposal", "outcome").agg(F.count(F.lit(1)).cast("int").alias("n"))
