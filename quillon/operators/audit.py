@@ -171,29 +171,52 @@ def grammar(lines: DataFrame, ignored: tuple[str, ...] = (), extra: tuple[Rule,
     fixed. All rules run in one scan. ``extra`` adds rules; with ``replacement`` a
     column of that name says what each match would become.
     """
-    rows = lines.where("kind = 'text'")
-    hits = []
-    for code, kind, pattern, severity, sure, fix in grammar_rules(extra):
-        if code in ignored:
-            continue
-        why, what = _advice(code)
-        fields = [F.lit(x).alias(n) for n, x in (("rule", code), ("kind", kind), ("severity", severity), ("sure", sure), ("fix", fix is not None), ("why", why), ("what", what))]
-        hits.append(_struct_hits("(?iU)" + pattern, fields, lambda m, pattern=pattern, fix=fix: preview(m, pattern, fix)))
-    twice = (("rule", "grammar.duplication.adjacent_word"), ("kind", "duplicacao"), ("severity", "erro"), ("sure", 0.98), ("fix", False), ("why", "One word stands twice in a row."), ("what", "Take one out, unless someone stammers."))
+    rules = [r for r in grammar_rules(extra) if r[0] not in ignored]
     if "grammar.duplication.adjacent_word" not in ignored:
-        hits.append(_struct_hits(DUPLICATE, [F.lit(x).alias(n) for n, x in twice], lambda m: F.lit(None).cast("string")))
-    rows = rows.select("doc_id", "line", "chapter", "context", F.explode(F.flatten(F.array(*hits))).alias("h"))
-    spoken = (F.col("context") == "dialogue") & (F.col("h.kind") != "pontuacao")
-    doubled = F.col("h.kind") == "duplicacao"
-    severity = F.when(spoken & F.col("h.severity").isin("erro", "alerta"), "observacao").otherwise(F.col("h.severity"))
-    sure = F.when(spoken & doubled, 0.8).when(spoken, F.round(F.col("h.sure") * 0.85, 2)).otherwise(F.col("h.sure"))
-    why = F.concat("h.why", F.when(spoken, " In dialogue it may be a character's own way of speaking.").otherwise(""))
-    out = finding(rows.withColumn("replacement", F.col("h.to")), F.col("h.rule"), "gramatica", severity, sure, F.col("h.m"), why, F.col("h.what"), F.col("h.fix") & ~spoken, keep=("replacement",))
-    return out if replacement else out.drop("replacement")
-
-
-def _struct_hits(pattern: str, fields: list[Column], to) -> Column:
-    return F.transform(F.regexp_extract_all("text", F.lit(pattern), F.lit(0)), lambda m: F.struct(m.alias("m"), *fields, to(m).alias("to")))
+        rules.append(("grammar.duplication.adjacent_word", "duplicacao", DUPLICATE, "erro", 0.98, None))
+    # A hit is its rule's number and its match; what the rule says is looked up once lines without hits are gone.
+    rows = lines.where("kind = 'text'").select("doc_id", "line", "chapter", "context", "text", F.translate(F.lower("text"), "ſ", "s").alias("low"))
+    hits = F.flatten(F.array(*[_numbered(k, code, pattern) for k, (code, _, pattern, *_) in enumerate(rules)]))
+    rows = rows.select("doc_id", "line", "chapter", "context", F.explode(hits).alias("h"))
+    said = lambda field: F.get(F.array(*[F.lit(x) for x in field]), F.col("h.k"))
+    advice = [("One word stands twice in a row.", "Take one out, unless someone stammers.") if r[1] == "duplicacao" else _advice(r[0]) for r in rules]
+    spoken = (F.col("context") == "dialogue") & (said([r[1] for r in rules]) != "pontuacao")
+    doubled = said([r[1] for r in rules]) == "duplicacao"
+    stated, surely = said([r[3] for r in rules]), said([r[4] for r in rules])
+    severity = F.when(spoken & stated.isin("erro", "alerta"), "observacao").otherwise(stated)
+    sure = F.when(spoken & doubled, 0.8).when(spoken, F.round(surely * 0.85, 2)).otherwise(surely)
+    why = F.concat(said([w for w, _ in advice]), F.when(spoken, " In dialogue it may be a character's own way of speaking.").otherwise(""))
+    if replacement:
+        to = F.lit(None).cast("string")
+        for k, (_, _, pattern, _, _, fix) in enumerate(rules):
+            if fix is not None:
+                to = F.when(F.col("h.k") == k, preview(F.col("h.m"), pattern, fix)).otherwise(to)
+        rows = rows.withColumn("replacement", to)
+    fixable = said([r[5] is not None for r in rules]) & ~spoken
+    return finding(rows, said([r[0] for r in rules]), "gramatica", severity, sure, F.col("h.m"), why, said([w for _, w in advice]), fixable, keep=("replacement",) if replacement else ())
+
+
+#: What a line must hold, in lower case, for a pattern to match: one of these. Patterns that aren't here are tried on every line.
+NEEDS = {
+    "grammar.agreement.possible_existential_houveram": ("houveram",), "grammar.agreement.existential_haver_plural": ("haviam",), "grammar.agreement.existir_plural_noun": ("exist",), "grammar.agreement.haver_auxiliary_plural": ("haverem",),
+    "grammar.agreement.elapsed_time_fazer": ("fazem",), "grammar.agreement.a_gente_plural": ("gente",), "grammar.agreement.nos_singular": ("nós",), "grammar.agreement.eles_singular": ("eles", "elas"), "grammar.agreement.simple_singular_subject_rangeram": ("rangeram",),
+    "grammar.regency.preferir_do_que": ("pref",), "grammar.regency.obedecer_direct_article": ("obedec",), "grammar.pronoun.entre_eu": ("entre",), "grammar.pronoun.para_mim_infinitive": ("mim",), "grammar.crasis.invalid_before_fixed_expression": ("à",),
+    "grammar.crasis.a_medida_que": ("medida",), "grammar.crasis.as_vezes": ("vezes",), "grammar.crasis.daqui_a": ("daqui",), "grammar.crasis.masculine_locution": ("prazo", "domicílio"),
+    "grammar.punctuation.space_after_open_parenthesis": ("(",), "grammar.punctuation.space_before_close_parenthesis": (")",), "grammar.punctuation.repeated_separator": (",,", ";;"),
+}
+
+
+def _numbered(k: int, code: str, pattern: str) -> Column:
+    """A rule's hits in a line; the pattern is tried only where the line holds what it needs."""
+    pattern = pattern if pattern.startswith("(?iU)") else "(?iU)" + pattern
+    found = F.transform(F.regexp_extract_all("text", F.lit(pattern), F.lit(0)), lambda m: F.struct(F.lit(k).alias("k"), m.alias("m")))
+    needs = (SPELLING[code][0],) if code in SPELLING else NEEDS.get(code)
+    if not needs:
+        return found
+    there = F.lit(False)
+    for n in needs:
+        there |= F.contains(F.col("low"), F.lit(n))
+    return F.when(there, found).otherwise(F.array().cast("array<struct<k:int,m:string>>"))
 
 
 def _fixes(text: Column, kinds: tuple[str, ...] | None, ignored: tuple[str, ...], extra: tuple[Rule, ...]) -> Column:

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Legal moves of a proposal.
 MOVES = {("suggested", "approved"), ("suggested", "rejected"), ("approved", "superseded")}
@@ -46,19 +51,31 @@ def verify_chain(events: DataFrame, chain: str, order: str, payload: str, previo
 def append_chained(log: DataFrame, events: DataFrame, chain: str, order: str, payload: str) -> DataFrame:
     """``events`` with previous_hash and event_hash, each chain going on from its last event in ``log`` (chain, order, event_hash).
 
-    A hash needs the one before, so the new events of a chain are folded in order; what is appended at once to a chain is a handful.
+    A hash needs the one before, so a chain is gone through in order; its events are
+    sorted by Spark and pass by in batches, none of which is kept. Ties of ``order``
+    are settled by payload.
     """
     last = log.groupBy(chain).agg(F.max_by("event_hash", order).alias("_last"))
-    kind = events.schema[order].dataType.simpleString()
-    by = events.groupBy(chain).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(payload).alias("p")))).alias("es")).join(last, chain, "left")
-
-    def step(acc: Column, e: Column) -> Column:
-        own = chain_hash(acc["h"], e["p"])
-        return F.struct(own.alias("h"), F.array_append(acc["out"], F.struct(e["o"].alias("o"), acc["h"].alias("previous"), own.alias("own"))).alias("out"))
-
-    zero = F.struct(F.col("_last").alias("h"), F.array().cast(f"array<struct<o:{kind},previous:string,own:string>>").alias("out"))
-    done = by.select(chain, F.explode(F.aggregate("es", zero, step, lambda a: a["out"])).alias("e")).select(chain, F.col("e.o").alias(order), F.col("e.previous").alias("previous_hash"), F.col("e.own").alias("event_hash"))
-    return events.join(done, [chain, order])
+    rows = events.withColumn("_chain", F.xxhash64(chain)).join(last, chain, "left")
+    at = {c: rows.columns.index(c) for c in (chain, payload, "_last")}
+    keep = [k for k, c in enumerate(rows.columns) if c not in ("_chain", "_last")]
+    kept = T.StructType([rows.schema.fields[k] for k in keep])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, hash_ = object(), None
+        for batch in batches:
+            before, after = [], []
+            for c, p, first in zip(*(batch.column(at[c]).to_pylist() for c in (chain, payload, "_last")), strict=True):
+                if c != now:
+                    now, hash_ = c, first
+                before.append(hash_)
+                # As chain_hash: a null payload adds nothing, not even the bar.
+                hash_ = hashlib.sha256((hash_ or "" if p is None else f"{hash_ or ''}|{p}").encode()).hexdigest()
+                after.append(hash_)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(before, pa.string()), pa.array(after, pa.string())], [*kept.names, "previous_hash", "event_hash"])
+
+    ordered = rows.repartition("_chain").sortWithinPartitions("_chain", chain, order, payload)
+    return ordered.mapInArrow(run, T.StructType([*kept.fields, T.StructField("previous_hash", T.StringType()), T.StructField("event_hash", T.StringType())]))
 
 
 def iso(at: Column) -> Column:

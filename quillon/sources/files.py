@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import struct
 import time
 import uuid
+import zlib
 from collections.abc import Callable
 
 import pandas as pd
@@ -224,13 +226,53 @@ def images(spark: SparkSession, path: str) -> DataFrame:
     return raw.select("path", header("content").alias("h")).select("path", "h.*")
 
 
+_STREAM = re.compile(rb"<<((?:[^<>]|<<[^<>]*>>|<[^<>]*>)*)>>\s*stream\r?\n", re.S)
+_PAGE = re.compile(rb"/Type\s*/Page(?![A-Za-z])")
+_BOX = re.compile(rb"/MediaBox\s*\[\s*([^\]]+?)\s*\]")
+
+
+def _pdf_parts(data: bytes) -> list[bytes]:
+    """A file's bytes, and its compressed objects unpacked (plain ones are seen anyway); raises where those can't be."""
+    parts = [data]
+    for m in _STREAM.finditer(data):
+        if re.search(rb"/Type\s*/ObjStm", m[1]):
+            if b"/FlateDecode" in m[1] and b"/DecodeParms" not in m[1]:
+                parts.append(zlib.decompressobj().decompress(data[m.end() :]))
+            elif b"/Filter" in m[1]:
+                raise ValueError("objects are packed in another way")
+    return parts
+
+
+def _pdf(data: bytes | None) -> dict:
+    none = {"pages": None, "boxes": None}
+    if data is None or data[:4] != b"%PDF":
+        return none
+    try:
+        parts = _pdf_parts(data)
+        if len(parts) > 1 and b"/Encrypt" in data:
+            return none
+    except (ValueError, zlib.error):
+        return none
+    pages = sum(len(_PAGE.findall(p)) for p in parts)
+    boxes = set()
+    for box in (b for p in parts for b in _BOX.findall(p)):
+        try:
+            boxes.add(tuple(float(x) for x in box.split()))
+        except ValueError:
+            continue
+    return {"pages": max(1, pages), "boxes": [list(b) for b in sorted(boxes)]}
+
+
 def pdfs(spark: SparkSession, path: str) -> DataFrame:
     """(path, pages, boxes) of PDF files: the number of page objects, one at least, and the distinct media boxes in points.
 
-    Objects inside compressed streams can't be seen; such files may count one page only.
+    Compressed objects are unpacked. Both are null where that can't be done (another
+    compression, encrypted or damaged ones); files that aren't PDF are left out.
     """
-    text = F.decode("content", "ISO-8859-1")
+
+    @F.pandas_udf("pages int, boxes array<array<double>>")
+    def parts(content: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_pdf(None if c is None else bytes(c)) for c in content], columns=["pages", "boxes"]).astype({"pages": "Int32"})
+
     raw = spark.read.format("binaryFile").load(path).where(F.substring("content", 1, 4) == F.lit(b"%PDF"))
-    found = F.regexp_extract_all(text, F.lit(r"/MediaBox\s*\[\s*([^\]]+?)\s*\]"), F.lit(1))
-    boxes = F.array_sort(F.array_distinct(F.transform(found, lambda b: F.transform(F.split(b, r"\s+"), lambda x: x.try_cast("double")))))
-    return raw.select("path", F.greatest(F.lit(1), F.regexp_count(text, F.lit(r"/Type\s*/Page\b"))).alias("pages"), boxes.alias("boxes"))
+    return raw.select("path", parts("content").alias("p")).select("path", "p.pages", "p.boxes")

@@ -211,3 +211,34 @@ def test_names_of_any_script(spark):
     assert [r[0] for r in K.match_identity(local, shared).where("eid IS NOT NULL").select("id").collect()] == [2]
     one = spark.createDataFrame([("Ünïcode", "unicode"), ("Ναι", "ναί"), ("a", "b")], "x string, y string").select(T.same_text(F.col("x"), F.col("y")))
     assert [r[0] for r in one.collect()] == [True, True, False]
+
+
+def test_pages_in_compressed_objects(spark, tmp_path):
+    import zlib
+
+    body = zlib.compress(b"1 0 2 40 <</Type /Page /MediaBox [0 0 100 200]>> <</Type/Page>> <</Type /Pages /Count 2>>")
+    head = b"%PDF-1.5\n3 0 obj\n<</Type /Page /MediaBox [0 0 300 400.5]>>\nendobj\n5 0 obj\n"
+    stream = lambda what, data: head + b"<< /Type /ObjStm /N 2 /Extends << /A 1 >> " + what + b" >>\nstream\n" + data + b"\nendstream\nendobj\n"
+    for name, data in {"flate.pdf": stream(b"/Filter /FlateDecode", body), "plain.pdf": stream(b"", b"1 0 <</Type /Page>>"), "other.pdf": stream(b"/Filter /LZWDecode", b"?"), "broken.pdf": stream(b"/Filter /FlateDecode", b"no"), "locked.pdf": stream(b"/Filter /FlateDecode", body) + b"trailer <</Encrypt 9 0 R>>"}.items():
+        (tmp_path / name).write_bytes(data)
+    got = {r.path.rsplit("/", 1)[1]: (r.pages, r.boxes) for r in files.pdfs(spark, str(tmp_path)).collect()}
+    one = [[0.0, 0.0, 300.0, 400.5]]
+    assert got == {"flate.pdf": (3, [[0.0, 0.0, 100.0, 200.0], *one]), "plain.pdf": (2, one), "other.pdf": (None, None), "broken.pdf": (None, None), "locked.pdf": (None, None)}
+
+
+def test_long_chains_are_appended_in_order(spark):
+    """Two thousand events of one chain, in two goes, against a fold by hand; null payloads and ties count."""
+    import hashlib
+
+    events = [("a", k // 2, None if k % 50 == 0 else f"p{k}") for k in range(2000)] + [("b", 1, "x"), (None, 1, "y")]
+    want, last = {}, {}
+    for c, o, p in sorted(events, key=lambda e: (e[0] or "", e[1], e[2] is not None, e[2] or "")):
+        before = last.get(c)
+        own = hashlib.sha256("|".join([before or ""] + ([p] if p is not None else [])).encode()).hexdigest()
+        want[c, o, p], last[c] = (before, own), own
+    schema = "chain string, seq int, payload string"
+    none = spark.createDataFrame([], schema + ", event_hash string")
+    first = G.append_chained(none, spark.createDataFrame([e for e in events if e[1] < 600], schema), "chain", "seq", "payload")
+    second = G.append_chained(first, spark.createDataFrame([e for e in events if e[1] >= 600], schema), "chain", "seq", "payload")
+    got = {tuple(r)[:3]: tuple(r)[3:] for r in first.unionByName(second).collect()}
+    assert got == want
