@@ -8,6 +8,7 @@ from quillon.functions import numeric as N
 from quillon.functions import text as T
 from quillon.operators import assets as X
 from quillon.operators import audit as A
+from quillon.operators import cover
 from quillon.operators import knowledge as K
 from quillon.operators import relational as R
 from quillon.operators import search as S
@@ -192,3 +193,42 @@ def s5(spark, root):
     c = table(spark, root, "customer").select(F.lit("customer").alias("kind"), F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("balance"))
     s = table(spark, root, "supplier").select(F.lit("supplier").alias("kind"), F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("balance"))
     return c.unionByName(s)
+
+
+@query("x10_prepress", """
+    WITH p AS (SELECT p_partkey AS cover, p_partkey % 7 = 0 AS no_pdf, p_partkey % 2 = 1 AS odd, p_size % 5 = 0 AS bad_isbn, p_size % 4 = 1 AS bad_style, p_size > 45 AS bad_theme, p_size % 3 = 0 AS pale, p_size * 12.0 AS dpi, p_size % 11 = 0 AS no_image, p_size % 6 = 2 AS no_font, p_size / 4.0 AS spine FROM part),
+    c AS (SELECT cover, list_filter([
+      CASE WHEN no_pdf THEN 'unreadable_interior_pdf' END, CASE WHEN NOT no_pdf AND odd THEN 'odd_page_count' END, CASE WHEN bad_isbn THEN 'invalid_isbn' END, CASE WHEN bad_style THEN 'unknown_typographic_style' END, CASE WHEN bad_theme THEN 'unknown_palette' END,
+      CASE WHEN pale THEN 'low_palette_contrast' END, CASE WHEN NOT no_image AND dpi < 150 THEN 'cover_image_low_resolution' END, CASE WHEN NOT no_image AND dpi >= 150 AND dpi < 300 THEN 'cover_image_below_300dpi' END, CASE WHEN no_image THEN 'missing_cover_image' END,
+      CASE WHEN no_font THEN 'missing_local_font' END, CASE WHEN spine > 0 AND spine < 6 THEN 'spine_too_narrow_for_text' END, 'rgb_output_pipeline', 'font_reproducibility'], lambda x: x IS NOT NULL) AS codes,
+      no_pdf OR bad_isbn OR bad_style OR no_font OR no_image OR dpi < 150 AS failed FROM p)
+    SELECT cover, array_to_string(codes, ' ') AS codes, CASE WHEN failed THEN 'failed' ELSE 'passed_with_warnings' END AS status FROM c""")
+def x10_prepress(spark, root):
+    k, s = F.col("p_partkey"), F.col("p_size")
+    covers = table(spark, root, "part").select(
+        k.alias("cover"), F.when(k % 7 != 0, k).alias("page_count"), F.when(s % 5 == 0, "9780306406158").otherwise("0-306-40615-2").alias("isbn"), F.when(s % 4 == 1, "Odd ").otherwise(" Plain").alias("style"), F.lit(None).cast("string").alias("visual_style"),
+        F.when(s > 45, "neon").alias("theme"), F.lit("ilustrado_full_bleed").alias("template"), F.create_map(F.lit("bg_color"), F.lit("#ffffff"), F.lit("gold_color"), F.when(s % 3 == 0, "#eeeeee").otherwise("#333333"), F.lit("soft_gold"), F.lit("gold")).alias("palette"),
+        F.lit(100).alias("brief_score"), F.array().cast("array<string>").alias("brief_missing"), F.when(s % 11 != 0, s * 12.0).alias("image_dpi"), F.lit(True).alias("has_logo"), F.create_map(F.lit("title"), s % 6 != 2).alias("fonts"), (s / 4.0).alias("spine_mm"), F.lit(6.0).alias("safe_mm"),
+    )
+    out = cover.prepress(covers, ("plain",), ("nanquim",))
+    return out.select("cover", F.array_join(F.transform("issues", lambda x: x["code"]), " ").alias("codes"), "status")
+
+
+@query("x14_cover_prompts", """
+    WITH v AS (SELECT r_regionkey AS k, lower(r_name) AS phrase FROM region)
+    SELECT n_nationkey AS brief, n_name || '. ' || CASE WHEN n_nationkey % 4 = 0 THEN 'own style' WHEN n_nationkey % 3 = 0 THEN 'style b' ELSE 'style a' END || '. ' || CASE WHEN n_nationkey % 3 = 0 THEN 'calm' ELSE 'dark, wide' END || '. '
+      || coalesce(CASE WHEN n_regionkey < 4 THEN v.phrase END, d.phrase) || ' shot. level. ' || CASE WHEN n_nationkey % 3 = 0 THEN 'soft' ELSE 'hard' END || ' light. thirds. space above.' || CASE WHEN n_nationkey % 2 = 0 THEN ' x, y.' ELSE '' END
+      || CASE WHEN n_nationkey % 5 <> 0 THEN ' cover artwork only, no typography, no letters, no words, no logos, no watermark.' ELSE '' END AS prompt
+    FROM nation LEFT JOIN v ON v.k = n_regionkey, (SELECT phrase FROM v WHERE k = 0) d""")
+def x14_prompts(spark, root):
+    """Briefs a nation, shots from the regions' names: the last region's isn't in the vocabulary and takes the default's."""
+    n, key = table(spark, root, "nation"), F.col("n_nationkey")
+    words = table(spark, root, "region").where("r_regionkey < 4").select(F.lit("shot").alias("kind"), F.when(F.col("r_regionkey") == 0, "medium").otherwise(F.col("r_regionkey").cast("string")).alias("key"), F.concat(F.lower("r_name"), F.lit(" shot")).alias("phrase"))
+    fixed = [("angle", "eye_level", "level"), ("lighting", "rembrandt", "hard light"), ("lighting", "soft", "soft light"), ("composition", "rule_of_thirds", "thirds"), ("composition", "negative_space_top", "space above")]
+    genres = spark.createDataFrame([("a", "style a", ["dark", "wide"], "rembrandt"), ("b", "style b", ["calm"], "soft")], "genre string, style string, mood array<string>, lighting string")
+    no = F.lit(None).cast("string")
+    briefs = n.select(
+        key.alias("brief"), F.concat("n_name", F.lit("..")).alias("subject"), F.when(key % 3 == 0, "b").when(key % 3 == 1, "a").alias("genre"), F.when(F.col("n_regionkey") > 0, F.col("n_regionkey").cast("string")).alias("shot_type"), no.alias("camera_angle"), no.alias("lighting"), no.alias("composition"),
+        F.when(key % 4 == 0, "own style").alias("style_override"), F.lit(None).cast("boolean").alias("title_space"), F.when(key % 5 == 0, False).alias("exclude_text"), F.when(key % 2 == 0, F.array(F.lit("x"), F.lit("y"))).alias("extras"),
+    )
+    return cover.cover_prompts(briefs, words.unionByName(spark.createDataFrame(fixed, "kind string, key string, phrase string")), genres, "a").select("brief", "prompt")

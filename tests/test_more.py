@@ -242,3 +242,21 @@ def test_long_chains_are_appended_in_order(spark):
     second = G.append_chained(first, spark.createDataFrame([e for e in events if e[1] >= 600], schema), "chain", "seq", "payload")
     got = {tuple(r)[:3]: tuple(r)[3:] for r in first.unionByName(second).collect()}
     assert got == want
+
+
+def test_prepress_and_ratios(spark):
+    from quillon.operators import cover as C
+
+    schema = "cover int, page_count int, isbn string, style string, visual_style string, theme string, template string, palette map<string,string>, brief_score int, brief_missing array<string>, image_dpi double, has_logo boolean, fonts map<string,boolean>, spine_mm double, safe_mm double"
+    good = (1, 200, "9780306406157", "serif", None, None, "ilustrado", {"bg_color": "#000000", "gold_color": "#ffffff", "text_light": "#222222", "soft_gold": "red"}, 100, [], 300.0, True, {"title": True, "body": True, "tag": True}, 12.0, 5.0)
+    bad = (2, None, None, "", "odd", "neon", "ilustrado", None, 40, ["tom", "público"], None, None, {"title": False}, 3.0, 4.5)
+    got = {r.cover: ([(i.severity, i.code, i.detail) for i in r.issues], r.status) for r in C.prepress(spark.createDataFrame([good, bad], schema), ("serif",), ("nanquim",)).collect()}
+    assert got[1] == ([("warning", "low_palette_contrast", "text_light 1.32"), ("warning", "rgb_output_pipeline", None)], "passed_with_warnings")
+    assert got[2][1] == "failed" and [c for _, c, _ in got[2][0]] == [
+        "unreadable_interior_pdf", "invalid_isbn", "unknown_visual_style", "unknown_palette", "incomplete_editorial_brief", "missing_cover_image", "missing_publisher_logo", "missing_local_font", "spine_too_narrow_for_text", "small_safe_area", "rgb_output_pipeline", "font_reproducibility",
+    ]
+    from fractions import Fraction
+
+    sizes = [(160, 230), (142, 216), (1, 3), (297, 210), (1000, 999), (5, 0)]
+    ratios = [r[0] for r in spark.createDataFrame(sizes, "w int, h int").select(C.aspect_ratio(F.col("w"), F.col("h"))).collect()]
+    assert ratios == [f"{f.numerator}:{f.denominator}" for f in (Fraction(w, h).limit_denominator(50) for w, h in sizes[:-1])] + [None]
