@@ -84,11 +84,16 @@ def candidate_limits(limit: int) -> tuple[int, int]:
     return lexical, 5 * lexical
 
 
-def hybrid(docs: DataFrame, vectors: DataFrame, terms: list[str], query: list[float], group: str, limit: int = 8, per_group: int = 2) -> DataFrame:
-    """Lexical and vector hits of documents (doc_id, text, group) and vectors (doc_id, embedding), fused."""
+def hybrid(docs: DataFrame, vectors: DataFrame, terms: list[str], query: list[float], group: str, limit: int = 8, per_group: int = 2, text_index=None, vector_index=None) -> DataFrame:
+    """Lexical and vector hits of documents (doc_id, text, group) and vectors (doc_id, embedding), fused.
+
+    With a ``TextIndex`` or a ``VectorIndex`` (in exact mode) the candidates come from there, the same ones, and texts or vectors aren't scanned.
+    """
     n_lex, n_vec = candidate_limits(limit)
-    lex = rank(bm25_top_k(docs, terms, n_lex), [F.desc("score"), F.col("doc_id")], "rank_l").select("doc_id", "rank_l", F.col("score").alias("lexical_score"))
-    sem = rank(nearest(vectors, query, n_vec, "doc_id"), [F.col("distance"), F.col("doc_id")], "rank_s").select("doc_id", "rank_s", "distance")
+    words = bm25_top_k(docs, terms, n_lex) if text_index is None else text_index.search(terms, n_lex).withColumnRenamed("doc", "doc_id")
+    near = nearest(vectors, query, n_vec, "doc_id") if vector_index is None else vector_index.search(query, n_vec, exact=True).withColumnRenamed("id", "doc_id")
+    lex = rank(words, [F.desc("score"), F.col("doc_id")], "rank_l").select("doc_id", "rank_l", F.col("score").alias("lexical_score"))
+    sem = rank(near, [F.col("distance"), F.col("doc_id")], "rank_s").select("doc_id", "rank_s", "distance")
     both = fuse(lex, sem, "doc_id").join(docs.select("doc_id", group), "doc_id")
     return capped(both, group, "doc_id", per_group, limit)
 

@@ -51,5 +51,5 @@ def _load() -> None:
         importlib.import_module(f"quillon.plans.{name}")
 
 
-MODULES = ("relational", "text", "audit", "knowledge", "production", "indexes")
+MODULES = ("relational", "text", "audit", "knowledge", "production", "indexes", "files")
 _load()
