@@ -46,8 +46,8 @@ from quillon.llm.scratch import written
 
 #: Pivots at most; fewer for small tables.
 PIVOTS = 256
-#: Anchors of a group at most, and rows of a slice.
-GROUP, SLICE, LEAST_SLICE = 2048, 8192, 512
+#: Anchors of a group at most, and rows of a slice: every row goes to each group that its cell serves, every anchor to each slice of its group.
+GROUP, SLICE, LEAST_SLICE = 8192, 32768, 512
 #: Anchors that are scored against a slice at once.
 BLOCK = 128
 #: Pairs (cell, group) that are broadcast at most; beyond, they are joined by cell.
