@@ -156,6 +156,52 @@ def test_toxicity_trains_on_whole_texts(spark, monkeypatch):
     assert all(("zorgon blaxt zorgish" in t) == bool(k) for t, k in seen)
 
 
+def plain_logit(p, text):
+    """The largest logit of a text's windows, each gone through word by word."""
+    def word_vector(w):
+        raw = np.frombuffer(w, np.uint8)
+        c = toxicity.Coded(raw, np.array([0, len(raw)]))
+        return np.concatenate((p["word"][c.place[0]], np.mean([p["gram"][g] for g in c.gram], axis=0)))
+
+    sig = lambda v: 1 / (1 + np.exp(-v))
+    own, h = [word_vector(w) for w in text.encode().split()], toxicity.HIDDEN
+    starts = list(range(0, max(1, len(own) - toxicity.SPAN + toxicity.STEP), toxicity.STEP)) if len(own) > toxicity.SPAN else [0]
+    best = -np.inf
+    for s in starts:
+        s = min(s, max(0, len(own) - toxicity.SPAN))
+        window = own[s : s + toxicity.SPAN]
+        states = np.zeros((len(window), 2, h))
+        for d, order in enumerate((range(len(window)), range(len(window) - 1, -1, -1))):
+            state = np.zeros(h)
+            for k in order:
+                g, r = window[k] @ p["w"][d] + p["b"][d], state @ p["u"][d]
+                z, a = sig(g[:h] + r[:h]), sig(g[h : 2 * h] + r[h : 2 * h])
+                n = np.tanh(g[2 * h :] + a * r[2 * h :])
+                state = n + z * (state - n)
+                states[k, d] = state
+        if len(window):
+            e = np.array([sum(states[k, d] @ p["v"][d] for d in (0, 1)) for k in range(len(window))])
+            att = np.exp(e - e.max())
+            att /= att.sum()
+            context = [sum(att[k] * states[k, d] for k in range(len(window))) for d in (0, 1)]
+        else:
+            context = [np.zeros(h), np.zeros(h)]
+        best = max(best, sum(context[d] @ p["o"][d] for d in (0, 1)) + p["c"][0])
+    return best
+
+
+def test_toxicity_scores_every_window():
+    """Logits of texts of all lengths, scored together, against going through each window by itself."""
+    rng = random.Random(6)
+    net = np.random.default_rng(4)
+    p = {k: v.astype(np.float64) for k, v in toxicity.init(net).items()}
+    p["b"], p["c"] = net.normal(0, 0.3, p["b"].shape), np.array([0.2])
+    texts = [" ".join(rng.choice(WORDS) for _ in range(n)) for n in (0, 1, 2, 63, 64, 65, 111, 112, 113, 160, 161, 400)] + ["Ünï cödé x", "  a\n\tb  "]
+    raw = [np.frombuffer(t.encode(), np.uint8) for t in texts]
+    got = toxicity.text_logits(p, np.concatenate(raw), np.concatenate(([0], np.cumsum([len(r) for r in raw]))))
+    assert np.allclose(got, [plain_logit(p, t) for t in texts], atol=2e-4)
+
+
 def test_rates_reach_the_least_squares(spark):
     """Against a dense solver of the same quadratic program; an unreachable fit raises."""
     rng = np.random.default_rng(3)
