@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.operators import governance, knowledge, search
+from quillon.operators.index import TextIndex
 
 # Rows that a search returns at most, items of a dossier, and bytes and characters of a proposal.
 MOST_RESULTS, MOST_ITEMS, MOST_BYTES, MOST_EXCERPT = 20, 100, 64 << 10, 4000
@@ -17,10 +18,11 @@ MOST_RESULTS, MOST_ITEMS, MOST_BYTES, MOST_EXCERPT = 20, 100, 64 << 10, 4000
 
 @dataclass
 class Book:
-    """The tables that the tools read, by the names that the operators use."""
+    """The tables that the tools read, by the names that the operators use; with an ``index`` over its documents, searches go there."""
 
     spark: SparkSession
     tables: dict[str, DataFrame] = field(default_factory=dict)
+    index: TextIndex | None = None
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self.tables:
@@ -41,7 +43,10 @@ def search_book_context(book: Book, query: str, limit: int = 8) -> list[dict]:
     terms = [t for t in query.lower().split() if t]
     if not terms:
         raise ValueError("the question is empty")
-    return _rows(search.bm25_top_k(book["documents"], terms, max(1, min(limit, MOST_RESULTS))), MOST_RESULTS)
+    most = max(1, min(limit, MOST_RESULTS))
+    if book.index is not None:
+        return _rows(book.index.search(query, most).withColumnRenamed("doc", "doc_id"), MOST_RESULTS)
+    return _rows(search.bm25_top_k(book["documents"], terms, most), MOST_RESULTS)
 
 
 def get_entity_dossier(book: Book, name: str, cutoff: tuple | None = None) -> dict:

@@ -207,3 +207,15 @@ def test_publishing_is_exclusive(spark):
     [t.join() for t in all_]
     won = [k for ok, k in got if ok]
     assert len(won) == 1 and read_text(spark, path) == str(won[0])
+
+
+def test_tools_search_the_index(spark):
+    from quillon.plans import tools
+
+    rows = {1: "o céu azul", 2: "azul azul", 3: "nada"}
+    docs = frame(spark, rows)
+    plain = tools.Book(spark, {"documents": docs})
+    made = lambda tokens: tools.Book(spark, {}, I.TextIndex.create(spark, scratch(spark, "index"), docs, tokens=tokens))
+    assert tools.call(made("letters"), "search_book_context", query="azul") == tools.call(plain, "search_book_context", query="azul") != []
+    # The index folds accents, and needs no text at all.
+    assert [r["doc_id"] for r in tools.call(made("folded"), "search_book_context", query="CEU")] == [1]
