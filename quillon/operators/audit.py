@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quillon.functions import hashing as H
 from quillon.functions import text as T
 from quillon.operators import relational as R
+from quillon.operators.automaton import occurrences
 
 
 def match_rules(rows: DataFrame, rules: dict[str, str], text_col: str) -> DataFrame:
@@ -317,17 +318,49 @@ PERSONS = {
 _CALLED, _IS_A, _NEAR, _ONE = r"(?iU)\b(?:chamad[oa]|conhecid[oa]\s+como)\b", r"(?iU)\b(?:era|foi|é)\s+(?:um|uma|o|a)\b", 45, 16
 
 
-def referents(sentence: Column, entities: dict, persons: dict[str, str]) -> Column:
+#: Entities whose patterns are written into the plan; more of them are found by an automaton and joined.
+INLINE = 200
+
+
+def _known(entities: dict) -> dict[str, tuple[str, list[str]]]:
+    """Gender and aliases of each entity."""
+    return {name: (e, [name]) if isinstance(e, str) else (e.get("genero", "comum"), e.get("aliases", [name])) for name, e in entities.items()}
+
+
+def named(rows: DataFrame, text: str, entities: dict) -> DataFrame:
+    """``rows`` with ``named``: array<struct<name, g, at>>, the entities that a text names and where, for ``referents``.
+
+    Of an entity's aliases the leftmost and, at one place, the longest counts. The
+    cast is a small table beside the texts, not a part of the plan.
+    """
+    spark, known = rows.sparkSession, _known(entities)
+    cast = spark.createDataFrame([(n, g, a.lower()) for n, (g, aliases) in known.items() for a in aliases], "name string, g string, alias string").distinct()
+    keyed = rows.withColumn("_key", F.xxhash64(F.lower(text)))
+    once = keyed.select("_key", F.col(text).alias("t")).groupBy("_key").agg(F.max("t").alias("t"))
+    hits = occurrences(once, cast.select("alias"), "_key", "t").join(cast, "alias")
+    spans = F.array_sort(F.collect_list(F.struct("start", (-F.col("end")).alias("back"), F.col("alias").alias("m"))))
+    none = F.array().cast("array<struct<start:int,end:int,m:string>>")
+    apart = lambda s: F.aggregate(s, none, lambda acc, x: F.when((F.size(acc) == 0) | (x["start"] >= F.element_at(acc, -1)["end"]), F.array_append(acc, F.struct(x["start"].alias("start"), (-x["back"]).alias("end"), x["m"].alias("m")))).otherwise(acc))
+    by = hits.groupBy("id", "name", "g").agg(spans.alias("s")).select("id", F.struct("name", "g", apart(F.col("s")).alias("at")).alias("n"))
+    place = F.create_map(*[x for k, n in enumerate(known) for x in (F.lit(n), F.lit(k))]) if len(known) <= INLINE else None
+    order = F.col("n.name") if place is None else place[F.col("n.name")]
+    listed = by.groupBy(F.col("id").alias("_key")).agg(F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), "n"))), lambda x: x["n"]).alias("named"))
+    return keyed.join(listed, "_key", "left").drop("_key").withColumn("named", F.coalesce("named", F.array().cast("array<struct<name:string,g:string,at:array<struct<start:int,end:int,m:string>>>>")))
+
+
+def referents(sentence: Column, entities: dict, persons: dict[str, str], names: Column | None = None) -> Column:
     """array<struct<name, g>>: the persons that a sentence names.
 
     ``entities``: name to gender, or to {"genero", "aliases"}. A noun that overlaps a
-    name, or stands beside it as its apposition, is the same person.
+    name, or stands beside it as its apposition, is the same person. ``names``: the
+    column of ``named``, in place of the patterns of ``entities``.
     """
     low = F.lower(sentence)
-    known = {name: (e, [name]) if isinstance(e, str) else (e.get("genero", "comum"), e.get("aliases", [name])) for name, e in entities.items()}
+    known = _known(entities)
     spot = lambda words: T.matches(low, r"(?iU)\b(?:" + "|".join(rf"\Q{w.lower()}\E" for w in sorted(words, key=lambda w: (-len(w), w))) + r")\b")
     none = F.array().cast("array<struct<start:int,end:int,m:string>>")
-    names = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(g).alias("g"), spot(al).alias("at")) for n, (g, al) in known.items()]) if known else F.array().cast("array<struct<name:string,g:string,at:array<struct<start:int,end:int,m:string>>>>")
+    if names is None:
+        names = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(g).alias("g"), spot(al).alias("at")) for n, (g, al) in known.items()]) if known else F.array().cast("array<struct<name:string,g:string,at:array<struct<start:int,end:int,m:string>>>>")
     gender = F.create_map(*[x for k, v in persons.items() for x in (F.lit(k), F.lit(v))]) if persons else F.create_map().cast("map<string,string>")
     between = lambda x, y: F.substring(low, x + 1, y - x)
 
@@ -364,7 +397,9 @@ def ambiguous_pronouns(sentences: DataFrame, entities: dict, pronouns: dict[str,
     s = sentences.withColumns({"before": F.lag("text").over(w), "before_chapter": F.lag("chapter").over(w)}).withColumn("opening", leading(F.col("text"), list(pronouns)))
     s = s.where((F.col("context") == "prose") & F.col("chapter").eqNullSafe(F.col("before_chapter")) & F.col("before").isNotNull() & F.col("opening").isNotNull())
     gender = F.coalesce(*[F.when(F.col("opening") == p, F.lit(g)) for p, g in pronouns.items()])
-    fits = F.filter(referents(F.col("before"), entities, persons), lambda x: (x["g"] == gender) | ((x["g"] == "comum") & ~gender.contains("plural")))
+    inline = len(entities) <= INLINE
+    s = s if inline else named(s, "before", entities)
+    fits = F.filter(referents(F.col("before"), entities, persons, None if inline else F.col("named")), lambda x: (x["g"] == gender) | ((x["g"] == "comum") & ~gender.contains("plural")))
     rows = s.withColumn("fits", fits).where(F.size("fits") >= 2)
     names = F.array_join(F.transform("fits", lambda x: F.substring_index(x["name"], ":", -1)), ", ")
     return finding(rows, "cohesion.reference.ambiguous_pronoun", "coesao", "observacao", 0.65, F.concat_ws(" ", "before", "text"), F.concat(F.lit("The pronoun '"), "opening", F.lit("' could mean: "), names, F.lit(".")), "Name the person if it isn't plain who is meant.")
