@@ -299,11 +299,28 @@ def w10(spark, root):
     return out.where("anaphora > 0").select("doc_id", F.col("anaphora").cast("long").alias("anaphora"))
 
 
-@query("r18_levels")
+def _levels() -> str:
+    """The whole of ``formulaic`` in SQL, with its own lists; openings of the list are counted as w10 does."""
+    listed = lambda words: ", ".join(f"'{w}'" for w in words)
+    meta = " + ".join(f"(length(lower(text)) - length(replace(lower(text), '{p}', ''))) // {len(p)}" for p in A.META)
+    antithesis = " + ".join(f"len(regexp_extract_all(text, '(?i){p}'))" for p in A.ANTITHESIS)
+    return f"""
+    WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM documents), d AS (SELECT doc_id, count(*) FILTER (WHERE NOT starts_with(trim(x), '—') AND len(string_split(trim(x), ' — ')) > 2)::INT AS dashes FROM l GROUP BY doc_id),
+    p AS (SELECT doc_id, unnest(string_split_regex(text, '\\n\\s*\\n')) AS p FROM documents), q AS (SELECT doc_id, trim(p, chr(32)) AS p FROM p),
+    o AS (SELECT doc_id, list_transform(string_split(regexp_replace(p, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s : lower(regexp_extract(s, '[A-Za-zÀ-úà-ÿ]+'))) AS o FROM q WHERE p <> '' AND NOT regexp_matches(p, '^[—#]')),
+    r AS (SELECT doc_id, sum(len(list_filter(range(1, len(o) + 1), lambda i : o[i] IN ({listed(A.ANAPHORA)}) AND (i = 1 OR o[i - 1] <> o[i]) AND coalesce(o[i + 1] = o[i] AND o[i + 2] = o[i], false))))::INT AS anaphora FROM o GROUP BY doc_id),
+    n AS (SELECT doc_id, ({meta})::INT AS meta, ({antithesis})::INT AS antithesis, len(regexp_extract_all(text, '(?i){A.QUESTION_ANSWER}'))::INT AS questions, len(regexp_extract_all(text, '[A-Za-zÀ-úà-ÿ]+'))::INT AS words FROM documents),
+    f AS (SELECT n.*, coalesce(anaphora, 0) AS anaphora, dashes, meta + antithesis + questions + coalesce(anaphora, 0) + dashes AS flags FROM n JOIN d USING (doc_id) LEFT JOIN r USING (doc_id)), x AS (SELECT *, round(flags * 1000 / greatest(words, 1), 2) AS per_1000 FROM f)
+    SELECT doc_id, meta, antithesis, questions, anaphora, dashes, flags, words, per_1000, CASE WHEN flags = 0 THEN 'sem_marcadores' WHEN flags < greatest(4, ceil(words / 1000)) THEN 'ocorrencias_isoladas' WHEN per_1000 < 2 THEN 'revisao_recomendada' ELSE 'excesso' END AS level FROM x"""
+
+
+@query("r18_levels", _levels())
 def r18_levels(spark, root):
     return A.formulaic(table(spark, root, "documents"))
 
 
+
+
 @query("r19_crutch_words", "SELECT doc_id, len(regexp_extract_all(translate(' ' || lower(text) || ' ', 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿß', 'xxxxxxxxxxxxxxxxxxxxxxxxxxxx'), '\\bwith\\b')) AS n FROM documents WHERE regexp_matches(translate(lower(text), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿß', 'xxxxxxxxxxxxxxxxxxxxxxxxxxxx'), '\\bwith\\b')")
 def r19(spark, root):
     return A.phrase_counts(table(spark, root, "documents"), ("with", "von hand")).select("doc_id", F.col("n").cast("long").alias("n"))
