@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from quillon.operators import intervals as I
 from quillon.operators import knowledge as K
 
 CLAIMS = "id long, subject string, predicate string, continuity string, value string, rank int, starts int, ends int"
@@ -25,8 +26,10 @@ def by_hand(rows):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_partners(spark, seed):
+@pytest.mark.parametrize(("seed", "hot"), [(1, 200_000), (2, 0), (3, 60)])
+def test_partners(spark, monkeypatch, seed, hot):
+    """Keys summed whole, in ranges, and some this way and some that."""
+    monkeypatch.setattr(I, "HOT", hot)
     rng = random.Random(seed)
     maybe = lambda x: None if rng.random() < 0.08 else x
     rows = []
