@@ -48,11 +48,11 @@ def _usable(vec: Column, dim: int | None = None) -> Column:
 
 
 def _unit(vec: Column) -> Column:
-    v = vec.cast("array<double>")
-    top = F.array_max(F.transform(v, F.abs))
-    scaled = F.transform(v, lambda c: c / top)
-    size = F.sqrt(F.aggregate(scaled, F.lit(0.0), lambda a, c: a + c * c))
-    return F.transform(scaled, lambda c: c / size)
+    # A lambda computes anew, for each entry, what it takes from outside: an array of one gives such a value a name.
+    named = lambda c, then: F.get(F.transform(F.array(c), then), F.lit(0))
+    by = lambda v, size: F.transform(v, lambda c: c / size)
+    whole = lambda v: named(F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, c: a + c * c)), lambda size: by(v, size))
+    return named(vec.cast("array<double>"), lambda v: named(F.array_max(F.transform(v, F.abs)), lambda top: named(by(v, top), whole)))
 
 
 class VectorIndex:
@@ -85,8 +85,10 @@ class VectorIndex:
 
         seq = self.store.meta()["seq"] + 1 if expected else 1
         n = rows.count()
-        sample = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE)
-        first = sample.select(F.size("embedding")).first() if n else None
+        place = F.xxhash64("id")
+        first = rows.select(F.size("embedding"), place, "id").orderBy(place, "id").first() if n else None
+        # About SAMPLE rows by hash, without a sort: they stay in as many tasks as they were.
+        sample = rows if n <= SAMPLE else rows.where(F.pmod(place, F.lit(1 << 30)) < F.lit(int(SAMPLE / n * (1 << 30))))
         dim = first[0] if first else 0
         rows = rows.where(F.size("embedding") == dim)
         wanted = max(1, min(MOST_CELLS, cells or round(n**0.5)))

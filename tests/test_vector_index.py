@@ -87,3 +87,27 @@ def test_small_and_empty(spark):
     assert got(index, [1.0, 0.1], 5, exact=True) == scan(spark, {1: [1.0, 0.0], 2: [0.0, 1.0]}, [1.0, 0.1], 5)
     same = VectorIndex.create(spark, scratch(spark, "vectors"), frame(spark, {k: [1.0, 1.0] for k in range(30)}))
     assert [i for i, _ in got(same, [1.0, 0.0], 4, exact=True)] == [0, 1, 2, 3]
+
+
+def test_unit_vectors_cost_as_much_as_they_are_long(spark):
+    """An entry must not cost a pass over the vector: of 2,000 entries that took hours."""
+    import time
+
+    from pyspark.sql import functions as F
+
+    from quillon.operators.vector_index import _unit
+
+    x = np.random.default_rng(1).standard_normal(2000).tolist()
+    began = time.monotonic()
+    got = spark.createDataFrame([(x,)], "v array<double>").select(_unit(F.col("v"))).first()[0]
+    assert time.monotonic() - began < 30
+    assert np.allclose(got, np.array(x) / np.linalg.norm(x), rtol=1e-12, atol=0)
+
+
+def test_the_fit_takes_a_sample_by_hash(spark, monkeypatch):
+    """More vectors than the sample holds: all are indexed, and search is exact."""
+    monkeypatch.setattr("quillon.operators.vector_index.SAMPLE", 100)
+    rows = vectors(700, 8, 12)
+    index = VectorIndex.create(spark, scratch(spark, "vectors"), frame(spark, rows))
+    assert index.store.meta()["n"] == 700
+    assert got(index, rows[5], 15, exact=True) == scan(spark, rows, rows[5], 15)
