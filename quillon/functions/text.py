@@ -37,10 +37,10 @@ def slug(c: Column) -> Column:
 _ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
 
 
-def clean_title(c: Column) -> Column:
+def clean_title(c: Column, entities: tuple[tuple[str, str], ...] = _ENTITIES) -> Column:
     """Tags, entities, escaped dots and emphasis marks off; spaces collapsed."""
     c = F.regexp_replace(c, "<[^>]+>", "")
-    for name, char in _ENTITIES:
+    for name, char in entities:
         c = F.replace(c, F.lit(name), F.lit(char))
     c = F.replace(c, F.lit("\\."), F.lit("."))
     return F.trim(F.regexp_replace(F.regexp_replace(c, "^[*_\\s]+|[*_\\s]+$", ""), "\\s+", " "))
