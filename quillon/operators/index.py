@@ -27,8 +27,10 @@ without terms, give no rows; ties by id.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,6 +49,8 @@ BUCKETS = 64
 SLOT, MOST_SLOTS = 64, 1 << 20
 #: Tasks that a bucket's postings are dealt to, by hash of the document: no task gets all of a frequent term.
 SPREAD = 8
+#: Documents whose words a task holds as numbers at once.
+TOGETHER = 256
 #: Slots that the first round scores for each result wanted, and slots that are named in a filter at most.
 FIRST, NAMED = 4, 2000
 
@@ -57,6 +61,26 @@ def _hash(spark: SparkSession, terms: list[str], buckets: int) -> list[int]:
     return list(spark.range(1).select(*[F.pmod(F.xxhash64(F.lit(t)), F.lit(buckets)).cast("int") for t in terms]).first())
 
 
+def _by_term(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each term of a document (doc, len, slot, w), with its positions: a document is in one row, so no shuffle puts its words together."""
+    for batch in batches:
+        for at in range(0, len(batch), TOGETHER):
+            part = batch.slice(at, TOGETHER)
+            sizes, words = part.column("len").to_numpy(), part.column("w").flatten().dictionary_encode()
+            row, code = np.repeat(np.arange(len(part)), sizes), words.indices.to_numpy()
+            position = np.arange(len(code)) - (np.cumsum(sizes) - sizes)[row]
+            key = row * len(words.dictionary) + code
+            order = np.argsort(key, kind="stable")
+            key = key[order]
+            first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            ends = np.r_[first, len(key)].astype(np.int32)
+            own = pa.array(row[order[first]])
+            terms = words.dictionary.take(pa.array(code[order[first]]))
+            positions = pa.ListArray.from_arrays(pa.array(ends), pa.array(position[order].astype(np.int32)))
+            columns = [*(part.column(c).take(own) for c in ("doc", "len", "slot")), terms, pa.array(np.diff(ends)), positions]
+            yield pa.RecordBatch.from_arrays(columns, ["doc", "len", "slot", "term", "tf", "positions"])
+
+
 class TextIndex:
     """The index below ``root``."""
 
@@ -108,13 +132,14 @@ class TextIndex:
             append["removed"] = known.select("doc", F.lit(seq - 1).alias("upto"))
         if words is not None:
             rows = words.select("doc", F.size("w").cast("long").alias("len"), "w").where("len > 0")
-            lengths = self._write("lengths", rows.select("doc", "len", F.lit(seq).alias("seq")), segment)
+            slots = max(1, min(MOST_SLOTS, gone.count() // SLOT))
+            # Lengths and blocks are made from the postings as written, not from the texts again; one posting of a document has its first word.
+            postings = self._write("postings", self._postings(rows, slots, seq, meta["buckets"]), segment, "bucket")
+            lengths = self._write("lengths", postings.where(F.get("positions", F.lit(0)) == 0).select("doc", "len", F.lit(seq).alias("seq")), segment)
             more = lengths.agg(F.count(F.lit(1)), F.coalesce(F.sum("len"), F.lit(0))).first()
             written["lengths"] = [segment]
             if more[0]:
-                # Blocks are made from the postings as written, not from the texts again.
-                slots = max(1, min(MOST_SLOTS, more[0] // SLOT))
-                append["blocks"] = self._blocks(self._write("postings", self._postings(rows, slots, seq, meta["buckets"]), segment, "bucket"), seq)
+                append["blocks"] = self._blocks(postings, seq)
                 written["postings"] = [segment]
         if not (lost[0] or more[0]):
             return expected
@@ -128,13 +153,12 @@ class TextIndex:
 
     def _postings(self, rows: DataFrame, slots: int, seq: int, buckets: int) -> DataFrame:
         slot = F.pmod(F.xxhash64("doc", F.lit(3)), F.lit(slots)).cast("int")
-        each = rows.select("doc", "len", slot.alias("slot"), F.posexplode("w").alias("position", "term"))
+        kind = rows.schema["doc"].dataType.simpleString()
+        each = rows.select("doc", "len", slot.alias("slot"), "w").mapInArrow(_by_term, f"doc {kind}, len long, slot int, term string, tf int, positions array<int>")
         each = each.withColumns({"bucket": F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"), "spread": F.pmod(F.col("slot"), F.lit(SPREAD))})
         tasks = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        # One shuffle: grouping by more columns needs no other.
         near = each.repartition(tasks, "bucket", "spread")
-        own = near.groupBy("bucket", "spread", "term", "slot", "doc", "len").agg(F.count(F.lit(1)).cast("int").alias("tf"), F.array_sort(F.collect_list("position")).alias("positions"))
-        return own.select("bucket", "term", "slot", "doc", "tf", "len", "positions", F.lit(seq).alias("seq")).sortWithinPartitions("bucket", "term", "slot", "doc")
+        return near.select("bucket", "term", "slot", "doc", "tf", "len", "positions", F.lit(seq).alias("seq")).sortWithinPartitions("bucket", "term", "slot", "doc")
 
     def _blocks(self, postings: DataFrame, seq: int) -> DataFrame:
         own = postings.groupBy("bucket", "term", "slot").agg(F.count(F.lit(1)).alias("n"), F.max("tf").alias("max_tf"), F.min("len").alias("min_len"))
