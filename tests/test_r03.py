@@ -49,3 +49,10 @@ def test_variants_with_large_keys(spark, tmp_path):
     part = [(7, "a", 1000.02), (2_000_001, "a", 1000.03), (9, "b", 5.0), (3, "b", 5.0), (4, "c", None)]
     rows = agrees(spark, tmp_path, "x12_variant_ranking", part=(part, "p_partkey long, p_brand string, p_retailprice double"))
     assert rows == [("a", 7), ("b", 3), ("c", None)]
+
+
+def test_digests_are_shuffled_not_texts(spark, tmp_path):
+    agrees(spark, tmp_path, "v6_aggregate", documents=documents(["a", "b", "a", ""]))
+    plan = registry.QUERIES["v6_aggregate"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("bag_hash") < plan.index("Exchange") < plan.index("sha2(")
+    assert plan.count("Exchange") == 1
