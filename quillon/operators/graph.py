@@ -9,6 +9,9 @@ root are one component; edges between colours go. A graph that has shrunk to
 
 Contracted nodes belong to the component of both ends of their chain, if that is
 one. Nodes may be numbers or texts; null ends are no edges, repeated edges one.
+
+Joins are merges by hint: a round's file of sorted numbers is so small that Spark
+would broadcast millions of rows through the driver.
 """
 
 from __future__ import annotations
@@ -83,8 +86,8 @@ def _finish(kind: pa.DataType):
 def _peeled(e: DataFrame, rounds: Rounds, peel: int) -> tuple[DataFrame, int]:
     n = e.count()
     for _ in range(peel):
-        kept = e.join(e.select(F.col("b").alias("a")).distinct(), "a", "left_semi")
-        e = rounds.put(kept.join(kept.select(F.col("a").alias("b")).distinct(), "b", "left_semi").select("a", "b"))
+        kept = e.join(e.select(F.col("b").alias("a")).distinct().hint("merge"), "a", "left_semi")
+        e = rounds.put(kept.join(kept.select(F.col("a").alias("b")).distinct().hint("merge"), "b", "left_semi").select("a", "b"))
         left = e.count()
         if left == n or not left:
             return e, left
@@ -96,7 +99,7 @@ def _contracted(e: DataFrame, rounds: Rounds) -> tuple[DataFrame, DataFrame | No
     """Edges with chains made single edges; (node, u, v) of the nodes inside, with the ends of their chain; (node, component) of rings that have no other node."""
     out = e.groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("n"), F.min("b").alias("ahead")).where("n = 1")
     into = e.groupBy(F.col("b").alias("node")).agg(F.count(F.lit(1)).alias("m"), F.min("a").alias("behind")).where("m = 1")
-    inner = rounds.put(out.join(into, "node").where("ahead <> node").select("node", "ahead", "behind", F.col("node").alias("least")))
+    inner = rounds.put(out.join(into.hint("merge"), "node").where("ahead <> node").select("node", "ahead", "behind", F.col("node").alias("least")))
     n = inner.count()
     if not n:
         return e, None, None
@@ -104,15 +107,15 @@ def _contracted(e: DataFrame, rounds: Rounds) -> tuple[DataFrame, DataFrame | No
     for _ in range(max(1, n.bit_length()) + 1):
         f = p.select(F.col("node").alias("ahead"), F.col("ahead").alias("ahead2"), F.col("least").alias("least2"))
         b = p.select(F.col("node").alias("behind"), F.col("behind").alias("behind2"))
-        step = p.join(f, "ahead", "left").join(b, "behind", "left")
+        step = p.join(f.hint("merge"), "ahead", "left").join(b.hint("merge"), "behind", "left")
         open_ = F.coalesce("ahead2", "behind2").isNotNull()
         p = rounds.put(step.select("node", F.coalesce("ahead2", "ahead").alias("ahead"), F.coalesce("behind2", "behind").alias("behind"), F.least("least", "least2").alias("least"), open_.alias("open")))
         if p.where("open").isEmpty():
             break
     names = inner.select("node")
-    rings = p.join(names.withColumnRenamed("node", "ahead"), "ahead", "left_semi").select("node", F.col("least").alias("component"))
-    chains = rounds.put(p.join(names.withColumnRenamed("node", "ahead"), "ahead", "left_anti").select("node", F.col("behind").alias("u"), F.col("ahead").alias("v")))
-    rest = e.join(names.withColumnRenamed("node", "a"), "a", "left_anti").join(names.withColumnRenamed("node", "b"), "b", "left_anti").select("a", "b")
+    rings = p.join(names.withColumnRenamed("node", "ahead").hint("merge"), "ahead", "left_semi").select("node", F.col("least").alias("component"))
+    chains = rounds.put(p.join(names.withColumnRenamed("node", "ahead").hint("merge"), "ahead", "left_anti").select("node", F.col("behind").alias("u"), F.col("ahead").alias("v")))
+    rest = e.join(names.withColumnRenamed("node", "a").hint("merge"), "a", "left_anti").join(names.withColumnRenamed("node", "b").hint("merge"), "b", "left_anti").select("a", "b")
     return rounds.put(rest.unionByName(chains.select(F.col("u").alias("a"), F.col("v").alias("b"))).distinct()), chains, rounds.put(rings)
 
 
@@ -121,28 +124,28 @@ def _coloured(e: DataFrame, rounds: Rounds) -> tuple[DataFrame, DataFrame]:
     nodes = e.select(F.col("a").alias("node")).unionByName(e.select(F.col("b").alias("node"))).distinct()
     colour = rounds.put(nodes.withColumn("colour", F.col("node")))
     while True:
-        push = e.join(colour.withColumnRenamed("node", "a"), "a").groupBy(F.col("b").alias("node")).agg(F.min("colour").alias("other"))
-        new = rounds.put(colour.join(push, "node", "left").select("node", F.least("colour", "other").alias("colour"), (F.coalesce(F.col("other") < F.col("colour"), F.lit(False))).alias("changed")))
+        push = e.join(colour.withColumnRenamed("node", "a").hint("merge"), "a").groupBy(F.col("b").alias("node")).agg(F.min("colour").alias("other"))
+        new = rounds.put(colour.join(push.hint("merge"), "node", "left").select("node", F.least("colour", "other").alias("colour"), (F.coalesce(F.col("other") < F.col("colour"), F.lit(False))).alias("changed")))
         colour = new.drop("changed")
         if new.where("changed").isEmpty():
             break
     own = colour.withColumnRenamed("node", "a").withColumnRenamed("colour", "ca")
     other = colour.withColumnRenamed("node", "b").withColumnRenamed("colour", "cb")
-    within = rounds.put(e.join(own, "a").join(other, "b").where("ca = cb").select("a", "b", F.col("ca").alias("colour")))
+    within = rounds.put(e.join(own.hint("merge"), "a").join(other.hint("merge"), "b").where("ca = cb").select("a", "b", F.col("ca").alias("colour")))
     # Backward from the roots, within their colours.
     reach = rounds.put(within.where("a = colour").select(F.col("a").alias("node")).distinct())
     front = reach
     while True:
-        more = within.join(front.withColumnRenamed("node", "b"), "b", "left_semi").select(F.col("a").alias("node")).distinct().join(reach, "node", "left_anti")
+        more = within.join(front.withColumnRenamed("node", "b").hint("merge"), "b", "left_semi").select(F.col("a").alias("node")).distinct().join(reach.hint("merge"), "node", "left_anti")
         front = rounds.put(more)
         if front.isEmpty():
             break
         reach = rounds.put(reach.unionByName(front))
-    found = within.select(F.col("a").alias("node"), "colour").unionByName(within.select(F.col("b").alias("node"), "colour")).distinct().join(reach, "node", "left_semi")
+    found = within.select(F.col("a").alias("node"), "colour").unionByName(within.select(F.col("b").alias("node"), "colour")).distinct().join(reach.hint("merge"), "node", "left_semi")
     # A root alone is a component only with an edge to itself.
-    real = within.join(reach.withColumnRenamed("node", "a"), "a", "left_semi").join(reach.withColumnRenamed("node", "b"), "b", "left_semi").select("colour").distinct()
-    found = rounds.put(found.join(real, "colour", "left_semi").select("node", F.col("colour").alias("component")))
-    left = within.join(reach.withColumnRenamed("node", "a"), "a", "left_anti").join(reach.withColumnRenamed("node", "b"), "b", "left_anti").select("a", "b")
+    real = within.join(reach.withColumnRenamed("node", "a").hint("merge"), "a", "left_semi").join(reach.withColumnRenamed("node", "b").hint("merge"), "b", "left_semi").select("colour").distinct()
+    found = rounds.put(found.join(real.hint("merge"), "colour", "left_semi").select("node", F.col("colour").alias("component")))
+    left = within.join(reach.withColumnRenamed("node", "a").hint("merge"), "a", "left_anti").join(reach.withColumnRenamed("node", "b").hint("merge"), "b", "left_anti").select("a", "b")
     return found, rounds.put(left)
 
 
@@ -176,9 +179,9 @@ def strong_components(edges: DataFrame, source: str, target: str, core: int | No
     for inner in reversed(chains):
         # Ends may lie inside chains that were contracted later: those are resolved by now.
         u, v = known.select(F.col("node").alias("u"), F.col("component").alias("cu")), known.select(F.col("node").alias("v"), F.col("component").alias("cv"))
-        known = rounds.put(known.unionByName(inner.join(u, "u").join(v, "v").where("cu = cv").select("node", F.col("cu").alias("component"))))
+        known = rounds.put(known.unionByName(inner.join(u.hint("merge"), "u").join(v.hint("merge"), "v").where("cu = cv").select("node", F.col("cu").alias("component"))))
     least = known.groupBy("component").agg(F.min("node").alias("least"))
-    return rounds.last(known.join(least, "component").select("node", F.col("least").alias("component")))
+    return rounds.last(known.join(least.hint("merge"), "component").select("node", F.col("least").alias("component")))
 
 
 def _shortest(kind: str, most: int):

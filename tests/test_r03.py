@@ -56,3 +56,14 @@ def test_digests_are_shuffled_not_texts(spark, tmp_path):
     plan = registry.QUERIES["v6_aggregate"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
     assert plan.index("bag_hash") < plan.index("Exchange") < plan.index("sha2(")
     assert plan.count("Exchange") == 1
+
+
+def test_rounds_of_a_graph_broadcast_nothing(spark, monkeypatch):
+    from quillon.operators import graph
+
+    plans, put = [], graph.Rounds.put
+    monkeypatch.setattr(graph.Rounds, "put", lambda self, df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or put(self, df))
+    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (4, 5), (5, 4), (5, 6), (4, 6), (6, 7)], "a long, b long")
+    got = graph.strong_components(edges, "a", "b", core=0).collect()
+    assert sorted(map(tuple, got)) == [(1, 1), (2, 1), (3, 1), (4, 4), (5, 4)]
+    assert any("SortMergeJoin" in p for p in plans) and not any("BroadcastHashJoin" in p for p in plans)
