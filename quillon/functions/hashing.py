@@ -55,9 +55,17 @@ def random_uid() -> Column:
     return F.replace(F.uuid(), F.lit("-"), F.lit(""))
 
 
+def _added(parts: list[Column]) -> Column:
+    total = parts[0]
+    for p in parts[1:]:
+        total = total + p
+    return total
+
+
 def ean13_check(first12: Column) -> Column:
     """The thirteenth digit."""
-    total = F.aggregate(F.sequence(F.lit(1), F.lit(12)), F.lit(0), lambda acc, i: acc + F.substring(first12, i, F.lit(1)).cast("int") * F.when(i % 2 == 0, 3).otherwise(1))
+    # Spelt out digit by digit, as below: a lambda is interpreted, and computes anew what it takes from outside.
+    total = _added([F.substring(first12, i, 1).cast("int") * (3 if i % 2 == 0 else 1) for i in range(1, 13)])
     return ((10 - total % 10) % 10).cast("string")
 
 
@@ -66,7 +74,8 @@ def isbn13(isbn: Column) -> Column:
     d = F.upper(F.regexp_replace(isbn, "[^0-9Xx]", ""))
     thirteen = F.when((F.length(d) == 13) & ~d.contains("X") & (ean13_check(F.substring(d, 1, 12)) == F.substring(d, 13, 1)), d)
     body = F.concat(F.lit("978"), F.substring(d, 1, 9))
-    total = F.aggregate(F.sequence(F.lit(1), F.lit(10)), F.lit(0), lambda acc, i: acc + F.when(F.substring(d, i, F.lit(1)) == "X", 10).otherwise(F.expr("0") + F.coalesce(F.substring(d, i, F.lit(1)).try_cast("int"), F.lit(0))) * (11 - i))
+    value = lambda i: F.when(F.substring(d, i, 1) == "X", 10).otherwise(F.coalesce(F.substring(d, i, 1).try_cast("int"), F.lit(0)))
+    total = _added([value(i) * (11 - i) for i in range(1, 11)])
     ten = F.when(d.rlike("^[0-9]{9}[0-9X]$") & (total % 11 == 0), F.concat(body, ean13_check(F.when(d.rlike("^[0-9]{9}[0-9X]$"), body).otherwise("978000000000"))))
     return F.coalesce(ten, F.when(d.rlike("^[0-9]{13}$"), thirteen))
 
@@ -77,15 +86,14 @@ EAN_PARITY = ("LLLLLL", "LLGLGG", "LLGGLG", "LLGGGL", "LGLLGG", "LGGLLG", "LGGGL
 
 
 def ean13_bars(code: Column) -> Column:
-    """The 95 modules of a 13-digit code as 0 and 1."""
-    left = F.array(*[F.lit(x) for x in EAN_L])
-    right = F.transform(left, lambda x: F.translate(x, "01", "10"))
-    turned = F.transform(right, lambda x: F.reverse(x))
-    digit = lambda i: F.substring(code, i, F.lit(1)).cast("int")
-    parity = F.get(F.array(*[F.lit(x) for x in EAN_PARITY]), digit(F.lit(1)))
-    one = F.transform(F.sequence(F.lit(2), F.lit(7)), lambda i: F.when(F.substring(parity, i - 1, F.lit(1)) == "L", F.get(left, digit(i))).otherwise(F.get(turned, digit(i))))
-    two = F.transform(F.sequence(F.lit(8), F.lit(13)), lambda i: F.get(right, digit(i)))
-    return F.concat(F.lit("101"), F.array_join(one, ""), F.lit("01010"), F.array_join(two, ""), F.lit("101"))
+    """The 95 modules of a 13-digit code as 0 and 1; null for null."""
+    right = [x.translate(str.maketrans("01", "10")) for x in EAN_L]
+    listed = lambda xs: F.array(*[F.lit(x) for x in xs])
+    digit = lambda i: F.substring(code, i, 1).cast("int")
+    parity = F.get(listed(EAN_PARITY), digit(1))
+    one = [F.when(F.substring(parity, i - 1, 1) == "L", F.get(listed(EAN_L), digit(i))).otherwise(F.get(listed(x[::-1] for x in right), digit(i))) for i in range(2, 8)]
+    two = [F.get(listed(right), digit(i)) for i in range(8, 14)]
+    return F.when(code.isNotNull(), F.concat_ws("", F.lit("101"), *one, F.lit("01010"), *two, F.lit("101")))
 
 
 def catalogue_code(surname: Column) -> Column:

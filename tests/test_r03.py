@@ -67,3 +67,23 @@ def test_rounds_of_a_graph_broadcast_nothing(spark, monkeypatch):
     got = graph.strong_components(edges, "a", "b", core=0).collect()
     assert sorted(map(tuple, got)) == [(1, 1), (2, 1), (3, 1), (4, 4), (5, 4)]
     assert any("SortMergeJoin" in p for p in plans) and not any("BroadcastHashJoin" in p for p in plans)
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+PART = "p_partkey long, p_name string, p_size int"
+
+
+def test_bars_without_lambdas(spark, tmp_path):
+    agrees(spark, tmp_path, "h7_bars", part=([(k, "x", 1) for k in (0, 1, 7, 123_456, 2_000_001)] + [(None, "x", 1)], PART))
+    assert "lambda" not in plan_of(registry.QUERIES["h7_bars"](spark, str(tmp_path)))
+
+
+def test_isbns_as_before(spark):
+    from quillon.functions.hashing import isbn13
+
+    given = ["0-306-40615-2", "0-306-40615-3", "080442957X", "9780306406157", "9780306406158", "978030640615X", "X123456789", "12", "", None]
+    rows = spark.createDataFrame([(k, x) for k, x in enumerate(given)], "k int, x string").select("k", isbn13("x").alias("y"))
+    assert [r.y for r in rows.orderBy("k").collect()] == ["9780306406157", None, "9780804429573", "9780306406157", None, None, None, None, None, None]
