@@ -31,6 +31,11 @@ def luminance(rgb: Column) -> Column:
     return 0.2126 * part(2) + 0.7152 * part(4) + 0.0722 * part(6)
 
 
+def ratio(x: Column, y: Column) -> Column:
+    """Contrast of two luminances; null if either is."""
+    return F.when(x.isNotNull() & y.isNotNull(), (F.greatest(x, y) + 0.05) / (F.least(x, y) + 0.05))
+
+
 def contrast(a: Column, b: Column) -> Column:
     x, y = luminance(a), luminance(b)
     return (F.greatest(x, y) + 0.05) / (F.least(x, y) + 0.05)

@@ -28,13 +28,16 @@ def prepress(covers: DataFrame, styles: tuple[str, ...], palettes: tuple[str, ..
     whether its file is there), spine_mm, safe_mm. An issue is (severity, code, detail).
     Palettes are checked role by role; a colour that can't be read has no contrast.
     """
-    said = lambda severity, code, broken, detail=None: F.when(F.coalesce(broken, F.lit(False)), F.struct(F.lit(severity).alias("severity"), F.lit(code).alias("code"), (F.lit(None) if detail is None else detail).cast("string").alias("detail")))
+    # Each rule is an array of one issue or of none: they are joined without a lambda, which would be interpreted.
+    none = F.array().cast("array<struct<severity:string,code:string,detail:string>>")
+    said = lambda severity, code, broken, detail=None: F.when(F.coalesce(broken, F.lit(False)), F.array(F.struct(F.lit(severity).alias("severity"), F.lit(code).alias("code"), (F.lit(None) if detail is None else detail).cast("string").alias("detail")))).otherwise(none)
     name = lambda c: F.lower(F.trim(F.coalesce(c, F.lit(""))))
     theme = F.when(F.col("theme").isNull(), "nanquim").otherwise(name("theme"))
     hexed = lambda c: F.when(c.rlike("^#[0-9A-Fa-f]{6}$"), c)
-    ground = hexed(F.col("palette")["bg_color"])
-    ink = lambda role: hexed(F.col("palette")[role])
-    ratio = lambda role: F.when(ink(role).isNotNull() & ground.isNotNull(), N.contrast(ink(role), ground))
+    # Columns of their own, so that each is computed once a row.
+    covers = covers.withColumns({f"_{r}": N.luminance(hexed(F.col("palette")[r])) for r in (*ROLES, "bg_color")})
+    covers = covers.withColumns({f"_{r}": N.ratio(F.col(f"_{r}"), F.col("_bg_color")) for r in ROLES})
+    ratio = lambda role: F.col(f"_{role}")
     fonts = F.coalesce(F.col("fonts"), F.create_map().cast("map<string,boolean>"))
     dpi = F.col("image_dpi")
     rules = [
@@ -57,7 +60,7 @@ def prepress(covers: DataFrame, styles: tuple[str, ...], palettes: tuple[str, ..
         said("warning", "rgb_output_pipeline", F.lit(True)),
         said("info", "font_reproducibility", F.size(fonts) < 3),
     ]
-    issues = F.filter(F.array(*rules), lambda x: x.isNotNull())
+    issues = F.concat(*rules)
     worst = lambda s: F.exists("issues", lambda x: x["severity"] == s)
     status = F.when(worst("error"), "failed").when(worst("warning"), "passed_with_warnings").otherwise("passed")
     return covers.select("cover", issues.alias("issues")).withColumn("status", status)

@@ -87,3 +87,10 @@ def test_isbns_as_before(spark):
     given = ["0-306-40615-2", "0-306-40615-3", "080442957X", "9780306406157", "9780306406158", "978030640615X", "X123456789", "12", "", None]
     rows = spark.createDataFrame([(k, x) for k, x in enumerate(given)], "k int, x string").select("k", isbn13("x").alias("y"))
     assert [r.y for r in rows.orderBy("k").collect()] == ["9780306406157", None, "9780804429573", "9780306406157", None, None, None, None, None, None]
+
+
+def test_prepress_is_dealt_out(spark, tmp_path):
+    agrees(spark, tmp_path, "x10_prepress", part=([(k, "x", k % 51) for k in range(120)], PART))
+    df = registry.QUERIES["x10_prepress"](spark, str(tmp_path))
+    assert df.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert "filter(" not in plan_of(df)
