@@ -193,10 +193,10 @@ def g1_timed(spark, root):
     day = F.when(F.col("k") == 3, second).otherwise(F.col("day"))
     log = o.select(F.format_string("%d-%d", "o_custkey", F.least("k", F.lit(2))).alias("event_uid"), F.col("o_custkey").alias("proposal_uid"), F.when(F.col("k") == 1, "suggested").otherwise("approved").alias("to_status"), F.timestamp_seconds(day * F.lit(86400).cast("long")).alias("created_at"))
     path, out, state = scratch(spark, "log"), scratch(spark, "outcomes"), scratch(spark, "state")
-    log.coalesce(1).write.json(path)
+    log.write.json(path)
     # The last event only moves the watermark beyond all others.
     end = log.agg(F.max("created_at").alias("at")).select(F.lit("end").alias("event_uid"), F.lit(-1).cast("long").alias("proposal_uid"), F.lit("suggested").alias("to_status"), (F.col("at") + F.expr("INTERVAL 20000 DAYS")).alias("created_at"))
     end.write.mode("append").json(path)
-    stream = replay_timed(log_stream(spark, path, 1), 100 * 86_400_000, "10000 days")
+    stream = replay_timed(log_stream(spark, path), 100 * 86_400_000, "10000 days")
     stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(out).groupBy("proposal", "outcome").agg(F.count(F.lit(1)).cast("int").alias("n"))

@@ -23,34 +23,71 @@ from quillon.operators.governance import MOVES
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: The state in which a proposal waits for a decision, and what it becomes if none comes.
 FIRST, EXPIRED = "suggested", "expired"
+#: Waiting events, and uids, that a proposal's one value holds at most.
+KEPT = 64
 
 
 class _Replay(StatefulProcessor):
+    """A proposal's state, its waiting events and its last uids are one value, read and written once a batch: each
+    access is a call to another process. What goes beyond ``KEPT`` entries moves to maps, so no value grows."""
+
     def __init__(self, ttl: int):
         self.ttl = ttl
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.now = handle.getValueState("now", "state string, since long")
+        self.now = handle.getValueState("now", "state string, since long, pending array<struct<at:long,uid:string,state:string>>, seen array<string>, more boolean")
         self.pending = handle.getMapState("pending", "at long, uid string", "state string")
         self.seen = handle.getMapState("seen", "uid string", "at long")
 
+    def _read(self) -> tuple[str | None, int, list[tuple[int, str, str | None]], list[str], bool]:
+        got = self.now.get()
+        if got is None:
+            return None, 0, [], [], False
+        state, since, pending, seen, more = got
+        return state, since, [tuple(p) for p in pending], list(seen), more
+
+    def _write(self, state: str | None, since: int, pending: list, seen: list[str], more: bool) -> None:
+        if len(pending) > KEPT:
+            for at, uid, wanted in pending:
+                self.pending.updateValue((at, uid), (wanted,))
+            pending, more = [], True
+        if len(seen) > KEPT:
+            for uid in seen:
+                self.seen.updateValue((uid,), (0,))
+            seen, more = [], True
+        self.now.update((state, since, pending, seen, more))
+
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        state, since, pending, seen, more = self._read()
+        known, new = set(seen), []
         for r in rows:
-            at = int(r.at_ms)
-            if self.seen.containsKey((r.uid,)):
-                yield Row(proposal=key[0], uid=r.uid, at_ms=at, state=r.state, outcome="repeated")
+            if r.uid in known or more and self.seen.containsKey((r.uid,)):
+                yield Row(proposal=key[0], uid=r.uid, at_ms=int(r.at_ms), state=r.state, outcome="repeated")
                 continue
-            self.seen.updateValue((r.uid,), (at,))
-            self.pending.updateValue((at, r.uid), (r.state,))
-            self.handle.registerTimer(max(at, timerValues.getCurrentWatermarkInMs() + 1))
+            known.add(r.uid)
+            seen.append(r.uid)
+            new.append((int(r.at_ms), r.uid, r.state))
+        if new:
+            # The earliest wakes the proposal, which then sets a timer for what still waits.
+            self.handle.registerTimer(max(min(new)[0], timerValues.getCurrentWatermarkInMs() + 1))
+            self._write(state, since, pending + new, seen, more)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         upto = timerValues.getCurrentWatermarkInMs()
-        state, since = self.now.get() if self.now.exists() else (None, 0)
-        due = sorted((k[0], k[1], v[0]) for k, v in self.pending.iterator() if k[0] <= upto)
-        for at, uid, wanted in due:
-            self.pending.removeKey((at, uid))
+        state, since, pending, seen, more = self._read()
+        due, left = [p for p in pending if p[0] <= upto], [p for p in pending if p[0] > upto]
+        wake = [p[0] for p in left]
+        if more:
+            for k, v in self.pending.iterator():
+                if k[0] <= upto:
+                    due.append((k[0], k[1], v[0]))
+                else:
+                    wake.append(k[0])
+            for at, uid, _ in due:
+                if self.pending.containsKey((at, uid)):
+                    self.pending.removeKey((at, uid))
+        for at, uid, wanted in sorted(due, key=lambda p: p[:2]):
             if state == FIRST and since + self.ttl <= at:
                 yield Row(proposal=key[0], uid=None, at_ms=since + self.ttl, state=EXPIRED, outcome="expired")
                 state = EXPIRED
@@ -63,9 +100,10 @@ class _Replay(StatefulProcessor):
                 yield Row(proposal=key[0], uid=None, at_ms=since + self.ttl, state=EXPIRED, outcome="expired")
                 state = EXPIRED
             else:
-                self.handle.registerTimer(since + self.ttl)
-        if state is not None:
-            self.now.update((state, since))
+                wake.append(since + self.ttl)
+        if wake:
+            self.handle.registerTimer(min(wake))
+        self._write(state, since, left, seen, more)
 
     def close(self) -> None:
         pass

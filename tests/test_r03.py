@@ -76,9 +76,9 @@ def plan_of(df):
 PART = "p_partkey long, p_name string, p_size int"
 
 
-def test_bars_without_lambdas(spark, tmp_path):
+def test_bars_digit_by_digit(spark, tmp_path):
     agrees(spark, tmp_path, "h7_bars", part=([(k, "x", 1) for k in (0, 1, 7, 123_456, 2_000_001)] + [(None, "x", 1)], PART))
-    assert "lambda" not in plan_of(registry.QUERIES["h7_bars"](spark, str(tmp_path)))
+    assert "lambdafunction(" not in plan_of(registry.QUERIES["h7_bars"](spark, str(tmp_path)))
 
 
 def test_isbns_as_before(spark):
@@ -94,3 +94,44 @@ def test_prepress_is_dealt_out(spark, tmp_path):
     df = registry.QUERIES["x10_prepress"](spark, str(tmp_path))
     assert df.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert "filter(" not in plan_of(df)
+
+
+def test_log_is_written_by_all_tasks(spark, tmp_path, monkeypatch):
+    from quillon.plans import indexes
+
+    paths, scratch = {}, indexes.scratch
+    monkeypatch.setattr(indexes, "scratch", lambda s, name: paths.setdefault(name, scratch(s, name)))
+    monkeypatch.setattr(indexes, "log_stream", lambda s, path, *a, log_stream=indexes.log_stream: paths.setdefault("n", len(s.read.text(path).inputFiles())) and log_stream(s, path, *a))
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        import datetime
+
+        day = lambda k: datetime.datetime(1995, 1, 1) + datetime.timedelta(days=37 * k % 400)
+        agrees(spark, tmp_path, "g1_timed", orders=([(k, k % 23, day(k)) for k in range(60)], "o_orderkey long, o_custkey long, o_orderdate timestamp"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert paths["n"] > 2
+
+
+def test_proposals_with_more_events_than_a_value_holds(spark, tmp_path):
+    import json
+
+    from quillon.streaming import proposals as P
+
+    n = P.KEPT + 20
+    line = lambda k, day, state="approved": json.dumps({"event_uid": f"u{k}", "proposal_uid": 1, "to_status": state, "created_at": f"2020-01-01T{day // 60:02d}:{day % 60:02d}:00Z"})
+    path = tmp_path / "log"
+    path.mkdir()
+    files = [[line(0, 0, "suggested"), *(line(k, k) for k in range(1, n))], [line(k, k) for k in (0, 1, 2, n - 1)], [json.dumps({"event_uid": "end", "proposal_uid": 2, "to_status": "suggested", "created_at": "2030-01-01T00:00:00Z"})]]
+    for k, lines in enumerate(files):
+        (path / f"{k}.json").write_text("\n".join(lines))
+        import os
+
+        os.utime(path / f"{k}.json", (1_000_000 + k, 1_000_000 + k))
+    stream = P.replay_timed(P.log_stream(spark, str(path), 1), 10**9, "1000 days")
+    stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    got = [(r.uid, r.outcome) for r in spark.read.parquet(str(tmp_path / "out")).collect()]
+    assert sorted(u for u, o in got if o == "repeated") == sorted(["u0", "u1", "u2", f"u{n - 1}"])
+    assert sorted(u for u, o in got if o == "applied")[:2] == ["u0", "u1"]
+    assert len([1 for _, o in got if o in ("applied", "illegal")]) == n
