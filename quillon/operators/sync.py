@@ -26,8 +26,11 @@ any bytes isn't listed by Spark's reader).
 from __future__ import annotations
 
 import json
+import re
 import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import chain, islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -48,6 +51,9 @@ CARDINALITIES = ("single", "multiple")
 TEMPORAL_MODES = ("timeless", "point", "interval")
 COLLECTIONS = ("entities", "predicates", "relationships", "claims")
 VERSION = 1
+#: Items of a file that are handed on at once.
+TOGETHER = 5000
+_JSON, _SPACE = json.JSONDecoder(), re.compile(r"[ \t\n\r]*")
 
 TABLES = {
     "entities": "uid string, name string, type string, description string, universe_uid string, authority string",
@@ -69,15 +75,89 @@ class ContractError(ValueError):
         super().__init__(f"{n} issues: " + "; ".join(f"{s} {p}: {m}" for s, p, m in issues))
 
 
-def _rows(text: str) -> Iterator[tuple[str, int, str]]:
-    """(kind, place, item) of a file; what has no place in a table is an issue."""
+@dataclass
+class _At:
+    """Where a list begins in a text."""
+
+    at: int
+
+
+def _entries(text: str, at: int, close: str) -> Iterator[tuple[str | None, int]]:
+    """(key, place of the value) of a JSON map or list that opens before ``at``; the caller sends back where the value ends."""
+    at = _SPACE.match(text, at).end()
+    if text[at:at + 1] == close:
+        return
+    while True:
+        key = None
+        if close == "}":
+            if text[at:at + 1] != '"':
+                raise ValueError("a key is needed")
+            key, at = _JSON.raw_decode(text, at)
+            at = _SPACE.match(text, at).end()
+            if text[at:at + 1] != ":":
+                raise ValueError("a colon is needed")
+            at = _SPACE.match(text, at + 1).end()
+        at = yield key, at
+        at = _SPACE.match(text, at).end()
+        if text[at:at + 1] == close:
+            return
+        if text[at:at + 1] != ",":
+            raise ValueError("a comma is needed")
+        at = _SPACE.match(text, at + 1).end()
+
+
+def _list(text: str, at: int) -> Iterator[tuple[object, int]]:
+    """Items of the JSON list that begins at ``at``, one at a time, each with the place behind it."""
+    steps = _entries(text, at + 1, "]")
     try:
+        _, at = next(steps)
+        while True:
+            item, end = _JSON.raw_decode(text, at)
+            yield item, end
+            _, at = steps.send(end)
+    except StopIteration:
+        return
+
+
+def _places(text: str) -> dict[str, int | object] | None:
+    """The fields of a JSON map: collections as the place of their list, others as values. None: it isn't plain JSON."""
+    start, found = _SPACE.match(text).end(), {}
+    if text[start:start + 1] != "{":
+        return None
+    try:
+        steps = _entries(text, start + 1, "}")
+        end = start + 1
         try:
-            root = json.loads(text)
-        except ValueError:
-            import yaml
+            key, at = next(steps)
+            while True:
+                if key in COLLECTIONS and text[at:at + 1] == "[":
+                    end = at + 1
+                    for _, end in _list(text, at):
+                        pass
+                    found[key], end = _At(at), _SPACE.match(text, end).end() + 1
+                else:
+                    found[key], end = _JSON.raw_decode(text, at)
+                key, at = steps.send(end)
+        except StopIteration:
+            pass
+        last = _SPACE.match(text, end).end()
+        whole = text[last:last + 1] == "}" and _SPACE.match(text, last + 1).end() == len(text)
+    except Exception:
+        return None
+    return found if whole else None
+
+
+def _rows(text: str) -> Iterator[tuple[str, int, str]]:
+    """(kind, place, item) of a file; what has no place in a table is an issue. Of JSON, one item at a time is held as objects."""
+    root = _places(text)
+    try:
+        if root is None:
+            try:
+                root = json.loads(text)
+            except ValueError:
+                import yaml
 
-            root = yaml.safe_load(text)
+                root = yaml.safe_load(text)
     except Exception as err:
         yield "issue", 0, json.dumps({"path": "$", "message": f"can't be parsed: {str(err).splitlines()[0][:200]}"})
         return
@@ -96,7 +176,9 @@ def _rows(text: str) -> Iterator[tuple[str, int, str]]:
         root = root | {"entities": [{"name": p["nome"], "type": "character", "description": p.get("papel")} for p in people]}
     for kind in COLLECTIONS:
         items = root.get(kind) or []
-        if not isinstance(items, list):
+        if isinstance(items, _At):
+            items = (item for item, _ in _list(text, items.at))
+        elif not isinstance(items, list):
             yield bad(kind, "must be a list")
             continue
         for k, item in enumerate(items):
@@ -108,10 +190,13 @@ def _rows(text: str) -> Iterator[tuple[str, int, str]]:
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for source, sha, text in zip(*(batch.column(c).to_pylist() for c in ("source", "sha256", "text")), strict=True):
-            found = [("file", 0, "{}"), *_rows(text)] if text is not None else [("file", 0, "{}"), ("issue", 0, json.dumps({"path": "$", "message": "isn't UTF-8"}))]
-            kinds, places, items = zip(*found, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array([source] * len(found)), pa.array([sha] * len(found)), pa.array(kinds), pa.array(places, pa.int32()), pa.array(items)], ["source", "sha256", "kind", "at", "item"])
+        for k in range(len(batch)):
+            source, sha, text = (batch.column(c)[k].as_py() for c in ("source", "sha256", "text"))
+            found = _rows(text) if text is not None else iter([("issue", 0, json.dumps({"path": "$", "message": "isn't UTF-8"}))])
+            found = chain([("file", 0, "{}")], found)
+            while part := list(islice(found, TOGETHER)):
+                kinds, places, items = zip(*part, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array([source] * len(part)), pa.array([sha] * len(part)), pa.array(kinds), pa.array(places, pa.int32()), pa.array(items)], ["source", "sha256", "kind", "at", "item"])
 
 
 def items(spark: SparkSession, path: str, name: Column | None = None) -> DataFrame:

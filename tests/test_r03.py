@@ -135,3 +135,25 @@ def test_proposals_with_more_events_than_a_value_holds(spark, tmp_path):
     assert sorted(u for u, o in got if o == "repeated") == sorted(["u0", "u1", "u2", f"u{n - 1}"])
     assert sorted(u for u, o in got if o == "applied")[:2] == ["u0", "u1"]
     assert len([1 for _, o in got if o in ("applied", "illegal")]) == n
+
+
+def test_files_are_parsed_item_by_item(monkeypatch):
+    import json
+
+    from quillon.operators import sync
+
+    def whole(text):
+        with monkeypatch.context() as m:
+            m.setattr(sync, "_places", lambda text: None)
+            return list(sync._rows(text))
+
+    item = '{"name": "é\\u00e9", "aliases": ["a", null], "x": {"y": [1, {}]}}'
+    texts = [
+        f'{{"schema_version":1,"entities":[{item},{item}],"claims":[]}}', f' {{ "claims" : [ {item} , 3 , "x" ] , "entities" : null, "schema_version" : 2 }}\n', "{}", "[]", "null", "", '{"entities": [1,]}', '{"entities": [1 2]}', '{"entities": [', '{"entities": []',
+        '{"entities": [] "claims": []}', '{"entities": []} x', '{"entities": {"a": 1}}', '{"entities": [{"name": "a"}], "entities": [{"name": "b"}]}', '{"entities": [{"name": "b"}], "entities": 7}', '{"personagens": [{"nome": "A", "papel": "p"}, {}]}', '{"entities": [NaN]}', "entities:\n- name: a\n", '{entities: [{name: a}]}', "\ufeff{}", '{"a": 1, }',
+    ]
+    for text in texts:
+        assert list(sync._rows(text)) == whole(text), text
+    loaded = []
+    monkeypatch.setattr(json, "loads", lambda *a: loaded.append(a))
+    assert len(list(sync._rows(texts[0]))) == 2 and not loaded
