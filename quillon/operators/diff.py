@@ -3,22 +3,26 @@
 Lines that occur once on both sides of a stretch are candidates for anchors; the
 longest series of them that keeps its order on both sides is matched, and cuts
 the stretch into smaller ones. Equal lines at the ends of a stretch are matched
-too. Rounds go on until no stretch gives another match; what is left between two
-matches is a hunk. Every round is a few joins over lines, keyed by pair and
-stretch; only the longest increasing series of one stretch is found in Python.
+too. This goes on until no stretch gives another match; what is left between two
+matches is a hunk. Both texts of a pair are in one row, so nothing is shuffled:
+tasks cut their rows' stretches and hand on hunks only.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections import Counter
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillon.session import Rounds
 
+#: Pairs whose hunks a task hands on at once.
+TOGETHER = 64
+
 
 def increasing(after: list[int]) -> list[int]:
     """Places of a longest increasing series."""
@@ -34,34 +38,42 @@ def increasing(after: list[int]) -> list[int]:
     return out[::-1]
 
 
-def _series(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-    t = t.sort_by("i")
-    return t.take(pa.array(increasing(t.column("j").to_pylist()), pa.int64())).select(["pair", "i", "j"])
-
-
-def _ends(a: DataFrame, b: DataFrame, last: bool) -> DataFrame:
-    """(pair, i, j): lines that are equal from the start of a stretch (from its end, if ``last``) on."""
-    way = lambda c: F.desc(c) if last else F.asc(c)
-    x = a.withColumn("p", F.row_number().over(W.partitionBy("pair", "gap").orderBy(way("i"))))
-    y = b.withColumn("p", F.row_number().over(W.partitionBy("pair", "gap").orderBy(way("j")))).withColumnRenamed("line", "other")
-    both = x.join(y, ["pair", "gap", "p"]).withColumn("n", F.sum(F.when(F.col("line") == F.col("other"), 1).otherwise(0)).over(W.partitionBy("pair", "gap").orderBy("p")))
-    return both.where("n = p").select("pair", "i", "j")
-
-
-def _anchors(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(pair, i, j): the longest series of lines that occur once on both sides of a stretch."""
-    once = lambda df, c: df.groupBy("pair", "gap", "line").agg(F.count(F.lit(1)).alias("n"), F.min(c).alias(c)).where("n = 1").drop("n")
-    both = once(a, "i").join(once(b, "j"), ["pair", "gap", "line"]).select("pair", "gap", "i", "j")
-    kind = a.schema["pair"].dataType.simpleString()
-    return both.groupBy("pair", "gap").applyInArrow(_series, f"pair {kind}, i int, j int")
-
-
-def _left(lines: DataFrame, matched: DataFrame, at: str) -> DataFrame:
-    """Lines without a match, each with the number of matches before it: its stretch."""
-    hit = matched.select("pair", at, F.lit(1).alias("hit"))
-    flagged = lines.select("pair", at, "line").join(hit, ["pair", at], "left")
-    gap = F.sum(F.coalesce("hit", F.lit(0))).over(W.partitionBy("pair").orderBy(at))
-    return flagged.withColumn("gap", gap).where("hit IS NULL").select("pair", "gap", at, "line")
+def _stretches(a: list[bytes], b: list[bytes]) -> list[tuple[int, int, int, int]]:
+    """(i, end of i, j, end of j): stretches of lines that are left without a match, in order."""
+    todo, out = [(0, len(a), 0, len(b))], []
+    while todo:
+        i, i1, j, j1 = todo.pop()
+        while i < i1 and j < j1 and a[i] == b[j]:
+            i, j = i + 1, j + 1
+        while i < i1 and j < j1 and a[i1 - 1] == b[j1 - 1]:
+            i1, j1 = i1 - 1, j1 - 1
+        n, m = Counter(a[i:i1]), Counter(b[j:j1])
+        place = {x: k for k, x in enumerate(b[j:j1], j) if m[x] == 1}
+        both = [(k, place[x]) for k, x in enumerate(a[i:i1], i) if n[x] == 1 and x in place]
+        anchors = [both[k] for k in increasing([y for _, y in both])]
+        if anchors:
+            # The stretch before the first anchor is cut next, so that stretches come in order.
+            starts = [(i, j), *((x + 1, y + 1) for x, y in anchors)]
+            todo += [(x, x1, y, y1) for (x, y), (x1, y1) in zip(starts, [*anchors, (i1, j1)], strict=True)][::-1]
+        elif i < i1 or j < j1:
+            out.append((i, i1, j, j1))
+    return out
+
+
+def _hunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ["pair", "hunk", "start", "removed", "at", "added"]
+    for batch in batches:
+        for first in range(0, len(batch), TOGETHER):
+            part = batch.slice(first, TOGETHER)
+            own, found = [], []
+            for k, (x, y) in enumerate(zip(part.column("x"), part.column("y"), strict=True)):
+                a, b = x.as_py().split(b"\n"), y.as_py().split(b"\n")
+                for n, (i, i1, j, j1) in enumerate(_stretches(a, b), 1):
+                    own.append(k)
+                    found.append((n, i + 1, a[i:i1], j + 1, b[j:j1]))
+            if found:
+                columns = [pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.int32(), pa.int32(), pa.list_(pa.binary()), pa.int32(), pa.list_(pa.binary())), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column("pair").take(pa.array(own, pa.int64())), *columns], names)
 
 
 def hunks(pairs: DataFrame, key: str, before: str, after: str) -> DataFrame:
@@ -74,35 +86,11 @@ def hunks(pairs: DataFrame, key: str, before: str, after: str) -> DataFrame:
     """
     rounds = Rounds(pairs.sparkSession, "diff")
     given = pairs.select(F.col(key).alias("pair"), F.coalesce(before, F.lit("")).alias("x"), F.coalesce(after, F.lit("")).alias("y")).where("x <> y")
-    given = rounds.put(given)
-    side = lambda c, at: given.select("pair", F.posexplode(F.split(c, "\n", -1)).alias(at, "line"))
-    all_a, all_b = rounds.put(side("x", "i")), rounds.put(side("y", "j"))
-    matched = None
-    a, b = all_a.withColumn("gap", F.lit(0).cast("long")), all_b.withColumn("gap", F.lit(0).cast("long"))
-    while True:
-        n = 0
-        for step in (lambda: _ends(a, b, False), lambda: _ends(a, b, True), lambda: _anchors(a, b)):
-            found = rounds.put(step())
-            more = found.count()
-            if more:
-                n += more
-                matched = found if matched is None else rounds.put(matched.unionByName(found))
-                a, b = rounds.put(_left(all_a, matched, "i")), rounds.put(_left(all_b, matched, "j"))
-        if not n:
-            break
-    rows = lambda df, at: df.groupBy("pair", "gap").agg(F.min(at).alias(at), F.transform(F.array_sort(F.collect_list(F.struct(at, "line"))), lambda s: s["line"]).alias(f"{at}_lines"))
-    both = rows(a, "i").join(rows(b, "j"), ["pair", "gap"], "full")
-    if matched is None:
-        places = both.select("pair", "gap", F.lit(0).alias("i0"), F.lit(0).alias("j0"))
-    else:
-        # A stretch begins behind the match before it.
-        ranked = matched.withColumn("gap", F.row_number().over(W.partitionBy("pair").orderBy("i")).cast("long")).select("pair", "gap", (F.col("i") + 1).alias("i0"), (F.col("j") + 1).alias("j0"))
-        places = both.select("pair", "gap").join(ranked, ["pair", "gap"], "left").select("pair", "gap", F.coalesce("i0", F.lit(0)).alias("i0"), F.coalesce("j0", F.lit(0)).alias("j0"))
-    none = F.array().cast("array<string>")
-    out = both.join(places, ["pair", "gap"]).select(
-        "pair", F.row_number().over(W.partitionBy("pair").orderBy("gap")).alias("hunk"), (F.col("i0") + 1).alias("start"), F.coalesce("i_lines", none).alias("removed"), (F.col("j0") + 1).alias("at"), F.coalesce("j_lines", none).alias("added"),
-    )
-    return rounds.last(out.withColumnRenamed("pair", key))
+    kind = given.schema["pair"].dataType.simpleString()
+    out = given.select("pair", F.col("x").cast("binary").alias("x"), F.col("y").cast("binary").alias("y"))
+    out = out.mapInArrow(_hunks, f"pair {kind}, hunk int, start int, removed array<binary>, at int, added array<binary>")
+    lines = {c: F.col(c).cast("array<string>") for c in ("removed", "added")}
+    return rounds.last(out.withColumns(lines).withColumnRenamed("pair", key))
 
 
 def applied(text: Column, found: Column) -> Column:
