@@ -157,3 +157,27 @@ def test_files_are_parsed_item_by_item(monkeypatch):
     loaded = []
     monkeypatch.setattr(json, "loads", lambda *a: loaded.append(a))
     assert len(list(sync._rows(texts[0]))) == 2 and not loaded
+
+
+def test_hunks_without_a_shuffle(spark, monkeypatch):
+    from quillon.operators import diff
+
+    plans, last = [], diff.Rounds.last
+    monkeypatch.setattr(diff.Rounds, "last", lambda self, df: plans.append(plan_of(df)) or last(self, df))
+    rows = [(1, "a\nb\nc\nd", "x\na\nc\nd\ny"), (2, None, "a"), (3, "b\nb\na\nb", "b\na\nb\nb"), (4, "same", "same"), (5, "a\nb\nc", "")]
+    got = diff.hunks(spark.createDataFrame(rows, "k long, x string, y string"), "k", "x", "y").orderBy("k", "hunk").collect()
+    assert [tuple(r) for r in got] == [
+        (1, 1, 1, [], 1, ["x"]), (1, 2, 2, ["b"], 3, []), (1, 3, 5, [], 5, ["y"]), (2, 1, 1, [""], 1, ["a"]), (3, 1, 2, ["b"], 2, []), (3, 2, 4, [], 3, ["b"]), (5, 1, 1, ["a", "b", "c"], 1, [""]),
+    ]
+    assert plans and "Exchange" not in plans[0]
+
+
+def test_passages_of_many_texts(spark):
+    from quillon.sources import manuscript
+
+    text = "# One\n" + "\n\n".join(f"word {k}" for k in range(2500)) + "\n# Two\nend"
+    df = manuscript.passages(spark.createDataFrame([(1, text), (2, None), (3, "# A\nx"), (4, text)], "doc_id long, text string"), target=2)
+    assert "MapInArrow" in plan_of(df)
+    want = [(d, r["chapter"], r["passage"], r["content"], r["token_count"]) for d, t in ((1, text), (2, ""), (3, "# A\nx"), (4, text)) for r in manuscript.parse(t, target=2)]
+    assert len(want) > 2 * manuscript.TOGETHER
+    assert sorted(tuple(r) for r in df.select("doc_id", "chapter", "passage", "content", "token_count").collect()) == sorted(want)
