@@ -14,6 +14,7 @@ from quillon.operators import relational as R
 from quillon.operators import search as S
 from quillon.plans.registry import query
 from quillon.plans.text import _FL, reading
+from quillon.session import tasks_for
 from quillon.sources.tables import table
 
 
@@ -146,7 +147,9 @@ def i11(spark, root):
 
 @query("i13_lineage", "SELECT parent, child, max(kind) AS kind FROM (SELECT l_partkey AS parent, l_suppkey AS child, l_returnflag AS kind FROM lineitem) GROUP BY ALL")
 def i13(spark, root):
-    e = table(spark, root, "lineitem").groupBy(F.col("l_partkey").alias("parent"), F.col("l_suppkey").alias("child")).agg(F.max("l_returnflag").alias("kind"))
+    lines = table(spark, root, "lineitem").select(F.col("l_partkey").alias("parent"), F.col("l_suppkey").alias("child"), F.col("l_returnflag").alias("kind"))
+    # As many tasks as the lines need; the aggregate and the join follow this one shuffle.
+    e = lines.repartition(tasks_for(spark, lines.count(), 500_000), "parent", "child").groupBy("parent", "child").agg(F.max("kind").alias("kind"))
     return R.upsert(e.where("parent % 2 = 0"), e, ["parent", "child"])
 
 
