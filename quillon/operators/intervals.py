@@ -18,11 +18,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillon.session import Rounds
+from quillon.session import Rounds, tasks_for
 
 
 #: Rows of a key from which on it is summed by several tasks.
 HOT = 200_000
+#: Rows of a task on average.
+ROWS = 200_000
 
 
 def _ends(own: DataFrame, keys: list[str], start: str, end: str, value: str, more: tuple[str, ...] = ()) -> DataFrame:
@@ -37,17 +39,19 @@ def _ends(own: DataFrame, keys: list[str], start: str, end: str, value: str, mor
 _ORDER = ["e.late", "e.at", "e.kind", "_row"]
 
 
-def _whole(rows: DataFrame, keys: list[str], start: str, end: str, value: str) -> DataFrame:
+def _whole(rows: DataFrame, keys: list[str], start: str, end: str, value: str, tasks: int) -> DataFrame:
     """Partners within keys that a task can hold: all steps follow one shuffle by key."""
-    own = rows.repartition(*keys).distinct().withColumn("_row", F.monotonically_increasing_id())
+    # Dealt by a hash of the keys, which all steps name too: a key that is the same everywhere would be left out of some, and they would shuffle again.
+    by = ["_key", *keys]
+    own = rows.withColumn("_key", F.xxhash64(*keys)).repartition(tasks, "_key").distinct().withColumn("_row", F.monotonically_increasing_id())
     kept = F.struct(*[own[c] for c in rows.columns])
-    ends = _ends(own.withColumn("_kept", kept), keys, start, end, value, ("_kept",))
-    over = lambda by: W.partitionBy(*by).orderBy(*_ORDER).rowsBetween(W.unboundedPreceding, W.currentRow)
-    every, same = over(keys), over([*keys, "_value"])
+    ends = _ends(own.withColumn("_kept", kept), by, start, end, value, ("_kept",))
+    over = lambda own: W.partitionBy(*own).orderBy(*_ORDER).rowsBetween(W.unboundedPreceding, W.currentRow)
+    every, same = over(by), over([*by, "_value"])
     counted = ends.withColumns({"a": F.sum("starts").over(every), "o": F.sum("stops").over(every)}).withColumns({"a1": F.sum("starts").over(same), "o1": F.sum("stops").over(same)})
     started = F.max(F.when(F.col("e.kind") == 1, F.col("a") - F.col("a1")))
     ended = F.max(F.when(F.col("e.kind") == 0, F.col("o") - F.col("o1")))
-    found = counted.groupBy(*keys, "_row").agg(F.first("_kept").alias("_kept"), (started - ended).alias("partners"))
+    found = counted.groupBy(*by, "_row").agg(F.first("_kept").alias("_kept"), (started - ended).alias("partners"))
     return found.where("partners > 0").select("_kept.*", "partners")
 
 
@@ -61,19 +65,20 @@ def partners(rows: DataFrame, keys: list[str], ident: str, start: str, end: str,
     for c in (*keys, value):
         good &= F.col(c).isNotNull()
     rows = rows.where(good)
-    hot = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > HOT).drop("_n")
-    if hot.isEmpty():
-        return _whole(rows, keys, start, end, value)
-    few = Rounds(rows.sparkSession, "hot").last(hot)
-    return _whole(rows.join(few, keys, "left_anti").select(rows.columns), keys, start, end, value).unionByName(_ranged(rows.join(few, keys, "left_semi").select(rows.columns), keys, start, end, value))
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    n, most = sizes.agg(F.coalesce(F.sum("_n"), F.lit(0)), F.coalesce(F.max("_n"), F.lit(0))).first()
+    tasks = tasks_for(rows.sparkSession, n, ROWS)
+    if most <= HOT:
+        return _whole(rows, keys, start, end, value, tasks)
+    few = Rounds(rows.sparkSession, "hot").last(sizes.where(F.col("_n") > HOT).drop("_n"))
+    return _whole(rows.join(few, keys, "left_anti").select(rows.columns), keys, start, end, value, tasks).unionByName(_ranged(rows.join(few, keys, "left_semi").select(rows.columns), keys, start, end, value, tasks))
 
 
-def _ranged(rows: DataFrame, keys: list[str], start: str, end: str, value: str) -> DataFrame:
+def _ranged(rows: DataFrame, keys: list[str], start: str, end: str, value: str, tasks: int) -> DataFrame:
     """Partners within keys of any size: ends ranged by key and time, running sums by partition."""
     spark = rows.sparkSession
     rounds = Rounds(spark, "sweep")
     own = rounds.put(rows.distinct().withColumn("_row", F.monotonically_increasing_id()))
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ends = _ends(own, keys, start, end, value).repartitionByRange(tasks, *keys, *_ORDER)
     ends = rounds.put(ends.withColumn("part", F.spark_partition_id()))
     counted = ends

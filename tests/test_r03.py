@@ -1,6 +1,7 @@
 """Queries against their SQL on small tables of odd rows."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from quillon.plans import registry
 
@@ -181,3 +182,22 @@ def test_passages_of_many_texts(spark):
     want = [(d, r["chapter"], r["passage"], r["content"], r["token_count"]) for d, t in ((1, text), (2, ""), (3, "# A\nx"), (4, text)) for r in manuscript.parse(t, target=2)]
     assert len(want) > 2 * manuscript.TOGETHER
     assert sorted(tuple(r) for r in df.select("doc_id", "chapter", "passage", "content", "token_count").collect()) == sorted(want)
+
+
+def test_tasks_follow_the_rows(spark, tmp_path, monkeypatch):
+    from quillon.operators import intervals
+    from quillon.plans import production
+    from quillon.session import tasks_for
+
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert [tasks_for(spark, n, 10) for n in (0, 10 * least, 10 * least + 1)] == [least, least, least + 1]
+    monkeypatch.setattr(intervals, "ROWS", 10)
+    rows = spark.createDataFrame([(k % 7, "main", k, k, k + 9, k % 2) for k in range(200)], "s long, c string, id long, a long, e long, v long").withColumn("c", F.lit("main"))
+    out = intervals.partners(rows, ["s", "c"], "id", "a", "e", "v")
+    # One shuffle, though a key is the same everywhere.
+    assert plan_of(out).count("Exchange") == 1 and ", 20), REPARTITION_BY_NUM" in plan_of(out)
+    lines = [(k % 5, k % 3, "ANR"[k % 3]) for k in range(40)]
+    asked = []
+    monkeypatch.setattr(production, "tasks_for", lambda s, n, each: asked.append(n) or 7)
+    agrees(spark, tmp_path, "i13_lineage", lineitem=(lines, "l_partkey long, l_suppkey long, l_returnflag string"))
+    assert asked == [40] * len(asked) and asked
