@@ -201,3 +201,24 @@ def test_tasks_follow_the_rows(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(production, "tasks_for", lambda s, n, each: asked.append(n) or 7)
     agrees(spark, tmp_path, "i13_lineage", lineitem=(lines, "l_partkey long, l_suppkey long, l_returnflag string"))
     assert asked == [40] * len(asked) and asked
+
+
+def test_probed_files_lie_in_folders_of_tasks(spark, tmp_path, monkeypatch):
+    from quillon.plans import files as plans
+    from quillon.sources import files
+
+    monkeypatch.setattr(plans, "scratch", lambda _, name: f"file://{tmp_path}/{name}")
+    orders = [(n, 10 * (n % 200) + 3) for n in range(700)] + [(700, 4), (701, None)]
+    assert len(agrees(spark, tmp_path, "s6_probe", orders=(orders, "o_orderkey long, o_custkey long"))) == 200
+    folders = [p for p in (tmp_path / "probe").iterdir() if p.is_dir()]
+    written = [p for f in folders for p in f.rglob("*") if p.is_file()]
+    assert len(folders) <= 4 and len(written) == 200 and not any(p.suffix == ".crc" for p in written)
+    few = spark.conf.get(files._FEW)
+    spark.sparkContext.setJobGroup("listed", "")
+    try:
+        assert files.probe(spark, f"file://{tmp_path}/probe/task=*", deep=True).count() == 200
+        listed = spark.sparkContext.statusTracker().getJobIdsForGroup("listed")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    # One job lists the folders, however few they are; the rest counts.
+    assert len(listed) <= 3 and spark.conf.get(files._FEW) == few
