@@ -2,20 +2,25 @@
 
 Tables (of a ``Store``, so every change is one commit):
 
-``postings``  bucket, term, slot, doc, tf, len, positions; in folders by bucket (a hash of the term), sorted by term and slot
-``blocks``    bucket, term, slot, n, max_tf, min_len: what the best posting of a term in a slot can be at most
+``postings``  bucket, term, slot: a row holds a term's postings in a slot (doc; tf, len and positions as four bytes a number),
+              what the best of them can be at most (n, max_tf, min_len), and the documents that begin with the term (first);
+              in folders by bucket (a hash of the term), sorted by term and slot
+``blocks``    slot, n, words: what a slot holds
 ``lengths``   doc, len of every document added
 ``removed``   doc, upto: postings of the document in segments up to that number are dead
 
 A document's slot is a hash of its id, alike for all terms of a segment, so the
-bounds of a query's terms add up slot by slot. A search reads the blocks of its
-terms (folders of their buckets, pages of their names), scores the most promising
-slots to learn what the k-th best score is at least, then reads only slots whose
-bound reaches it. Results equal those of scoring everything.
+bounds of a query's terms add up slot by slot. A search reads the bounds of its
+terms (folders of their buckets, pages of their names, none of their postings),
+scores the most promising slots to learn what the k-th best score is at least, then
+reads only slots whose bound reaches it. Results equal those of scoring everything.
+Texts are shuffled by slot and cut there, so that the shuffle by term carries a row
+for each term of a slot, not for each posting. A slot of many texts is cut in
+pieces: a term then has several rows in it, and the sum of their bounds is one too.
 
 A replaced document is a new one whose older postings are dead; the number of
 documents and words is kept in the manifest, and a term's document frequency is
-the sum of its blocks, less its dead postings. ``merge`` rewrites all segments as
+the sum of its slots, less its dead postings. ``merge`` rewrites all segments as
 one without dead postings.
 
 Defined results: null texts and texts without words aren't indexed; of rows that
@@ -31,11 +36,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.functions.text import index_tokens
 from quillon.operators.search import B, K1
+from quillon.session import tasks_for
 from quillon.sources.lease import Lease
 from quillon.sources.versions import Store
 
@@ -44,13 +51,18 @@ TOKENS: dict[str, Callable[[Column], Column]] = {
     "folded": index_tokens,
     "letters": lambda c: F.regexp_extract_all(F.lower(c), F.lit("[a-z]+"), F.lit(0)),
 }
+#: The same as texts, with the bytes that words are made of: a batch's words are found at once.
+CUTS: dict[str, tuple[Callable[[Column], Column], Callable[[np.ndarray], np.ndarray]]] = {
+    "folded": (lambda c: F.array_join(index_tokens(c), " "), lambda byte: byte != ord(" ")),
+    "letters": (F.lower, lambda byte: (byte >= ord("a")) & (byte <= ord("z"))),
+}
 BUCKETS = 64
 #: Documents of a slot on average, and slots of a segment at most.
-SLOT, MOST_SLOTS = 64, 1 << 20
-#: Tasks that a bucket's postings are dealt to, by hash of the document: no task gets all of a frequent term.
+SLOT, MOST_SLOTS = 1024, 1 << 20
+#: Slots whose texts a task cuts, and bytes of texts that it cuts at once.
+SLOTS, BYTES = 8, 1 << 24
+#: Tasks that a bucket's postings are dealt to, by slot: no task gets all of a frequent term.
 SPREAD = 8
-#: Documents whose words a task holds as numbers at once.
-TOGETHER = 256
 #: Slots that the first round scores for each result wanted, and slots that are named in a filter at most.
 FIRST, NAMED = 4, 2000
 
@@ -61,24 +73,120 @@ def _hash(spark: SparkSession, terms: list[str], buckets: int) -> list[int]:
     return list(spark.range(1).select(*[F.pmod(F.xxhash64(F.lit(t)), F.lit(buckets)).cast("int") for t in terms]).first())
 
 
-def _by_term(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each term of a document (doc, len, slot, w), with its positions: a document is in one row, so no shuffle puts its words together."""
+def _lists(first: np.ndarray, values: pa.Array) -> pa.ListArray:
+    """Lists of ``values`` that begin at ``first``."""
+    return pa.ListArray.from_arrays(pa.array(np.r_[first, len(values)].astype(np.int32)), values)
+
+
+def _changes(*columns: np.ndarray) -> np.ndarray:
+    """Where a row differs from the one before it; the first does."""
+    new = np.zeros(len(columns[0]), bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(new)
+
+
+def _numbers(first: np.ndarray, values: np.ndarray) -> pa.Array:
+    """Binaries of the numbers that begin at ``first``, four bytes each."""
+    ends = np.r_[first, len(values)].astype(np.int32) * 4
+    return pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(values, "<i4"))])
+
+
+def _rows(code: np.ndarray, terms: pa.Array, slot: np.ndarray, doc: pa.Array, size: np.ndarray, at: np.ndarray, position: np.ndarray) -> pa.RecordBatch:
+    """A row for each term and slot of some postings that are sorted by them and document; the positions of each begin ``at``."""
+    tf, term = np.diff(np.r_[at, len(position)]), _changes(code, slot)
+    begins = np.flatnonzero(position[at] == 0)
+    columns = {
+        "term": terms.take(pa.array(code[term])), "slot": pa.array(slot[term].astype(np.int32)), "n": pa.array(np.diff(np.r_[term, len(code)])),
+        "max_tf": pa.array(np.maximum.reduceat(tf, term).astype(np.int32)), "min_len": pa.array(np.minimum.reduceat(size, term).astype(np.int64)),
+        "doc": _lists(term, doc), "tf": _numbers(term, tf), "len": _numbers(term, size), "positions": _numbers(at[term], position),
+        "first": _lists(np.searchsorted(begins, term), pa.StructArray.from_arrays([doc.take(pa.array(begins)), pa.array(size[begins].astype(np.int64))], ["doc", "len"])),
+    }
+    return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+
+def _row_type(kind: str) -> str:
+    return f"term string, slot int, n long, max_tf int, min_len long, doc array<{kind}>, tf binary, len binary, positions binary, first array<struct<doc: {kind}, len: bigint>>"
+
+
+def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows as single postings; ``positions`` only if they are given."""
+    for batch in batches:
+        numbers = lambda name: np.frombuffer(b"".join(batch.column(name).to_pylist()), "<i4")  # noqa: B023, E731
+        own = pa.array(np.repeat(np.arange(len(batch)), batch.column("doc").value_lengths().to_numpy()))
+        tf = numbers("tf")
+        columns = {c: batch.column(c).take(own) for c in ("bucket", "term", "slot", "seq")}
+        columns |= {"doc": batch.column("doc").flatten(), "tf": pa.array(tf), "len": pa.array(numbers("len").astype(np.int64))}
+        if "positions" in batch.schema.names:
+            columns["positions"] = _lists(np.cumsum(tf) - tf, pa.array(numbers("positions")))
+        yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+
+def _cut(piece: list[pa.RecordBatch], letters: np.ndarray) -> pa.RecordBatch | None:
+    """The rows of a piece of one slot (slot, doc, text), by document."""
+    column = lambda name: pa.concat_arrays([b.column(name) for b in piece])
+    texts = column("text").cast(pa.large_string())
+    bounds = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[bounds[0] : bounds[-1]]
+    bounds = bounds - bounds[0]
+    inside = letters[data]
+    begin = inside.copy()
+    begin[1:] &= ~inside[:-1]
+    # A text's first byte begins a word whatever the text before ends with.
+    heads = bounds[:-1][np.diff(bounds) > 0]
+    begin[heads] = inside[heads]
+    starts = np.flatnonzero(begin)
+    if not len(starts):
+        return None
+    upto = np.searchsorted(starts, bounds)
+    sizes = np.diff(upto)
+    row = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+    kept = data[inside]
+    ends = np.r_[np.flatnonzero(begin[inside]), len(kept)].astype(np.int32)
+    words = pa.StringArray.from_buffers(len(starts), pa.py_buffer(ends), pa.py_buffer(kept)).dictionary_encode()
+    # One sort of numbers by term, then by the word's place.
+    bits = len(starts).bit_length()
+    key = (words.indices.to_numpy().astype(np.int64) << bits) | np.arange(len(starts))
+    key.sort()
+    word, code = key & ((1 << bits) - 1), key >> bits
+    own = row[word]
+    at = _changes(code, own)
+    own, position = own[at], word - upto[own]
+    doc = column("doc").take(pa.array(own))
+    return _rows(code[at], words.dictionary, column("slot").to_numpy()[own], doc, sizes[own], at, position)
+
+
+def _pieces(letters: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        piece, slot, held = [], None, 0
+        for batch in batches:
+            slots, size = batch.column("slot").to_numpy(), pc.binary_length(batch.column("text")).to_numpy().astype(np.int64)
+            upto = np.r_[0, np.cumsum(size)]
+            ends = np.r_[_changes(slots)[1:], len(batch)]
+            at = 0
+            for end in ends.tolist():
+                while at < end:
+                    if piece and (slots[at] != slot or held >= BYTES):
+                        if (out := _cut(piece, letters)) is not None:
+                            yield out
+                        piece, held = [], 0
+                    to = min(end, max(at + 1, int(np.searchsorted(upto, upto[at] + BYTES - held, side="right")) - 1))
+                    piece.append(batch.slice(at, to - at))
+                    slot, held, at = slots[at], held + int(upto[to] - upto[at]), to
+        if piece and (out := _cut(piece, letters)) is not None:
+            yield out
+
+    return run
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Single postings (term, slot, doc, tf, len, positions), sorted by term, slot and document, as rows."""
     for batch in batches:
-        for at in range(0, len(batch), TOGETHER):
-            part = batch.slice(at, TOGETHER)
-            sizes, words = part.column("len").to_numpy(), part.column("w").flatten().dictionary_encode()
-            row, code = np.repeat(np.arange(len(part)), sizes), words.indices.to_numpy()
-            position = np.arange(len(code)) - (np.cumsum(sizes) - sizes)[row]
-            key = row * len(words.dictionary) + code
-            order = np.argsort(key, kind="stable")
-            key = key[order]
-            first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-            ends = np.r_[first, len(key)].astype(np.int32)
-            own = pa.array(row[order[first]])
-            terms = words.dictionary.take(pa.array(code[order[first]]))
-            positions = pa.ListArray.from_arrays(pa.array(ends), pa.array(position[order].astype(np.int32)))
-            columns = [*(part.column(c).take(own) for c in ("doc", "len", "slot")), terms, pa.array(np.diff(ends)), positions]
-            yield pa.RecordBatch.from_arrays(columns, ["doc", "len", "slot", "term", "tf", "positions"])
+        if len(batch):
+            words, tf = batch.column("term").dictionary_encode(), batch.column("tf").to_numpy().astype(np.int64)
+            slot, size = batch.column("slot").to_numpy(), batch.column("len").to_numpy()
+            yield _rows(words.indices.to_numpy(), words.dictionary, slot, batch.column("doc"), size, np.cumsum(tf) - tf, batch.column("positions").flatten().to_numpy())
 
 
 class TextIndex:
@@ -97,11 +205,11 @@ class TextIndex:
         none = spark.createDataFrame([], f"doc {kind}, len long, seq int")
         own.store.commit(
             replace={
-                "postings": spark.createDataFrame([], f"bucket int, term string, slot int, doc {kind}, tf int, len long, positions array<int>, seq int"),
-                "blocks": spark.createDataFrame([], "bucket int, term string, slot int, n long, max_tf int, min_len long, seq int"),
+                "postings": spark.createDataFrame([], f"bucket int, {_row_type(kind)}, seq int"),
+                "blocks": spark.createDataFrame([], "slot int, n long, words long, seq int"),
                 "lengths": none, "removed": none.select("doc", F.col("seq").alias("upto")),
             },
-            meta={"tokens": tokens, "buckets": buckets, "seq": 0, "n": 0, "words": 0, "dead": False}, partition_by={"postings": ["bucket"], "blocks": ["bucket"]},
+            meta={"tokens": tokens, "buckets": buckets, "seq": 0, "n": 0, "words": 0, "dead": False}, partition_by={"postings": ["bucket"]},
         )
         own.add(docs, id_col, text_col)
         return own
@@ -113,16 +221,14 @@ class TextIndex:
         meta = self.store.meta()
         seq = meta["seq"] + 1
         given = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).where("doc is not null and text is not null")
-        once = given.groupBy("doc").agg(F.max("text").alias("text"))
-        words = once.select("doc", TOKENS[meta["tokens"]](F.col("text")).alias("w"))
-        return self._commit(words, once.select("doc"), meta, seq, lease)
+        return self._commit(given, given.select("doc").distinct(), meta, seq, lease)
 
     def delete(self, ids: DataFrame, id_col: str = "doc_id", lease: Lease | None = None) -> int:
         """Delete documents by id; the new version is the result."""
         meta = self.store.meta()
         return self._commit(None, ids.select(F.col(id_col).alias("doc")).where("doc is not null").distinct(), meta, meta["seq"] + 1, lease)
 
-    def _commit(self, words: DataFrame | None, gone: DataFrame, meta: dict, seq: int, lease: Lease | None) -> int:
+    def _commit(self, given: DataFrame | None, gone: DataFrame, meta: dict, seq: int, lease: Lease | None) -> int:
         expected = self.store.version()
         segment = f"{seq:08d}-{expected}-{uuid.uuid4().hex[:8]}"
         append, written, more = {}, {}, (0, 0)
@@ -130,55 +236,60 @@ class TextIndex:
         lost = known.agg(F.count(F.lit(1)), F.coalesce(F.sum("len"), F.lit(0))).first() if meta["n"] else (0, 0)
         if lost[0]:
             append["removed"] = known.select("doc", F.lit(seq - 1).alias("upto"))
-        if words is not None:
-            rows = words.select("doc", F.size("w").cast("long").alias("len"), "w").where("len > 0")
-            slots = max(1, min(MOST_SLOTS, gone.count() // SLOT))
-            # Lengths and blocks are made from the postings as written, not from the texts again; one posting of a document has its first word.
-            postings = self._write("postings", self._postings(rows, slots, seq, meta["buckets"]), segment, "bucket")
-            lengths = self._write("lengths", postings.where(F.get("positions", F.lit(0)) == 0).select("doc", "len", F.lit(seq).alias("seq")), segment)
+        if given is not None:
+            slots = self._slots(gone.count())
+            # Lengths are made from the postings as written, not from the texts again; one term of a document is its first.
+            postings = self._write("postings", self._postings(given, slots, seq, meta), segment, "bucket")
+            firsts = postings.select(F.inline("first")).withColumn("seq", F.lit(seq))
+            lengths = self._write("lengths", firsts, segment)
             more = lengths.agg(F.count(F.lit(1)), F.coalesce(F.sum("len"), F.lit(0))).first()
             written["lengths"] = [segment]
             if more[0]:
-                append["blocks"] = self._blocks(postings, seq)
+                append["blocks"] = self._blocks(lengths, slots, seq)
                 written["postings"] = [segment]
         if not (lost[0] or more[0]):
             return expected
         own = {"seq": seq, "n": meta["n"] + more[0] - lost[0], "words": meta["words"] + more[1] - lost[1], "dead": meta["dead"] or lost[0] > 0}
-        return self.store.commit(append=append, meta=own, expected=expected, lease=lease, partition_by={"blocks": ["bucket"]}, segment=segment, written=written)
+        return self.store.commit(append=append, meta=own, expected=expected, lease=lease, segment=segment, written=written)
 
     def _write(self, name: str, rows: DataFrame, segment: str, *by: str) -> DataFrame:
         path = f"{self.store.root}/data/{name}/segment={segment}"
         rows.write.partitionBy(*by).parquet(path)
         return self.spark.read.schema(rows.schema).parquet(path)
 
-    def _postings(self, rows: DataFrame, slots: int, seq: int, buckets: int) -> DataFrame:
-        slot = F.pmod(F.xxhash64("doc", F.lit(3)), F.lit(slots)).cast("int")
-        kind = rows.schema["doc"].dataType.simpleString()
-        each = rows.select("doc", "len", slot.alias("slot"), "w").mapInArrow(_by_term, f"doc {kind}, len long, slot int, term string, tf int, positions array<int>")
-        each = each.withColumns({"bucket": F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"), "spread": F.pmod(F.col("slot"), F.lit(SPREAD))})
-        tasks = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        near = each.repartition(tasks, "bucket", "spread")
-        return near.select("bucket", "term", "slot", "doc", "tf", "len", "positions", F.lit(seq).alias("seq")).sortWithinPartitions("bucket", "term", "slot", "doc")
+    def _slots(self, documents: int) -> int:
+        return max(1, min(MOST_SLOTS, documents // SLOT))
+
+    def _postings(self, given: DataFrame, slots: int, seq: int, meta: dict) -> DataFrame:
+        text, letters = CUTS[meta["tokens"]]
+        dealt = given.withColumn("slot", _slot(slots)).repartition(tasks_for(self.spark, slots, SLOTS), "slot")
+        once = dealt.groupBy("slot", "doc").agg(F.max("text").alias("text"))
+        rows = once.select("slot", "doc", text(F.col("text")).alias("text")).sortWithinPartitions("slot", "doc")
+        each = rows.mapInArrow(_pieces(letters(np.arange(256))), _row_type(given.schema["doc"].dataType.simpleString()))
+        named = each.select(F.pmod(F.xxhash64("term"), F.lit(meta["buckets"])).cast("int").alias("bucket"), *each.columns, F.lit(seq).alias("seq"))
+        return self._dealt(named).sortWithinPartitions("bucket", "term", "slot")
 
-    def _blocks(self, postings: DataFrame, seq: int) -> DataFrame:
-        own = postings.groupBy("bucket", "term", "slot").agg(F.count(F.lit(1)).alias("n"), F.max("tf").alias("max_tf"), F.min("len").alias("min_len"))
-        return own.select("bucket", "term", "slot", "n", "max_tf", "min_len", F.lit(seq).alias("seq")).sortWithinPartitions("bucket", "term", "slot")
+    def _dealt(self, rows: DataFrame) -> DataFrame:
+        return rows.repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions")), "bucket", F.pmod(F.col("slot"), F.lit(SPREAD)))
+
+    def _blocks(self, lengths: DataFrame, slots: int, seq: int) -> DataFrame:
+        return lengths.groupBy(_slot(slots).alias("slot")).agg(F.count(F.lit(1)).alias("n"), F.sum("len").alias("words")).withColumn("seq", F.lit(seq))
 
     def merge(self, lease: Lease | None = None) -> int:
         """Rewrite all segments as one, without dead postings; the new version is the result."""
         meta, expected = self.store.meta(), self.store.version()
         seq = meta["seq"] + 1
-        live = self._alive(self.store.read("postings"))
+        live = self._alive(_single(self.store.read("postings")))
         lengths = self._lengths()
-        slots = max(1, min(MOST_SLOTS, meta["n"] // SLOT))
-        slot = F.pmod(F.xxhash64("doc", F.lit(3)), F.lit(slots)).cast("int")
-        tasks = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        rows = live.select("bucket", "term", slot.alias("slot"), "doc", "tf", "len", "positions", F.lit(seq).alias("seq")).repartition(tasks, "bucket", F.pmod(F.col("slot"), F.lit(SPREAD))).sortWithinPartitions("bucket", "term", "slot", "doc")
+        slots, kind = self._slots(meta["n"]), lengths.schema["doc"].dataType.simpleString()
+        sorted_ = self._dealt(live.withColumn("slot", _slot(slots))).sortWithinPartitions("bucket", "term", "slot", "doc")
+        rows = sorted_.mapInArrow(_joined, _row_type(kind)).withColumns({"bucket": F.pmod(F.xxhash64("term"), F.lit(meta["buckets"])).cast("int"), "seq": F.lit(seq)})
+        rows = rows.select([f.name for f in self.store.read("postings").schema])
         segment = f"{seq:08d}-{expected}-{uuid.uuid4().hex[:8]}"
-        postings = self._write("postings", rows, segment, "bucket")
+        self._write("postings", rows, segment, "bucket")
         return self.store.commit(
-            replace={"blocks": self._blocks(postings, seq), "lengths": lengths.select("doc", "len", F.lit(seq).alias("seq")), "removed": self.store.read("removed").limit(0)},
-            meta={"seq": seq, "dead": False}, expected=expected, lease=lease, partition_by={"blocks": ["bucket"]}, segment=segment, written={"postings": [segment]}, renew=("postings",),
+            replace={"blocks": self._blocks(lengths, slots, seq), "lengths": lengths.select("doc", "len", F.lit(seq).alias("seq")), "removed": self.store.read("removed").limit(0)},
+            meta={"seq": seq, "dead": False}, expected=expected, lease=lease, segment=segment, written={"postings": [segment]}, renew=("postings",),
         )
 
     # --- reading ---------------------------------------------------------------------
@@ -196,14 +307,23 @@ class TextIndex:
     def _lengths(self) -> DataFrame:
         return self._alive(self.store.read("lengths")).select("doc", "len")
 
+    def _stored(self, terms: list[str]) -> DataFrame:
+        """Rows of some terms; reads the folders of their buckets and, there, the pages that hold them."""
+        return self.store.read("postings").where(F.col("bucket").isin(_hash(self.spark, terms, self.store.meta()["buckets"])) & F.col("term").isin(terms))
+
     def postings(self, terms: list[str], dead: bool = False) -> DataFrame:
-        """Postings of some terms; reads the folders of their buckets and, there, the pages that hold them."""
-        terms = list(dict.fromkeys(terms))
-        rows = self.store.read("postings").where(F.col("bucket").isin(_hash(self.spark, terms, self.store.meta()["buckets"])) & F.col("term").isin(terms))
+        """Postings of some terms, one by one."""
+        rows = _single(self._stored(list(dict.fromkeys(terms))))
         return rows if dead else self._alive(rows)
 
+    def _scorable(self, terms: list[str], slots: list | None = None) -> DataFrame:
+        """Postings of some terms, in some (seq, slot) if they are given, without positions."""
+        rows = self._stored(terms)
+        return self._alive(_single(rows if slots is None else rows.where(_within(slots)), positions=False))
+
     def blocks(self, terms: list[str]) -> DataFrame:
-        return self.store.read("blocks").where(F.col("bucket").isin(_hash(self.spark, terms, self.store.meta()["buckets"])) & F.col("term").isin(terms))
+        """What the best posting of a term in a slot can be at most, and how many there are."""
+        return self._stored(terms).select("bucket", "term", "slot", "n", "max_tf", "min_len", "seq")
 
     def terms(self, query: str) -> list[str]:
         """The terms of a query text, as the index cuts texts."""
@@ -235,19 +355,19 @@ class TextIndex:
             return self.store.read("lengths").limit(0).select("doc", F.lit(0.0).alias("score"))
         best = lambda rows: self._scores(rows, df, meta).orderBy(F.desc("score"), "doc").limit(k)
         if not skip:
-            return best(self.postings(terms))
+            return best(self._scorable(terms))
         mean = meta["words"] / max(1, meta["n"])
         most = self._weight(df, meta) * F.col("max_tf") * (K1 + 1) / (F.col("max_tf") + K1 * (1 - B + B * F.col("min_len") / mean))
         bound = self.blocks(terms).groupBy("seq", "slot").agg(F.sum(most).alias("bound"))
         first = bound.orderBy(F.desc("bound"), "seq", "slot").limit(FIRST * k).collect()
-        found = best(self.postings(terms).where(_within(first))).collect()
+        found = best(self._scorable(terms, first)).collect()
         # Fewer than k hits so far set no bar.
         bar = found[-1]["score"] - 2e-6 if len(found) == k else 0.0
         reach = bound.where(F.col("bound") >= bar)
         named = reach.limit(NAMED + 1).collect()
         if len(named) <= NAMED:
-            return best(self.postings(terms).where(_within(named)))
-        return best(self.postings(terms).join(reach.select("seq", "slot"), ["seq", "slot"], "left_semi"))
+            return best(self._scorable(terms, named))
+        return best(self._scorable(terms).join(reach.select("seq", "slot"), ["seq", "slot"], "left_semi"))
 
     def matching(self, terms: list[str] | str, phrase: bool = False) -> DataFrame:
         """(doc, n): documents with all ``terms``; with ``phrase``, in a row. n: how often the rarest of them, or the phrase, occurs."""
@@ -266,6 +386,17 @@ class TextIndex:
         return rows.select("doc", F.size(starts).alias("n")).where("n > 0")
 
 
+def _slot(slots: int) -> Column:
+    return F.pmod(F.xxhash64("doc", F.lit(3)), F.lit(slots)).cast("int")
+
+
+def _single(rows: DataFrame, positions: bool = True) -> DataFrame:
+    """Stored rows as single postings: bucket, term, slot, seq, doc, tf, len and positions."""
+    kind = rows.schema["doc"].dataType.elementType.simpleString()
+    own = rows.select("bucket", "term", "slot", "seq", "doc", "tf", "len", *["positions"] * positions)
+    return own.mapInArrow(_opened, f"bucket int, term string, slot int, seq int, doc {kind}, tf int, len long{', positions array<int>' * positions}")
+
+
 def _all(conditions: list[Column]) -> Column:
     out = conditions[0]
     for c in conditions[1:]:

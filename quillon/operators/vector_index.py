@@ -35,6 +35,8 @@ from quillon.sources.versions import Store
 
 #: Cells at most (their centres are handed to tasks), rows that they are fitted on at most, rounds of the fit.
 MOST_CELLS, SAMPLE, ROUNDS = 4096, 100_000, 10
+#: Tasks that a cell's vectors are dealt to at most, and vectors of a batch for each of them.
+SPREAD, CROWD = 8, 50_000
 #: Queries that probes are calibrated on, neighbours of each, and the part of those that must be found.
 QUERIES, NEIGHBOURS, RECALL = 64, 10, 0.95
 #: Distances are compared after rounding to six digits.
@@ -100,7 +102,7 @@ class VectorIndex:
         meta = {"seq": seq, "dim": dim, "n": 0, "dead": False, "recall": recall, "probes": 1}
         kind = rows.schema["id"].dataType.simpleString()
         replace = {"removed": self.spark.createDataFrame([], f"id {kind}, upto int")}
-        segment, assigned = self._write(rows, centres, seq, expected)
+        segment, assigned = self._write(rows, n, centres, seq, expected)
         found = assigned.groupBy("cell").agg(F.max("far"), F.count(F.lit(1))).collect()
         replace["centres"] = self._centres(centres, {c: (far, m) for c, far, m in found})
         meta["n"] = sum(m for _, _, m in found)
@@ -114,8 +116,8 @@ class VectorIndex:
             version = self.store.commit(meta={"probes": self._calibrated(recall)}, expected=version, lease=lease)
         return version
 
-    def _write(self, rows: DataFrame, centres: np.ndarray, seq: int, expected: int) -> tuple[str, DataFrame]:
-        """Rows with the cell of each, written by cell, and read again with their distance from its centre."""
+    def _write(self, rows: DataFrame, n: int, centres: np.ndarray, seq: int, expected: int) -> tuple[str, DataFrame]:
+        """``n`` rows with the cell of each, written by cell, and read again with their distance from its centre."""
         squares = (centres**2).sum(1)
 
         def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,9 +133,9 @@ class VectorIndex:
         placed = rows.withColumn("unit", _unit(F.col("embedding"))).mapInArrow(assign, schema)
         segment = f"{seq:08d}-{expected}-{uuid.uuid4().hex[:8]}"
         path = f"{self.store.root}/data/vectors/segment={segment}"
-        # A crowded cell is dealt to several tasks, by hash of the id.
-        tasks = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        placed.repartition(tasks, "cell", F.pmod(F.xxhash64("id"), F.lit(8))).write.partitionBy("cell").parquet(path)
+        # A crowded cell is dealt to several tasks, by hash of the id; few vectors can't crowd one, and a file for each of its tasks would only cost time.
+        tasks, spread = int(self.spark.conf.get("spark.sql.shuffle.partitions")), max(1, min(SPREAD, n // CROWD))
+        placed.repartition(tasks, "cell", F.pmod(F.xxhash64("id"), F.lit(spread))).write.partitionBy("cell").parquet(path)
         return segment, self.spark.read.schema(placed.schema).parquet(path)
 
     def _centres(self, centres: np.ndarray, found: dict[int, tuple[float, int]]) -> DataFrame:
@@ -155,7 +157,7 @@ class VectorIndex:
         new = self._given(rows, id_col, vec_col, meta["dim"])
         centres, radius, sizes = self._cells()
         seq = meta["seq"] + 1
-        segment, placed = self._write(new, centres, seq, expected)
+        segment, placed = self._write(new, new.count(), centres, seq, expected)
         found = {c: (far, m) for c, far, m in placed.groupBy("cell").agg(F.max("far"), F.count(F.lit(1))).collect()}
         gone = self._known(placed.select("id"))
         lost = gone.count()

@@ -222,3 +222,44 @@ def test_probed_files_lie_in_folders_of_tasks(spark, tmp_path, monkeypatch):
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     # One job lists the folders, however few they are; the rest counts.
     assert len(listed) <= 3 and spark.conf.get(files._FEW) == few
+
+
+@pytest.mark.parametrize("tokens", ["letters", "folded"])
+def test_postings_are_a_row_for_each_term_of_a_slot(spark, monkeypatch, tokens):
+    """Whole and right also where a slot's texts are cut in pieces, where texts meet without a space, and after a merge."""
+    import re
+
+    from quillon.operators import index as I
+    from quillon.session import scratch
+
+    rows = [(f"k{n}", "ab" * (n % 4) + " céu-Azul, x" + "y z y"[: n % 6] + ("" if n % 3 else "\U0001f600b")) for n in range(120)]
+    rows += [("none", None), ("empty", ""), ("marks", " ?!, "), ("k3", "a"), ("k5", "zz zz b"), ("long", "long words " * 40), (None, "lost")]
+    texts = {}
+    for k, t in rows:
+        if k and t:
+            texts[k] = max(texts.get(k, t), t)
+    cut = lambda t: re.findall("[a-z]+", t.lower()) if tokens == "letters" else re.findall(r"[^\W_]+", t.lower().replace("é", "e"))
+    want = sorted((w, k, len(cut(t)), [i for i, x in enumerate(cut(t)) if x == w]) for k, t in texts.items() for w in set(cut(t)))
+    monkeypatch.setattr(I, "SLOT", 30)
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    for size in (1 << 24, 100):
+        monkeypatch.setattr(I, "BYTES", size)
+        index = I.TextIndex.create(spark, scratch(spark, "index"), docs, tokens=tokens, buckets=4)
+        each = lambda: sorted((r.term, r.doc, r.len, list(r.positions)) for r in index.postings(sorted({w for w, *_ in want})).collect())  # noqa: B023, E731
+        assert each() == want and index.store.meta()["words"] == sum(len(p) for *_, p in want)
+        stored = index.store.read("postings")
+        pairs = stored.select("term", "slot").distinct().count()
+        assert pairs < len(want) / 2 and (stored.count() == pairs if size > 100 else pairs < stored.count() < len(want))
+        found = [tuple(r) for r in index.search(["b", "zz", "azul"], 5).collect()]
+        assert found == [tuple(r) for r in index.search(["b", "zz", "azul"], 5, skip=False).collect()] and len(found) == 5
+    index.merge()
+    assert each() == want and found == [tuple(r) for r in index.search(["b", "zz", "azul"], 5).collect()]
+
+
+def test_few_vectors_make_a_file_a_cell(spark, tmp_path):
+    from quillon.operators.vector_index import VectorIndex
+
+    rows = [(n, [float(n % 7 + 1), float(n % 11), 1.0 + n % 3]) for n in range(400)]
+    index = VectorIndex.create(spark, f"file://{tmp_path}/vectors", spark.createDataFrame(rows, "vec_id long, embedding array<double>"), cells=5)
+    files = list(tmp_path.glob("vectors/data/vectors/*/cell=*/*.parquet"))
+    assert len(files) == len({f.parent for f in files}) and index.store.meta()["n"] == 400
