@@ -21,16 +21,24 @@ of the same file before those of other files before those that are known, of
 equal ones the smallest uid; of entities that share a uid the last by file and
 place counts; a file without knowledge clears what it had brought before (one without
 any bytes isn't listed by Spark's reader).
+
+A file's bytes come to a task in pieces. Up to ``WHOLE`` of them are held in memory,
+more on the task's disk, from where JSON is read a window at a time; YAML that isn't
+JSON is held whole.
 """
 
 from __future__ import annotations
 
+import codecs
+import hashlib
 import json
 import re
+import tempfile
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain, islice
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,7 +48,7 @@ from pyspark.sql import functions as F
 from quillon.functions import hashing as H
 from quillon.operators.knowledge import mentions, typed_claims
 from quillon.operators.relational import insert_ignore, upsert
-from quillon.session import Rounds
+from quillon.session import Rounds, tasks_for
 from quillon.sources.lease import Lease
 from quillon.sources.versions import Store
 
@@ -53,7 +61,11 @@ COLLECTIONS = ("entities", "predicates", "relationships", "claims")
 VERSION = 1
 #: Items of a file that are handed on at once.
 TOGETHER = 5000
-_JSON, _SPACE = json.JSONDecoder(), re.compile(r"[ \t\n\r]*")
+#: Bytes of a file that a task holds in memory, and of a larger one that it reads from its disk at once.
+WHOLE, WINDOW = 4 << 20, 1 << 20
+#: Bytes of a file that are sent to its task as one row, about, and bytes of files for a task.
+PIECE, TASK = 1 << 12, 16 << 20
+_JSON, _SPACE, _BOM = json.JSONDecoder(), re.compile(r"[ \t\n\r]*"), codecs.BOM_UTF8
 
 TABLES = {
     "entities": "uid string, name string, type string, description string, universe_uid string, authority string",
@@ -77,87 +89,164 @@ class ContractError(ValueError):
 
 @dataclass
 class _At:
-    """Where a list begins in a text."""
+    """Where a list begins in a text, and in its file's bytes."""
 
     at: int
+    byte: int
+
+
+class _Text:
+    """A text, or the text of a file, of which a window is held: what lies before the place asked for last is let go."""
+
+    def __init__(self, text: str = "", file: BinaryIO | None = None, start: int = 0):
+        self.held, self.file, self.start = text, file, start
+        self.back(_At(0, start))
+
+    def back(self, to: _At) -> None:
+        self.base, self.byte = 0, self.start
+        if self.file:
+            self.base, self.byte, self.held, self.decoder = to.at, to.byte, "", codecs.getincrementaldecoder("utf-8")()
+            self.file.seek(to.byte)
+
+    def whole(self) -> str:
+        if not self.file:
+            return self.held
+        self.file.seek(self.start)
+        return self.file.read().decode()
 
+    def _more(self, n: int) -> bool:
+        data = self.file.read(n) if self.file else b""
+        if data:
+            self.held += self.decoder.decode(data)
+        return bool(data)
 
-def _entries(text: str, at: int, close: str) -> Iterator[tuple[str | None, int]]:
+    def _place(self, at: int) -> int:
+        """Where ``at`` is in what is held."""
+        while at - self.base >= len(self.held) and self._more(WINDOW):
+            pass
+        if self.file and at - self.base > WINDOW:
+            gone = at - self.base
+            self.byte += len(self.held[:gone].encode())
+            self.held, self.base = self.held[gone:], at
+        return at - self.base
+
+    def mark(self, at: int) -> _At:
+        k = self._place(at)
+        return _At(at, self.byte + len(self.held[:k].encode()) if self.file else 0)
+
+    def char(self, at: int) -> str:
+        k = self._place(at)
+        return self.held[k:k + 1]
+
+    def space(self, at: int) -> int:
+        """The first place from ``at`` on that isn't white space."""
+        while True:
+            k = self._place(at)
+            k = _SPACE.match(self.held, k).end()
+            at = self.base + k
+            if k < len(self.held) or not self._more(WINDOW):
+                return at
+
+    def value(self, at: int) -> tuple[object, int]:
+        """The JSON value at a place, and the place behind it."""
+        k, n = self._place(at), WINDOW
+        while True:
+            try:
+                value, end = _JSON.raw_decode(self.held, k)
+                # A number can go on behind what is held, and 1e+ is 1 without it.
+                if len(self.held) - end > 2 or not self._more(n):
+                    return value, self.base + end
+            except ValueError:
+                if not self._more(n):
+                    raise
+            n *= 2
+
+
+def _entries(text: _Text, at: int, close: str) -> Iterator[tuple[str | None, int]]:
     """(key, place of the value) of a JSON map or list that opens before ``at``; the caller sends back where the value ends."""
-    at = _SPACE.match(text, at).end()
-    if text[at:at + 1] == close:
+    at = text.space(at)
+    if text.char(at) == close:
         return
     while True:
         key = None
         if close == "}":
-            if text[at:at + 1] != '"':
+            if text.char(at) != '"':
                 raise ValueError("a key is needed")
-            key, at = _JSON.raw_decode(text, at)
-            at = _SPACE.match(text, at).end()
-            if text[at:at + 1] != ":":
+            key, at = text.value(at)
+            at = text.space(at)
+            if text.char(at) != ":":
                 raise ValueError("a colon is needed")
-            at = _SPACE.match(text, at + 1).end()
+            at = text.space(at + 1)
         at = yield key, at
-        at = _SPACE.match(text, at).end()
-        if text[at:at + 1] == close:
+        at = text.space(at)
+        if text.char(at) == close:
             return
-        if text[at:at + 1] != ",":
+        if text.char(at) != ",":
             raise ValueError("a comma is needed")
-        at = _SPACE.match(text, at + 1).end()
+        at = text.space(at + 1)
 
 
-def _list(text: str, at: int) -> Iterator[tuple[object, int]]:
+def _list(text: _Text, at: int) -> Iterator[tuple[object, int]]:
     """Items of the JSON list that begins at ``at``, one at a time, each with the place behind it."""
     steps = _entries(text, at + 1, "]")
     try:
         _, at = next(steps)
         while True:
-            item, end = _JSON.raw_decode(text, at)
+            item, end = text.value(at)
             yield item, end
             _, at = steps.send(end)
     except StopIteration:
         return
 
 
-def _places(text: str) -> dict[str, int | object] | None:
+def _again(text: _Text, place: _At) -> Iterator[object]:
+    text.back(place)
+    for item, _ in _list(text, place.at):
+        yield item
+
+
+def _places(text: _Text) -> dict[str, int | object] | None:
     """The fields of a JSON map: collections as the place of their list, others as values. None: it isn't plain JSON."""
-    start, found = _SPACE.match(text).end(), {}
-    if text[start:start + 1] != "{":
-        return None
+    found = {}
     try:
+        start = text.space(0)
+        if text.char(start) != "{":
+            return None
         steps = _entries(text, start + 1, "}")
         end = start + 1
         try:
             key, at = next(steps)
             while True:
-                if key in COLLECTIONS and text[at:at + 1] == "[":
-                    end = at + 1
+                if key in COLLECTIONS and text.char(at) == "[":
+                    place, end = text.mark(at), at + 1
                     for _, end in _list(text, at):
                         pass
-                    found[key], end = _At(at), _SPACE.match(text, end).end() + 1
+                    found[key], end = place, text.space(end) + 1
                 else:
-                    found[key], end = _JSON.raw_decode(text, at)
+                    found[key], end = text.value(at)
                 key, at = steps.send(end)
         except StopIteration:
             pass
-        last = _SPACE.match(text, end).end()
-        whole = text[last:last + 1] == "}" and _SPACE.match(text, last + 1).end() == len(text)
+        last = text.space(end)
+        whole = text.char(last) == "}" and text.char(text.space(last + 1)) == ""
     except Exception:
         return None
     return found if whole else None
 
 
-def _rows(text: str) -> Iterator[tuple[str, int, str]]:
+def _rows(text: str | _Text) -> Iterator[tuple[str, int, str]]:
     """(kind, place, item) of a file; what has no place in a table is an issue. Of JSON, one item at a time is held as objects."""
+    text = text if isinstance(text, _Text) else _Text(text)
     root = _places(text)
     try:
         if root is None:
+            whole = text.whole()
             try:
-                root = json.loads(text)
+                root = json.loads(whole)
             except ValueError:
                 import yaml
 
-                root = yaml.safe_load(text)
+                root = yaml.safe_load(whole)
     except Exception as err:
         yield "issue", 0, json.dumps({"path": "$", "message": f"can't be parsed: {str(err).splitlines()[0][:200]}"})
         return
@@ -177,7 +266,7 @@ def _rows(text: str) -> Iterator[tuple[str, int, str]]:
     for kind in COLLECTIONS:
         items = root.get(kind) or []
         if isinstance(items, _At):
-            items = (item for item, _ in _list(text, items.at))
+            items = _again(text, items)
         elif not isinstance(items, list):
             yield bad(kind, "must be a list")
             continue
@@ -188,15 +277,78 @@ def _rows(text: str) -> Iterator[tuple[str, int, str]]:
                 yield bad(f"{kind}[{k}]", "must be a map")
 
 
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pieces of files, as they follow each other, in rows of about ``PIECE`` bytes, numbered."""
+    n, key, held, size = 0, None, [], 0
+    for batch in batches:
+        out = []
+        for path, block, data in zip(*(batch.column(c).to_pylist() for c in ("path", "block", "data")), strict=True):
+            if held and (size >= PIECE or key != (path, block)):
+                out.append((*key, n, b"".join(held)))
+                n, held, size = n + 1, [], 0
+            key = path, block
+            held += data, _END
+            size += len(data) + 1
+        if out:
+            yield _packed(out)
+    if held:
+        yield _packed([(*key, n, b"".join(held))])
+
+
+#: Where Spark's reader cuts a file; it isn't part of any other character in UTF-8, and few items are without one.
+_END = b"}"
+
+
+def _packed(rows: list[tuple[str, int, int, bytes]]) -> pa.RecordBatch:
+    path, block, at, data = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(path), pa.array(block, pa.int64()), pa.array(at, pa.int64()), pa.array(data, pa.binary())], ["path", "block", "at", "data"])
+
+
+def _found(source: str, size: int, file: BinaryIO) -> Iterator[pa.RecordBatch]:
+    """The rows of a file of ``size`` bytes, of which ``file`` has those that Spark's reader gave, behind a byte-order mark."""
+    got = file.tell() - len(_BOM)
+    # The reader leaves out a byte-order mark, and doesn't tell whether a file ends with the character where it cuts.
+    more = size - got
+    start = 0 if more in (2, 3) else len(_BOM)
+    if more in (-1, 2):
+        file.seek(-1, 2)
+        file.truncate()
+    file.seek(start)
+    sha, utf8, good = hashlib.sha256(), codecs.getincrementaldecoder("utf-8")(), more in (-1, 0, 2, 3)
+    while data := file.read(WINDOW):
+        sha.update(data)
+        try:
+            good = good and utf8.decode(data) is not None
+        except UnicodeDecodeError:
+            good = False
+    if good and not utf8.getstate()[0]:
+        text = _Text(file=file, start=start)
+        rows = _rows(text.whole() if size <= WHOLE else text)
+    else:
+        rows = iter([("issue", 0, json.dumps({"path": "$", "message": "isn't UTF-8"}))])
+    rows = chain([("file", 0, "{}")], rows)
+    while part := list(islice(rows, TOGETHER)):
+        kinds, places, items = zip(*part, strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array([source] * len(part)), pa.array([sha.hexdigest()] * len(part)), pa.array(kinds), pa.array(places, pa.int32()), pa.array(items)], ["source", "sha256", "kind", "at", "item"])
+
+
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Files, each a row with its name and size and then its pieces."""
+    now, file = None, None
     for batch in batches:
         for k in range(len(batch)):
-            source, sha, text = (batch.column(c)[k].as_py() for c in ("source", "sha256", "text"))
-            found = _rows(text) if text is not None else iter([("issue", 0, json.dumps({"path": "$", "message": "isn't UTF-8"}))])
-            found = chain([("file", 0, "{}")], found)
-            while part := list(islice(found, TOGETHER)):
-                kinds, places, items = zip(*part, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array([source] * len(part)), pa.array([sha] * len(part)), pa.array(kinds), pa.array(places, pa.int32()), pa.array(items)], ["source", "sha256", "kind", "at", "item"])
+            path, source, size, data = (batch.column(c)[k].as_py() for c in ("path", "source", "size", "data"))
+            if data is None:
+                if file:
+                    yield from _found(*now[1:], file)
+                    file.close()
+                now, file = (path, source, size), tempfile.SpooledTemporaryFile(WHOLE)
+                file.write(_BOM)
+            elif now and now[0] == path:
+                file.write(data)
+    if file:
+        yield from _found(*now[1:], file)
+        file.close()
 
 
 def items(spark: SparkSession, path: str, name: Column | None = None) -> DataFrame:
@@ -204,9 +356,14 @@ def items(spark: SparkSession, path: str, name: Column | None = None) -> DataFra
 
     ``name``: what a file is called, from its ``path``; the last part of it by default.
     """
-    raw = spark.read.format("binaryFile").load(path)
     name = F.element_at(F.split("path", "/"), -1) if name is None else name
-    return raw.select(name.alias("source"), F.sha2("content", 256).alias("sha256"), F.expr("try_validate_utf8(cast(content AS string))").alias("text")).mapInArrow(_parse, "source string, sha256 string, kind string, at int, item string")
+    file, none = F.col("_metadata.file_path").alias("path"), F.lit(None).cast("binary").alias("data")
+    heads = spark.read.format("binaryFile").load(path).select(file, name.alias("source"), F.col("length").alias("size"), F.lit(-1).cast("long").alias("block"), F.lit(0).cast("long").alias("at"), none)
+    cut = spark.read.option("lineSep", _END.decode()).text(path).select(file, F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("data"))
+    pieces = cut.mapInArrow(_pack, "path string, block long, at long, data binary")
+    tasks = tasks_for(spark, heads.agg(F.sum("size")).first()[0] or 0, TASK)
+    dealt = heads.unionByName(pieces, allowMissingColumns=True).repartition(tasks, "path").sortWithinPartitions("path", "block", "at")
+    return dealt.mapInArrow(_parse, "source string, sha256 string, kind string, at int, item string")
 
 
 def _text(path: str) -> Column:
@@ -315,10 +472,11 @@ def sync(store: Store, files: DataFrame, scenes: DataFrame, work: str, authority
     own, others, known = name_of(given, "source"), name_of(given), name_of(old["entities"])
 
     def resolved(df: DataFrame, col: str, to: str) -> DataFrame:
-        df = df.withColumn("key", F.lower(col))
+        # Rows without a name, often all of them, mustn't meet in one task: each has a key of its own.
+        df = df.withColumn("key", F.coalesce(F.lower(col), F.concat_ws("\0", F.lit(""), "source", F.col("at").cast("string"))))
         for k, names in enumerate((own, others, known)):
             df = df.join(names.withColumnRenamed("uid", f"_{k}"), ["source", "key"] if k == 0 else "key", "left")
-        return df.withColumn(to, F.coalesce("_0", "_1", "_2")).drop("_0", "_1", "_2", "key")
+        return df.withColumn(to, F.when(F.col(col).isNotNull(), F.coalesce("_0", "_1", "_2"))).drop("_0", "_1", "_2", "key")
 
     r = _of(rows, "relationships").select("source", "at", _text("source").alias("a_name"), _text("target").alias("b_name"), F.coalesce(_text("type"), F.lit("related_to")).alias("type"), F.nullif(_text("from_scene_uid"), F.lit("")).alias("from_scene"), _text("notes").alias("notes"))
     r = rounds.put(resolved(resolved(r, "a_name", "a"), "b_name", "b"))

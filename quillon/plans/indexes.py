@@ -121,20 +121,22 @@ def i11_sync(spark, root):
     values = F.struct(F.col("c_name").alias("subject"), F.when(key % 2 == 0, "ordered").otherwise("said").alias("predicate"), F.lit("s1").alias("scene_uid"), F.when(key % 2 == 0, F.to_json(F.struct(key.alias("x")))).otherwise('{"x":"text"}').alias("x"), key.alias("key"))
 
     def files(second: bool):
-        # Objects are put together as text, so that a value may be a number here and a text there.
+        # Objects are put together as text, so that a value may be a number here and a text there. A file's lines follow each other; no nation's text is held whole.
         own = F.concat(F.lit("of "), "n_name")
         alias = F.when(F.col("type") == "character", F.concat("uid", F.lit(" renamed"))).otherwise(own) if second else own
-        entity = F.to_json(F.struct("uid", "name", "type", F.array(alias).alias("aliases")))
-        e = both.join(F.broadcast(nation), "n").groupBy("n").agg(F.array_join(F.array_sort(F.collect_list(entity)), ",").alias("e"))
+        e = both.join(F.broadcast(nation), "n").select("n", F.lit(1).alias("part"), F.col("uid").alias("key"), F.to_json(F.struct("uid", "name", "type", F.array(alias).alias("aliases"))).alias("text"))
         claim = F.concat(F.lit('{"subject":"'), F.col("x.subject"), F.lit('","predicate":"'), F.col("x.predicate"), F.lit('","scene_uid":"s1","value":'), F.regexp_extract("x.x", r"^\{.x.:(.*)\}$", 1), F.lit("}"))
         c = ordered.select("n", values.alias("x"))
-        c = (c.where("x.key % 3 = 0") if second else c).groupBy("n").agg(F.array_join(F.array_sort(F.collect_list(claim)), ",").alias("c"))
-        text = F.concat(F.lit('{"schema_version":1,"predicates":[{"code":"ordered","value_kind":"number"}],"entities":['), F.coalesce("e", F.lit("")), F.lit('],"claims":['), F.coalesce("c", F.lit("")), F.lit("]}"))
-        return e.join(c, "n", "full").select(F.format_string("nation-%02d", "n").alias("name"), "n", text.alias("text"))
+        c = (c.where("x.key % 3 = 0") if second else c).select("n", F.lit(3).alias("part"), F.col("x.key").cast("string").alias("key"), claim.alias("text"))
+        frame = [(0, '{"schema_version":1,"predicates":[{"code":"ordered","value_kind":"number"}],"entities":['), (2, '],"claims":['), (4, "]}")]
+        frame = both.select("n").distinct().select("n", F.inline(F.array(*[F.struct(F.lit(k).alias("part"), F.lit("").alias("key"), F.lit(t).alias("text")) for k, t in frame])))
+        lines = e.unionByName(c).unionByName(frame).where("n % 5 = 0" if second else "true").withColumn("name", F.format_string("nation-%02d", "n"))
+        comma = F.when(F.lag("part").over(Window.partitionBy("name").orderBy("part", "key")) == F.col("part"), ",").otherwise("")
+        return lines.withColumn("text", F.concat(comma, "text")).sortWithinPartitions("name", "part", "key").select("name", "text")
 
     path = scratch(spark, "files")
-    files(False).select("name", "text").write.partitionBy("name").text(f"{path}/first")
-    files(True).where("n % 5 = 0").select("name", "text").write.partitionBy("name").text(f"{path}/second")
+    files(False).write.partitionBy("name").text(f"{path}/first")
+    files(True).write.partitionBy("name").text(f"{path}/second")
     store = knowledge_sync.create(spark, scratch(spark, "knowledge"))
     scenes = spark.createDataFrame([("s1", "", True)], "scene string, content string, active boolean")
     for part in ("first", "second"):
